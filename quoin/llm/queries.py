@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quoin.llm import fingerprints, neardup
+from quoin.llm import bpe, fingerprints, knn, langid, licenses, neardup, packing, substring, token_counts, warc
 from quoin.runtime import ship, table
 
+WORD_BPE, BYTE_BPE, MULTI_BPE, PATTERN = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -20,5 +24,51 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_minhash)}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return bpe.encode(table(spark, sf_dir, "documents"), MULTI_BPE, PATTERN, keep=False)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of every document, counted in the encoding of the whole text."""
+    ship(spark)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ["text"], BYTE_BPE, PATTERN)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's kept text and what was removed from it."""
+    ship(spark)
+    done = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_units", F.size("removed").alias("n_removed"), length.alias("removed_chars"), "removed", "text")
+
+
+def op7_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return knn.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.languages(table(spark, sf_dir, "documents")).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE, 2048), 2048)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_fingerprints, op2_minhash, op3_warc, op4_bpe, op5_token_counts, op6_substring_dedup, op7_knn, op8_language, op9_packing, op10_licenses)
+}
 ORACLE: dict[str, str] = {}
