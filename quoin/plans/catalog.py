@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from quoin.plans import agreement_queries, grounding_queries, ingest_queries, judging_queries, retrieval_queries, text_queries  # noqa: F401
+from quoin.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,0 +1,152 @@
+"""Formats: a content sniff, and extractors for text, HTML, EPUB and DOCX over (path, content) rows."""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import re
+import zipfile
+from collections.abc import Callable
+from html.parser import HTMLParser
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Tags whose text isn't content, tags that never close, and tags at which a line breaks.
+HIDDEN = {"script", "style", "head", "title", "noscript"}
+BREAKS = set("p div br li tr h1 h2 h3 h4 h5 h6 section article header footer blockquote pre ul ol table hr figure figcaption nav aside dd dt dl".split())
+ZIP_MOST = 512 << 20
+
+
+def sniffed(content: Column) -> Column:
+    """pdf, epub, docx, html or txt by the first bytes. Archives are told apart by the names stored in them."""
+    head = F.decode(F.substring(content, 1, 512), "ISO-8859-1")
+    markup = F.regexp_replace(head, r"^(?:\u00ef\u00bb\u00bf)?[ \t\r\n]*", "")
+    zipped = F.decode(content, "ISO-8859-1")
+    kind = F.when(head.startswith("%PDF-"), "pdf").when(head.startswith("PK\x03\x04") & F.contains(zipped, F.lit("application/epub+zip")), "epub")
+    kind = kind.when(head.startswith("PK\x03\x04") & F.contains(zipped, F.lit("word/document.xml")), "docx")
+    return kind.when(F.lower(markup).rlike(r"^(<\?xml|<!doctype html|<html)"), "html").otherwise("txt")
+
+
+class _Visible(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in HIDDEN
+        if tag in BREAKS:
+            self.out.append("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in BREAKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag in BREAKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def html_text(html: str) -> str:
+    """Visible text; a line for each block, one blank line at most between two. Tags without an end (meta, link) hide nothing."""
+    p = _Visible()
+    p.feed(html.removeprefix("\ufeff"))
+    p.close()
+    lines = "\n".join(" ".join(x.split()) for x in "".join(p.out).split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", lines).strip("\n")
+
+
+def decoded(data: bytes) -> str:
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", "replace")
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("cp1252", "replace")
+
+
+def open_zip(data: bytes) -> dict[str, bytes]:
+    """Members of an archive; names that leave it and archives that unpack to too much are refused."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if sum(i.file_size for i in z.infolist()) > ZIP_MOST:
+            raise ValueError("archive unpacks to too much")
+        out = {}
+        for i in z.infolist():
+            name = posixpath.normpath(i.filename.replace("\\", "/"))
+            if name.startswith(("/", "../")) or name == ".." or re.match("[A-Za-z]:", name):
+                raise ValueError(f"unsafe name {i.filename!r}")
+            if not i.is_dir():
+                out[name] = z.read(i)
+        return out
+
+
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def epub_text(data: bytes) -> str:
+    """Chapters in the order of the spine."""
+    files = open_zip(data)
+    container = ElementTree.fromstring(files["META-INF/container.xml"])
+    opf = next(e.get("full-path") for e in container.iter() if _local(e.tag) == "rootfile")
+    root = ElementTree.fromstring(files[opf])
+    items = {e.get("id"): e.get("href") for e in root.iter() if _local(e.tag) == "item"}
+    spine = [items[e.get("idref")] for e in root.iter() if _local(e.tag) == "itemref" and e.get("idref") in items]
+    at = [posixpath.normpath(posixpath.join(posixpath.dirname(opf), h.split("#")[0])) for h in spine]
+    return "\n\n".join(t for p in at if p in files and (t := html_text(decoded(files[p]))))
+
+
+def docx_text(data: bytes) -> str:
+    """A line for each paragraph of the document."""
+    root = ElementTree.fromstring(open_zip(data)["word/document.xml"])
+    lines = []
+    for p in (e for e in root.iter() if _local(e.tag) == "p"):
+        part = {"t": lambda e: e.text or "", "tab": lambda e: "\t", "br": lambda e: "\n"}
+        lines.append("".join(part[_local(e.tag)](e) for e in p.iter() if _local(e.tag) in part))
+    return "\n".join(lines).strip("\n")
+
+
+def plain_text(data: bytes) -> str:
+    """UTF-8, else Latin-1; refused unless 85 % of its head is printable."""
+    try:
+        t = data.decode("utf-8")
+    except UnicodeDecodeError:
+        t = data.decode("latin-1")
+    t = t.removeprefix("\ufeff")
+    head = t[:2048]
+    if head and sum(c.isprintable() or c in "\n\r\t\f" for c in head) < 0.85 * len(head):
+        raise ValueError("not text")
+    return t
+
+
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {"txt": plain_text, "html": lambda b: html_text(decoded(b)), "epub": epub_text, "docx": docx_text}
+
+
+def _extracted(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    rows = []
+    for data, k in zip(content, kind, strict=True):
+        try:
+            if k not in EXTRACTORS:
+                raise ValueError(f"no extractor for {k}")
+            rows.append((EXTRACTORS[k](bytes(data or b"")), None))
+        except Exception as e:  # one bad file is a row with its error, not a failed job
+            rows.append((None, f"{type(e).__name__}: {e}"))
+    return pd.DataFrame(rows, columns=["text", "error"])
+
+
+_extract = F.pandas_udf(_extracted, "text string, error string")
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """(path, content) with format, text and error; a format without extractor is an error, never empty text."""
+    kinds = files.withColumn("format", sniffed(F.col("content")))
+    return kinds.withColumn("x", _extract("content", "format")).select("path", "format", "x.text", "x.error")
