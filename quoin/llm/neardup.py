@@ -6,7 +6,9 @@ Two documents are linked when 100 * |A and B| >= percent * |A or B|. Sets hold 6
 160 minima of universal hashes make 40 bands of 4: a pair at 0.8 shares no band with probability (1 - 0.8^4)^40 < 1e-9. Pairs of a band are never all listed:
   1. each bucket's members are held against its smallest one; of those a document keeps the pair with most bands;
   2. components; then the other such pairs whose ends are in different components;
-  3. components; then, only in buckets that still hold several components, the members outside the bucket's largest component are held against the others.
+  3. components; then, only in buckets that still hold several components, the members outside the bucket's largest component are held against the others. A pair is
+     made only if an exact bound allows it: with c the largest component's document, |x and y| is at most the lesser |x and c| and |y and c| and the lesser number of
+     other shingles that any two of c's companions share. In a large group of copies with edits of their own, hardly any pair passes that isn't linked.
 Each step drops pairs only by bounds: set sizes, and 1 bit of each minimum (a pair at 0.8 differs in 16 of 160 bits on average, sd 3.8; 44 may differ), then the full sets decide.
 Pairs within one component aren't checked, as they change no component. Equal sets are one node from the start, so copies never meet in a bucket.
 
@@ -115,6 +117,27 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _differences(k: int):
+    """Of pairs (a, b): shingles of b that a has, and the others."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int32()), ("novel", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sa = None, None
+        for batch in batches:
+            both, novel = [], []
+            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
+                ta = ta.as_py()
+                if ta != last:
+                    last, sa = ta, shingle_set(ta, k)
+                sb = shingle_set(tb.as_py(), k)
+                has = np.isin(sb, sa, assume_unique=True)
+                both.append(int(has.sum()))
+                novel.append(sb[~has].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int32()), pa.array(novel, pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Bounds on sizes and bits; both are met by every pair that is to be linked (the bits but for a chance below 1e-10)."""
     differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(-(-BANDS * ROWS // 64))), F.lit(0))
@@ -145,10 +168,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = durable(docs.join(involved, "doc_id", "left_semi"), "texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def with_texts(pairs: DataFrame) -> DataFrame:
         with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return durable(with_b.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+        return with_b.select("a", "b", "ta", "tb")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return durable(with_texts(pairs).mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     links = confirmed(best)
@@ -168,8 +194,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = named.groupBy("band", "c").agg(F.count("*").alias("size"))
     several = parts.groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
     mixed = durable(named.join(several, "band").join(told, "rep"), "mixed")
+    refs = mixed.select(F.col("main").alias("a"), F.col("rep").alias("b")).distinct()
+    against = durable(with_texts(refs).mapInArrow(_differences(k), "a long, b long, both int, novel array<long>"), "differences")
+    novel = against.select("a", "b", F.explode("novel").alias("t"))
+    known = novel.groupBy("a", "t").agg(F.count("*").alias("times")).where("times > 1").select("a", "t")
+    shared = novel.join(known, ["a", "t"]).groupBy("a", "b").agg(F.count("*").cast("int").alias("more"))
+    bounds = against.select("a", "b", "both").join(shared, ["a", "b"], "left").select(F.col("a").alias("main"), F.col("b").alias("rep"), "both", F.coalesce("more", F.lit(0)).alias("more"))
+    mixed = mixed.join(bounds, ["main", "rep"]).where((F.col("both") + F.col("more")) * 100 >= F.col("s.n") * percent)
+    mixed = durable(mixed.select("band", "rep", "c", "main", F.struct("s.n", "s.bits", "both", "more").alias("s")), "bounded")
     few, all_ = mixed.where("c != main").select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("s").alias("y")), mixed.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), "main", F.col("s").alias("x"))
-    crossing = few.join(all_, "band").where("ca != cb and (ca = main or a < b)").where(_may_link("x", "y", percent)).select("a", "b").distinct()
+    reach = (F.least("x.both", "y.both") + F.least("x.more", "y.more")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    crossing = few.join(all_, "band").where("ca != cb and (ca = main or a < b)").where(reach & _may_link("x", "y", percent)).select("a", "b").distinct()
     crossing = durable(crossing.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
         links = links.unionAll(confirmed(crossing))
