@@ -50,7 +50,7 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def arrow_limits(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+def arrow_limits(spark: SparkSession, rows: int = 500, mb: int = 8) -> None:
     """Bound the batches that Python workers get, by rows and by bytes: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
