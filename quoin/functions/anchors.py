@@ -36,12 +36,15 @@ def markers_of(text: str | None) -> list[dict]:
     return found
 
 
-@F.pandas_udf(MARKER)
-def parse_markers(texts: pd.Series) -> pd.Series:
+def _parsed(texts: pd.Series) -> pd.Series:
     return texts.map(markers_of)
 
 
-@F.pandas_udf("int")
+def parse_markers(c: Column) -> Column:
+    """The anchors of a text, as an array of markers."""
+    return F.pandas_udf(_parsed, MARKER)(c)
+
+
 def _pattern_hits(flat: pd.Series, phrase: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
     """Matches of an intentional pattern whose neighbours fit; a pattern that doesn't compile has none."""
 
@@ -76,7 +79,7 @@ def resolve(marker: Column, flat: Column, nohy: Column, patterns: bool = True) -
     held = F.size(F.filter(places_of(bare, nohy), lambda i: _beside(nohy, i, bare, dehyphenate(before), dehyphenate(after))))
     n = F.when(pinned, F.when(bare == "", F.lit(0)).otherwise(held)).otherwise(literal)
     if patterns:
-        n = F.when(marker["regex"], _pattern_hits(flat, phrase, before, after)).otherwise(n)
+        n = F.when(marker["regex"], F.pandas_udf(_pattern_hits, "int")(flat, phrase, before, after)).otherwise(n)
     n = F.when((phrase == "") | (marker["nth"] < 1), F.lit(0)).otherwise(n)
     nth = marker["nth"]
     found = F.when(nth.isNotNull(), (n >= nth) & (nth >= 1)).otherwise(n > 0)

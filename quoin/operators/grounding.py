@@ -81,7 +81,7 @@ def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False, pa
     no single line holds the phrase.
     """
     out = folded(rows).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), patterns)).withColumn("sha", F.sha2("text", 256))
-    due = F.try_to_date(F.trim("review_by"), F.lit("yyyy-MM-dd"))
+    due = F.try_to_date(F.trim("review_by"), "yyyy-MM-dd")
     lines = F.filter(F.transform(T.split_lines(F.col("text")), lambda x, i: F.when(F.contains(x, F.col("marker.phrase")), i + 1)), lambda n: n.isNotNull())
     stamped = F.nullif(F.trim("stored_sha"), F.lit(""))
     status = (
@@ -127,7 +127,7 @@ def integrity_findings(cards: DataFrame, sources: DataFrame, index: DataFrame, a
     held = named.join(present, "rel", "left")
     own = anchors.join(named.select("id", "rel"), "id").join(folded(sources.select("rel", "text")), "rel").withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), False))
     both = index.select("id", F.lit(1).alias("listed")).join(cards.select("id", F.lit(1).alias("present")), "id", "full_outer")
-    due = F.try_to_date(F.trim("review_by"), F.lit("yyyy-MM-dd"))
+    due = F.try_to_date(F.trim("review_by"), "yyyy-MM-dd")
     parts = [
         finding(cards.where("rel is null"), "error", "A", F.col("id")),
         finding(held.where("sha is null"), "unmeasured", "U", F.col("id")),

@@ -1,0 +1,207 @@
+"""Phrases of benchmark in documents: occurrences, resolution, taxonomy, windows, and the integrity checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quoin.functions import text as T
+from quoin.functions.anchors import parse_markers, resolve
+from quoin.operators import grounding as G
+from quoin.plans.registry import query
+from quoin.plans.text_queries import docs, sql_norm
+from quoin.runtime import durable, table
+
+TODAY = "2026-01-01"
+FLAT = sql_norm("text")
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+
+
+@query("SELECT item_id AS phrase_id, doc_id AS id, ((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::INT AS times FROM documents d, benchmark b WHERE contains(d.text, b.text)")
+def f5_occurrence_counts(spark, sf_dir):
+    return G.phrase_hits(texts(spark, sf_dir), phrases(spark, sf_dir))
+
+
+def _flat_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases in folded documents; where the flat fold has none of a phrase, the one without hyphens decides."""
+    own = durable(G.folded(texts(spark, sf_dir)).select("id", "flat", "nohy"), "folded")
+    marks = phrases(spark, sf_dir).withColumn("phrase", T.norm(F.col("phrase")))
+    flat = G.phrase_hits(own.select("id", F.col("flat").alias("text")), marks)
+    bare = G.phrase_hits(own.select("id", F.col("nohy").alias("text")), marks.withColumn("phrase", T.dehyphenate(F.col("phrase"))))
+    return flat.unionAll(bare.join(flat, ["phrase_id", "id"], "left_anti"))
+
+
+_J7 = f"""f AS (SELECT doc_id AS id, {FLAT} AS flat FROM documents), n AS (SELECT id, flat, regexp_replace(flat, '-\\s*', '', 'g') AS nohy FROM f), p AS (SELECT item_id, {FLAT} AS p FROM benchmark), q AS (SELECT *, regexp_replace(p, '-\\s*', '', 'g') AS pd FROM p),
+  h AS (SELECT item_id AS phrase_id, id, CASE WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) ELSE (length(nohy) - length(replace(nohy, pd, ''))) // length(pd) END AS times FROM n, q WHERE contains(flat, p) OR contains(nohy, pd))"""
+
+
+@query(f"WITH {_J7} SELECT item_id AS phrase_id, count(id)::BIGINT AS documents, coalesce(sum(times), 0)::BIGINT AS times, CASE WHEN count(id) = 0 THEN 'not-found' WHEN count(id) > 1 THEN 'ambiguous-panel' WHEN sum(times) > 1 THEN 'ambiguous' ELSE 'found' END AS status FROM q LEFT JOIN h ON h.phrase_id = item_id GROUP BY item_id")
+def j7_anchor_corpus_join(spark, sf_dir):
+    """Every anchor against every document: several documents that hold it make the panel ambiguous."""
+    hits = _flat_hits(spark, sf_dir).groupBy("phrase_id").agg(F.count("*").alias("documents"), F.sum("times").alias("times"))
+    n, t = F.coalesce("documents", F.lit(0)), F.coalesce("times", F.lit(0))
+    status = F.when(n == 0, "not-found").when(n > 1, "ambiguous-panel").when(t > 1, "ambiguous").otherwise("found")
+    return phrases(spark, sf_dir).select("phrase_id").join(hits, "phrase_id", "left").select("phrase_id", n.alias("documents"), t.alias("times"), status.alias("status"))
+
+
+# Each document's own anchors: a word sequence of its first line, plain, pinned by what stands before it, numbered, and one that no text has.
+_OWN_SQL = """w AS (SELECT doc_id AS id, text, string_split(split_part(text, E'\\n', 1), ' ') AS l FROM documents),
+  a AS (SELECT id, text, 'plain' AS kind, l[2] AS phrase, NULL AS before, NULL::INT AS nth FROM w WHERE len(l) > 2 UNION ALL SELECT id, text, 'pinned', l[2], l[1], NULL FROM w WHERE len(l) > 2 UNION ALL SELECT id, text, 'second', l[2], NULL, 2 FROM w WHERE len(l) > 2 UNION ALL SELECT id, text, 'absent', 'no such phrase', NULL, NULL FROM w WHERE len(l) > 2)"""
+_BARE = "regexp_replace(%s, '-\\s*', '', 'g')"
+
+
+def own_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.substring_index("text", "\n", 1), " ")
+    mark = lambda kind, **k: F.struct(F.lit(kind).alias("kind"), G.marker(**k).alias("marker"))
+    second = F.element_at("l", 2)
+    kinds = F.array(mark("plain", phrase=second), mark("pinned", phrase=second, before=F.element_at("l", 1)), mark("second", phrase=second, nth=F.lit(2)), mark("absent", phrase=F.lit("no such phrase")))
+    return texts(spark, sf_dir).withColumn("l", words).where(F.size("l") > 2).select("id", "text", F.explode(kinds).alias("k")).select("id", "text", "k.kind", "k.marker")
+
+
+@query(f"""WITH {_OWN_SQL}, n AS (SELECT *, {FLAT} AS flat, trim(phrase) AS p FROM a), o AS (SELECT *, {_BARE % 'flat'} AS nohy, {_BARE % 'p'} AS pd, {_BARE % 'before'} AS bd FROM n),
+  s AS (SELECT id, kind, nth, CASE WHEN p = '' THEN 0 WHEN kind = 'pinned' THEN (CASE WHEN pd = '' THEN 0 ELSE len(list_filter(range(2, len(x) + 1), lambda i: ends_with(list_reduce(x[:i - 1], lambda u, v: u || pd || v), bd) OR ends_with(list_reduce(x[:i - 1], lambda u, v: u || pd || v), bd || ' '))) END)
+    WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) WHEN pd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, pd, ''))) // length(pd) END AS n FROM (SELECT *, string_split(nohy, pd) AS x FROM o))
+  SELECT id, kind, CASE WHEN nth IS NULL THEN n > 0 ELSE n >= nth END AS found, n::INT AS count, nth IS NULL AND n > 1 AS ambiguous FROM s""")
+def f7_resolution_status(spark, sf_dir):
+    """How each document's own anchors resolve: literal, pinned by context, numbered."""
+    rows = G.folded(own_anchors(spark, sf_dir)).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), False))
+    return rows.select("id", "kind", "r.found", "r.count", "r.ambiguous")
+
+
+_CARD_SQL = """c AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id END AS rel, CASE doc_id % 5 WHEN 0 THEN 'stale' WHEN 1 THEN '' ELSE sha256(text) END AS stored, CASE doc_id % 7 WHEN 0 THEN '2025-06-30' WHEN 1 THEN 'soon' WHEN 2 THEN '2030-01-01' ELSE NULL END AS review_by,
+  split_part(split_part(text, E'\\n', 1), ' ', 2) || CASE WHEN doc_id % 3 = 0 THEN ' ' || split_part(split_part(text, E'\\n', 1), ' ', 3) WHEN doc_id % 3 = 1 THEN ' ' || split_part(replace(text, E'\\n', ' '), ' ', 3) || ' ' || split_part(replace(text, E'\\n', ' '), ' ', 4) ELSE '' END AS phrase FROM documents)"""
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card for each document, some without source, stale, unstamped or due for review, with an anchor from its first words."""
+    d, c = F.col("doc_id"), F.col("text")
+    first, all_ = F.substring_index(c, "\n", 1), F.replace(c, F.lit("\n"), F.lit(" "))
+    word = lambda t, i: F.split_part(t, F.lit(" "), F.lit(i))
+    more = F.when(d % 3 == 0, F.concat(F.lit(" "), word(first, 3))).when(d % 3 == 1, F.concat(F.lit(" "), word(all_, 3), F.lit(" "), word(all_, 4))).otherwise("")
+    stored = F.when(d % 5 == 0, "stale").when(d % 5 == 1, "").otherwise(F.sha2(c, 256))
+    review = F.when(d % 7 == 0, "2025-06-30").when(d % 7 == 1, "soon").when(d % 7 == 2, "2030-01-01")
+    return docs(spark, sf_dir).select(d.alias("id"), F.when(d % 11 != 0, d).alias("rel"), stored.alias("stored_sha"), review.alias("review_by"), F.when(d % 13 == 0, "newer").alias("superseded_by"), F.concat(word(first, 2), more).alias("phrase"), "text")
+
+
+_RES_SQL = f"""{_CARD_SQL}, e AS (SELECT c.*, d.text, {FLAT.replace('text', 'd.text')} AS flat, {sql_norm('phrase')} AS p FROM c LEFT JOIN documents d ON d.doc_id = c.rel), g AS (SELECT *, {_BARE % 'flat'} AS nohy, {_BARE % 'p'} AS pd FROM e),
+  x AS (SELECT *, CASE WHEN p = '' THEN 0 WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) WHEN pd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, pd, ''))) // length(pd) END AS n, contains(text, phrase) AND len(list_filter(string_split(text, E'\\n'), lambda l: contains(l, phrase))) > 0 AS on_line FROM g)"""
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cards(spark, sf_dir)
+    rows = c.drop("text").join(c.select(F.col("id").alias("rel"), "text"), "rel", "left")
+    return rows.withColumn("marker", G.marker(F.col("phrase")))
+
+
+@query(f"""WITH {_RES_SQL} SELECT id, CASE WHEN text IS NULL THEN 'source-not-installed' WHEN stored <> '' AND stored <> sha256(text) THEN 'source-stale' WHEN trim(phrase) = '' OR n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous'
+  WHEN review_by = 'soon' THEN 'review-date-invalid' WHEN review_by < '{TODAY}' THEN 'review-expired' WHEN on_line THEN 'found' ELSE 'folded-only' END AS status FROM x""")
+def r3_verify_evidence(spark, sf_dir):
+    """The strict verifier's status of each card's anchor; the order of its cases is the contract."""
+    return G.evidence_status(_evidence(spark, sf_dir), TODAY).select("id", "status")
+
+
+@query(f"""WITH {_RES_SQL} SELECT id, CASE WHEN text IS NULL THEN 'source-not-installed' WHEN stored <> '' AND stored <> sha256(text) THEN 'source-stale' WHEN trim(phrase) = '' OR n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous' WHEN on_line THEN 'found' ELSE 'folded-only' END AS status FROM x""")
+def r2_verify_taxonomy(spark, sf_dir):
+    """The same without review dates."""
+    return G.evidence_status(_evidence(spark, sf_dir).withColumn("review_by", F.lit(None).cast("string")), TODAY).select("id", "status")
+
+
+@query(f"""WITH {_RES_SQL}, r AS (SELECT id, CASE WHEN text IS NULL THEN 'source-not-installed' WHEN stored <> '' AND stored <> sha256(text) THEN 'source-stale' WHEN trim(phrase) = '' OR n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous' WHEN review_by = 'soon' THEN 'review-date-invalid' WHEN review_by < '{TODAY}' THEN 'review-expired'
+    WHEN stored = '' THEN 'source-unstamped' WHEN on_line THEN 'found' ELSE 'folded-only' END AS status FROM x)
+  SELECT status, status IN ('found', 'folded-only') AS grounded, count(*)::BIGINT AS n FROM r GROUP BY status""")
+def r5_context_bundle(spark, sf_dir):
+    """Requests parted into grounded and rejected, each with its reason; unstamped sources are refused."""
+    rows = G.evidence_status(_evidence(spark, sf_dir), TODAY, require_stamp=True)
+    return rows.groupBy("status").agg(F.count("*").alias("n")).withColumn("grounded", F.col("status").isin("found", "folded-only")).select("status", "grounded", "n")
+
+
+@query("""SELECT id, line_no, line FROM (SELECT id, line_no, trim(line) AS line, row_number() OVER (PARTITION BY id ORDER BY line_no) AS r FROM (SELECT doc_id AS id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents)) WHERE contains(lower(line), 'tion')) WHERE r <= 10""")
+def k4_matching_lines(spark, sf_dir):
+    return G.matching_lines(texts(spark, sf_dir), "tion", 10).select("id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query("""WITH l AS (SELECT doc_id AS id, string_split(text, E'\\n') AS l FROM documents), m AS (SELECT id, len(l) AS n, l, list_position(list_transform(l, lambda x: contains(x, 'on')), true) AS f FROM l), w AS (SELECT id, greatest(1, f - 3) AS lo, least(n, f + 3) AS hi, l FROM m WHERE f > 0)
+  SELECT id, lo::BIGINT AS lo, hi::BIGINT AS hi, sha256(array_to_string(l[lo:hi], E'\\n')) AS window_sha FROM w""")
+def w4_context_window(spark, sf_dir):
+    """Three lines on either side of the first line that holds a phrase."""
+    lines = texts(spark, sf_dir).select("id", F.split("text", "\n").alias("l"))
+    first = F.array_position(F.transform("l", lambda x: F.contains(x, F.lit("on"))), True).cast("int")
+    rows = lines.withColumn("f", first).where("f > 0").withColumn("w", G.context_window(F.col("f"), F.col("f"), F.size("l"), 3, 40))
+    text = F.array_join(F.slice("l", F.col("w.lo"), F.col("w.hi") - F.col("w.lo") + 1), "\n")
+    return rows.select("id", F.col("w.lo").cast("long").alias("lo"), F.col("w.hi").cast("long").alias("hi"), F.sha2(text, 256).alias("window_sha"))
+
+
+@query("SELECT doc_id AS id, (length(array_to_string(x[:3], 'the')) + 1)::BIGINT AS place FROM (SELECT doc_id, string_split(text, 'the') AS x FROM documents) WHERE len(x) > 3")
+def w6_nth_occurrence(spark, sf_dir):
+    """Where a phrase occurs the third time."""
+    place = F.try_element_at(T.places_of(F.lit("the"), F.col("text")), F.lit(3))
+    return texts(spark, sf_dir).select("id", place.cast("long").alias("place")).where("place is not null")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 11 = 0")
+def j2_orphan_anti(spark, sf_dir):
+    """Sources without a card."""
+    c = cards(spark, sf_dir)
+    return c.select("id").join(c.where("rel is not null").select(F.col("rel").alias("id")), "id", "left_anti")
+
+
+@query("SELECT coalesce(i.id, c.id) AS id, CASE WHEN i.id IS NULL THEN 'not-listed' ELSE 'not-there' END AS problem FROM (SELECT doc_id + 5 AS id FROM documents WHERE doc_id % 3 > 0) i FULL JOIN (SELECT doc_id AS id FROM documents) c ON i.id = c.id WHERE i.id IS NULL OR c.id IS NULL")
+def j3_index_fullouter(spark, sf_dir):
+    """An index that is out of date against the cards, both ways."""
+    d = docs(spark, sf_dir)
+    listed = d.where(F.col("doc_id") % 3 > 0).select((F.col("doc_id") + 5).alias("id"), F.lit(1).alias("i"))
+    both = listed.join(d.select(F.col("doc_id").alias("id"), F.lit(1).alias("c")), "id", "full_outer").where("i is null or c is null")
+    return both.select("id", F.when(F.col("i").isNull(), "not-listed").otherwise("not-there").alias("problem"))
+
+
+@query(f"""WITH {_RES_SQL}, f AS (
+  SELECT 'error' AS severity, 'A' AS code, count(*) AS n FROM c WHERE rel IS NULL UNION ALL SELECT 'error', 'B', count(*) FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT 'error', 'D', count(*) FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT 'error', 'F', count(*) FROM x WHERE text IS NOT NULL AND n = 0 UNION ALL SELECT 'warn', 'F', count(*) FROM x WHERE text IS NOT NULL AND n > 1
+  UNION ALL SELECT 'warn', 'H', (SELECT count(*) FROM x WHERE text IS NOT NULL AND stored <> '' AND stored <> sha256(text)) + (SELECT count(*) FROM c WHERE review_by = 'soon' OR review_by < '{TODAY}') + (SELECT count(*) FROM documents WHERE doc_id % 13 = 0))
+  SELECT severity, code, n::BIGINT AS n FROM f WHERE n > 0""")
+def c_integrity_findings(spark, sf_dir):
+    """All checks of the linter, counted by severity and code."""
+    c = cards(spark, sf_dir)
+    listed = c.where(F.col("id") % 3 > 0).select("id")
+    found = G.integrity_findings(c, c.select(F.col("id").alias("rel"), "text"), listed, c.select("id", G.marker(F.col("phrase")).alias("marker")), TODAY)
+    return found.groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_RES_SQL} SELECT id, n::INT AS count, CASE WHEN n = 0 THEN 'error' ELSE 'warn' END AS severity FROM x WHERE text IS NOT NULL AND n <> 1""")
+def c_f_citation_rot(spark, sf_dir):
+    """Anchors that their own source no longer holds, or holds in several places."""
+    rows = G.folded(_evidence(spark, sf_dir).where("text is not null")).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), False)).where("r.count != 1")
+    return rows.select("id", "r.count", F.when(F.col("r.count") == 0, "error").otherwise("warn").alias("severity"))
+
+
+@query(f"""WITH {_CARD_SQL} SELECT id, CASE WHEN id % 13 = 0 THEN 'superseded' WHEN review_by = 'soon' THEN 'review-date-invalid' WHEN review_by < '{TODAY}' THEN 'review-expired' WHEN stored <> '' AND stored <> sha256(d.text) THEN 'source-changed' END AS why FROM c LEFT JOIN documents d ON d.doc_id = c.rel
+  WHERE id % 13 = 0 OR review_by = 'soon' OR review_by < '{TODAY}' OR (stored <> '' AND stored <> sha256(d.text))""")
+def c_h_freshness(spark, sf_dir):
+    """The first reason why a card isn't fresh."""
+    due = F.try_to_date("review_by", "yyyy-MM-dd")
+    why = F.when(F.col("superseded_by").isNotNull(), "superseded").when(F.col("review_by").isNotNull() & due.isNull(), "review-date-invalid").when(due < F.lit(TODAY).cast("date"), "review-expired").when((F.col("stored_sha") != "") & (F.col("stored_sha") != F.sha2("text", 256)), "source-changed")
+    return _evidence(spark, sf_dir).select("id", why.alias("why")).where("why is not null")
+
+
+@query("""WITH b AS (SELECT source, list(DISTINCT regexp_replace(lower(split_part(text, E'\\n', 1)), '[^a-z0-9]+', ' ', 'g')) AS lines FROM documents WHERE doc_id % 2 = 0 GROUP BY source), d AS (SELECT doc_id AS id, source, regexp_replace(lower(split_part(text, E'\\n', 1)), '[^a-z0-9]+', ' ', 'g') AS line FROM documents)
+  SELECT id FROM d LEFT JOIN b USING (source) WHERE NOT coalesce(list_contains(lines, line), false)""")
+def j11_bibliography_coverage(spark, sf_dir):
+    """Sources whose title line no bibliography row of their shelf has (rows of even ids stand for the bibliography)."""
+    line = F.regexp_replace(F.lower(F.substring_index("text", "\n", 1)), "[^a-z0-9]+", " ")
+    own = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", line.alias("line"))
+    return own.join(own.where(F.col("id") % 2 == 0).select("source", "line").distinct(), ["source", "line"], "left_anti").select("id")
+
+
+@query()
+def f4_parse_markers(spark, sf_dir):
+    """Anchors in every spelling, parsed from a card text built around each benchmark passage."""
+    t = F.regexp_replace("text", "[`\"\n]", " ")
+    card = F.concat(F.lit("x (grep: `"), t, F.lit("` before `a b` #2) y (`search: \"q r\"`; `other`) research: `no` (grep-re: `z.*`) (`grep:` `lone`)"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parse_markers(card)).alias("ord", "m")).select("item_id", "ord", "m.*")

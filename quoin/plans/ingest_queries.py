@@ -1,0 +1,73 @@
+"""Extraction, normalisation, entailment adapters, streaming ingest and event windows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from quoin.functions import text as T
+from quoin.operators import normalize
+from quoin.plans.registry import query
+from quoin.plans.text_queries import docs, odd_lines
+from quoin.runtime import scratch, table
+from quoin.sources import formats
+from quoin.streaming import ingest
+
+
+@query()
+def s15_html_text(spark, sf_dir):
+    """Visible text of each page."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    out = formats.extract(pages)
+    return out.select(F.col("path").cast("long").alias("page_id"), "format", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha"), "error")
+
+
+@query()
+def f22_normalize(spark, sf_dir):
+    """The whole normalisation of documents with page furniture, wrapped at sentences."""
+    lines = odd_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    wrapped = lines.withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n")))
+    return normalize.changed(wrapped).select("doc_id", F.length("normal").alias("chars"), F.sha2("normal", 256).alias("normal_sha"))
+
+
+def support(premise, claim, backend: Callable[[str, str], float] | None):
+    """A column of support scores from an injected model; without one every score is null: not measured."""
+    if backend is None:
+        return F.lit(None).cast("double")
+
+    def run(p: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([backend(a, b) if a is not None and b is not None else None for a, b in zip(p, c, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(premise, claim)
+
+
+def _overlap(premise: str, claim: str) -> float:
+    """A stand-in for a model: the share of the claim's words that the premise has."""
+    own = set(claim.lower().split())
+    return len(own & set(premise.lower().split())) / len(own) if own else 0.0
+
+
+@query()
+def r25_entail_stub(spark, sf_dir):
+    """Support of each document's second sentence by the sentences around it, by a stand-in backend."""
+    s = docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 2)
+    premise = F.array_join(F.slice("s", 1, 3), " ")
+    return s.select("doc_id", F.round(support(premise, F.element_at("s", 2), _overlap), 6).alias("support"))
+
+
+@query("SELECT sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM documents WHERE trim(text) <> '' GROUP BY text")
+def s24_stream_ingest(spark, sf_dir):
+    """Documents as a stream of files into a table, each text once; the log as it then is."""
+    at = scratch(spark, "stream")
+    source = table(spark, sf_dir, "documents")
+    source.repartition(4, "doc_id").write.parquet(f"{at}/drop")
+    ingest.ingest(ingest.arrivals(spark, f"{at}/drop", source.schema, 2), f"{at}/sources", f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/log").select("sha256", F.col("size").cast("long").alias("size"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """Beyond the reference: hourly windows of events."""
+    return ingest.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))

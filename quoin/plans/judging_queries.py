@@ -1,0 +1,108 @@
+"""Raters, verdicts, extraction tiers and boards over labels and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quoin.operators import evaluation, gate
+from quoin.plans.registry import query
+from quoin.plans.text_queries import docs
+from quoin.runtime import table
+
+_PAIRS = "(SELECT 'c' || doc_id % 4 AS criterion, 1 + (doc_id % 4 > 0)::INT AS scale, quality + (doc_id % 4 > 0)::INT * (doc_id % 2) AS x, (CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END) + (doc_id % 4 > 0)::INT * (doc_id // 3 % 2) AS y FROM labels)"
+_SHARES = "count(*)::BIGINT AS n, round(avg((x = y)::INT), 6) AS exact, round(avg((abs(x - y) <= 1)::INT), 6) AS adjacent"
+_KAPPA = "round(CASE WHEN count(*) >= 2 THEN 1 - avg((x - y) * (x - y)) / nullif(round(var_pop(x) + var_pop(y) + (avg(x) - avg(y)) ** 2, 12), 0) END, 6)"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two raters on four criteria, made from labels: the second disagrees with the first on some rows."""
+    d, q, wide = F.col("doc_id"), F.col("quality"), (F.col("doc_id") % 4 > 0).cast("int")
+    y = F.when(d % 9 == 0, 1 - q).otherwise(q) + wide * F.expr("(doc_id DIV 3) % 2")
+    return table(spark, sf_dir, "labels").select(F.concat(F.lit("c"), (d % 4).cast("string")).alias("criterion"), (1 + wide).alias("scale"), (q + wide * (d % 2)).alias("x"), y.alias("y"))
+
+
+@query(f"SELECT criterion, {_KAPPA} AS qwk FROM {_PAIRS} GROUP BY criterion")
+def a9_qwk(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.groupBy("criterion").agg(F.round(evaluation.weighted_kappa(F.col("x").cast("double"), F.col("y").cast("double")), 6).alias("qwk"))
+
+
+@query(f"""SELECT criterion, {_SHARES}, {_KAPPA} AS qwk, CASE WHEN {_KAPPA} IS NULL THEN 'undefined' WHEN {_KAPPA} < 0.6 THEN 'under-specified' ELSE 'ok' END AS verdict FROM {_PAIRS} GROUP BY criterion
+  UNION ALL SELECT 'OVERALL', {_SHARES}, CASE WHEN count(DISTINCT scale) = 1 THEN {_KAPPA} END, NULL FROM {_PAIRS}""")
+def a10_agreement_report(spark, sf_dir):
+    """For each criterion and over all; the overall kappa is withheld as scales differ."""
+    return evaluation.rater_agreement(pairs(spark, sf_dir))
+
+
+_SCALE = [("d", f"c{i}", top) for i, top in enumerate((3, 7, 5, 10))]
+_SCORES = "(SELECT doc_id AS draft, 'c' || i AS criterion, t[i + 1] AS top, (doc_id * (i + 3) + quality * 5) % (t[i + 1] + CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END) AS score FROM (SELECT *, [3, 7, 5, 10] AS t FROM labels), range(4) r(i) WHERE NOT (doc_id % 8 = 1 AND i = 2))"
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four scores for each labelled document; some drafts lack one, some go over the scale."""
+    top = {c: t for _, c, t in _SCALE}
+    score = lambda i: (F.col("doc_id") * (i + 3) + F.col("quality") * 5) % (top[f"c{i}"] + F.when(F.col("doc_id") % 10 == 0, 2).otherwise(1))
+    each = F.array(*[F.struct(F.lit(f"c{i}").alias("criterion"), score(i).alias("score")) for i in range(4)])
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("draft"), F.lit("d").alias("dimension"), F.explode(each).alias("s")).select("draft", "dimension", "s.*")
+    return rows.where(~((F.col("draft") % 8 == 1) & (F.col("criterion") == "c2")))
+
+
+def scale(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_SCALE, "dimension string, criterion string, top int")
+
+
+@query(f"""SELECT draft, (sum(score * (210 // top)) * 100 // (4 * 210))::BIGINT AS points, sum(score * (210 // top)) * 100 >= 70 * 4 * 210 AS go, coalesce(string_agg(criterion, ',' ORDER BY score / top, criterion) FILTER (WHERE score * 100 < top * 70), '') AS defects
+  FROM {_SCORES} GROUP BY draft HAVING count(*) = 4 AND bool_and(score <= top)""")
+def a12_verdict(spark, sf_dir):
+    """Exact verdicts of the drafts whose scores are complete and in range, with the criteria below the hurdle, worst first."""
+    v = gate.verdicts(scale(spark), scores(spark, sf_dir), 70)
+    return v.select("draft", "points", "go", F.array_join("defects", ",").alias("defects"))
+
+
+@query(f"SELECT draft, 'c2' AS criterion, 'missing' AS problem FROM (SELECT DISTINCT draft FROM {_SCORES} WHERE draft % 8 = 1) UNION ALL SELECT draft, criterion, 'range' FROM {_SCORES} WHERE score > top")
+def j17_score_problems(spark, sf_dir):
+    return gate.score_problems(scale(spark), scores(spark, sf_dir)).select("draft", "criterion", "problem")
+
+
+_RUNS = """(SELECT doc_id AS doc, tier, CASE WHEN (doc_id + k) % (k + 4) > 0 THEN ((doc_id * (k + 7)) % 97) / 97.0 END AS recall, CASE WHEN (doc_id + k) % (k + 4) > 0 THEN ((doc_id * (2 * k + 5)) % 89) / 89.0 - CASE WHEN k = 1 THEN 0.8 ELSE 0.2 END END AS orders FROM documents, (VALUES ('alpha', 0), ('beta', 1), ('gamma', 2)) t(tier, k))"""
+TIERS = ["alpha", "beta", "gamma", "unused"]
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction results of three tiers with failures; a fourth tier never ran."""
+    d, out = F.col("doc_id"), None
+    for k, tier in enumerate(TIERS[:3]):
+        ran = (d + k) % (k + 4) > 0
+        one = docs(spark, sf_dir).select(d.alias("doc"), F.lit(tier).alias("tier"), F.when(ran, (d * (k + 7)) % 97 / 97.0).alias("recall"), F.when(ran, (d * (2 * k + 5)) % 89 / 89.0 - (0.8 if k == 1 else 0.2)).alias("orders"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query(f"SELECT tier, count(*)::BIGINT AS attempted, count(recall)::BIGINT AS measured, (count(*) - count(recall))::BIGINT AS failed FROM {_RUNS} GROUP BY tier UNION ALL SELECT 'unused', count(*), 0, count(*) FROM documents")
+def a13_tier_totals(spark, sf_dir):
+    return evaluation.tier_totals(runs(spark, sf_dir), TIERS)
+
+
+@query(f"""WITH r AS (SELECT * FROM {_RUNS} WHERE recall IS NOT NULL), s AS (SELECT doc FROM r GROUP BY doc HAVING count(*) = 3), p AS (SELECT tier, count(*) AS docs, round(median(recall), 6) AS median_recall, round(min(recall), 6) AS worst_recall, round(list_sort(list(recall))[floor(0.1 * (count(*) - 1))::INT + 1], 6) AS p10_recall, round(median(orders), 6) AS median_order FROM r JOIN s USING (doc) GROUP BY tier)
+  SELECT tier, docs::BIGINT AS docs, median_recall::DOUBLE AS median_recall, worst_recall::DOUBLE AS worst_recall, p10_recall::DOUBLE AS p10_recall, median_order::DOUBLE AS median_order, row_number() OVER (ORDER BY median_order < 0, median_recall DESC, tier) AS rank FROM p""")
+def a13_paired_ranking(spark, sf_dir):
+    """Tiers ranked on the documents that all of them measured; a tier whose order is inverted comes last."""
+    r = evaluation.paired_ranking(runs(spark, sf_dir), TIERS)
+    return r.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT coalesce(source, 'all') AS shelf, coalesce(lang, 'all') AS zoom, count(*)::BIGINT AS cards, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source, lang)")
+def a3_board_rollup(spark, sf_dir):
+    """The board: cards by shelf and kind, with totals."""
+    r = docs(spark, sf_dir).rollup("source", "lang").agg(F.count("*").alias("cards"), F.sum("n_chars").alias("chars"))
+    return r.select(F.coalesce("source", F.lit("all")).alias("shelf"), F.coalesce("lang", F.lit("all")).alias("zoom"), "cards", "chars")
+
+
+@query("SELECT doc_id AS card, CASE WHEN doc_id % 6 = 0 THEN 'missing' WHEN doc_id % 6 = 1 THEN 'unpinned' ELSE 'drifted' END AS problem FROM documents WHERE doc_id % 6 < 3")
+def j18_fingerprint(spark, sf_dir):
+    """A panel's pinned digests against live sources."""
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("card"), F.sha2("text", 256).alias("sha"))
+    k = F.col("card") % 6
+    panel = d.select(F.lit("d").alias("dimension"), "card", F.when(k == 1, F.lit(None)).when(k == 2, "0").otherwise(F.col("sha")).alias("pinned"))
+    return gate.fingerprint(panel, d.where(k != 0)).select("card", "problem")

@@ -143,10 +143,7 @@ def _extracted(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "error"])
 
 
-_extract = F.pandas_udf(_extracted, "text string, error string")
-
-
 def extract(files: DataFrame) -> DataFrame:
     """(path, content) with format, text and error; a format without extractor is an error, never empty text."""
     kinds = files.withColumn("format", sniffed(F.col("content")))
-    return kinds.withColumn("x", _extract("content", "format")).select("path", "format", "x.text", "x.error")
+    return kinds.withColumn("x", F.pandas_udf(_extracted, "text string, error string")("content", "format")).select("path", "format", "x.text", "x.error")
