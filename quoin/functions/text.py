@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,13 +78,8 @@ def tokens(c: Column) -> Column:
 
 def exact_tokens(c: Column) -> Column:
     """The same after NFKC and with full case folding; Arrow batches, for texts in which those matter."""
-    import unicodedata
-
-    import pandas as pd
 
     def run(texts: pd.Series) -> pd.Series:
-        import re
-
         def one(t: str) -> list[str]:
             folded = re.sub(r"-\s*", "", unicodedata.normalize("NFKC", t)).casefold()
             return "".join(ch if ch.isalnum() else " " for ch in folded).split(" ")
