@@ -1,11 +1,12 @@
 """Byte-level BPE: encoding and decoding whole texts.
 
-1. Documents are cut by the pattern into words, block by block (a block is some megabytes of text of one task): a block keeps its distinct words, and its documents as numbers
-   of words, packed by planes of bytes.
-2. The distinct words of all blocks are encoded once each, by Spark's higher-order functions: a fold merges, step by step, the leftmost adjacent pair of lowest rank. A word is
-   handled as a string with a character for each of its bytes, ranks come from a literal map (cut into small maps by a checksum, as Spark looks through a map in order), and
-   decoding concatenates the ids' literal pieces. The fold's work grows with the square of a word's length; words over LONG bytes (rare) are merged by tiktoken, exactly.
-3. Ids and pieces go back to their block, and each document is put together from its words.
+Documents are cut by the pattern into words. In Arrow batches, each Python worker encodes the distinct words that it meets once (kept up to CACHE words), a document's ids are
+its words' ids one after another, and decoding concatenates the ids' binary pieces. Nothing is shuffled.
+
+encode_words and decode_ids are the same in Spark's higher-order functions: a fold merges, step by step, the leftmost adjacent pair of lowest rank. A word is handled as
+a string with a character for each of its bytes, and ranks come from a literal map, cut into small maps by a checksum, as Spark looks through a map in order. They serve tables
+of words; for whole corpora they cost more than the limits allow (figures in the README), as does taking the distinct words of all documents there and back. The
+fold's work grows with the square of a word's length; words over LONG bytes are merged by tiktoken, exactly.
 
 Null and empty texts have no tokens. Rows are handled one by one; ids may be null or repeated. An empty table gives no rows. Only doc_id and text are read.
 """
@@ -22,13 +23,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.runtime import arrow_limits, durable
+from quoin.runtime import arrow_limits
 
-BUCKETS, LONG, BLOCK = 1 << 14, 96, 16 << 20
+BUCKETS, LONG, CACHE = 1 << 14, 96, 600_000
 _ENCODERS: dict = {}
 
 
@@ -108,82 +108,30 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     return short.unionAll(long).withColumn("piece", decode_ids(F.col("ids"), pieces))
 
 
-_BLOCKS = pa.schema([("block", pa.string()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("numbers", pa.binary()), ("words", pa.list_(pa.binary()))])
-
-
-def pack(numbers: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-
-
-def _blocks(pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        cut, part = regex.compile(pattern), TaskContext.get().partitionId()
-        number, held = 0, 0
-        docs, sizes, parts, known = [], [], [], {}
-
-        def close() -> pa.RecordBatch:
-            nonlocal number, held, docs, sizes, parts, known
-            all_ = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            order = np.argsort(-np.bincount(all_, minlength=len(known)), kind="stable")  # frequent words get small numbers
-            place = np.empty(len(known), np.uint32)
-            place[order] = np.arange(len(known), dtype=np.uint32)
-            words = [w.encode() for w in known]
-            out = pa.RecordBatch.from_arrays([pa.array([f"{part}:{number}"]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack(place[all_])]), pa.array([[words[i] for i in order]], pa.list_(pa.binary()))], schema=_BLOCKS)
-            number, held = number + 1, 0
-            docs, sizes, parts, known = [], [], [], {}
-            return out
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                own = cut.findall(text)
-                for w in own:
-                    if w not in known:
-                        known[w] = len(known)
-                docs.append(doc)
-                sizes.append(len(own))
-                parts.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)))
-                held += len(text)
-                if held >= BLOCK:
-                    yield close()
-        if docs:
-            yield close()
-
-    return run
-
-
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
 
 
-def _join(keep: bool):
+def _encode(path: str, pattern: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        ranks = ranks_of(path)
+        merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        pieces = {v: k for k, v in ranks.items()}
+        words, known = regex.compile(pattern), {}
         for batch in batches:
-            for row in range(batch.num_rows):
-                docs, sizes, packed, code = (batch.column(i)[row] for i in range(4))
-                n = len(code)
-                ids, pieces = [b""] * n, [b""] * n
-                fields = code.values.flatten() if n else []
-                if n:
-                    at = fields[0].to_pylist()
-                    offsets, flat = fields[1].offsets.to_numpy(), fields[1].values.to_numpy().astype("<u4")
-                    for i, p, piece in zip(range(n), at, fields[2], strict=True):
-                        ids[p], pieces[p] = flat[offsets[i] : offsets[i + 1]].tobytes(), piece.as_py()
-                numbers, start, out = unpack(packed.as_py()).tolist() if n else [], 0, []
-                for doc, size in zip(docs.as_py(), sizes.as_py(), strict=True):
-                    own = numbers[start : start + size]
-                    start += size
-                    coded = b"".join(map(ids.__getitem__, own))
-                    decoded = hashlib.sha256(b"".join(map(pieces.__getitem__, own))).hexdigest()
-                    out.append((doc, len(coded) // 4, hashlib.sha256(coded).hexdigest(), decoded, coded if keep else None))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
+            out: list[list] = [[] for _ in _OUT]
+            for text in batch.column(1):
+                own = words.findall(text.as_py() or "")
+                if len(known) > CACHE:
+                    known.clear()
+                for w in set(own).difference(known):
+                    known[w] = np.array(merge(w), "<u4").tobytes()
+                coded = b"".join(map(known.__getitem__, own))
+                decoded = b"".join(map(pieces.__getitem__, np.frombuffer(coded, "<u4").tolist()))
+                for c, v in zip(out[1:], (len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest(), coded if keep else None), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(out[1:], list(_OUT)[1:], strict=True))], schema=_OUT)
 
     return run
 
@@ -192,13 +140,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataF
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if kept, ids (little-endian 32-bit) of every row."""
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = durable(rows.mapInArrow(_blocks(pattern), "block string, docs array<long>, sizes array<int>, numbers binary, words array<binary>"), "blocks")
-    distinct = blocks.select(F.explode("words").alias("word")).distinct()
-    codes = durable(encode_words(distinct, path, pattern), "codes")
-    placed = blocks.select("block", F.posexplode("words").alias("at", "word")).join(codes, "word")
-    gathered = placed.groupBy("block").agg(F.collect_list(F.struct("at", "ids", "piece")).alias("code"))
-    joined = blocks.select("block", "docs", "sizes", "numbers").join(gathered, "block", "left").select("docs", "sizes", "numbers", F.coalesce("code", F.array().cast("array<struct<at:int,ids:array<int>,piece:binary>>")).alias("code"))
-    out = joined.mapInArrow(_join(keep), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    out = rows.mapInArrow(_encode(path, pattern, keep), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
     return out if keep else out.drop("ids")
 
 
