@@ -3,7 +3,7 @@
 A-Z are lower-cased; words are runs of digits, a-z and characters beyond ASCII. Each template (a licence notice, or a base phrase) is indexed by its RARE words of
 highest IDF, where document frequencies of the templates' words are counted over all documents. A file's words are looked up; each hit votes for the template at a start
 (its position less the word's in the template); where votes agree, the template's words are compared at their relative positions and a mandatory key phrase has to stand at its
-place. A label holds if a place covers enough of the template. The base phrases are templates of themselves, and are found at all their places.
+place; other words of a notice may be SLACK places off. A label holds if a place covers enough of the template. The base phrases are templates of themselves, and are found at all their places.
 
 Null and empty texts have no words and no labels. Rows are handled one by one, so ids may be null or repeated. Only doc_id and text are read.
 """
@@ -38,7 +38,7 @@ NOTICES = [
     ("mpl-2.0", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "public domain", "This is free and unencumbered software released into the public domain"),
 ]
-RARE, COVER = 8, 0.6
+RARE, COVER, SLACK = 8, 0.6, 3
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -78,7 +78,8 @@ class Index:
             if at is not None:
                 if start + at < 0 or ws[start + at : start + at + len(key)] != key:
                     continue
-            found = sum(self.idf[w] for j, w in enumerate(t) if 0 <= start + j < len(ws) and ws[start + j] == w) / sum(self.idf[w] for w in t)
+            slack = 0 if i < len(BASE) else SLACK
+            found = sum(self.idf[w] for j, w in enumerate(t) if w in ws[max(0, start + j - slack) : max(0, start + j + slack + 1)]) / sum(self.idf[w] for w in t)
             if found + 1e-9 >= cover:
                 labels.add(label)
                 score = max(score, min(1.0, found))

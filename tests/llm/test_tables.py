@@ -1,0 +1,198 @@
+"""Operators that compare rows, against brute force; and the pipeline."""
+
+import base64
+import hashlib
+import random
+import re
+import struct
+
+import numpy as np
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from quoin.llm import graphs, knn, neardup, substring, warc
+from quoin.runtime import scratch
+
+
+def classes(docs, k, percent):
+    """Components by all pairs of rows; rows of one id are one node."""
+    sets, up = [], {}
+    for d, t in docs:
+        w = (t or "").encode().lower().split()
+        sets.append((d, {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()))
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            if a is not None and b is not None and s and t and 100 * len(s & t) >= percent * len(s | t):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {d: (top(d), len(s)) for d, s in sets if d is not None}
+
+
+def edited(words, share, rng):
+    return [w if rng.random() > share else f"e{rng.randrange(10**6)}" for w in words]
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """A large group of copies with edits of their own around the threshold, a chain, a passage that many share, and texts of their own."""
+    rng = random.Random(7)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(3000))
+    base = [word() for _ in range(200)]
+    texts = [" ".join(edited(base, rng.choice([0.0, 0.01, 0.02, 0.03, 0.05]), rng)) for _ in range(120)]
+    chain = [word() for _ in range(150)]
+    for _ in range(10):
+        chain = edited(chain, 0.02, rng)
+        texts.append(" ".join(chain))
+    passage = [word() for _ in range(60)]
+    texts += [" ".join([word() for _ in range(rng.randint(5, 60))] + passage + [word() for _ in range(rng.randint(5, 60))]) for _ in range(60)]
+    texts += [" ".join(word() for _ in range(rng.randint(1, 100))) for _ in range(60)]
+    rng.shuffle(texts)
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates(copies, k):
+    want = classes([tuple(r) for r in copies.collect()], k, 80)
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in neardup.near_duplicates(copies, k).collect()}
+    assert got == want and len(set(c for c, _ in want.values())) < len(want)
+
+
+def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
+    want = classes([(r["doc_id"], r["text"]) for r in odd_docs.collect()], 4, 80)
+    got = neardup.near_duplicates(odd_docs, 4).collect()
+    assert len(got) == odd_docs.count()
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["component_id"], r["n_shingles"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
+        else:
+            assert r["component_id"] == (3 if r["n_shingles"] else None) and r["kept"] == (r["component_id"] is None)
+    assert neardup.near_duplicates(no_docs).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    up = list(range(2000))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    got = {r["node"]: r["component"] for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: top(n) for a, b in edges if a != b for n in (a, b)}
+
+
+def test_substrings(spark, odd_docs, no_docs):
+    passage = "This passage of many words comes again in other texts, as it was planted there. It has a second sentence, so that units follow each other in a run of them! Ok. And a third with still some more words than that."
+    data = [(3, f"Own beginning of a text. {passage} Own end."), (1, f"First holder. {passage.upper()} Its own end."), (2, "A clean text of its own.\nOk. It stays."), (4, f"{passage}\n{passage} Tail."), (5, None), (6, ""), (7, "A clean text of its own.")]
+    got = {r["doc_id"]: r for r in substring.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == dict(data)[1] and got[1]["removed"] == [] and got[2]["text"] == dict(data)[2] and got[7]["text"] == dict(data)[7]
+    assert got[3]["text"] == "Own beginning of a text. Own end."
+    (span,) = got[3]["removed"]
+    assert dict(data)[3][span["start"] : span["end"]].strip() == passage
+    assert got[4]["text"] == "Tail." and got[5]["text"] is None and got[6]["text"] == ""
+    out = substring.substring_dedup(odd_docs, more=("gone", "units"))
+    assert out.columns == [*odd_docs.columns, "gone", "units"] and out.count() == odd_docs.count()
+    assert substring.substring_dedup(no_docs).count() == 0
+
+
+def test_substrings_by_brute_force(copies):
+    """First places by a dictionary over all documents."""
+    docs = sorted(tuple(r) for r in copies.withColumn("text", F.regexp_replace("text", r"(a\d+) ", "$1. ")).collect())
+    first = {}
+    for d, t in docs:
+        for u in substring.units(t):
+            if u[2] > 2:
+                first.setdefault(u[3], d)
+    want = {d: substring.cut_runs(t, [i for i, u in enumerate(substring.units(t)) if u[2] > 2 and first[u[3]] != d], 25)[0] for d, t in docs}
+    got = substring.substring_dedup(copies.withColumn("text", F.regexp_replace("text", r"(a\d+) ", "$1. ")))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want and want != dict(docs)
+
+
+def test_knn(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(600)] + [(600 + i, [0.1] * 16) for i in range(12)]
+    data += [(700, None), (750, [1.0] * 15 + [float("nan")]), (800, [1.0] * 15 + [float("inf")]), (850, [1.0, None] + [0.0] * 14), (900, [0.5, 0.5]), (7, [0.3] * 16), (None, [1.0] * 16), (950, [])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
+    sound = [(i, np.floor(256 * np.array(list(v) + [0.0] * (16 - len(v))))) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = set()
+    for i, q in sound:
+        if i % 50 == 0:
+            best = sorted((-int(q @ x), j) for j, x in sound if j != i)[:5]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert {tuple(r) for r in knn.top_k(df).collect()} == want
+    assert knn.top_k(df.where("vec_id = 50")).count() == 0 and knn.top_k(df.limit(0)).count() == 0
+    assert knn.top_k(df.where("vec_id in (50, 51, 52)")).count() == 2
+
+
+def test_warc_round_trip(spark):
+    big = "".join(random.Random(1).choice("abc <>") for _ in range(300_000))
+    pages = [(5, "http://a/ b\r\n", "<p>x</p>"), (2, None, "<p>x</p>"), (9, "u", None), (4, "u", ""), (7, "u", big), (8, "u", big), (8, "u", big), (None, "u", "<p>x</p>"), (11, "u", "é\r\n\r\n WARC/1.1")]
+    pages += [(100 + i, f"http://h/{i}", f"<html>{i % 30} page</html>") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("d", F.lit("x")).withColumn("refers", F.lit(1))
+    first = {}
+    for i, _, h in pages:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    want = []
+    for i, _, h in pages:
+        b = (h or "").encode()
+        again = i is not None and first[h or ""] != i
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None, None))
+    assert sorted(map(str, map(tuple, warc.round_trip(df).collect()))) == sorted(map(str, want))
+    assert warc.round_trip(df.limit(0)).count() == 0
+    only_large = warc.round_trip(df, least_bytes=1000).where("record_type = 'revisit'").collect()
+    assert {r["page_id"] for r in only_large} == {8}
+
+
+def test_warc_payloads_and_dictionary(spark):
+    to = scratch(spark, "warc-test")
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<html><body>some page {i} with words</body></html>") for i in range(50)], "page_id long, url string, html string").coalesce(1)
+    assert warc.write_archives(pages, to) == 50
+    got = warc.read_archives(spark, to)
+    assert {bytes(r["payload"]).decode() for r in got.collect()} == {r["html"] for r in pages.collect()}
+    content = bytes(spark.read.format("binaryFile").load(to + "/*.warc.zst").first()["content"])
+    assert struct.unpack_from("<I", content)[0] == warc.SKIPPABLE_DICTIONARY
+    dictionary, found = warc.frames(content)
+    assert dictionary and len(found) == 50
+    a, b = found[0]
+    with pytest.raises(zstandard.ZstdError):
+        zstandard.ZstdDecompressor().decompress(content[a:b])
+
+
+def test_warc_problems():
+    good = warc.record(1, "u", b"hello", None)
+    assert warc.parse(good)["problem"] is None and warc.parse(good)["payload"] == b"hello"
+    assert warc.parse(good.replace(b"hello", b"hellO"))["problem"] == "payload digest"
+    assert warc.parse(good[:-1])["problem"] == "length or end of record"
+    assert warc.parse(re.sub(rb"WARC-Date: [^\r]*\r\n", b"", good))["problem"] == "missing warc-date"
+    assert warc.parse(b"HTTP/1.1\r\n\r\n")["problem"] == "version or headers"
+    assert warc.parse(warc.record(1, "u", b"hello", 0))["record_type"] == "revisit"
+    for bad in (b"\x00" * 20, zstandard.ZstdCompressor().compress(good)[:-3], b"abc"):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            warc.frames(bad)
+
+
+def test_pipeline(spark, tmp_path, odd_docs):
+    import corpus_pipeline as c
+
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in c.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd_docs.columns, name
+    left = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert 1 not in left and 2 not in left and 8 not in left and 4 not in left and {3, 9, 10, 11} <= set(left)
+    packed = c.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(left)

@@ -1,0 +1,211 @@
+"""Operators that go through texts one by one, against brute force."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quoin.llm import bpe, fingerprints, langid, licenses, packing, token_counts
+from quoin.llm.queries import BYTE_BPE, MULTI_BPE, WORD_BPE
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def test_fingerprints(odd_docs):
+    docs = texts_of(odd_docs.withColumn("text", F.coalesce("text", F.lit(""))).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")))
+    got = fingerprints.fingerprints(odd_docs).collect()
+    assert len(got) == len(docs) and sorted(str(r["doc_id"]) for r in got) == sorted(str(d) for d, _ in docs)
+    by = {}
+    for i, (d, t) in enumerate(docs):
+        following = docs[(i + 1) % len(docs)]
+        n = len(t) // 4
+        by.setdefault(d, set()).add((len(t), hashlib.sha256((t[: len(t) - n] + following[1][:n]).encode()).hexdigest(), fingerprints.fingerprint(t)))
+    for r in got:
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) in by[r["doc_id"]]
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+
+
+def test_fingerprint_tells_texts_apart():
+    a = "One line here, and more.\n\nSecond part. With words!\nThird line of it.\n" * 5
+    assert fingerprints.fingerprint(a) == fingerprints.fingerprint(a) != fingerprints.fingerprint(a + " ")
+    b = a.replace("Second", "Changed", 1)
+    (span,) = fingerprints.edits(a, b)
+    assert "Changed" in b[slice(*span)] and len(b[slice(*span)]) < 60
+    assert fingerprints.edits(a, a) == [] and 0.9 < fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) < 1
+    root, sections, leaves = fingerprints.tree(a)
+    assert sum(s[1] for s in sections) == len(a) and sum(p[2] for s in sections for p in s[2]) == len(leaves)
+
+
+def test_empty_tables(no_docs):
+    assert not rows(fingerprints.fingerprints(no_docs)) and not rows(bpe.encode(no_docs, MULTI_BPE, P.PATTERN)) and not rows(licenses.licenses(no_docs))
+    assert not rows(langid.languages(no_docs)) and not rows(langid.kept(no_docs)) and not rows(packing.pack(packing.pieces(no_docs, WORD_BPE)))
+    assert not rows(token_counts.token_counts(no_docs, ["text"], BYTE_BPE, P.PATTERN))
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(MULTI_BPE), special_tokens={})
+
+
+def test_bpe(odd_docs, encoding):
+    want = []
+    for d, t in texts_of(odd_docs):
+        ids = encoding.encode_ordinary(t)
+        data = np.array(ids, "<u4").tobytes()
+        want.append((d, len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), data))
+    got = [(*r[:4], bytes(r[4])) for r in rows(bpe.encode(odd_docs, MULTI_BPE, P.PATTERN))]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_bpe_of_words_in_spark(spark, encoding):
+    """The fold in higher-order functions: the same ids, and the words again."""
+    words = ["the", " tion", "ouwhea", "é", " 中文字", "🙂", "", "x" * 95, "ab" * 200, "\n\n"]
+    df = spark.createDataFrame([(bytearray(w.encode()),) for w in words], "word binary")
+    got = {bytes(r["word"]).decode(): (r["ids"], bytes(r["piece"])) for r in bpe.encode_words(df, MULTI_BPE).collect()}
+    assert got == {w: (encoding.encode_ordinary(w), w.encode()) for w in words}
+
+
+def test_long_words_merge_alike(encoding):
+    ranks = bpe.ranks_of(MULTI_BPE)
+    for w in ("a" * 700, "abcd" * 90, "ouwhetion" * 50, "éü" * 80):
+        assert bpe.merged(w.encode(), ranks) == encoding.encode_ordinary(w)
+
+
+def test_token_counts(odd_docs):
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(BYTE_BPE), special_tokens={})
+    got = token_counts.token_counts(odd_docs, ["source", "text"], BYTE_BPE, P.PATTERN).collect()
+    sums = {}
+    for r in got:
+        sums.setdefault(r["doc_id"], []).append(r)
+    for r in odd_docs.where("doc_id >= 100 or doc_id in (2, 6, 8, 11)").select("doc_id", "source", "text").collect():
+        whole = f"{r['source'] or ''}\n{r['text'] or ''}"
+        own = sums[r["doc_id"]]
+        assert sum(x["n_tokens"] for x in own) == len(enc.encode_ordinary(whole)) == pytest.approx(sum(x["token_share"] for x in own))
+        assert min(x["start"] for x in own) == 0 and max(x["end"] for x in own) == len(whole)
+
+
+def test_boundary_crossing_tokens():
+    """A token over a boundary counts where it begins, and its share is split by bytes."""
+    text = "ab  \n\n\ncd"
+    n, share, crossing = token_counts.attribute(text, token_counts.sections(text), BYTE_BPE, P.PATTERN)
+    ends = token_counts.token_bytes(text, BYTE_BPE, P.PATTERN).cumsum()
+    starts = token_counts.sections(text)
+    spans = list(zip([0, *ends], ends))
+    own = [sum(a >= s and a < e for a, _ in spans) for s, e in zip(starts, [*starts[1:], len(text)])]
+    parts = [sum(max(0, min(b, e) - max(a, s)) / (b - a) for a, b in spans) for s, e in zip(starts, [*starts[1:], len(text)])]
+    assert n.tolist() == own and share.tolist() == pytest.approx(parts)
+    assert crossing.sum() == sum(any(a < s < b for s in starts) for a, b in spans) > 0
+
+
+def test_language_id(odd_docs, spark):
+    import random
+
+    random.seed(2)
+    alphabets = {"aa": ["bar", "bor", "tan", "nat"], "bb": ["ilk", "kel", "quu", "vix"]}
+    text = lambda k: " ".join("".join(random.choice(alphabets[k]) for _ in range(2)) for _ in range(30))
+    data = [(i, text("aa" if i % 2 else "bb"), "aa" if i % 2 else "bb") for i in range(200)] + [(1000, None, "aa"), (1001, "12 34 !!", "bb"), (1002, "", None), (None, text("aa"), "aa")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.languages(docs).collect()}
+    assert all(got[i]["lang_pred"] == k and 0 <= got[i]["score"] <= 1 for i, _, k in data[:200])
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, None)] == ["und", "und", "und", "aa"] and got[1001]["score"] == 0
+    blind = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.languages(blind).collect()} == {k: r["lang_pred"] for k, r in got.items()}
+    assert {r["doc_id"] for r in langid.kept(docs).collect()} == set(got) - {1000, 1001, 1002}
+    assert langid.languages(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred != 'und'").count() == 0
+    assert langid.kept(odd_docs).columns == odd_docs.columns
+
+
+def test_phrases_by_brute_force():
+    """The automata's parse against a search for the longest match at each place."""
+    sample = {"aa": "abracadabra abba", "bb": "cadillac adac bac"}
+    table, width, flat, roots, langs = langid._model(sample)
+    for text in ("abracad", "cadabra lacb", "x abc", "dddd", "z"):
+        row = table[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        got = langid.phrases([row], width, flat, roots)[:, 0].tolist()
+        want = []
+        for k in langs:
+            n, at = 0, 0
+            while at < len(text):
+                size = 1
+                while at + size < len(text) and text[at : at + size + 1] in sample[k]:
+                    size += 1
+                at, n = at + (size if text[at] in sample[k] else 1), n + 1
+            want.append(n)
+        assert got == want
+
+
+def test_packing(odd_docs):
+    tok = Tokenizer.from_file(WORD_BPE)
+    tok.encode_special_tokens = True
+    want = []
+    for d, t in texts_of(odd_docs):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        want += [(d, p, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for p, at in enumerate(range(0, len(ids), 2048))]
+    got = packing.pack(packing.pieces(odd_docs, WORD_BPE)).collect()
+    assert sorted(map(str, (tuple(r[:5]) for r in got))) == sorted(map(str, want))
+    _packed(got, 2048)
+
+
+def _packed(got, capacity):
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in held.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(held)
+
+
+def test_supersteps_are_best_fit():
+    """The classes' plan places as many sequences as best-fit decreasing piece by piece."""
+    import random
+
+    random.seed(1)
+    for capacity in (10, 37, 64):
+        counts = {n: random.randint(1, 30) for n in random.sample(range(1, capacity + 1), min(capacity, 12))}
+        bins: list[int] = []
+        for n in sorted(counts, reverse=True):
+            for _ in range(counts[n]):
+                able = [i for i, g in enumerate(bins) if g >= n]
+                i = min(able, key=lambda i: bins[i]) if able else len(bins)
+                bins[i : i + 1] = [(bins[i] if able else capacity) - n]
+        used, ranks = {}, {n: set() for n in counts}
+        for length, since, until, each, first, at in packing.supersteps(counts, capacity):
+            for rank in range(since, until):
+                place = rank - since
+                used.setdefault(first + place // each, []).append((at + place % each * length, length))
+                ranks[length].add(rank)
+        assert all(ranks[n] == set(range(c)) for n, c in counts.items()) and len(used) == len(bins)
+        for own in used.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= capacity
+
+
+def test_licences(spark, odd_docs):
+    data = [(1, "All rights\nreserved. x ALL RIGHTS RESERVED"), (2, "under CC BY-NC 4.0"), (3, "GNU General Public License, version 3"), (4, "apache says nothing"), (5, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and related files, to deal in the Software without restriction"), (6, None), (7, "all rights are reserved")]
+    got = {r["doc_id"]: r for r in licenses.licenses(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"], got[1]["score"]) == (2, 0, 4, "reserved", 1.0)
+    assert got[2]["labels"] == "cc-by,cc-by-nc" and got[3]["base_labels"] == "gpl" and got[4]["labels"] == "" and got[5]["labels"] == "mit"
+    assert (got[6]["n_words"], got[6]["first_word"], got[6]["labels"], got[6]["score"]) == (0, None, "", 0.0) and got[7]["n_base"] == 0
+    for r in licenses.licenses(odd_docs).where("doc_id >= 2").collect():
+        t = next(t for d, t in texts_of(odd_docs) if d == r["doc_id"])
+        assert r["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
