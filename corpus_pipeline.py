@@ -24,14 +24,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     found = neardup.near_duplicates(docs, k=5, percent=80)
     gone = durable(found.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeats of passages that occur earlier; documents of which nothing is left go."""
     ship(spark)
     done = substring.substring_dedup(docs, more=("removed spans", "number of units"))
-    return done.where(~((F.size("`removed spans`") > 0) & (F.trim("text") == ""))).select(docs.columns)
+    return done.where(~((F.size("`removed spans`") > 0) & (F.trim("text") == ""))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
