@@ -201,10 +201,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = novel.join(known, ["a", "t"]).groupBy("a", "b").agg(F.count("*").cast("int").alias("more"))
     bounds = against.select("a", "b", "both").join(shared, ["a", "b"], "left").select(F.col("a").alias("main"), F.col("b").alias("rep"), "both", F.coalesce("more", F.lit(0)).alias("more"))
     mixed = mixed.join(bounds, ["main", "rep"]).where((F.col("both") + F.col("more")) * 100 >= F.col("s.n") * percent)
-    mixed = durable(mixed.select("band", "rep", "c", "main", F.struct("s.n", "s.bits", "both", "more").alias("s")), "bounded")
+    mixed = mixed.join(nodes.select("rep", "bands"), "rep")
+    mixed = durable(mixed.select("band", "rep", "c", "main", F.struct("s.n", "s.bits", "both", "more", "bands").alias("s")), "bounded")
     few, all_ = mixed.where("c != main").select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("s").alias("y")), mixed.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), "main", F.col("s").alias("x"))
     reach = (F.least("x.both", "y.both") + F.least("x.more", "y.more")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    crossing = few.join(all_, "band").where("ca != cb and (ca = main or a < b)").where(reach & _may_link("x", "y", percent)).select("a", "b").distinct()
+    once = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.array_position("x.bands", F.col("band"))  # in the first band that both have
+    crossing = few.join(all_, "band").where("ca != cb and (ca = main or a < b)").where(reach & _may_link("x", "y", percent) & once).select("a", "b").distinct()
     crossing = durable(crossing.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
         links = links.unionAll(confirmed(crossing))
