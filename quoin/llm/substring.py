@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits
 
-LEAST = 25
+LEAST = 40
 UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\n])[ \t]*\n*|\n+|\Z)", re.S)
 WORD = re.compile(r"[^\W_]+")
 

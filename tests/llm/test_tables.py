@@ -115,7 +115,7 @@ def test_substrings_by_brute_force(copies):
         for u in substring.units(t):
             if u[2] > 2:
                 first.setdefault(u[3], d)
-    want = {d: substring.cut_runs(t, [i for i, u in enumerate(substring.units(t)) if u[2] > 2 and first[u[3]] != d], 25)[0] for d, t in docs}
+    want = {d: substring.cut_runs(t, [i for i, u in enumerate(substring.units(t)) if u[2] > 2 and first[u[3]] != d], substring.LEAST)[0] for d, t in docs}
     got = substring.substring_dedup(copies.withColumn("text", F.regexp_replace("text", r"(a\d+) ", "$1. ")))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want and want != dict(docs)
 
