@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quoin.functions import text as T
 from quoin.functions.anchors import resolve
@@ -32,12 +33,13 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
         table: dict[str, list] = {}
         for r in rows:
             table.setdefault(r["phrase"], []).append(r["phrase_id"])
-        found = docs.select("id", "text").mapInArrow(_matches(table), "phrase_id long, id long, times int")
+        kind = docs.schema["id"].dataType
+        found = docs.select("id", "text").mapInArrow(_matches(table, to_arrow_type(kind)), f"phrase_id long, id {kind.simpleString()}, times int")
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def _matches(table: dict[str, list]):
+def _matches(table: dict[str, list], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -56,7 +58,7 @@ def _matches(table: dict[str, list]):
                 for p, (n, _) in last.items():
                     for i in table[p]:
                         phrase.append(i), ids.append(doc), times.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.int64()), pa.array(ids, pa.int64()), pa.array(times, pa.int32())], names=["phrase_id", "id", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.int64()), pa.array(ids, kind), pa.array(times, pa.int32())], names=["phrase_id", "id", "times"])
 
     return run
 

@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
+from quoin.operators.grounding import phrase_hits
 
-K1, B = 1.5, 0.75
+K1, B, FEW_TERMS = 1.5, 0.75, 12
 
 
 def bm25(blobs: DataFrame, questions: DataFrame) -> DataFrame:
     """Scores of (question, id) for blobs (id, blob in lower case) and questions (question, terms array), by how often a term occurs as a substring.
 
-    Questions are control data: their distinct terms go to every blob as one broadcast row, so blobs are read once and only hits are kept; statistics are one more aggregate of the hits.
+    Questions are control data: a few distinct terms are counted in the JVM, many by one automaton that goes through each blob once. Blobs are read once either way and only hits
+    are kept; statistics are one more aggregate of the hits.
     """
     sized = blobs.select("id", "blob", F.greatest(F.size(T.split_words(F.col("blob"))), F.lit(1)).alias("dl"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = questions.select(F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term")).where(F.trim("term") != "").distinct().agg(F.collect_list("term").alias("terms"))
-    found = F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), T.count_of(t, F.col("blob")).alias("tf"))), lambda x: x["tf"] > 0)
-    hits = sized.crossJoin(F.broadcast(wanted)).select("id", "dl", F.explode(found).alias("h")).select("id", "dl", "h.term", "h.tf")
+    wanted = [r[0] for r in questions.select(F.explode(F.transform("terms", F.lower)).alias("term")).where(F.trim("term") != "").distinct().orderBy("term").collect()]
+    if len(wanted) <= FEW_TERMS:
+        found = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), T.count_of(F.lit(t), F.col("blob")).alias("tf")) for t in wanted]), lambda x: x["tf"] > 0) if wanted else F.array().cast("array<struct<term:string,tf:int>>")
+        hits = sized.select("id", "dl", F.explode(found).alias("h")).select("id", "dl", "h.term", "h.tf")
+    else:
+        numbered = questions.sparkSession.createDataFrame(list(enumerate(wanted)), "phrase_id long, term string")
+        found = phrase_hits(blobs.select("id", F.col("blob").alias("text")), numbered.withColumnRenamed("term", "phrase"))
+        hits = found.join(F.broadcast(numbered), "phrase_id").join(sized.select("id", "dl"), "id").select("id", "dl", "term", F.col("times").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(stats).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     asked = questions.select("question", F.posexplode(F.transform("terms", F.lower)).alias("ord", "term")).where(F.trim("term") != "")

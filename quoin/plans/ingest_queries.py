@@ -11,7 +11,7 @@ from quoin.functions import text as T
 from quoin.operators import normalize
 from quoin.plans.registry import query
 from quoin.plans.text_queries import docs, odd_lines
-from quoin.runtime import scratch, table
+from quoin.runtime import scratch, spread, table
 from quoin.sources import formats
 from quoin.streaming import ingest
 
@@ -19,7 +19,7 @@ from quoin.streaming import ingest
 @query()
 def s15_html_text(spark, sf_dir):
     """Visible text of each page."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    pages = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
     out = formats.extract(pages)
     return out.select(F.col("path").cast("long").alias("page_id"), "format", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha"), "error")
 

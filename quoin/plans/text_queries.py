@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import text as T
 from quoin.plans.registry import query
-from quoin.runtime import table
+from quoin.runtime import spread, table
 
 #: SQL for white space as Unicode has it.
 WS = r"[\t\n\x0b\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -34,7 +34,7 @@ def ascii_only(c):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id, length(t)::BIGINT AS flat_len, sha256(t) AS flat_sha FROM (SELECT doc_id, {sql_norm(ODD_SQL)} AS t FROM documents)")
