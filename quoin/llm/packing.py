@@ -13,6 +13,7 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,37 +25,69 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits, durable
 
-CACHE = 250_000
+CACHE = 600_000
 _WORDS: dict[str, bytes] = {}
 _LOADED: dict = {}
 _ODD = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
+_RARE = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0386-\u03ff\u0400-\u0481\u1e00-\u1eff\u2010-\u2027\u20ac]")  # beyond these, words of Python aren't those of the tokenizer
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")  # where the tokenizer cuts, for the characters that aren't rare
 
 
 def _tokenizer(path: str):
+    """The tokenizer, and which ids end a word."""
     if path not in _LOADED:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
+        suffix = t.model.end_of_word_suffix
+        ends = np.zeros(t.get_vocab_size(), bool)
+        if suffix:
+            for token, i in t.get_vocab(with_added_tokens=False).items():
+                ends[i] = token.endswith(suffix)
+        _LOADED[path] = t, ends
         _WORDS.clear()
     return _LOADED[path]
 
 
+def _parts(text: str) -> list[str] | None:
+    """What the tokenizer encodes each for itself: its own cuts of the lower-cased text. None for texts with rare characters."""
+    if not text.isascii():
+        if _RARE.search(text) or not unicodedata.is_normalized("NFC", text):
+            return None
+        text = text.replace("Σ", "σ")
+    return None if _ODD.search(text) else _PARTS.findall(text.lower())
+
+
+def _learn(new: list[str], tok, ends: np.ndarray) -> None:
+    """Encode words and keep their ids. Words are encoded many at once, and cut at the ids that end one; where that doesn't give as many, one by one."""
+    for i in range(0, len(new), 2048):
+        part = new[i : i + 2048]
+        ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) == len(part) and cuts[-1] == 4 * len(ids):
+            data = ids.tobytes()
+            _WORDS.update(zip(part, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+        else:
+            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                _WORDS[w] = np.array(e.ids, "<u4").tobytes()
+
+
 def encoded(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers. The tokenizer drops white space and never joins what it separates, so runs between it are encoded once and kept."""
-    tok, known = _tokenizer(path), _WORDS
-    if len(known) > CACHE:
-        known.clear()
-    split = [None if _ODD.search(t) else t.split() for t in texts]
-    new = list({w for words in split if words for w in words} - known.keys())
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+    """Ids of each text as little-endian 32-bit integers; its parts are encoded once and kept."""
+    tok, ends = _tokenizer(path)
+    if len(_WORDS) > CACHE:
+        _WORDS.clear()
+    split = [_parts(t) for t in texts]
+    new: set[str] = set()
+    for words in split:
+        if words:
+            new.update(words)
+    _learn(list(new.difference(_WORDS)), tok, ends)
+    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(_WORDS.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
