@@ -111,3 +111,81 @@ def verdicts(scale: DataFrame, scores: DataFrame, hurdle: int = 70) -> DataFrame
     summed = rows.groupBy("draft", "dimension").agg(F.count("*").alias("criteria"), F.sum(part).alias("sum"), F.array_sort(F.collect_list(F.when(weak, F.struct((F.col("score") * (whole / F.col("top"))).alias("r"), "criterion")))).alias("weak"))
     go = F.col("sum") * 100 >= F.col("criteria") * hurdle * whole
     return summed.select("draft", "dimension", "criteria", F.expr(f"sum * 100 DIV (criteria * {whole})").alias("points"), go.alias("go"), F.transform("weak", lambda x: x["criterion"]).alias("defects"))
+
+
+def bindings(rubrics: DataFrame) -> DataFrame:
+    """(dimension, criterion, ord, card, marker) of every piece of evidence of every criterion, levels' and fields' included, in order."""
+    c = F.col("c")
+    none = F.array().cast(f"array<{EVIDENCE}>")
+    own = lambda f: F.coalesce(f["evidence"], none)
+    all_ = F.concat(F.coalesce(c["evidence"], none), F.coalesce(own(c["statement"]), none), F.coalesce(own(c["guidance"]), none), F.coalesce(F.flatten(F.transform(c["levels"], lambda x: F.coalesce(own(x["descriptor"]), none))), none))
+    rows = criteria(rubrics).select("dimension", c["id"].alias("criterion"), F.posexplode(all_).alias("ord", "e"))
+    mark = F.struct(F.col("e.phrase").alias("phrase"), F.lit(False).alias("regex"), F.col("e.before").alias("before"), F.col("e.after").alias("after"), F.col("e.nth").alias("nth"))
+    return rows.select("dimension", "criterion", "ord", F.col("e.card").alias("card"), mark.alias("marker"))
+
+
+def ground(bound: DataFrame, cards: DataFrame, today: str, require_stamp: bool = True) -> DataFrame:
+    """Each binding against the one card that it declares: status, and grounded (found or folded-only). cards (card, text, stored_sha, review_by)."""
+    from quoin.operators.grounding import evidence_status
+
+    done = evidence_status(bound.join(cards, "card", "left"), today, require_stamp)
+    return done.select("dimension", "criterion", "ord", "card", "status", F.col("status").isin("found", "folded-only").alias("grounded"))
+
+
+def first_failures(grounded: DataFrame) -> DataFrame:
+    """(dimension, criterion, status): found, or the first failure in the order of bindings; a criterion without evidence isn't in it."""
+    bad = F.min_by("status", F.when(~F.col("grounded"), F.col("ord")))
+    return grounded.groupBy("dimension", "criterion").agg(F.coalesce(bad, F.lit("found")).alias("status"))
+
+
+def explicit_gaps(rubrics: DataFrame, cards: DataFrame) -> DataFrame:
+    """Explicit values that no card which they cite holds as they are: (dimension, criterion, value). The value itself has to be found on a line; folds don't count."""
+    c = F.col("c")
+    fields = F.filter(F.array_append(F.array_append(F.transform(c["levels"], lambda x: x["descriptor"]), c["statement"]), c["guidance"]), lambda f: f.isNotNull() & (f["kind"] == "explicit"))
+    rows = criteria(rubrics).select("dimension", c["id"].alias("criterion"), F.explode(fields).alias("f"))
+    cited = rows.select("dimension", "criterion", F.col("f.value").alias("value"), F.explode(F.array_distinct(F.transform("f.evidence", lambda e: e["card"]))).alias("card"))
+    held = cited.join(cards.select("card", "text"), "card", "left").groupBy("dimension", "criterion", "value").agg(F.max(F.coalesce(F.contains("text", F.col("value")), F.lit(False))).alias("held"))
+    return held.where("not held").drop("held")
+
+
+def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame, scores: DataFrame, today: str, hurdle: int = 70) -> DataFrame:
+    """(draft, dimension, outcome, reason, points, defects): go or recycle, or unavailable with its first reason.
+
+    The gates in order: the rubric is approved; its rules hold; its panel is as pinned; every binding grounds; explicit quotes stand in their cards; the scores are complete and in
+    range. rubrics have admission; pinned (dimension, card, pinned).
+    """
+    why = lambda df, rank, reason: df.select("dimension", F.struct(F.lit(rank).alias("rank"), reason.alias("reason")).alias("w"))
+    live = cards.select("card", F.sha2("text", 256).alias("sha"))
+    gates = [
+        why(rubrics.where(F.coalesce(F.col("admission") != "human_approved", F.lit(True))), 1, F.lit("not-approved")),
+        why(violations(rubrics), 2, F.concat(F.lit("rule-"), "rule")),
+        why(fingerprint(pinned, live), 3, F.concat(F.lit("panel-"), "problem")),
+        why(ground(bindings(rubrics), cards, today).where("not grounded"), 4, F.concat(F.lit("evidence-"), "status")),
+        why(explicit_gaps(rubrics, cards), 5, F.lit("quote-rotted")),
+    ]
+    shut = gates[0]
+    for g in gates[1:]:
+        shut = shut.unionAll(g)
+    first = shut.groupBy("dimension").agg(F.min("w").alias("w"))
+    scale = criteria(rubrics).select("dimension", F.col("c.id").alias("criterion"), (F.size("c.levels") - 1).alias("top"))
+    judged = verdicts(scale, scores, hurdle)
+    drafts = scores.select("draft", "dimension").distinct().join(rubrics.select("dimension"), "dimension")
+    rows = drafts.join(first, "dimension", "left").join(judged, ["draft", "dimension"], "left")
+    reason = F.coalesce(F.col("w.reason"), F.when(F.col("go").isNull(), "scores"))
+    outcome = F.when(reason.isNotNull(), "unavailable").when(F.col("go"), "go").otherwise("recycle")
+    return rows.select("draft", "dimension", outcome.alias("outcome"), reason.alias("reason"), F.when(reason.isNull(), F.col("points")).alias("points"), F.when(reason.isNull(), F.col("defects")).alias("defects"))
+
+
+def craft_moves(texts: DataFrame) -> DataFrame:
+    """(dimension, ord, name, body, markers) of the bold bullets of Craft sections (dimension, craft); a move without an anchor has none, which is an error of the rubric derived from it."""
+    from quoin.functions.anchors import parse_markers
+
+    moves = F.filter(F.split("craft", r"\n(?=- \*\*)"), lambda m: m.rlike(r"^- \*\*"))
+    rows = texts.select("dimension", F.posexplode(moves).alias("ord", "body"))
+    return rows.select("dimension", "ord", F.trim(F.regexp_extract("body", r"^- \*\*(.+?)\*\*", 1), F.lit(" .:")).alias("name"), "body", parse_markers(F.col("body")).alias("markers"))
+
+
+def sample_pages(pages: Column, seed: Column, n: int) -> Column:
+    """n pages of 1..pages in order, the same for the same seed: those with the smallest hash."""
+    every = F.transform(F.sequence(F.lit(1), pages), lambda p: F.struct(F.xxhash64(seed, p).alias("h"), p.alias("p")))
+    return F.array_sort(F.transform(F.slice(F.array_sort(every), 1, n), lambda x: x["p"]))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quoin.operators import evaluation, gate
 from quoin.plans.registry import query
-from quoin.plans.text_queries import docs
+from quoin.operators.grounding import marker
+from quoin.plans.grounding_queries import FLAT
+from quoin.plans.text_queries import docs, sql_norm
 from quoin.runtime import table
 
 _PAIRS = "(SELECT 'c' || doc_id % 4 AS criterion, 1 + (doc_id % 4 > 0)::INT AS scale, quality + (doc_id % 4 > 0)::INT * (doc_id % 2) AS x, (CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END) + (doc_id % 4 > 0)::INT * (doc_id // 3 % 2) AS y FROM labels)"
@@ -106,3 +108,34 @@ def j18_fingerprint(spark, sf_dir):
     k = F.col("card") % 6
     panel = d.select(F.lit("d").alias("dimension"), "card", F.when(k == 1, F.lit(None)).when(k == 2, "0").otherwise(F.col("sha")).alias("pinned"))
     return gate.fingerprint(panel, d.where(k != 0)).select("card", "problem")
+
+
+_CITED = "SELECT doc_id, split_part(split_part(text, E'\\n', 1), ' ', 2) AS phrase FROM documents"
+
+
+@query(f"""WITH p AS ({_CITED}), f AS (SELECT p.doc_id, p.phrase, {FLAT.replace('text', 'd.text')} AS flat, {sql_norm('phrase')} AS n FROM p JOIN documents d ON d.doc_id = p.doc_id), g AS (SELECT *, regexp_replace(flat, '-\\s*', '', 'g') AS nohy, regexp_replace(n, '-\\s*', '', 'g') AS nd FROM f),
+  k AS (SELECT doc_id, CASE WHEN n = '' THEN 0 WHEN contains(flat, n) THEN (length(flat) - length(replace(flat, n, ''))) // length(n) WHEN nd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, nd, ''))) // length(nd) END AS c FROM g)
+  SELECT 'aim-' || doc_id % 20 || 'x' AS criterion, count(*)::BIGINT AS bindings, sum((c = 1)::INT)::BIGINT AS grounded, (ARRAY_AGG(CASE WHEN c = 0 THEN 'not-found' ELSE 'ambiguous' END ORDER BY doc_id) FILTER (WHERE c <> 1))[1] AS first_failure FROM k GROUP BY 1""")
+def j8_declared_binding(spark, sf_dir):
+    """Each binding against the one card that it declares; a criterion's first failure in the order of its bindings."""
+    d = docs(spark, sf_dir)
+    bound = d.select(F.lit("d").alias("dimension"), F.concat(F.lit("aim-"), (F.col("doc_id") % 20).cast("string"), F.lit("x")).alias("criterion"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("card"), marker(F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(2))).alias("marker"))
+    live = d.select(F.col("doc_id").alias("card"), "text", F.lit(None).cast("string").alias("stored_sha"), F.lit(None).cast("string").alias("review_by"))
+    done = gate.ground(bound, live, "2026-01-01", require_stamp=False)
+    n = done.groupBy("criterion").agg(F.count("*").alias("bindings"), F.count_if(F.col("grounded")).alias("grounded"))
+    first = gate.first_failures(done).select("criterion", F.nullif("status", F.lit("found")).alias("first_failure"))
+    return n.join(first, "criterion")
+
+
+@query(f"SELECT doc_id AS card, contains(text, phrase) AND phrase <> '' AS held FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN phrase || ' zzz' ELSE phrase END AS phrase FROM ({_CITED}) JOIN documents USING (doc_id)) WHERE NOT contains(text, phrase)")
+def r17_explicit_gaps(spark, sf_dir):
+    """Explicit quotes that their card no longer holds as they are."""
+    d = docs(spark, sf_dir)
+    words = F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(2))
+    value = F.when(F.col("doc_id") % 3 == 0, F.concat(words, F.lit(" zzz"))).otherwise(words)
+    field = F.struct(value.alias("value"), F.lit("explicit").alias("kind"), F.lit(None).cast("string").alias("warrant"), F.array(F.struct(F.col("doc_id").alias("card"), value.alias("phrase"))).alias("evidence"))
+    level = F.array(F.struct(F.lit(0).alias("score"), field.alias("descriptor")))
+    c = F.array(F.struct(F.col("doc_id").cast("string").alias("id"), field.alias("statement"), field.alias("guidance"), level.alias("levels")))
+    rubrics = d.select(F.lit("d").alias("dimension"), F.array().cast("array<string>").alias("panel"), c.alias("criteria"))
+    gaps = gate.explicit_gaps(rubrics, d.select(F.col("doc_id").alias("card"), "text"))
+    return gaps.select(F.col("criterion").cast("long").alias("card"), F.lit(False).alias("held"))

@@ -130,7 +130,7 @@ def diagnostics(texts: DataFrame) -> DataFrame:
     rows = texts.select(F.posexplode(T.split_lines(F.col("text"))).alias("ord", "line")).where(F.startswith(F.trim("line"), F.lit("|"))).withColumn("cells", cells)
     rows = rows.withColumn("rule", F.forall("cells", lambda x: x.rlike("^[-:]+$")))
     first = rows.where("rule").agg(F.min("ord").alias("first"))
-    split = lambda x: F.filter(F.transform(F.split(x, ","), F.trim), lambda v: v != "")
+    split = lambda x: F.filter(F.transform(F.split(x, ","), lambda v: F.trim(v)), lambda v: v != "")
     body = rows.crossJoin(F.broadcast(first)).where("ord > first and not rule and size(cells) >= 2")
     return body.select("ord", F.transform(split(F.col("cells")[0]), F.lower).alias("cues"), split(F.col("cells")[1]).alias("dims")).where("size(cues) > 0 and size(dims) > 0")
 
