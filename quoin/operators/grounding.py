@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quoin.functions import text as T
+from quoin.functions.text import places_of
 from quoin.functions.anchors import resolve
 from quoin.runtime import arrow_limits
 
@@ -76,6 +77,46 @@ def marker(phrase: Column, regex: Column | None = None, before: Column | None =
     )
 
 
+def located(mark: Column, text: Column, most: int = 10) -> Column:
+    """Numbers of the lines on which a literal marker stands as it is, its pins and #n honoured; at most so many. Empty where it stands only across folds, and for patterns."""
+    phrase = mark["phrase"]
+    before, after = F.nullif(mark["before"], F.lit("")), F.nullif(mark["after"], F.lit(""))
+    numbered = F.filter(F.transform(T.split_lines(text), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"))), lambda x: F.contains(x["line"], phrase))
+
+    def own(x: Column) -> Column:
+        left = lambda at: F.coalesce(F.endswith(F.rtrim(F.substring(x["line"], F.lit(1), at - 1)), before), F.lit(True))
+        right = lambda at: F.coalesce(F.startswith(F.ltrim(F.substring(x["line"], at + F.length(phrase), F.length(x["line"]))), after), F.lit(True))
+        return F.transform(F.filter(places_of(phrase, x["line"]), lambda at: left(at) & right(at)), lambda _: x["n"])
+
+    every = F.flatten(F.transform(numbered, own))
+    chosen = F.when(mark["nth"].isNull(), every).when(F.size(every) >= mark["nth"], F.slice(every, mark["nth"], F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return F.when(mark["regex"] | (F.length(phrase) == 0), F.array().cast("array<int>")).otherwise(F.slice(F.array_distinct(chosen), 1, most))
+
+
+def folded_span(mark: Column, text: Column, count: Column) -> Column:
+    """struct<lo, hi> of the lines of a phrase that stands only across lines: its words with any white space between. Null unless it can be placed once and without doubt."""
+    words = F.transform(T.split_words(mark["phrase"]), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    pattern, lines = F.array_join(words, r"(?U:\s+)"), F.array_join(T.split_lines(text), "\n")
+    at, found = F.regexp_instr(lines, pattern), F.regexp_substr(lines, pattern)
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    lo = breaks(F.substring(lines, F.lit(1), at - 1)) + 1
+    sure = ~mark["regex"] & mark["before"].isNull() & mark["after"].isNull() & (F.size(words) > 0) & (count == 1) & (F.regexp_count(lines, pattern) == 1) & F.coalesce(mark["nth"] == 1, F.lit(True))
+    return F.when(sure, F.struct(lo.alias("lo"), (lo + breaks(found)).alias("hi")))
+
+
+def evidence_context(rows: DataFrame, today: str, around: int = 3, most: int = 40, require_stamp: bool = False) -> DataFrame:
+    """rows with status, and where it grounds and can be placed: usable, line_start, line_end and the lines between as context. What grounds but can't be placed isn't usable."""
+    if around < 0 or most < 1:
+        raise ValueError("around must be 0 or more, most 1 or more")
+    done = evidence_status(rows, today, require_stamp)
+    span = F.when(F.col("status") == "found", F.struct(F.array_min("lines").alias("lo"), F.array_max("lines").alias("hi"))).when(F.col("status") == "folded-only", folded_span(F.col("marker"), F.col("text"), F.col("count")))
+    lines = T.split_lines(F.col("text"))
+    window = F.when(F.col("span").isNotNull(), context_window(F.col("span.lo"), F.col("span.hi"), F.size(lines), around, most))
+    out = done.withColumn("span", span).withColumn("w", window)
+    text = F.array_join(F.slice(lines, F.col("w.lo"), F.col("w.hi") - F.col("w.lo") + 1), "\n")
+    return out.select("*", F.col("w").isNotNull().alias("usable"), F.col("w.lo").alias("line_start"), F.col("w.hi").alias("line_end"), F.when(F.col("w").isNotNull(), text).alias("context")).drop("span", "w")
+
+
 def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False, patterns: bool = False) -> DataFrame:
     """rows with marker, text (null: not installed), stored_sha, review_by: status in the order that is the contract, count and lines.
 
@@ -84,7 +125,7 @@ def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False, pa
     """
     out = folded(rows).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), patterns)).withColumn("sha", F.sha2("text", 256))
     due = F.try_to_date(F.trim("review_by"), "yyyy-MM-dd")
-    lines = F.filter(F.transform(T.split_lines(F.col("text")), lambda x, i: F.when(F.contains(x, F.col("marker.phrase")), i + 1)), lambda n: n.isNotNull())
+    lines = located(F.col("marker"), F.col("text"))
     stamped = F.nullif(F.trim("stored_sha"), F.lit(""))
     status = (
         F.when(F.col("text").isNull(), "source-not-installed")

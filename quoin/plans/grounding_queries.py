@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
@@ -199,6 +199,13 @@ def j11_bibliography_coverage(spark, sf_dir):
     return own.join(own.where(F.col("id") % 2 == 0).select("source", "line").distinct(), ["source", "line"], "left_anti").select("id")
 
 
+@query()
+def r4_verify_context(spark, sf_dir):
+    """Each card's anchor with the lines around it, where it grounds and can be placed."""
+    rows = G.evidence_context(_evidence(spark, sf_dir), TODAY)
+    return rows.select("id", "status", "usable", "line_start", "line_end", F.sha2("context", 256).alias("context_sha"))
+
+
 @query()
 def f4_parse_markers(spark, sf_dir):
     """Anchors in every spelling, parsed from a card text built around each benchmark passage."""

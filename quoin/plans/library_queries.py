@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quoin.functions import text as T
 from quoin.operators import grounding as G
 from quoin.operators import services as S
 from quoin.plans.grounding_queries import cards

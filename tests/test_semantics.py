@@ -196,3 +196,15 @@ def test_paired_ranking_uses_shared_documents(spark):
     rows = [(d, t, r, o) for d, t, r, o in [(1, "a", 0.9, -0.5), (2, "a", 0.9, -0.4), (1, "b", 0.8, 0.9), (2, "b", 0.7, 0.9), (3, "a", 0.1, 0.1), (3, "b", None, None)]]
     got = evaluation.paired_ranking(spark.createDataFrame(rows, "doc int, tier string, recall double, orders double"), ["a", "b"]).orderBy("rank").collect()
     assert [(r["tier"], r["docs"]) for r in got] == [("b", 2), ("a", 2)]
+
+
+def test_context_of_evidence(spark):
+    """The pinned occurrence is the one shown; what folds over a line break is placed; what can't be placed isn't usable."""
+    text = "wrong target\nfiller\nalpha target\ntwo\nwords here\nhyphen-\nated end"
+    marks = [(1, "target", "alpha", None), (2, "target", None, 2), (3, "two words", None, None), (4, "hyphenated", None, None), (5, "absent", None, None), (6, "target", None, None)]
+    df = spark.createDataFrame([(i, p, b, n, text, "", None) for i, p, b, n in marks], "id int, phrase string, b string, n int, text string, stored_sha string, review_by string")
+    df = df.withColumn("marker", grounding.marker(F.col("phrase"), before=F.col("b"), nth=F.col("n")))
+    got = {r["id"]: r for r in grounding.evidence_context(df, "2026-01-01", around=0).collect()}
+    assert (got[1]["status"], got[1]["line_start"], got[1]["context"]) == ("found", 3, "alpha target") and got[2]["line_start"] == 3
+    assert (got[3]["status"], got[3]["line_start"], got[3]["line_end"], got[3]["context"]) == ("folded-only", 4, 5, "two\nwords here")
+    assert (got[4]["status"], got[4]["usable"]) == ("folded-only", False) and (got[5]["status"], got[5]["usable"]) == ("not-found", False) and got[6]["status"] == "ambiguous"
