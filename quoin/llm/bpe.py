@@ -1,12 +1,12 @@
 """Byte-level BPE: encoding and decoding whole texts.
 
-Documents are cut by the pattern into words. In Arrow batches, each Python worker encodes the distinct words that it meets once (kept up to CACHE words), a document's ids are
-its words' ids one after another, and decoding concatenates the ids' binary pieces. Nothing is shuffled.
+Documents are cut by the pattern into words. In Arrow batches, each Python worker folds ranked merges over the bytes of each distinct word that it meets, once (words are kept up to
+CACHE of them): the leftmost adjacent pair of lowest rank merges until none has a rank. A document's ids are its words' ids one after another, and decoding concatenates
+the ids' binary pieces. Nothing is shuffled.
 
-encode_words and decode_ids are the same in Spark's higher-order functions: a fold merges, step by step, the leftmost adjacent pair of lowest rank. A word is handled as
-a string with a character for each of its bytes, and ranks come from a literal map, cut into small maps by a checksum, as Spark looks through a map in order. They serve tables
+encode_words and decode_ids are the same in Spark's higher-order functions. A word is handled as a string with a character for each of its bytes, and ranks come from a literal map, cut into small maps by a checksum, as Spark looks through a map in order. They serve tables
 of words; for whole corpora they cost more than the limits allow (figures in the README), as does taking the distinct words of all documents there and back. The
-fold's work grows with the square of a word's length; words over LONG bytes are merged by tiktoken, exactly.
+fold's work grows with the square of a word's length; words over LONG bytes are merged with a heap of pairs instead, with the same result.
 
 Null and empty texts have no tokens. Rows are handled one by one; ids may be null or repeated. An empty table gives no rows. Only doc_id and text are read.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from quoin.runtime import arrow_limits
 
 BUCKETS, LONG, CACHE = 1 << 14, 96, 600_000
-_ENCODERS: dict = {}
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -87,24 +87,66 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
     return F.encode(F.aggregate(ids, F.lit(""), lambda s, i: F.concat(s, pieces[i])), "ISO-8859-1")
 
 
-def _long(path: str, pattern: str):
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word's bytes. The fold keeps the rank of each adjacent pair; long words keep pairs in a heap."""
+    if not word:
+        return []
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > LONG:
+        return _merged_long(word, ranks)
+    rank, none = ranks.get, len(ranks) + 1
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i : i + 2] = [joined := parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(joined + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + joined, none)
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same by a linked list and a heap of (rank, place): n log n in the word's length."""
+    n = len(word)
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, word[i : i + 2]) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, joined = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j >= n or parts[i] + parts[j] != joined:
+            continue
+        parts[i], parts[j] = joined, None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := ranks.get(p := joined + parts[after[i]])) is not None:
+                heapq.heappush(heap, (r, i, p))
+        if before[i] >= 0 and (r := ranks.get(p := parts[before[i]] + joined)) is not None:
+            heapq.heappush(heap, (r, before[i], p))
+    return [ranks[p] for p in parts if p is not None]
+
+
+def _long(path: str):
     def run(words: pd.Series) -> pd.Series:
-        if path not in _ENCODERS:
-            import tiktoken
-
-            _ENCODERS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
-        return pd.Series([_ENCODERS[path].encode_ordinary(bytes(w).decode()) for w in words])
+        ranks = ranks_of(path)
+        return pd.Series([merged(bytes(w), ranks) for w in words])
 
     return F.pandas_udf(run, "array<int>")
 
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_words(words: DataFrame, path: str) -> DataFrame:
     """(word binary, ids, piece binary) of distinct words (column word, binary)."""
     ranks = ranks_of(path)
     maps, pieces = rank_map(ranks), piece_list(ranks)
     latin = F.decode("word", "ISO-8859-1")
     short = words.where(F.octet_length("word") <= LONG).withColumn("ids", encode_word(latin, maps))
-    long = words.where(F.octet_length("word") > LONG).withColumn("ids", _long(path, pattern)("word"))
+    long = words.where(F.octet_length("word") > LONG).withColumn("ids", _long(path)("word"))
     return short.unionAll(long).withColumn("piece", decode_ids(F.col("ids"), pieces))
 
 
@@ -113,10 +155,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256
 
 def _encode(path: str, pattern: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
         ranks = ranks_of(path)
-        merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         pieces = {v: k for k, v in ranks.items()}
         words, known = regex.compile(pattern), {}
         for batch in batches:
@@ -126,7 +165,7 @@ def _encode(path: str, pattern: str, keep: bool):
                 if len(known) > CACHE:
                     known.clear()
                 for w in set(own).difference(known):
-                    known[w] = np.array(merge(w), "<u4").tobytes()
+                    known[w] = np.array(merged(w.encode(), ranks), "<u4").tobytes()
                 coded = b"".join(map(known.__getitem__, own))
                 decoded = b"".join(map(pieces.__getitem__, np.frombuffer(coded, "<u4").tolist()))
                 for c, v in zip(out[1:], (len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest(), coded if keep else None), strict=True):
