@@ -28,14 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.graphs import components
-from quoin.runtime import arrow_limits, durable
+from quoin.runtime import arrow_limits, durable, worker_cache
 
 BANDS, ROWS, BITS_MOST, CACHE = 40, 4, 44, 300_000
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
 _MIX = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_WORDS: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -48,9 +47,7 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    known = _WORDS
-    if len(known) > CACHE:
-        known.clear()
+    known = worker_cache("hashes of words", CACHE)
     for w in set(words):
         if w not in known:
             known[w] = xxhash.xxh3_64_intdigest(w)

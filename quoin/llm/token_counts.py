@@ -20,11 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.runtime import arrow_limits
+from quoin.runtime import arrow_limits, worker_cache
 
 CACHE = 250_000
 _LOADED: dict = {}
-_LENGTHS: dict[str, tuple[int, ...]] = {}
 
 
 def _load(path: str, pattern: str):
@@ -36,16 +35,13 @@ def _load(path: str, pattern: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _LOADED[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), regex.compile(pattern), {v: len(k) for k, v in ranks.items()}
-        _LENGTHS.clear()
     return _LOADED[path]
 
 
 def token_bytes(text: str, path: str, pattern: str) -> np.ndarray:
     """Length in bytes of each token; they tile the text. The pattern's matches tile it too and are encoded each for itself, once."""
     enc, cut, size = _load(path, pattern)
-    known = _LENGTHS
-    if len(known) > CACHE:
-        known.clear()
+    known = worker_cache(f"lengths of {path}", CACHE)
     out: list[int] = []
     for m in cut.findall(text):
         n = known.get(m)

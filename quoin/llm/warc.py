@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ def _write(to: str):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, root = pa.fs.FileSystem.from_uri(to)
+        fs, root = stores.FileSystem.from_uri(to)
         number, records, size = 0, 0, 0
         buffer, first, made = io.BytesIO(), None, []
         dictionary = packer = None
@@ -149,8 +150,6 @@ def _write(to: str):
             made.append((name.rsplit("/", 1)[1], records, size))
             number, records, size, buffer = number + 1, 0, 0, io.BytesIO()
 
-        import pyarrow.fs  # noqa: F401
-
         for batch in batches:
             rows = [(i, u, h or b"", r) for i, u, h, r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if first is None:
@@ -167,8 +166,6 @@ def _write(to: str):
             close()
         yield pa.RecordBatch.from_pydict({"file": pa.array([m[0] for m in made], pa.string()), "records": pa.array([m[1] for m in made], pa.int64()), "bytes": pa.array([m[2] for m in made], pa.int64())})
 
-    import pyarrow.fs  # noqa: F401
-
     return run
 
 
@@ -180,9 +177,7 @@ def write_archives(pages: DataFrame, to: str, least_bytes: int = 0) -> int:
     heads = small.groupBy("d").agg(F.min("page_id").alias("refers"), F.max("page_id").alias("last")).where("refers != last").select("d", "refers")
     again = small.join(heads, "d").where("page_id != refers").distinct()
     told = rows.join(again, ["page_id", "d"], "left").select("page_id", "url", "html", "refers").sortWithinPartitions("page_id", F.sha1("html"))
-    import pyarrow.fs
-
-    fs, root = pyarrow.fs.FileSystem.from_uri(to)
+    fs, root = stores.FileSystem.from_uri(to)
     fs.create_dir(root, recursive=True)
     return told.mapInArrow(_write(to), "file string, records long, bytes long").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 

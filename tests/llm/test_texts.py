@@ -1,6 +1,5 @@
 """Operators that go through texts one by one, against brute force."""
 
-import base64
 import hashlib
 import re
 import zlib
