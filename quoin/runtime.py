@@ -9,6 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+_CACHE: dict[str, dict] = {}
+
+
+def worker_cache(name: str, most: int) -> dict:
+    """A Python worker's table of what it has computed, for one purpose at a time and emptied beyond `most` entries, so that workers' memory stays bounded."""
+    if name not in _CACHE or len(_CACHE[name]) > most:
+        _CACHE.clear()
+        _CACHE[name] = {}
+    return _CACHE[name]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
