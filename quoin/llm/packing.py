@@ -4,7 +4,8 @@ Documents become ids (a word-level BPE, then id 0) and, where longer than a sequ
 the capacity, a superstep takes all pieces of one size, the largest first; a sweep matches them with the gaps' successors (the smallest gap that holds the size), pieces
 that want the same gap are ordered by their rank within the size, gaps shrink, and the next superstep begins. Gaps are kept by class (size, run of sequence numbers), so
 the sweeps' state has at most one entry for each gap size and run, whatever the number of documents; ranks within a size are counted by the executors over salted groups,
-so that a size shared by a third of all pieces is no single task.
+so that a size shared by a third of all pieces is no single task. A size leaves three runs at most, and a run is cut at most once for each piece that a sequence can
+take, so the plan's rows, which are broadcast, have a bound that the capacity alone sets (about 10^5 rows of 48 bytes at 2048).
 
 Null and empty texts are one piece that holds id 0 alone. doc_id may be null or repeated; rows are then packed one by one like others. An empty table gives no rows.
 Only doc_id and text are read.
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.runtime import arrow_limits, durable
+from quoin.runtime import arrow_limits, durable, worker_cache
 
-CACHE = 600_000
-_WORDS: dict[str, bytes] = {}
+CACHE = 900_000
 _LOADED: dict = {}
 _ODD = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
-_RARE = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0386-\u03ff\u0400-\u0481\u1e00-\u1eff\u2010-\u2027\u20ac]")  # beyond these, words of Python aren't those of the tokenizer
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")  # where the tokenizer cuts, for the characters that aren't rare
+_USUAL = "\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0386-\u03ff\u0400-\u0481\u1e00-\u1eff\u2010-\u2027\u20ac"
+_RARE = re.compile(f"[^{_USUAL}]")  # beyond these, Python's letters aren't surely those of the tokenizer
+_LETTERS = "".join(c for c in map(chr, range(0x2000)) if c.isalpha() and not _RARE.match(c))
+_PARTS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_LETTERS}]+")  # where the tokenizer cuts, for the usual characters
 
 
 def _tokenizer(path: str):
@@ -49,7 +51,6 @@ def _tokenizer(path: str):
             for token, i in t.get_vocab(with_added_tokens=False).items():
                 ends[i] = token.endswith(suffix)
         _LOADED[path] = t, ends
-        _WORDS.clear()
     return _LOADED[path]
 
 
@@ -62,32 +63,36 @@ def _parts(text: str) -> list[str] | None:
     return None if _ODD.search(text) else _PARTS.findall(text.lower())
 
 
-def _learn(new: list[str], tok, ends: np.ndarray) -> None:
+def _learn(new: list[str], known: dict[str, bytes], tok, ends: np.ndarray) -> None:
     """Encode words and keep their ids. Words are encoded many at once, and cut at the ids that end one; where that doesn't give as many, one by one."""
-    for i in range(0, len(new), 2048):
-        part = new[i : i + 2048]
-        ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        if len(cuts) == len(part) and cuts[-1] == 4 * len(ids):
-            data = ids.tobytes()
-            _WORDS.update(zip(part, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
-        else:
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                _WORDS[w] = np.array(e.ids, "<u4").tobytes()
+    ids = np.array(tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+    cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+    if len(cuts) == len(new) and cuts[-1] == 4 * len(ids):
+        data = ids.tobytes()
+        known.update(zip(new, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+    else:
+        for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers; its parts are encoded once and kept."""
     tok, ends = _tokenizer(path)
-    if len(_WORDS) > CACHE:
-        _WORDS.clear()
-    split = [_parts(t) for t in texts]
-    new: set[str] = set()
-    for words in split:
-        if words:
-            new.update(words)
-    _learn(list(new.difference(_WORDS)), tok, ends)
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(_WORDS.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+    known = worker_cache(f"ids of {path}", CACHE)
+    out = []
+    for text in texts:
+        parts = _parts(text)
+        if parts is None:
+            out.append(np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            continue
+        own = list(map(known.get, parts))
+        if None in own:
+            new = [i for i, x in enumerate(own) if x is None]
+            _learn(list({parts[i] for i in new}), known, tok, ends)
+            for i in new:
+                own[i] = known[parts[i]]
+        out.append(b"".join(own))
+    return out
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
