@@ -91,7 +91,7 @@ def sources(spark: SparkSession, lib: Library) -> DataFrame:
     out = None
     for shelf in lib.shelves:
         part = files(spark, f"{lib.root}/{lib.sources}/{shelf}", "*.txt", r"\.txt").select(
-            F.lit(lib.id).alias("kb"), F.lit(shelf).alias("shelf"), F.col("name").alias("id"), F.concat(F.lit(f"{lib.sources}/{shelf}/"), F.col("name"), F.lit(".txt")).alias("rel"), "text",
+            F.lit(lib.id).alias("kb"), F.lit(shelf).alias("shelf"), F.col("name").alias("id"), F.concat(F.lit(f"{shelf}/" if lib.sources == "." else f"{lib.sources}/{shelf}/"), F.col("name"), F.lit(".txt")).alias("rel"), "text",
             F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"),
         )
         out = part if out is None else out.unionByName(part)

@@ -152,3 +152,44 @@ def test_any_of_and_phrase_hits(spark):
     assert {r["owner"]: (r["found"], r["absent"]) for r in services.any_of(marks, sources).collect()} == {"x": (True, 0), "y": (False, 1)}
     hits = grounding.phrase_hits(spark.createDataFrame([(1, "aaaa aa"), (2, None)], "id long, text string"), spark.createDataFrame([(1, "aa"), (2, ""), (3, None), (4, "aa")], "phrase_id long, phrase string"))
     assert sorted(tuple(r) for r in hits.collect()) == [(1, 1, 3), (4, 1, 3)]
+
+
+def test_ingest_and_verify(spark):
+    from quoin.operators import ingestion
+
+    words = " ".join(f"word{i}" for i in range(900))
+    pairs = spark.createDataFrame([(1, words, words, None, None, False), (2, words, words[:2000], None, None, False), (3, None, words, 0, None, False), (4, words, words, 2, [1], False)], "id int, control string, candidate string, declared int, pages array<int>, accepted boolean")
+    assert {r["id"]: (r["state"], r["reasons"]) for r in ingestion.verify_extractions(pairs).collect()} == {1: ("verified", []), 2: ("failed", ["containment", "inflation-low"]), 3: ("abstained", []), 4: ("failed", ["pages-missing"])}
+    files = spark.createDataFrame([("a", "The defne of it\n".encode()), ("b", b"<html><p>Hi there</p></html>"), ("c", b""), ("d", b"%PDF-1")], "path string, content binary")
+    got = {r["path"]: r for r in ingestion.ingest_files(files).collect()}
+    assert got["a"]["text"].strip() == "The define of it" and got["b"]["text"] == "Hi there" and got["c"]["refused"] == "no words" and got["d"]["text"] is None and got["d"]["refused"]
+    assert ingestion.provenance(ingestion.ingest_files(files), "2026-01-01").count() == 2
+    assert ingestion.coverage(spark.createDataFrame([(1, "one two three four five six\f\f")], "id int, text string")).first()["empty"] == [2]
+
+
+def test_scaffold_keeps_what_is_written(spark):
+    from quoin.operators import ingestion
+
+    src = spark.createDataFrame([("on-style", "books", "./books/on-style.txt", "ab"), ("new", "books", "./books/new.txt", "cd")], "id string, shelf string, rel string, sha256 string")
+    none = spark.createDataFrame([], "id string, card string")
+    first = ingestion.scaffold(src, none)
+    by_hand = first.withColumn("card", F.when(F.col("id") == "on-style", F.concat(F.regexp_replace("card", r"(?s)(-->).*", "$1"), F.lit("\n\n## Thin\nMine\n"))).otherwise(F.col("card")))
+    again = {r["id"]: r["card"] for r in ingestion.scaffold(src, by_hand).collect()}
+    assert again["on-style"].endswith("## Thin\nMine\n") and "zoom: full" in again["on-style"] and "zoom: stub" in again["new"] and "# On Style" in again["on-style"]
+    twice = ingestion.scaffold(src, spark.createDataFrame(list(again.items()), "id string, card string"))
+    assert {r["id"]: r["card"] for r in twice.collect()} == again
+    (line,) = ingestion.board(spark.createDataFrame([("s", "b", None), ("s", "a", "full")], "shelf string, id string, zoom string")).collect()
+    assert line["line"] == "## s (2, stubs 1)\n- a\n- b"
+
+
+def test_command_line(spark, kb, capsys):
+    from pathlib import Path
+
+    from quoin.__main__ import main
+
+    root = Path(kb.root)
+    (root / "library.toml").write_text('id = "kb"\nshelves = ["books"]\n')
+    assert main(["--root", kb.root, "search", "needless"]) == 0 and "brevity" in capsys.readouterr().out
+    assert main(["--root", kb.root, "verify", "brevity", "needless words"]) == 0 and main(["--root", kb.root, "verify", "brevity", "no such"]) == 1
+    assert main(["--root", kb.root, "zoom", "brevity", "thin"]) == 0 and main(["--root", kb.root, "check"]) == 1
+    assert "[B]" in capsys.readouterr().out  # latin.txt has no card
