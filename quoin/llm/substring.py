@@ -111,9 +111,11 @@ def substring_dedup(docs: DataFrame, least: int = LEAST, more: tuple[str, str] =
     cut = rows.select("doc_id", "row", "text").mapInArrow(_cut, "doc_id long, row long, digest array<binary>, at array<int>")
     spread = cut.select("doc_id", "row", F.explode(F.arrays_zip("digest", "at")).alias("u")).select("doc_id", "row", F.col("u.digest").alias("digest"), F.col("u.at").alias("at"))
     first = spread.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("first != last or (unnamed and first is not null)").select("digest", "first")
-    again = spread.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id", "row").agg(F.collect_list("at").alias("repeats"))
-    again = again.withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r")
-    joined = rows.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").drop("d", "r", "row")
+    again = spread.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.xxhash64("doc_id", "row").alias("key"), F.col("doc_id").alias("d"), F.col("row").alias("r"), "at")
+    again = again.repartition("key").groupBy("key", "d", "r").agg(F.collect_list("at").alias("repeats"))
+    own = rows.withColumn("key ", F.xxhash64("doc_id", "row")).repartition("key ")  # by document: even, so there is nothing to split in many small tasks
+    same = (F.col("row").bitwiseXOR(F.col("r")) == 0) & (F.coalesce(F.col("doc_id").bitwiseXOR(F.col("d")), F.lit(0)) == 0)  # no keys of the join, which would shuffle again
+    joined = own.join(again, (F.col("key ") == F.col("key")) & same, "left").drop("key ", "key", "d", "r", "row")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "repeats"))
     out = joined.mapInArrow(_drop(least), f"{kinds}, clean string, removed array<struct<start:bigint,end:bigint>>, n_units long")
     back = {"text": F.col("clean"), "doc_id": F.col("doc_id"), **{c: F.col(f"c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")}}
