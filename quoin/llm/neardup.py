@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     stars = durable(beside(buckets.where("rep != center").groupBy(F.col("center").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared"))), "pairs")
 
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = durable(docs.join(involved, "doc_id", "left_semi"), "texts")
+    texts = durable(docs.repartition("doc_id").join(involved, "doc_id", "left_semi"), "texts")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
