@@ -9,19 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm import bpe, fingerprints, knn, langid, licenses, neardup, packing, substring, token_counts, warc
-from quoin.runtime import ship, table
+from quoin.runtime import ship, spread, table
 
 WORD_BPE, BYTE_BPE, MULTI_BPE, PATTERN = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; those of one small file go over all cores."""
+    return spread(table(spark, sf_dir, "documents"), 24 << 20)
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return neardup.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,19 +36,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe.encode(table(spark, sf_dir, "documents"), MULTI_BPE, PATTERN, keep=False)
+    return bpe.encode(documents(spark, sf_dir), MULTI_BPE, PATTERN, keep=False)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of every document, counted in the encoding of the whole text."""
     ship(spark)
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), ["text"], BYTE_BPE, PATTERN)
+    return token_counts.token_counts(documents(spark, sf_dir), ["text"], BYTE_BPE, PATTERN)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's kept text and what was removed from it."""
     ship(spark)
-    done = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = substring.substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_units", F.size("removed").alias("n_removed"), length.alias("removed_chars"), "removed", "text")
 
@@ -55,17 +60,17 @@ def op7_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return langid.languages(table(spark, sf_dir, "documents")).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return langid.languages(documents(spark, sf_dir)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE, 2048), 2048)
+    return packing.pack(packing.pieces(documents(spark, sf_dir), WORD_BPE, 2048), 2048)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return licenses.licenses(table(spark, sf_dir, "documents"))
+    return licenses.licenses(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
