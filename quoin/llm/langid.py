@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
-Of each language a sample of labelled text (at most SAMPLE symbols from at most 2 * DOCS documents, picked by a hash of their id) becomes a suffix automaton. A text is
-cut greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases a symbol wins, ties to the first name. Symbols are lower-cased
+Of each language (the LANGUAGES most frequent labels) a sample of labelled text becomes a suffix automaton: at most SAMPLE symbols, and TOTAL in all, from at most 2 * DOCS documents
+that a hash of their id picks; the automata of a worker are so bounded at about 200 MB, and take 50 MB for four languages. A text is cut greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases a symbol wins, ties to the first name. Symbols are lower-cased
 letters, with runs of anything else as one space. The whole text is parsed, in stretches of STRETCH symbols at whose ends a phrase ends.
 
 Automata are dense tables (states by symbols) and many stretches advance together, a symbol a step. Texts that are null or have no letter are `und`, with score 0.
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits
 
-SAMPLE, DOCS, STRETCH, SYMBOLS, BLOCK = 32_768, 128, 1024, 96, 2_000_000
+SAMPLE, TOTAL, LANGUAGES, DOCS, STRETCH, SYMBOLS, BLOCK = 32_768, 262_144, 64, 128, 1024, 96, 2_000_000
 _READY: dict = {}
 
 
 def learn(rows: DataFrame) -> dict[str, str]:
     """A bounded sample of normalised text for each language of rows (doc_id, text, lang)."""
     rows = rows.where("lang is not null and trim(lang) != '' and text is not null").select("doc_id", "text", "lang", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
     limits = rows.sparkSession.createDataFrame([(k, int(min(1.0, 2 * DOCS / n) * (1 << 30))) for k, n in counts.items()], "lang string, most long")
@@ -38,7 +38,8 @@ def learn(rows: DataFrame) -> dict[str, str]:
     for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
         if len(t := normalised(r["text"])) >= 20:
             texts.setdefault(r["lang"], []).append(t)
-    return {k: " ".join(t[: max(256, SAMPLE // len(v))] for t in v[: 2 * DOCS])[:SAMPLE] for k, v in texts.items()}
+    most = min(SAMPLE, TOTAL // max(1, len(texts)))
+    return {k: " ".join(t[: max(256, most // len(v))] for t in v[: 2 * DOCS])[:most] for k, v in texts.items()}
 
 
 def normalised(text: str) -> str:
