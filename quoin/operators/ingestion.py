@@ -77,3 +77,14 @@ def board(cards: DataFrame) -> DataFrame:
     own = F.array_sort(F.collect_list("id"))
     g = cards.groupBy("shelf").agg(F.count("*").alias("n"), F.count_if(F.coalesce("zoom", F.lit("stub")) == "stub").alias("stubs"), own.alias("ids"))
     return g.select("shelf", F.concat(F.lit("## "), "shelf", F.lit(" ("), F.col("n").cast("string"), F.lit(", stubs "), F.col("stubs").cast("string"), F.lit(")\n"), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("- "), i)), "\n")).alias("line"))
+
+
+# A fixed value: a line that no text has, to keep page ends through normalisation.
+PAGE_END = "\ue000" * 16
+
+
+def normalized_pages(pages, words: frozenset[str] = frozenset()):
+    """An array of pages, normalised as one document, so that running heads are seen and paragraphs go on over a page's end; as many pages as before, null if a mark was lost."""
+    whole = normalize.normalize(F.array_join(pages, f"\n\n{PAGE_END}\n\n"), words)
+    parts = F.transform(F.split(whole, rf"\n*{PAGE_END}\n*", -1), lambda p: F.trim(p, F.lit("\n")))
+    return F.when(F.size(pages) == 0, pages).when(F.size(parts) == F.size(pages), parts)

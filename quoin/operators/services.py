@@ -215,3 +215,26 @@ def execute(op: str, tables: dict[str, DataFrame], params: dict, kbs: list[str]
     chosen = None if kbs is None else sorted(kbs)[:FANOUT]
     held = {k: t.where(F.col("kb").isin(*chosen)) if chosen is not None and "kb" in t.columns else t for k, t in tables.items()}
     return service.run(held, params)
+
+
+def framework_default(sections: Column) -> Column:
+    """What is shown of a framework unless more is asked for: engine, practices, disagreement; all of it if it has none of them."""
+    some = F.map_filter(sections, lambda k, _: k.isin("engine", "practices", "disagreement"))
+    return F.when(F.size(some) > 0, some).otherwise(sections)
+
+
+def source_of_framework(frameworks: DataFrame, shelves: list[str], root: str = "library") -> DataFrame:
+    """frameworks (name, text): the first source path that each names, as (rel, framework); of several frameworks of a source the last by name."""
+    quoted = "|".join(rf"\Q{s}\E" for s in shelves)
+    path = rf"(?<![A-Za-z0-9._/-])\Q{root}\E/(?:{quoted})/[A-Za-z0-9._-]+\.txt"
+    named = frameworks.select(F.nullif(F.regexp_extract("text", path, 0), F.lit("")).alias("rel"), "name").where("rel is not null")
+    return named.groupBy("rel").agg(F.max("name").alias("framework"))
+
+
+def triage_row(texts: DataFrame, name: str) -> DataFrame:
+    """The row of a triage table (column text) for a dimension: its bold name first, else the first row that has the name's first part anywhere."""
+    rows = texts.select(F.posexplode(T.split_lines(F.col("text"))).alias("at", "line")).where(F.startswith("line", F.lit("|")))
+    bold = F.contains(F.lower("line"), F.lit("**" + name.replace("-", "/").lower()))
+    loose = F.contains(F.lower("line"), F.lit(name.split("-")[0].lower()))
+    best = F.min_by("line", F.struct(F.when(bold, 0).otherwise(1), "at"))
+    return rows.where(bold | loose).agg(F.trim(best).alias("row")).where("row is not null")

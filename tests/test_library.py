@@ -193,3 +193,16 @@ def test_command_line(spark, kb, capsys):
     assert main(["--root", kb.root, "verify", "brevity", "needless words"]) == 0 and main(["--root", kb.root, "verify", "brevity", "no such"]) == 1
     assert main(["--root", kb.root, "zoom", "brevity", "thin"]) == 0 and main(["--root", kb.root, "check"]) == 1
     assert "[B]" in capsys.readouterr().out  # latin.txt has no card
+
+
+def test_small_operators(spark):
+    from quoin.operators import ingestion
+
+    secs = spark.createDataFrame([(1, {"claim": "c", "engine": "e"}), (2, {"claim": "c"})], "i int, s map<string,string>").select("i", services.framework_default(F.col("s")).alias("s"))
+    assert {r["i"]: r["s"] for r in secs.collect()} == {1: {"engine": "e"}, 2: {"claim": "c"}}
+    fw = spark.createDataFrame([("a", "see library/books/x.txt and library/books/y.txt"), ("b", "mylibrary/books/z.txt; library/books/x.txt"), ("c", "none")], "name string, text string")
+    assert [tuple(r) for r in services.source_of_framework(fw, ["books"]).collect()] == [("library/books/x.txt", "b")]
+    table = spark.createDataFrame([("| pacing too | z |\n| **Pacing/Beat** | keep |\nprose",)], "text string")
+    assert services.triage_row(table, "pacing-beat").first()["row"] == "| **Pacing/Beat** | keep |" and services.triage_row(table, "voice").count() == 0
+    pages = spark.createDataFrame([(["one page\n12", "two page\n13"],), ([],)], "p array<string>").select(ingestion.normalized_pages(F.col("p")).alias("p"))
+    assert [r["p"] for r in pages.collect()] == [["one page", "two page"], []]
