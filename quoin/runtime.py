@@ -50,7 +50,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """df as a table written in the shared folder and read again: its lineage ends there, and a lost executor loses none of it."""
+    """df as a table written in the shared folder and read again: its lineage ends there, and a lost executor loses none of it. partitions: files at most, for small tables."""
     spark = df.sparkSession
     path = scratch(spark, name)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
