@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import durable
 
+EDGES = 250_000  # in a file
+
 
 def _large(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour (or itself)."""
@@ -26,12 +28,15 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first())
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b), component being its smallest reachable node. Self-loops and repeated edges do nothing."""
-    e = durable(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+def components(edges: DataFrame, most: int = 60, files: int = 8) -> DataFrame:
+    """(node, component) for every node of edges (a, b), component being its smallest reachable node. Self-loops and repeated edges do nothing.
+
+    files: how many the edges are written to at first; later their number sets it.
+    """
+    e = durable(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", files)
     state = _state(e)
     for _ in range(most if state[0] else 0):
-        e = durable(_small(_large(e)), "stars")
+        e = durable(_small(_large(e)), "stars", 1 + state[0] // EDGES)
         was, state = state, _state(e)
         if was == state:
             break

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quoin.llm.graphs import components
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-BANDS, ROWS, BITS_MOST, CACHE = 40, 4, 44, 300_000
+BANDS, ROWS, BITS_MOST, CACHE, FILE = 40, 4, 44, 300_000, 10_000
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -146,13 +146,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     arrow_limits(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = durable(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "signed")
-    classes = durable(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    files = max(8, signed.count() // FILE)  # of the smaller tables
+    classes = durable(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes", files)
     nodes = durable(
         signed.join(classes.where("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits", "bands"), "nodes"
     )
     rows = nodes.select("rep", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center != last").select("band", "center")
-    buckets = durable(rows.join(full, "band"), "buckets")  # band, rep, center; only buckets of several documents
+    buckets = durable(rows.join(full, "band"), "buckets", files)  # band, rep, center; only buckets of several documents
     told = nodes.select("rep", F.struct("n", "bits").alias("s"))
 
     def beside(pairs: DataFrame) -> DataFrame:
@@ -160,10 +161,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         both = pairs.join(told.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(told.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
         return both.where(_may_link("x", "y", percent)).drop("x", "y")
 
-    stars = durable(beside(buckets.where("rep != center").groupBy(F.col("center").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared"))), "pairs")
+    stars = durable(beside(buckets.where("rep != center").groupBy(F.col("center").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared"))), "pairs", files)
 
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = durable(docs.repartition("doc_id").join(involved, "doc_id", "left_semi"), "texts")
+    texts = durable(docs.repartition("doc_id").join(involved, "doc_id", "left_semi"), "texts", files)
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -171,43 +172,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return with_b.select("a", "b", "ta", "tb")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return durable(with_texts(pairs).mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+        return durable(with_texts(pairs).mapInArrow(_confirm(k, percent), "a long, b long"), "links", files)
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     links = confirmed(best)
-    comp = components(links)
+    comp = components(links, files=files)
 
     def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """pairs whose ends are in different components."""
         named = pairs.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
 
-    left = durable(across(stars.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"), "across")
+    left = durable(across(stars.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"), "across", files)
     if not left.isEmpty():
         links = links.unionAll(confirmed(left))
-        comp = components(links)
+        comp = components(links, files=files)
 
     named = buckets.select("band", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
     parts = named.groupBy("band", "c").agg(F.count("*").alias("size"))
     several = parts.groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
-    mixed = durable(named.join(several, "band").join(told, "rep"), "mixed")
+    mixed = durable(named.join(several, "band").join(told, "rep"), "mixed", files)
     refs = mixed.select(F.col("main").alias("a"), F.col("rep").alias("b")).distinct()
-    against = durable(with_texts(refs).mapInArrow(_differences(k), "a long, b long, both int, novel array<long>"), "differences")
+    against = durable(with_texts(refs).mapInArrow(_differences(k), "a long, b long, both int, novel array<long>"), "differences", files)
     novel = against.select("a", "b", F.explode("novel").alias("t"))
     known = novel.groupBy("a", "t").agg(F.count("*").alias("times")).where("times > 1").select("a", "t")
     shared = novel.join(known, ["a", "t"]).groupBy("a", "b").agg(F.count("*").cast("int").alias("more"))
     bounds = against.select("a", "b", "both").join(shared, ["a", "b"], "left").select(F.col("a").alias("main"), F.col("b").alias("rep"), "both", F.coalesce("more", F.lit(0)).alias("more"))
     mixed = mixed.join(bounds, ["main", "rep"]).where((F.col("both") + F.col("more")) * 100 >= F.col("s.n") * percent)
     mixed = mixed.join(nodes.select("rep", "bands"), "rep")
-    mixed = durable(mixed.select("band", "rep", "c", "main", F.struct("s.n", "s.bits", "both", "more", "bands").alias("s")), "bounded")
+    mixed = durable(mixed.select("band", "rep", "c", "main", F.struct("s.n", "s.bits", "both", "more", "bands").alias("s")), "bounded", files)
     few, all_ = mixed.where("c != main").select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("s").alias("y")), mixed.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), "main", F.col("s").alias("x"))
     reach = (F.least("x.both", "y.both") + F.least("x.more", "y.more")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     once = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.array_position("x.bands", F.col("band"))  # in the first band that both have
     crossing = few.join(all_, "band").where("ca != cb and (ca = main or a < b)").where(reach & _may_link("x", "y", percent) & once).select("a", "b").distinct()
-    crossing = durable(crossing.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "crossing")
+    crossing = durable(crossing.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "crossing", files)
     if not crossing.isEmpty():
         links = links.unionAll(confirmed(crossing))
-        comp = components(links)
+        comp = components(links, files=files)
 
     linked = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(linked, "digest", "left")

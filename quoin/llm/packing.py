@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-CACHE = 900_000
+CACHE = 600_000
 _LOADED: dict = {}
 _ODD = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
 _USUAL = "\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0386-\u03ff\u0400-\u0481\u1e00-\u1eff\u2010-\u2027\u20ac"
@@ -166,7 +166,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     cut = durable(cut, "pieces")
     salts = max(16, min(1024, cut.count() // 200_000))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = durable(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes")  # at most capacity * salts rows
+    groups = durable(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes", 1)  # at most capacity * salts rows
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
