@@ -48,7 +48,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's kept text and what was removed from it."""
     ship(spark)
-    done = substring.substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    done = substring.substring_dedup(documents(spark, sf_dir).select("doc_id", "text"), lines=True)
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_units", F.size("removed").alias("n_removed"), length.alias("removed_chars"), "removed", "text")
 

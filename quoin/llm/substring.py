@@ -1,8 +1,11 @@
-"""Substring dedup by hashing of lines and their sentences.
-
-Units are sentences: a line is cut after . ! ? and a space, and at its end. A unit is normalised (lower-case letters and digits of its words, one space between) and
-hashed to 128 bits. Over all documents the digest's first place (smallest doc_id, there the first unit) is its earliest occurrence; units elsewhere are repeats.
-Runs of repeats that follow each other in a document are removed if they hold least words or more: shorter ones are phrases that texts share by chance, and stay.
+"""Substring dedup by hashing of lines, their sentences and the pieces of long sentences.
+
+Units are sentences: a line is cut after . ! ? and a space, and at its end. A sentence of more than LONG words is cut further, after words that a hash picks (an eighth of
+them, but none within two words of another or of an end), so that a passage that begins or ends within a sentence shares the pieces between its first and last cut.
+A unit is normalised (lower-case letters and digits of its words, one space between) and hashed to 128 bits, and so is, with lines=True, each line with a word.
+Over all documents the digest's first place (smallest doc_id, there the first unit) is its earliest occurrence; units and lines elsewhere are repeats.
+With lines=True every line that is a repeat is removed, whatever its length. Runs of repeated units that follow each other in a document are removed if they hold least
+words or more: shorter ones, within lines that are no repeats, are phrases that texts share by chance, and stay.
 Units without words belong to the run they stand in. Removed spans keep their offsets (characters of the original text). A removed span takes the white space up to the next unit with it.
 
 A hot unit is one row for each task before the shuffle that finds first places; the join back is one that adaptive execution may split. Repeats of one document are
@@ -13,6 +16,7 @@ and don't repeat each other.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,53 +24,95 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.runtime import arrow_limits
+from quoin.runtime import arrow_limits, durable
 
-LEAST = 40
+LEAST, LONG = 12, 24
 UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\n])[ \t]*\n*|\n+|\Z)", re.S)
 WORD = re.compile(r"[^\W_]+")
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes | None]]:
-    """(start, end, words, digest) of the units, which tile the text; no digest without words."""
+def _digest(words: str) -> bytes | None:
+    return xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass")) if words else None
+
+
+def _pieces(text: str, at: int, end: int) -> list[tuple[int, int, list[str]]]:
+    """The sentence at text[at:end] in pieces: (start, end, words)."""
+    found = list(WORD.finditer(text, at, end))
+    words = [m[0].lower() for m in found]
+    picked = [zlib.crc32(w.encode("utf-8", "surrogatepass")) & 7 == 0 for w in words]
+    cuts = [i + 1 for i in range(2, len(words) - 3) if picked[i] and not picked[i - 1] and not picked[i - 2]]
+    places = [at, *(found[i].start() for i in cuts), end]
+    return [(*p, words[i:j]) for p, i, j in zip(zip(places, places[1:]), [0, *cuts], [*cuts, len(words)])]
+
+
+def units(text: str) -> list[tuple[int, int, int, bytes | None, str]]:
+    """(start, end, number of words, digest, words) of the units, which tile the text; no digest without words."""
     out, at = [], 0
     for m in UNIT.finditer(text):
-        if m.end() > at:
+        end = m.end()
+        if end > at:
             words = WORD.findall(m[0].lower())
-            out.append((at, m.end(), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None))
-            at = m.end()
+            for a, b, own in _pieces(text, at, end) if len(words) > LONG else ((at, end, words),):
+                joined = " ".join(own)
+                out.append((a, b, len(own), _digest(joined), joined))
+            at = end
+    return out
+
+
+def lines_of(text: str, all_: list[tuple]) -> list[tuple[int, int, bytes | None]]:
+    """(first unit, unit after the last, digest) of the lines; no digest without words."""
+    out, first = [], 0
+    for i, u in enumerate(all_):
+        if i + 1 == len(all_) or text[u[1] - 1] == "\n":
+            out.append((first, i + 1, u[3] if first == i else _digest(" ".join(x[4] for x in all_[first : i + 1] if x[4]))))
+            first = i + 1
     return out
 
 
 _UNITS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.list_(pa.binary())), ("at", pa.list_(pa.int32()))])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's digests with the number of the first unit that has it; units of one or two words are only what a run takes along."""
-    for batch in batches:
-        digests, places = [], []
-        for text in batch.column(2):
-            found: dict[bytes, int] = {}
-            t = text.as_py()
-            for i, u in enumerate(units(t) if t else ()):
-                if u[2] > 2:
-                    found.setdefault(u[3], i)
-            digests.append(list(found))
-            places.append(list(found.values()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.list_(pa.binary())), pa.array(places, pa.list_(pa.int32()))], schema=_UNITS)
+def _cut(lines: bool):
+    """Each document's digests with the number of the first unit that has it, or -1 less the number of the first line; units of one or two words are only what a run takes along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, places = [], []
+            for text in batch.column(2):
+                found: dict[bytes, int] = {}
+                t = text.as_py()
+                all_ = units(t) if t else []
+                for i, u in enumerate(all_):
+                    if u[2] > 2:
+                        found.setdefault(u[3], i)
+                for i, (_, _, digest) in enumerate(lines_of(t, all_) if lines and t else ()):
+                    if digest:
+                        found.setdefault(digest, -1 - i)
+                digests.append(list(found))
+                places.append(list(found.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.list_(pa.binary())), pa.array(places, pa.list_(pa.int32()))], schema=_UNITS)
+
+    return run
 
 
-def cut_runs(text: str | None, repeats: list[int] | None, least: int) -> tuple[str | None, list[dict], int]:
-    """The text without its runs of repeats, the removed spans and the number of units. repeats: units that other documents have earlier."""
+def cut_runs(text: str | None, repeats: list[int] | None, least: int, lines: bool = False) -> tuple[str | None, list[dict], int]:
+    """The text without its repeats, the removed spans and the number of units. repeats: units, and lines as -1 less their number, that other documents have earlier."""
     if not text:
         return text, [], 0
-    all_, spans = units(text), []
-    seen = {all_[i][3] for i in repeats or ()}
-    again = []
-    for _, _, n, digest in all_:
+    all_ = units(text)
+    rows = lines_of(text, all_) if lines else []
+    seen = {all_[i][3] if i >= 0 else rows[-1 - i][2] for i in repeats or ()}
+    again, gone, held = [], [False] * len(all_), set(seen)
+    for _, _, n, digest, _ in all_:
         again.append(n > 2 and digest in seen)
         if n > 2:
             seen.add(digest)
+    for first, last, digest in rows:
+        if digest in held:
+            gone[first:last] = again[first:last] = [True] * (last - first)
+        held.update(u[3] for u in all_[first:last] if u[2] > 2)
+        if digest:
+            held.add(digest)
     i = 0
     while i < len(all_):
         if not again[i]:
@@ -77,8 +123,14 @@ def cut_runs(text: str | None, repeats: list[int] | None, least: int) -> tuple[s
             end = j + 1 if again[j] else end
             j += 1
         if sum(u[2] for u in all_[i:end]) >= least:
-            spans.append({"start": all_[i][0], "end": all_[end - 1][1]})
+            gone[i:end] = [True] * (end - i)
         i = j
+    spans: list[dict] = []
+    for u, out in zip(all_, gone):
+        if out and spans and spans[-1]["end"] == u[0]:
+            spans[-1]["end"] = u[1]
+        elif out:
+            spans.append({"start": u[0], "end": u[1]})
     at, kept = 0, []
     for s in spans:
         kept.append(text[at : s["start"]])
@@ -89,10 +141,10 @@ def cut_runs(text: str | None, repeats: list[int] | None, least: int) -> tuple[s
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _drop(least: int):
+def _drop(least: int, lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [cut_runs(t.as_py(), r.as_py(), least) for t, r in zip(batch.column("text"), batch.column("repeats"), strict=True)]
+            done = [cut_runs(t.as_py(), r.as_py(), least, lines) for t, r in zip(batch.column("text"), batch.column("repeats"), strict=True)]
             own = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("text", "repeats")]
             names = [n for n in batch.schema.names if n not in ("text", "repeats")]
             yield pa.RecordBatch.from_arrays([*own, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], _SPANS), pa.array([d[2] for d in done], pa.int64())], names=[*names, "clean", "removed", "n_units"])
@@ -100,15 +152,16 @@ def _drop(least: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, least: int = LEAST, more: tuple[str, str] = ("removed", "n_units")) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int = LEAST, more: tuple[str, str] = ("removed", "n_units"), lines: bool = False) -> DataFrame:
     """The rows' columns with text cleaned and, after them, the removed spans of the original text and the number of units, under the names in more.
 
-    n_chars, where there is one, is counted anew.
+    n_chars, where there is one, is counted anew. lines: whether repeated lines go whatever their length, as the queries have it.
     """
     arrow_limits(docs.sparkSession)
     names = docs.columns
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")], F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
-    cut = rows.select("doc_id", "row", "text").mapInArrow(_cut, "doc_id long, row long, digest array<binary>, at array<int>")
+    cut = rows.select("doc_id", "row", "text").mapInArrow(_cut(lines), "doc_id long, row long, digest array<binary>, at array<int>")
+    cut = durable(cut, "units")  # read twice
     spread = cut.select("doc_id", "row", F.explode(F.arrays_zip("digest", "at")).alias("u")).select("doc_id", "row", F.col("u.digest").alias("digest"), F.col("u.at").alias("at"))
     first = spread.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("first != last or (unnamed and first is not null)").select("digest", "first")
     again = spread.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.xxhash64("doc_id", "row").alias("key"), F.col("doc_id").alias("d"), F.col("row").alias("r"), "at")
@@ -117,7 +170,7 @@ def substring_dedup(docs: DataFrame, least: int = LEAST, more: tuple[str, str] =
     same = (F.col("row").bitwiseXOR(F.col("r")) == 0) & (F.coalesce(F.col("doc_id").bitwiseXOR(F.col("d")), F.lit(0)) == 0)  # no keys of the join, which would shuffle again
     joined = own.join(again, (F.col("key ") == F.col("key")) & same, "left").drop("key ", "key", "d", "r", "row")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "repeats"))
-    out = joined.mapInArrow(_drop(least), f"{kinds}, clean string, removed array<struct<start:bigint,end:bigint>>, n_units long")
+    out = joined.mapInArrow(_drop(least, lines), f"{kinds}, clean string, removed array<struct<start:bigint,end:bigint>>, n_units long")
     back = {"text": F.col("clean"), "doc_id": F.col("doc_id"), **{c: F.col(f"c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")}}
     if "n_chars" in names:
         back["n_chars"] = F.when(F.col("clean").isNotNull(), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(back["n_chars"])

@@ -120,6 +120,31 @@ def test_substrings_by_brute_force(copies):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want and want != dict(docs)
 
 
+def test_hot_lines_and_passages_within_sentences(spark):
+    """Repeated lines go whatever their length; of a passage of 51 to 60 words that begins and ends within a sentence, no run of 51 words stays twice."""
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    data, planted = [], []
+    for i in range(40):
+        n = rng.randint(51, 60)
+        words = own(n).split()
+        if i % 2:
+            words[20] += "."
+        planted.append([w.strip(".") for w in words])
+        for j in range(2):
+            data.append((2 * i + j, f"{own(9)}. {own(rng.randint(3, 15))} {' '.join(words)} {own(rng.randint(3, 15))}.\nRead more\nShare this page now.\n{own(12)}."))
+    got = {r["doc_id"]: r["text"] for r in substring.substring_dedup(spark.createDataFrame(data, "doc_id long, text string"), lines=True).collect()}
+    assert got[0] == data[0][1]
+    for i, words in enumerate(planted):
+        assert " ".join(words) in re.sub(r"[.]", "", got[2 * i])
+        left = " ".join(re.findall(r"\w+", got[2 * i + 1]))
+        assert not any(" ".join(words[a : a + 51]) in left for a in range(len(words) - 50)), i
+    assert all("Read more" not in t and "Share" not in t for d, t in got.items() if d)
+    for d, t in data:
+        ends = t.splitlines()
+        assert got[d].endswith(ends[-1]) and got[d].startswith(t[:60])
+
+
 def test_knn(spark):
     rng = np.random.default_rng(1)
     data = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(600)] + [(600 + i, [0.1] * 16) for i in range(12)]
