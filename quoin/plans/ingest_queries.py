@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
+from quoin.functions.anchors import parse_markers
 from quoin.operators import normalize
+from quoin.operators import services as S
 from quoin.plans.registry import query
 from quoin.plans.text_queries import docs, odd_lines
 from quoin.runtime import scratch, spread, table
@@ -49,12 +51,36 @@ def _overlap(premise: str, claim: str) -> float:
     return len(own & set(premise.lower().split())) / len(own) if own else 0.0
 
 
+def entailed(cards, backend: Callable[[str, str], float] | None):
+    """cards (id, body, text of the source): (id, ord, phrase, support) of every literal anchor of the body, its claim against the window of the source around it.
+
+    support is null where the source has no such window or the card no claim: not measured. A card without literal anchors is one row without ord and phrase.
+    """
+    literal = F.filter(parse_markers(F.col("body")), lambda m: ~m["regex"])
+    marks = cards.select("id", "body", "text", F.posexplode_outer(literal).alias("ord", "marker")).withColumn("phrase", F.col("marker.phrase"))
+    marked = lambda q: F.concat(F.lit(q), "phrase")  # noqa: E731  a mention within a marker comes before one in prose
+    at = F.when(F.contains("body", marked("`")), marked("`")).when(F.contains("body", marked('"')), marked('"')).otherwise(F.col("phrase"))
+    claim = F.when(F.col("phrase").isNotNull(), F.nullif(F.trim(S.claim_of(F.col("body"), at)), F.lit("")))
+    return marks.select("id", "ord", "phrase", support(S.sentence_window(F.col("text"), F.col("phrase")), claim, backend).alias("support"))
+
+
 @query()
 def r25_entail_stub(spark, sf_dir):
-    """Support of each document's second sentence by the sentences around it, by a stand-in backend."""
-    s = docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 2)
-    premise = F.array_join(F.slice("s", 1, 3), " ")
-    return s.select("doc_id", F.round(support(premise, F.element_at("s", 2), _overlap), 6).alias("support"))
+    """Support of each card's claims by the windows of its source, by a stand-in backend; a card for each document, with anchors in its first, middle and last sentences and a pattern."""
+    s, n = T.sentences(F.col("text")), F.size("s")
+    words = lambda i: F.split(F.element_at("s", i.cast("int")), " ")
+    half = lambda w: F.ceil(F.size(w) / 2).cast("int")
+
+    def line(i):
+        """The first half of the sentence that the anchor is in, and the second half of one that is half a text away."""
+        own, other = words(i), words((i + F.floor(n / 2)) % n + 1)
+        claim = F.concat_ws(" ", F.slice(own, F.lit(1), half(own)), F.regexp_replace(F.array_join(F.slice(other, half(other), F.size(other)), " "), r"[.!?]+$", ""))
+        return F.concat(claim, F.lit(" (grep: `"), F.regexp_replace(F.array_join(F.slice(own, 1, 3), " "), "[`)]", ""), F.lit("`)."))
+
+    spots = F.array_distinct(F.array(F.lit(1), F.ceil(n / 2), n.cast("long")))
+    body = F.concat(F.array_join(F.transform(spots, line), " "), F.lit(" A pattern (grep-re: `.+`)."))
+    rows = entailed(docs(spark, sf_dir).withColumn("s", s).select(F.col("doc_id").alias("id"), body.alias("body"), "text"), _overlap)
+    return rows.select(F.col("id").alias("doc_id"), "ord", "phrase", F.round("support", 6).alias("support"))
 
 
 @query("SELECT sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM documents WHERE trim(text) <> '' GROUP BY text")

@@ -206,3 +206,24 @@ def test_small_operators(spark):
     assert services.triage_row(table, "pacing-beat").first()["row"] == "| **Pacing/Beat** | keep |" and services.triage_row(table, "voice").count() == 0
     pages = spark.createDataFrame([(["one page\n12", "two page\n13"],), ([],)], "p array<string>").select(ingestion.normalized_pages(F.col("p")).alias("p"))
     assert [r["p"] for r in pages.collect()] == [["one page", "two page"], []]
+
+
+def test_entailment_scores_every_literal_anchor(spark):
+    from quoin.plans import ingest_queries as I
+
+    source = "One fine day. Two dogs ran. Three cats sat. Four birds sang loud. Five fish swam."
+    body = "Four birds are named in prose. Dogs flew away (grep: `Two dogs`). Loud fish sang (grep: `Four birds`). A gap (grep-re: `One.+day`). Nothing (grep: `day. Two`)."
+    data = [(1, body, source), (2, "Short (grep: `Only`).", "Only one"), (3, "No anchor.", source), (4, None, None)]
+    got = {(r["id"], r["phrase"]): r["support"] for r in I.entailed(spark.createDataFrame(data, "id long, body string, text string"), lambda p, c: float(len(p) * 1000 + len(c))).collect()}
+    windows = {"Two dogs": ("One fine day. Two dogs ran. Three cats sat.", "Dogs flew away."), "Four birds": ("Three cats sat. Four birds sang loud. Five fish swam.", "Loud fish sang.")}
+    assert got == {(1, k): float(len(p) * 1000 + len(c)) for k, (p, c) in windows.items()} | {(1, "day. Two"): None, (2, "Only"): float(8 * 1000 + 6), (3, None): None, (4, None): None}
+
+
+def test_entailment_of_documents_reaches_their_ends(spark):
+    from quoin.plans import catalog
+
+    rows = catalog.QUERIES["r25_entail_stub"](spark, "/root/testdata/sf0.001").collect()
+    ids = {r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()}
+    assert {r["doc_id"] for r in rows} == ids and max(r["ord"] or 0 for r in rows) == 2
+    scores = [r["support"] for r in rows if r["support"] is not None]
+    assert len(scores) > 1.5 * len(ids) and 0 < sum(x < 1 for x in scores)
