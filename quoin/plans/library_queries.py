@@ -103,15 +103,29 @@ def a20_duplicates(spark, sf_dir):
     return docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
+def _page_recall(texts, most=None):
+    """Recall of each line of texts as a page, or of the first lines."""
+    shown = F.split("text", "\n")
+    lines = texts.select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(shown, 1, most) if most else shown).alias("pos", "shown"))
+    half = F.concat(F.substring("shown", F.lit(1), F.floor(F.length("shown") / 2).cast("int")), F.lit(" zz"))
+    pages = lines.select("doc", (F.col("pos") + 1).cast("long").alias("page"), "shown", half.alias("extracted"))
+    return S.page_recall(pages).select("doc", "page", F.round("recall", 6).alias("recall"))
+
+
 @query(f"""WITH p AS (SELECT doc_id AS doc, i AS page, l[i] AS shown, substr(l[i], 1, length(l[i]) // 2) || ' zz' AS extracted FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents), range(1, 4) t(i) WHERE i <= len(l)),
   w AS (SELECT doc, page, unnest(regexp_extract_all(lower(replace(shown, '-', '')), '[\\p{{L}}\\p{{N}}]+')) AS t, 1 AS a, 0 AS b FROM p UNION ALL SELECT doc, page, unnest(regexp_extract_all(lower(replace(extracted, '-', '')), '[\\p{{L}}\\p{{N}}]+')), 0, 1 FROM p), g AS (SELECT doc, page, t, sum(a) AS a, sum(b) AS b FROM w GROUP BY doc, page, t)
   SELECT p.doc, p.page, round(r, 6)::DOUBLE AS recall FROM p LEFT JOIN (SELECT doc, page, sum(least(a, b)) / nullif(sum(a), 0) AS r FROM g GROUP BY doc, page) q USING (doc, page)""")
 def a8_page_recall(spark, sf_dir):
-    """How much of the first three lines' words a halved extraction keeps."""
-    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("pos", "shown"))
-    half = F.concat(F.substring("shown", F.lit(1), F.floor(F.length("shown") / 2).cast("int")), F.lit(" zz"))
-    pages = lines.select("doc", (F.col("pos") + 1).cast("long").alias("page"), "shown", half.alias("extracted"))
-    return S.page_recall(pages).select("doc", "page", F.round("recall", 6).alias("recall"))
+    """How much of the first three lines' words a halved extraction keeps. For all lines see a8_page_recall_all."""
+    return _page_recall(docs(spark, sf_dir), 3)
+
+
+@query(f"""WITH p AS (SELECT doc_id AS doc, i AS page, l[i] AS shown, substr(l[i], 1, length(l[i]) // 2) || ' zz' AS extracted FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents))),
+  w AS (SELECT doc, page, unnest(regexp_extract_all(lower(replace(shown, '-', '')), '[\\p{{L}}\\p{{N}}]+')) AS t, 1 AS a, 0 AS b FROM p UNION ALL SELECT doc, page, unnest(regexp_extract_all(lower(replace(extracted, '-', '')), '[\\p{{L}}\\p{{N}}]+')), 0, 1 FROM p), g AS (SELECT doc, page, t, sum(a) AS a, sum(b) AS b FROM w GROUP BY doc, page, t)
+  SELECT p.doc, p.page, round(r, 6)::DOUBLE AS recall FROM p LEFT JOIN (SELECT doc, page, sum(least(a, b)) / nullif(sum(a), 0) AS r FROM g GROUP BY doc, page) q USING (doc, page)""")
+def a8_page_recall_all(spark, sf_dir):
+    """How much of every line's words a halved extraction keeps."""
+    return _page_recall(docs(spark, sf_dir))
 
 
 @query(f"SELECT doc_id AS id, CASE WHEN w = 0 THEN 'no words' WHEN share > 0.1 THEN 'control characters' END AS refused FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(t, '{WS}', ' ', 'g'), ' '), lambda x: x <> '')) AS w, (length(t) - length(regexp_replace(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'))) / greatest(length(t), 1) AS share FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN replace(text, 'e', chr(2)) ELSE text END AS t FROM documents))")

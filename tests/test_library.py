@@ -227,3 +227,11 @@ def test_entailment_of_documents_reaches_their_ends(spark):
     assert {r["doc_id"] for r in rows} == ids and max(r["ord"] or 0 for r in rows) == 2
     scores = [r["support"] for r in rows if r["support"] is not None]
     assert len(scores) > 1.5 * len(ids) and 0 < sum(x < 1 for x in scores)
+
+
+def test_every_line_is_a_page(spark, tmp_path):
+    from quoin.plans import catalog
+
+    spark.createDataFrame([(1, "one two\nthree four\nfive six\nseven eights\n\nnine ten"), (2, "only one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc"], r["page"]): r["recall"] for r in catalog.QUERIES["a8_page_recall_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): 0.5, (1, 2): 0.5, (1, 3): 0.5, (1, 4): 0.5, (1, 5): None, (1, 6): 0.5, (2, 1): 0.5}
