@@ -1,8 +1,10 @@
 """Language identification by cross-parsing entropy.
 
-Of each language (the LANGUAGES most frequent labels) a sample of labelled text becomes a suffix automaton: at most SAMPLE symbols, and TOTAL in all, from at most 2 * DOCS documents
-that a hash of their id picks; the automata of a worker are so bounded at about 200 MB, and take 50 MB for four languages. A text is cut greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases a symbol wins, ties to the first name. Symbols are lower-cased
-letters, with runs of anything else as one space. The whole text is parsed, in stretches of STRETCH symbols at whose ends a phrase ends.
+Of each language (every label) a sample of labelled text becomes a suffix automaton: at most SAMPLE symbols, from at most 2 * DOCS documents that a hash of their id picks,
+of each its first PREFIX characters, if they have SHORT symbols or more, and an equal share of SAMPLE but LEAST symbols at least. A worker holds the automata of one group of
+at most LANGUAGES languages, which bounds it at about 200 MB (50 MB for four languages); of more languages, each group parses all texts in tasks of its own and the least rate
+over the groups decides. A text is cut greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases a symbol wins, ties to the first name. Symbols are lower-cased
+letters, with runs of anything else as one space; letters that no sample of the group has match nothing. The whole text is parsed, in stretches of STRETCH symbols at whose ends a phrase ends.
 
 Automata are dense tables (states by symbols) and many stretches advance together, a symbol a step. Texts that are null or have no letter are `und`, with score 0.
 score is the share by which the winner needs fewer phrases than the second (with one language: 1 - phrases a symbol). Without any labelled row all are `und`.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +25,31 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits
 
-SAMPLE, TOTAL, LANGUAGES, DOCS, STRETCH, SYMBOLS, BLOCK = 32_768, 262_144, 64, 128, 1024, 96, 2_000_000
+SAMPLE, DOCS, PREFIX, SHORT, LEAST = 32_768, 128, 4000, 20, 256
+LANGUAGES, STRETCH, SYMBOLS, BLOCK = 8, 1024, 96, 2_000_000
 _READY: dict = {}
 
 
-def learn(rows: DataFrame) -> dict[str, str]:
+def learn(rows: DataFrame, most: int = SAMPLE, docs: int = DOCS, prefix: int = PREFIX, short: int = SHORT, least: int = LEAST) -> dict[str, str]:
     """A bounded sample of normalised text for each language of rows (doc_id, text, lang)."""
     rows = rows.where("lang is not null and trim(lang) != '' and text is not null").select("doc_id", "text", "lang", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return {}
-    limits = rows.sparkSession.createDataFrame([(k, int(min(1.0, 2 * DOCS / n) * (1 << 30))) for k, n in counts.items()], "lang string, most long")
-    picked = rows.join(F.broadcast(limits), "lang").where("h < most").select("lang", "h", F.substring("text", 1, 4000).alias("text")).collect()
-    texts: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
-        if len(t := normalised(r["text"])) >= 20:
-            texts.setdefault(r["lang"], []).append(t)
-    most = min(SAMPLE, TOTAL // max(1, len(texts)))
-    return {k: " ".join(t[: max(256, most // len(v))] for t in v[: 2 * DOCS])[:most] for k, v in texts.items()}
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    out: dict[str, str] = {}
+    for at in range(0, len(counts), 8 * LANGUAGES):  # what the driver holds at once
+        limits = rows.sparkSession.createDataFrame([(k, int(min(1.0, 2 * docs / n) * (1 << 30))) for k, n in counts[at : at + 8 * LANGUAGES]], "lang string, most long")
+        picked = rows.join(F.broadcast(limits), "lang").where("h < most").select("lang", "h", F.substring("text", 1, prefix).alias("text")).collect()
+        texts: dict[str, list] = {}
+        for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
+            if len(t := normalised(r["text"])) >= short:
+                texts.setdefault(r["lang"], []).append(t)
+        out |= {k: " ".join(t[: max(least, most // len(v))] for t in v[: 2 * docs])[:most] for k, v in texts.items()}
+    return out
+
+
+def groups_of(sample: dict[str, str]) -> list[dict[str, str]]:
+    """The sample in groups of at most LANGUAGES languages."""
+    names = sorted(sample)
+    return [{k: sample[k] for k in names[i : i + LANGUAGES]} for i in range(0, len(names), LANGUAGES)]
 
 
 def normalised(text: str) -> str:
@@ -77,12 +87,13 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
 
 
 def _model(sample: dict[str, str]):
-    """Table from code points to symbols (1 other letter, 2 space), and the languages' automata one below another."""
+    """Table from code points to symbols (0 letters that no sample has, 1 rare letters, 2 space), and the languages' automata one below another."""
     key = hashlib.sha256(repr(sorted(sample.items())).encode()).digest()
     if key not in _READY:
         _READY.clear()
         common = [c for c, _ in Counter("".join(sample.values())).most_common(SYMBOLS) if c != " "][: SYMBOLS - 3]
-        table = np.fromiter((1 if chr(c).isalpha() else 2 for c in range(0x110000)), np.uint8, 0x110000)
+        table = np.fromiter((0 if chr(c).isalpha() else 2 for c in range(0x110000)), np.uint8, 0x110000)
+        table[[ord(c) for c in set("".join(sample.values())) if c.isalpha()]] = 1
         for i, c in enumerate(sorted(common)):
             table[ord(c)] = 3 + i
         width, parts, base, roots = 3 + len(common), [], 0, []
@@ -122,11 +133,11 @@ def phrases(rows: list[np.ndarray], width: int, flat: np.ndarray, roots: np.ndar
     return out
 
 
-def _predict(sample: dict[str, str]):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def _rates(sample: dict[str, str]):
+    """For batches (doc_id, text): the batch, the phrases a symbol of each language (by name) and row, and whether the row has a letter."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, width, flat, roots, langs = _model(sample)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        table, width, flat, roots, _ = _model(sample)
         for batch in batches:
             totals, sizes = np.zeros((len(roots), batch.num_rows)), np.zeros(batch.num_rows, np.int64)
             rows: list[np.ndarray] = []
@@ -159,11 +170,21 @@ def _predict(sample: dict[str, str]):
                     parse()
             parse()
             rate = totals / np.maximum(sizes, 1)
+            yield batch, rate, sizes > 0
+
+    return run
+
+
+def _predict(sample: dict[str, str]):
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs = sorted(sample)
+        for batch, rate, some in _rates(sample)(batches):
             best = rate.argmin(axis=0)
             ranked = np.sort(rate, axis=0)
             with np.errstate(all="ignore"):
-                score = (ranked[1] - ranked[0]) / np.maximum(ranked[1], 1e-12) if len(roots) > 1 else 1 - ranked[0]
-            some = sizes > 0
+                score = (ranked[1] - ranked[0]) / np.maximum(ranked[1], 1e-12) if len(langs) > 1 else 1 - ranked[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([langs[b] if k else "und" for b, k in zip(best, some, strict=True)]), pa.array(np.where(some, np.clip(score, 0, 1), 0.0))], schema=schema)
 
     def none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +194,21 @@ def _predict(sample: dict[str, str]):
     return run if sample else none
 
 
+def _two_best(sample: dict[str, str]):
+    """doc_id, row, and the rates and names of the best two languages of a group; none for rows without a letter."""
+    two = pa.list_(pa.struct([("rate", pa.float64()), ("lang", pa.string())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("best", two)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs = sorted(sample)
+        for batch, rate, some in _rates(sample)(batches):
+            order = np.argsort(rate, axis=0, kind="stable")[:2]
+            best = [[{"rate": float(rate[k, i]), "lang": langs[k]} for k in order[:, i]] if some[i] else [] for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best, two)], schema=schema)
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels aren't learned from; a null doc_id isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -183,7 +219,18 @@ def languages(docs: DataFrame, sample: dict[str, str] | None = None) -> DataFram
     arrow_limits(docs.sparkSession)
     if sample is None:
         sample = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(sample), "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = groups_of(sample)
+    if len(groups) < 2:
+        return rows.mapInArrow(_predict(sample), "doc_id long, lang_pred string, score double")
+    rows = rows.withColumn("row", F.xxhash64("text"))
+    parts = [rows.mapInArrow(_two_best(g), "doc_id long, row long, best array<struct<rate:double,lang:string>>").withColumn("g", F.lit(i)) for i, g in enumerate(groups)]
+    held = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "row").agg((F.count("*") / len(groups)).cast("int").alias("times"), F.collect_set(F.struct("g", "best")).alias("all"))
+    ranked = held.select("doc_id", "times", F.array_sort(F.flatten("all.best")).alias("r"))
+    first, second = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
+    score = F.least(F.greatest((second["rate"] - first["rate"]) / F.greatest(second["rate"], F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
+    out = ranked.select("doc_id", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return out.drop("copy")
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -195,7 +242,7 @@ def kept(docs: DataFrame) -> DataFrame:
     sample = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     if not sample:
         return docs
-    inner = _predict(sample)
+    inner = _predict(groups_of(sample)[0])  # what has a letter is the same in all groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

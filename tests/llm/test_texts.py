@@ -127,6 +127,29 @@ def test_language_id(odd_docs, spark):
     assert langid.kept(odd_docs).columns == odd_docs.columns
 
 
+def test_language_id_of_many_labels(spark):
+    """No label is dropped or shrunk: more labels than a group holds, those that are rarest too, in a script of their own or not."""
+    import random
+
+    random.seed(4)
+    data = []
+    for k in range(70):
+        alphabet = [chr(0x0430 + i) for i in range(32)] if k == 69 else "abcdefghijklmnopqrstuvwxyz"
+        words = ["".join(random.choice(alphabet) for _ in range(4)) for _ in range(8)]
+        data += [(100 * k + i, " ".join(random.choice(words) for _ in range(40)), f"l{k:02}") for i in range(5 if k > 60 else 8)]
+    data += [(9000, None, "l01"), (9001, "12 !!", None), (None, data[0][1], None), (1, data[1][1], "l00")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    sample = langid.learn(docs)
+    assert len(sample) == 70
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["lang_pred"]) for r in langid.languages(docs, sample).collect())
+    assert got == sorted([(d, k) for d, _, k in data[:-4]] + [(9000, "und"), (9001, "und"), (-1, "l00"), (1, "l00")])
+    assert all(0 <= r["score"] <= 1 for r in langid.languages(docs, sample).collect())
+    few = dict(list(sample.items())[:9])
+    own = docs.where("doc_id < 900")
+    want = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in own.select("doc_id", "text").mapInArrow(langid._predict(few), "doc_id long, lang_pred string, score double").collect()}
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.languages(own, few).collect()} == want
+
+
 def test_phrases_by_brute_force():
     """The automata's parse against a search for the longest match at each place."""
     sample = {"aa": "abracadabra abba", "bb": "cadillac adac bac"}
