@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         for batch in batches:
             x = _dense(batch.column(1), width)
             reach = (x @ pivots.T)[:, g_cell] + np.sqrt((x * x).sum(1))[:, None] * g_r[None, :]
-            i, j = np.nonzero(reach * (1 + 1e-9) + 1e-6 >= g_least[None, :])
+            i, j = np.nonzero(reach + 1e-9 * np.abs(reach) + 1e-6 >= g_least[None, :])
             yield pa.RecordBatch.from_arrays([pa.array(g_id[j], pa.int32()), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], names=["grp", "vec_id", "v"])
 
     sent = rows.mapInArrow(send, "grp int, vec_id long, v array<double>").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts)).cast("int"))

@@ -161,6 +161,17 @@ def test_knn(spark):
     assert knn.top_k(df.where("vec_id in (50, 51, 52)")).count() == 2
 
 
+def test_knn_of_small_tables(spark):
+    """Tables so small that the k-th best score is negative."""
+    rng = np.random.default_rng(3)
+    for n in (6, 7, 8, 9, 10):
+        data = [(i, rng.normal(0, 1, 16).tolist()) for i in range(n)]
+        whole = [np.floor(256 * np.array(v)) for _, v in data]
+        best = sorted((-int(whole[0] @ whole[j]), j) for j in range(1, n))[:5]
+        got = {tuple(r) for r in knn.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+        assert got == {(0, i + 1, j, -s) for i, (s, j) in enumerate(best)}, n
+
+
 def test_warc_round_trip(spark):
     big = "".join(random.Random(1).choice("abc <>") for _ in range(300_000))
     pages = [(5, "http://a/ b\r\n", "<p>x</p>"), (2, None, "<p>x</p>"), (9, "u", None), (4, "u", ""), (7, "u", big), (8, "u", big), (8, "u", big), (None, "u", "<p>x</p>"), (11, "u", "é\r\n\r\n WARC/1.1")]
