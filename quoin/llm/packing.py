@@ -114,7 +114,7 @@ def _cut(path: str, capacity: int):
 
 
 def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit by classes: (length, first rank, rank after the last, pieces a sequence, first sequence, offset there). Ranks of a length count from 0."""
+    """Best-fit by classes, on the driver: (length, first rank, rank after the last, pieces a sequence, first sequence, offset there). Ranks of a length count from 0."""
     sizes: list[int] = []  # of gaps, ascending
     runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, number)
     steps, sequences = [], 0
