@@ -234,18 +234,19 @@ def languages(docs: DataFrame, sample: dict[str, str] | None = None) -> DataFram
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows, with their own columns, whose text has a letter: the ones that prediction doesn't call `und`. Where nothing can be learned, all stay."""
+    """The rows, with their own columns, whose text has a letter: the ones that prediction doesn't call `und`, or wouldn't if anything could be learned."""
     arrow_limits(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index("text")
     sample = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    if not sample:
-        return docs
-    inner = _predict(groups_of(sample)[0])  # what has a letter is the same in all groups
+    inner = _predict(groups_of(sample)[0]) if sample else None  # what has a letter is the same in all groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if inner is None:
+                yield batch.filter(pa.array([any(map(str.isalpha, t.lower())) if t else False for t in batch.column(at).to_pylist()], pa.bool_()))
+                continue
             own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
             (found,) = inner(iter([own]))
             yield batch.filter(pa.array([x != "und" for x in found.column(1).to_pylist()]))

@@ -127,6 +127,11 @@ def test_language_id(odd_docs, spark):
     assert langid.kept(odd_docs).columns == odd_docs.columns
 
 
+def test_texts_without_letters_go_where_nothing_is_learned(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, None, None), (3, "12 !!", " "), (4, "", None), (None, "é", None), (None, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r["text"] for r in langid.kept(docs).collect()) == ["words", "é"]
+
+
 def test_language_id_of_many_labels(spark):
     """No label is dropped or shrunk: more labels than a group holds, those that are rarest too, in a script of their own or not."""
     import random
