@@ -28,9 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeats of lines and passages that occur earlier; documents of which nothing is left go."""
+    """Texts without the passages of 48 words or more that occur earlier; documents of which nothing is left go."""
     ship(spark)
-    done = substring.substring_dedup(docs, more=("removed spans", "number of units"), lines=True)
+    done = substring.substring_dedup(docs, more=("removed spans", "number of units"))
     return done.where(~((F.size("`removed spans`") > 0) & (F.trim("text") == ""))).select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -1,177 +1,288 @@
-"""Substring dedup by hashing of lines, their sentences and the pieces of long sentences.
-
-Units are sentences: a line is cut after . ! ? and a space, and at its end. A sentence of more than LONG words is cut further, after words that a hash picks (an eighth of
-them, but none within two words of another or of an end), so that a passage that begins or ends within a sentence shares the pieces between its first and last cut.
-A unit is normalised (lower-case letters and digits of its words, one space between) and hashed to 128 bits, and so is, with lines=True, each line with a word.
-Over all documents the digest's first place (smallest doc_id, there the first unit) is its earliest occurrence; units and lines elsewhere are repeats.
-With lines=True every line that is a repeat is removed, whatever its length. Runs of repeated units that follow each other in a document are removed if they hold least
-words or more: shorter ones, within lines that are no repeats, are phrases that texts share by chance, and stay.
-Units without words belong to the run they stand in. Removed spans keep their offsets (characters of the original text). A removed span takes the white space up to the next unit with it.
-
-A hot unit is one row for each task before the shuffle that finds first places; the join back is one that adaptive execution may split. Repeats of one document are
-gathered by document, whose size bounds them. Null texts stay null. Rows of one doc_id are one document, so none of them repeats another. Rows without a doc_id rank last,
-and don't repeat each other.
+"""Substring dedup: digests of short units, their earliest place in the corpus, and repeated passages cut out to the word.
+
+Words are runs of letters and digits, compared in lower case; everything between them is taken along. by="passages" cuts a text after words that are candidates: the last of a line,
+the last of a sentence, or one that a hash picks (an eighth of them). Of candidates within NEAR words of each other only the first kind counts, then the smallest hash; so a cut
+depends on a few words around it, and the units inside a passage are the same wherever the passage stands. by="lines" has whole lines as units.
+Units of three words or more (of one, for lines) are hashed to 128 bits; over all documents the digest's first place (smallest doc_id, there the first unit) is its earliest
+occurrence, and units elsewhere are repeats. Repeats that follow each other are a run. A passage seldom begins and ends with a unit, so the ends of a run are
+compared word by word with what stands beside the earliest occurrence (BESIDE words of it, as 16-bit codes) and the run grows as far as they agree. A run of least words or more is
+removed; shorter ones are phrases that texts share by chance, and stay (lines have least=1: every repeated line goes). A stretch of one word that is said over and over is
+one unit, and equal only to as long a stretch. Removed spans keep their offsets (characters of the original
+text); a span goes on to the next word that stays.
+
+Hot units are one row for each task before the shuffle that finds first places; the joins back are ones that adaptive execution may split. What is gathered is gathered by
+document, whose size bounds it. Null texts stay null; texts without words have no units. Rows of one doc_id are one document, so none of them repeats another. Rows without a
+doc_id rank last, and don't repeat each other. What a document says twice itself stays, unless within=True; of a passage that another document has earlier, every copy goes.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.runtime import arrow_limits, durable
+from quoin.runtime import arrow_limits, durable, worker_cache
 
-LEAST, LONG = 12, 24
-UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\n])[ \t]*\n*|\n+|\Z)", re.S)
-WORD = re.compile(r"[^\W_]+")
+LEAST, NEAR, BESIDE, ASK, CACHE = 48, 3, 48, 8, 300_000
+TOKEN = re.compile(r"[^\W_]+|[.!?]+(?=[ \t\n])|\n")
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x7FB5D329728EA185, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def _digest(words: str) -> bytes | None:
-    return xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass")) if words else None
+def _codes(tokens: list[str]) -> np.ndarray:
+    """A hash of each word; 0 for line ends, 1 for sentence ends."""
+    known = worker_cache("words of units", CACHE)
+    for t in set(tokens):
+        if t not in known:
+            known[t] = 0 if t == "\n" else 1 if t[0] in ".!?" else xxhash.xxh3_64_intdigest(t.lower().encode("utf-8", "surrogatepass")) | 2
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def _pieces(text: str, at: int, end: int) -> list[tuple[int, int, list[str]]]:
-    """The sentence at text[at:end] in pieces: (start, end, words)."""
-    found = list(WORD.finditer(text, at, end))
-    words = [m[0].lower() for m in found]
-    picked = [zlib.crc32(w.encode("utf-8", "surrogatepass")) & 7 == 0 for w in words]
-    cuts = [i + 1 for i in range(2, len(words) - 3) if picked[i] and not picked[i - 1] and not picked[i - 2]]
-    places = [at, *(found[i].start() for i in cuts), end]
-    return [(*p, words[i:j]) for p, i, j in zip(zip(places, places[1:]), [0, *cuts], [*cuts, len(words)])]
+def _mixed(x: np.ndarray, m: np.uint64) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * m
+    return x ^ (x >> np.uint64(29))
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes | None, str]]:
-    """(start, end, number of words, digest, words) of the units, which tile the text; no digest without words."""
-    out, at = [], 0
-    for m in UNIT.finditer(text):
-        end = m.end()
-        if end > at:
-            words = WORD.findall(m[0].lower())
-            for a, b, own in _pieces(text, at, end) if len(words) > LONG else ((at, end, words),):
-                joined = " ".join(own)
-                out.append((a, b, len(own), _digest(joined), joined))
-            at = end
-    return out
+def units(codes: np.ndarray, by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes, where the units begin (in words), and their digests (two 64-bit numbers each)."""
+    word = codes > 1
+    h = codes[word]
+    if not len(h):
+        return h, np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+    before = np.cumsum(word) - 1
+    ends = lambda code: (e := before[codes == code])[e >= 0]
+    if by == "lines":
+        cut = np.zeros(len(h), bool)
+        cut[ends(0)] = True
+    else:
+        rank = np.where(h >> np.uint64(8) & np.uint64(7), 3, 2).astype(np.uint64)
+        rank[ends(1)] = 1
+        rank[ends(0)] = 0
+        key = rank << np.uint64(32) | h >> np.uint64(32)
+        cut = rank < 3
+        for d in range(1, NEAR + 1):
+            cut[d:] &= key[d:] < key[:-d]
+            cut[:-d] &= key[:-d] <= key[d:]
+    starts = np.append(0, np.flatnonzero(cut[:-1]) + 1)
+    at = (np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))).astype(np.uint64)
+    sums = [np.add.reduceat(_mixed(h + at * _MIX[i], _MIX[i + 2]), starts) for i in (0, 1)]
+    return h, starts, np.stack(sums, axis=1)
 
 
-def lines_of(text: str, all_: list[tuple]) -> list[tuple[int, int, bytes | None]]:
-    """(first unit, unit after the last, digest) of the lines; no digest without words."""
-    out, first = [], 0
-    for i, u in enumerate(all_):
-        if i + 1 == len(all_) or text[u[1] - 1] == "\n":
-            out.append((first, i + 1, u[3] if first == i else _digest(" ".join(x[4] for x in all_[first : i + 1] if x[4]))))
-            first = i + 1
-    return out
+def _narrow(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(20)).astype(np.uint16)
 
 
-_UNITS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.list_(pa.binary())), ("at", pa.list_(pa.int32()))])
+_KINDS = "doc_id long, row long, digest array<binary>, at array<int>, size array<int>, words binary, n_units long, own boolean"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.list_(pa.binary())), ("at", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("words", pa.binary()), ("n_units", pa.int64()), ("own", pa.bool_())])
 
 
-def _cut(lines: bool):
-    """Each document's digests with the number of the first unit that has it, or -1 less the number of the first line; units of one or two words are only what a run takes along."""
+def _cut(by: str):
+    """Each document's distinct digests with the first word and the size of the first unit that has each; its words as codes; whether it repeats a unit of its own."""
+    small = 1 if by == "lines" else 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, places = [], []
+            digests, places, sizes, words, counts, own = [], [], [], [], [], []
             for text in batch.column(2):
-                found: dict[bytes, int] = {}
-                t = text.as_py()
-                all_ = units(t) if t else []
-                for i, u in enumerate(all_):
-                    if u[2] > 2:
-                        found.setdefault(u[3], i)
-                for i, (_, _, digest) in enumerate(lines_of(t, all_) if lines and t else ()):
-                    if digest:
-                        found.setdefault(digest, -1 - i)
-                digests.append(list(found))
-                places.append(list(found.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.list_(pa.binary())), pa.array(places, pa.list_(pa.int32()))], schema=_UNITS)
+                h, starts, digest = units(_codes(TOKEN.findall(text.as_py() or "")), by)
+                size = np.diff(np.append(starts, len(h)))
+                big = np.flatnonzero(size >= small)
+                _, first = np.unique(digest[big], axis=0, return_index=True) if len(big) else (None, big)
+                kept = big[np.sort(first)]
+                raw = digest[kept].tobytes()
+                digests.append([raw[i : i + 16] for i in range(0, len(raw), 16)])
+                places.append(starts[kept])
+                sizes.append(size[kept])
+                words.append(_narrow(h).tobytes())
+                counts.append(len(starts))
+                own.append(len(kept) < len(big))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, f.type) for x, f in zip((digests, places, sizes, words, counts, own), list(_SCHEMA)[2:])]], schema=_SCHEMA)
 
     return run
 
 
-def cut_runs(text: str | None, repeats: list[int] | None, least: int, lines: bool = False) -> tuple[str | None, list[dict], int]:
-    """The text without its repeats, the removed spans and the number of units. repeats: units, and lines as -1 less their number, that other documents have earlier."""
+_ASKS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("left", pa.bool_()), ("a_doc", pa.int64()), ("a_row", pa.int64()), ("a_at", pa.int32())])
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document's repeats: the two outer units at either end of runs of ASK words or more, with the word of the earliest occurrence at which that unit begins or ends."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, row, repeats in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found = sorted({r["at"]: r for r in repeats}.values(), key=lambda r: r["at"])
+            i = 0
+            while i < len(found):
+                j = i + 1
+                while j < len(found) and found[j]["at"] - found[j - 1]["at"] - found[j - 1]["size"] <= 2:
+                    j += 1
+                if sum(r["size"] for r in found[i:j]) >= ASK:
+                    rows += [(doc, row, r["at"], True, r["a_doc"], r["a_row"], r["a_at"]) for r in found[i : min(i + 2, j)]]
+                    rows += [(doc, row, r["at"] + r["size"], False, r["a_doc"], r["a_row"], r["a_at"] + r["size"]) for r in found[max(i, j - 2) : j]]
+                i = j
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ASKS)], schema=_ASKS)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a_doc, a_row, words, asked) to (a_doc, a_row, a_at, left, beside): the codes before or after a word."""
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, row, words, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for x in asked:
+                at = 2 * x["a_at"]
+                out.append((doc, row, x["a_at"], x["left"], words[max(0, at - 2 * BESIDE) : at] if x["left"] else words[at : at + 2 * BESIDE]))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["a_doc", "a_row", "a_at", "left", "beside"])
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def cut_runs(text: str | None, repeats: set[int], beside: dict[tuple[int, bool], np.ndarray], least: int, by: str = "passages", within: bool = False) -> tuple[str | None, list[dict]]:
+    """The text without its repeats, and the removed spans. repeats: first words of units that other documents have earlier (of equal units in this one, the first).
+
+    beside: by word and side, the codes that stand beside the earliest occurrence of the unit that begins (left) or ends there.
+    """
     if not text:
-        return text, [], 0
-    all_ = units(text)
-    rows = lines_of(text, all_) if lines else []
-    seen = {all_[i][3] if i >= 0 else rows[-1 - i][2] for i in repeats or ()}
-    again, gone, held = [], [False] * len(all_), set(seen)
-    for _, _, n, digest, _ in all_:
-        again.append(n > 2 and digest in seen)
-        if n > 2:
-            seen.add(digest)
-    for first, last, digest in rows:
-        if digest in held:
-            gone[first:last] = again[first:last] = [True] * (last - first)
-        held.update(u[3] for u in all_[first:last] if u[2] > 2)
-        if digest:
-            held.add(digest)
-    i = 0
-    while i < len(all_):
+        return text, []
+    found = list(TOKEN.finditer(text))
+    codes = _codes([m[0] for m in found])
+    h, starts, digest = units(codes, by)
+    h, stops = _narrow(h), np.append(starts, len(h))[1:]
+    small = 1 if by == "lines" else 3
+    first: dict[bytes, int] = {}
+    again: list[bool] = []
+    for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
+        key = digest[i].tobytes()
+        if b - a < small:
+            again.append(False)
+            continue
+        again.append(within and key in first or first.setdefault(key, a) in repeats)
+    held = {k for k, a in first.items() if a in repeats}
+
+    def grown(i: int, left: bool, most: int) -> int:
+        """Words beyond the run's outer unit i that agree with what stands beside an earliest occurrence; at most so many."""
+        best = 0
+        inner = [k for k in ((i, i + 1) if left else (i, i - 1)) if 0 <= k < len(again) and again[k]]
+        edge = int(starts[i] if left else stops[i])
+        for k in inner:
+            w = int(starts[k] if left else stops[k])
+            key = digest[k].tobytes()
+            if key in held:
+                source = int(first[key] + (0 if left else stops[k] - starts[k]))
+                other = beside.get((source, left))
+                if other is None:
+                    continue
+            else:
+                source = int(first[key] + (0 if left else stops[k] - starts[k]))
+                other = h[max(0, source - BESIDE) : source] if left else h[source : source + BESIDE]
+            n = _agree(h[:w][::-1], other[::-1]) if left else _agree(h[w:], other)
+            best = max(best, n - abs(w - edge))
+        return max(0, min(best, most))
+
+    spans: list[tuple[int, int]] = []
+    i, last = 0, 0
+    while i < len(again):
         if not again[i]:
             i += 1
             continue
-        j, end = i, i + 1
-        while j < len(all_) and (again[j] or all_[j][2] <= 2):
-            end = j + 1 if again[j] else end
+        j = i + 1
+        while j < len(again) and (again[j] or (stops[j] - starts[j] < small and j + 1 < len(again) and again[j + 1])):
             j += 1
-        if sum(u[2] for u in all_[i:end]) >= least:
-            gone[i:end] = [True] * (end - i)
+        a, b = int(starts[i]), int(stops[j - 1])
+        if by != "lines":
+            a, b = a - grown(i, True, a - last), b + grown(j - 1, False, len(h) - b)
+        if b - a >= least:
+            spans.append((a, b))
+            last = b
         i = j
-    spans: list[dict] = []
-    for u, out in zip(all_, gone):
-        if out and spans and spans[-1]["end"] == u[0]:
-            spans[-1]["end"] = u[1]
-        elif out:
-            spans.append({"start": u[0], "end": u[1]})
+    places = [m.start() for m, c in zip(found, codes.tolist()) if c > 1]
+    whole = [{"start": places[a] if a else 0, "end": places[b] if b < len(places) else len(text)} for a, b in spans]
+    out: list[dict] = []
+    for s in whole:
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append(s)
     at, kept = 0, []
-    for s in spans:
+    for s in out:
         kept.append(text[at : s["start"]])
         at = s["end"]
-    return "".join([*kept, text[at:]]), spans, len(all_)
+    return "".join([*kept, text[at:]]), out
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _drop(least: int, lines: bool):
+def _drop(least: int, by: str, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [cut_runs(t.as_py(), r.as_py(), least, lines) for t, r in zip(batch.column("text"), batch.column("repeats"), strict=True)]
-            own = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("text", "repeats")]
-            names = [n for n in batch.schema.names if n not in ("text", "repeats")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], _SPANS), pa.array([d[2] for d in done], pa.int64())], names=[*names, "clean", "removed", "n_units"])
+            clean, spans = batch.column("text"), [[] for _ in range(batch.num_rows)]
+            work = [i for i, (own, r) in enumerate(zip(batch.column("own").to_pylist(), batch.column("repeats").to_pylist(), strict=True)) if within and own or r]
+            if work:
+                texts = clean.to_pylist()
+                for i in work:
+                    beside = {(x["at"], x["left"]): np.frombuffer(x["beside"], np.uint16) for x in batch.column("edges")[i].as_py() or ()}
+                    texts[i], spans[i] = cut_runs(texts[i], {x["at"] for x in batch.column("repeats")[i].as_py() or ()}, beside, least, by, within)
+                clean = pa.array(texts, pa.string())
+            names = [n for n in batch.schema.names if n not in ("text", "own", "repeats", "edges")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], clean, pa.array(spans, _SPANS)], names=[*names, "clean", "removed"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, least: int = LEAST, more: tuple[str, str] = ("removed", "n_units"), lines: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int | None = None, more: tuple[str, str] = ("removed", "n_units"), by: str = "passages", within: bool = False) -> DataFrame:
     """The rows' columns with text cleaned and, after them, the removed spans of the original text and the number of units, under the names in more.
 
-    n_chars, where there is one, is counted anew. lines: whether repeated lines go whatever their length, as the queries have it.
+    by: "passages" of least words (48) or more, or whole "lines" of least words (1) or more. n_chars, where there is one, is counted anew. Where the table has a column of a name in
+    more, underscores are put after that name.
     """
+    if by not in ("passages", "lines"):
+        raise ValueError(f"by must be passages or lines, not {by!r}")
+    least = (1 if by == "lines" else LEAST) if least is None else least
     arrow_limits(docs.sparkSession)
     names = docs.columns
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")], F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
-    cut = rows.select("doc_id", "row", "text").mapInArrow(_cut(lines), "doc_id long, row long, digest array<binary>, at array<int>")
-    cut = durable(cut, "units")  # read twice
-    spread = cut.select("doc_id", "row", F.explode(F.arrays_zip("digest", "at")).alias("u")).select("doc_id", "row", F.col("u.digest").alias("digest"), F.col("u.at").alias("at"))
-    first = spread.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("first != last or (unnamed and first is not null)").select("digest", "first")
-    again = spread.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.xxhash64("doc_id", "row").alias("key"), F.col("doc_id").alias("d"), F.col("row").alias("r"), "at")
-    again = again.repartition("key").groupBy("key", "d", "r").agg(F.collect_list("at").alias("repeats"))
+    cut = durable(rows.select("doc_id", "row", "text").mapInArrow(_cut(by), _KINDS), "units")  # read again and again
+    spread = cut.select("doc_id", "row", F.explode(F.arrays_zip("digest", "at", "size")).alias("u")).select("doc_id", "row", "u.digest", "u.at", "u.size")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "at")
+    first = spread.groupBy("digest").agg(F.min(place).alias("a"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("a.doc_id != last or (unnamed and a.doc_id is not null)")
+    first = first.select("digest", F.col("a.doc_id").alias("a_doc"), F.col("a.row").alias("a_row"), F.col("a.at").alias("a_at"))
+    again = spread.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("a_doc"))).select("doc_id", "row", "at", "size", "a_doc", "a_row", "a_at")
+    again = again.withColumn("key", F.xxhash64("doc_id", "row")).repartition("key").groupBy("key", "doc_id", "row").agg(F.collect_list(F.struct("at", "size", "a_doc", "a_row", "a_at")).alias("repeats"))
+    again = durable(again, "repeats")
+    edge = "struct<at:int,left:boolean,beside:binary>"
+    facts = cut.select("doc_id", "row", "own", "n_units", F.lit(None).cast("array<int>").alias("repeats"), F.lit(None).cast(edge).alias("edge"))
+    facts = facts.unionAll(again.select("doc_id", "row", F.lit(None).cast("boolean"), F.lit(None).cast("long"), "repeats.at", F.lit(None).cast(edge)))
+    if by == "passages":
+        asks = durable(again.select("doc_id", "row", "repeats").mapInArrow(_ask, "doc_id long, row long, at int, left boolean, a_doc long, a_row long, a_at int"), "asks")
+        asked = asks.groupBy("a_doc", "a_row").agg(F.collect_set(F.struct("a_at", "left")).alias("asked"))
+        held = cut.select(F.col("doc_id").alias("a_doc"), F.col("row").alias("a_row"), "words").join(asked, ["a_doc", "a_row"])
+        answers = held.select("a_doc", "a_row", "words", "asked").mapInArrow(_answer, "a_doc long, a_row long, a_at int, left boolean, beside binary").dropDuplicates(["a_doc", "a_row", "a_at", "left"])
+        told = asks.join(answers, ["a_doc", "a_row", "a_at", "left"]).select("doc_id", "row", F.struct("at", "left", "beside").alias("edge"))
+        facts = facts.unionAll(told.select("doc_id", "row", F.lit(None).cast("boolean"), F.lit(None).cast("long"), F.lit(None).cast("array<int>"), "edge"))
+    facts = facts.withColumn("key", F.xxhash64("doc_id", "row")).repartition("key").groupBy("key", F.col("doc_id").alias("d"), F.col("row").alias("r"))
+    facts = facts.agg(F.max("own").alias("own"), F.max("n_units").alias("n_units"), F.transform(F.flatten(F.collect_list("repeats")), lambda x: F.struct(x.alias("at"))).alias("repeats"), F.collect_list("edge").alias("edges"))
     own = rows.withColumn("key ", F.xxhash64("doc_id", "row")).repartition("key ")  # by document: even, so there is nothing to split in many small tasks
-    same = (F.col("row").bitwiseXOR(F.col("r")) == 0) & (F.coalesce(F.col("doc_id").bitwiseXOR(F.col("d")), F.lit(0)) == 0)  # no keys of the join, which would shuffle again
-    joined = own.join(again, (F.col("key ") == F.col("key")) & same, "left").drop("key ", "key", "d", "r", "row")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "repeats"))
-    out = joined.mapInArrow(_drop(least, lines), f"{kinds}, clean string, removed array<struct<start:bigint,end:bigint>>, n_units long")
+    same = (F.col("row").bitwiseXOR(F.col("r")) == 0) & F.coalesce(F.col("doc_id").bitwiseXOR(F.col("d")) == 0, F.col("doc_id").isNull() & F.col("d").isNull())  # no keys of the join, which would shuffle again
+    joined = own.join(facts, (F.col("key ") == F.col("key")) & same, "left").drop("key ", "key", "d", "r", "row")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "own", "repeats", "edges"))
+    out = joined.mapInArrow(_drop(least, by, within), f"{kinds}, clean string, removed array<struct<start:bigint,end:bigint>>")
     back = {"text": F.col("clean"), "doc_id": F.col("doc_id"), **{c: F.col(f"c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")}}
     if "n_chars" in names:
         back["n_chars"] = F.when(F.col("clean").isNotNull(), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(back["n_chars"])
-    return out.select(*[back[c].alias(c) for c in names], F.col("removed").alias(more[0]), F.col("n_units").alias(more[1]))
+    told = []
+    for m in more:
+        while m.lower() in {c.lower() for c in [*names, *told]}:
+            m += "_"
+        told.append(m)
+    return out.select(*[back[c].alias(c) for c in names], F.col("removed").alias(told[0]), F.col("n_units").alias(told[1]))

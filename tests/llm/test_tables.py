@@ -94,55 +94,62 @@ def test_components(spark):
 
 
 def test_substrings(spark, odd_docs, no_docs):
-    passage = "This passage of many words comes again in other texts, as it was planted there. It has a second sentence, so that units follow each other in a run of them! Ok. And a third with still some more words than that."
-    data = [(3, f"Own beginning of a text. {passage} Own end."), (1, f"First holder. {passage.upper()} Its own end."), (2, "A clean text of its own.\nOk. It stays."), (4, f"{passage}\n{passage} Tail."), (5, None), (6, ""), (7, "A clean text of its own.")]
-    got = {r["doc_id"]: r for r in substring.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert got[1]["text"] == dict(data)[1] and got[1]["removed"] == [] and got[2]["text"] == dict(data)[2] and got[7]["text"] == dict(data)[7]
+    passage = "This passage of many words comes again in other texts, as it was planted there. It has a second sentence, so that units follow each other in a run of them! Ok. And a third with still some more words than that, for it needs to be as long as a passage has to be."
+    data = [(3, f"Own beginning of a text. {passage} Own end."), (1, f"First holder. {passage.upper()} Its own end."), (2, "A clean text of its own.\nOk. It stays."), (4, f"{passage}\n{passage} Tail."), (5, None), (6, ""), (7, "A clean text of its own."), (8, "Ok. " * 200)]
+    rows = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring.substring_dedup(rows).collect()}
+    assert all(got[d]["text"] == dict(data)[d] and got[d]["removed"] == [] for d in (1, 2, 7, 8))
     assert got[3]["text"] == "Own beginning of a text. Own end."
     (span,) = got[3]["removed"]
     assert dict(data)[3][span["start"] : span["end"]].strip() == passage
     assert got[4]["text"] == "Tail." and got[5]["text"] is None and got[6]["text"] == ""
     out = substring.substring_dedup(odd_docs, more=("gone", "units"))
     assert out.columns == [*odd_docs.columns, "gone", "units"] and out.count() == odd_docs.count()
+    clashing = substring.substring_dedup(odd_docs)
+    assert clashing.columns == [*odd_docs.columns, "removed_", "n_units"] and clashing.count() == odd_docs.count()
     assert substring.substring_dedup(no_docs).count() == 0
+    twice = spark.createDataFrame([(1, f"{passage}\n{passage} Tail.")], "doc_id long, text string")
+    assert substring.substring_dedup(twice).first()["removed"] == [] and substring.substring_dedup(twice, within=True).first()["text"] == f"{passage}\nTail."
 
 
-def test_substrings_by_brute_force(copies):
-    """First places by a dictionary over all documents."""
-    docs = sorted(tuple(r) for r in copies.withColumn("text", F.regexp_replace("text", r"(a\d+) ", "$1. ")).collect())
-    first = {}
-    for d, t in docs:
-        for u in substring.units(t):
-            if u[2] > 2:
-                first.setdefault(u[3], d)
-    want = {d: substring.cut_runs(t, [i for i, u in enumerate(substring.units(t)) if u[2] > 2 and first[u[3]] != d], substring.LEAST)[0] for d, t in docs}
-    got = substring.substring_dedup(copies.withColumn("text", F.regexp_replace("text", r"(a\d+) ", "$1. ")))
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == want and want != dict(docs)
-
-
-def test_hot_lines_and_passages_within_sentences(spark):
-    """Repeated lines go whatever their length; of a passage of 51 to 60 words that begins and ends within a sentence, no run of 51 words stays twice."""
+def test_substrings_by_brute_force(spark):
+    """Of runs of 50 words that stand in a document of smaller id, wherever they begin and end, nearly all words go; next to nothing else does."""
     rng = random.Random(8)
-    own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
-    data, planted = [], []
-    for i in range(40):
-        n = rng.randint(51, 60)
-        words = own(n).split()
-        if i % 2:
-            words[20] += "."
-        planted.append([w.strip(".") for w in words])
-        for j in range(2):
-            data.append((2 * i + j, f"{own(9)}. {own(rng.randint(3, 15))} {' '.join(words)} {own(rng.randint(3, 15))}.\nRead more\nShare this page now.\n{own(12)}."))
-    got = {r["doc_id"]: r["text"] for r in substring.substring_dedup(spark.createDataFrame(data, "doc_id long, text string"), lines=True).collect()}
-    assert got[0] == data[0][1]
-    for i, words in enumerate(planted):
-        assert " ".join(words) in re.sub(r"[.]", "", got[2 * i])
-        left = " ".join(re.findall(r"\w+", got[2 * i + 1]))
-        assert not any(" ".join(words[a : a + 51]) in left for a in range(len(words) - 50)), i
-    assert all("Read more" not in t and "Share" not in t for d, t in got.items() if d)
-    for d, t in data:
-        ends = t.splitlines()
-        assert got[d].endswith(ends[-1]) and got[d].startswith(t[:60])
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+
+    def prose(n):
+        words = [rng.choice(vocabulary) for _ in range(n)]
+        return " ".join(w + (". " if rng.random() < 0.1 else ".\n" if rng.random() < 0.03 else "").rstrip(" ") for w in words)
+
+    planted = [prose(rng.randint(51, 120)) for _ in range(60)]
+    docs = {i: f"{prose(rng.randint(3, 150))} {rng.choice(planted) if i % 2 else ''} {prose(rng.randint(3, 40))}\nRead more here" for i in range(300)}
+    docs[300] = docs[1].replace(" ", "  ")
+    words = {d: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)] for d, t in docs.items()}
+    seen, again = {}, {}
+    for d, own in words.items():
+        again[d] = [False] * len(own)
+        for i in range(len(own) - 49):
+            if seen.setdefault(tuple(w[2] for w in own[i : i + 50]), d) != d:
+                again[d][i : i + 50] = [True] * 50
+    got = {r["doc_id"]: r for r in substring.substring_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    kept_again = other_gone = 0
+    for d, own in words.items():
+        at, kept = 0, ""
+        for s in got[d]["removed"]:
+            kept, at = kept + docs[d][at : s["start"]], s["end"]
+        assert kept + docs[d][at:] == got[d]["text"]
+        gone = [any(s["start"] <= w[0] and w[1] <= s["end"] for s in got[d]["removed"]) for w in own]
+        kept_again += sum(a and not g for a, g in zip(again[d], gone))
+        other_gone += sum(g and not a for a, g in zip(again[d], gone))
+    assert sum(map(sum, again.values())) > 5000
+    assert kept_again <= 0.01 * sum(map(sum, again.values())) and other_gone <= 0.002 * sum(map(len, words.values()))
+
+
+def test_repeated_lines(spark):
+    """by="lines" removes every line that stands earlier, whatever its length, and keeps its first place."""
+    data = [(1, "Read more\nOne text.\n\nx"), (2, "READ  more!\nAnother text."), (3, "Other.\nRead more\nx"), (None, "Read more"), (None, "Read more")]
+    got = sorted((r["doc_id"] or 9, r["text"]) for r in substring.substring_dedup(spark.createDataFrame(data, "doc_id long, text string"), by="lines").collect())
+    assert got == [(1, data[0][1]), (2, "Another text."), (3, "Other.\n"), (9, ""), (9, "")]
 
 
 def test_knn(spark):
