@@ -1,7 +1,7 @@
 """Substring dedup: digests of short units, their earliest place in the corpus, and repeated passages cut out to the word.
 
 Words are runs of letters and digits, compared in lower case; everything between them is taken along. by="passages" cuts a text after words that are candidates: the last of a line,
-the last of a sentence, or one that a hash picks (an eighth of them). Of candidates within NEAR words of each other only the first kind counts, then the smallest hash; so a cut
+the last of a sentence, or one that a hash picks (one of PICK). Of candidates within NEAR words of each other only the first kind counts, then the smallest hash; so a cut
 depends on a few words around it, and the units inside a passage are the same wherever the passage stands. by="lines" has whole lines as units.
 Units of three words or more (of one, for lines) are hashed to 128 bits; over all documents the digest's first place (smallest doc_id, there the first unit) is its earliest
 occurrence, and units elsewhere are repeats. Repeats that follow each other are a run. A passage seldom begins and ends with a unit, so the ends of a run are
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-LEAST, NEAR, BESIDE, ASK, CACHE = 48, 3, 48, 8, 300_000
+LEAST, NEAR, PICK, BESIDE, ASK, CACHE = 48, 4, 16, 48, 8, 300_000
 TOKEN = re.compile(r"[^\W_]+|[.!?]+(?=[ \t\n])|\n")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x7FB5D329728EA185, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -37,10 +37,13 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x7FB5D329728EA185, 0xD
 def _codes(tokens: list[str]) -> np.ndarray:
     """A hash of each word; 0 for line ends, 1 for sentence ends."""
     known = worker_cache("words of units", CACHE)
-    for t in set(tokens):
-        if t not in known:
-            known[t] = 0 if t == "\n" else 1 if t[0] in ".!?" else xxhash.xxh3_64_intdigest(t.lower().encode("utf-8", "surrogatepass")) | 2
-    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    try:
+        return np.array(list(map(known.__getitem__, tokens)), np.uint64)
+    except KeyError:
+        for t in set(tokens):
+            if t not in known:
+                known[t] = 0 if t == "\n" else 1 if t[0] in ".!?" else xxhash.xxh3_64_intdigest(t.lower().encode("utf-8", "surrogatepass")) | 2
+        return np.array(list(map(known.__getitem__, tokens)), np.uint64)
 
 
 def _mixed(x: np.ndarray, m: np.uint64) -> np.ndarray:
@@ -48,38 +51,51 @@ def _mixed(x: np.ndarray, m: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def units(codes: np.ndarray, by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words' hashes, where the units begin (in words), and their digests (two 64-bit numbers each)."""
+def units(texts: list[np.ndarray], by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many texts' codes, one after another: the words' hashes, the text of each word, where the units begin (in words), and their digests (two 64-bit numbers each)."""
+    codes = np.concatenate([*texts, np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     word = codes > 1
-    h = codes[word]
+    h, doc = codes[word], owner[word]
     if not len(h):
-        return h, np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+        return h, doc, np.empty(0, np.int64), np.empty((0, 2), np.uint64)
     before = np.cumsum(word) - 1
-    ends = lambda code: (e := before[codes == code])[e >= 0]
+
+    def ends(code: int) -> np.ndarray:
+        at = np.flatnonzero(codes == code)
+        e = before[at]
+        return e[(e >= 0) & (doc[e] == owner[at])]
+
     if by == "lines":
         cut = np.zeros(len(h), bool)
         cut[ends(0)] = True
     else:
-        rank = np.where(h >> np.uint64(8) & np.uint64(7), 3, 2).astype(np.uint64)
+        rank = np.where(h >> np.uint64(8) & np.uint64(PICK - 1), 3, 2).astype(np.uint64)
         rank[ends(1)] = 1
         rank[ends(0)] = 0
         key = rank << np.uint64(32) | h >> np.uint64(32)
         cut = rank < 3
-        for d in range(1, NEAR + 1):
-            cut[d:] &= key[d:] < key[:-d]
-            cut[:-d] &= key[:-d] <= key[d:]
-    starts = np.append(0, np.flatnonzero(cut[:-1]) + 1)
+        for d in range(1, min(NEAR, len(h) - 1) + 1):
+            other = doc[d:] != doc[:-d]
+            cut[d:] &= (key[d:] < key[:-d]) | other
+            cut[:-d] &= (key[:-d] <= key[d:]) | other
+    starts = np.append(0, np.flatnonzero(cut[:-1] | (doc[1:] != doc[:-1])) + 1)
     at = (np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))).astype(np.uint64)
     sums = [np.add.reduceat(_mixed(h + at * _MIX[i], _MIX[i + 2]), starts) for i in (0, 1)]
-    return h, starts, np.stack(sums, axis=1)
+    return h, doc, starts, np.stack(sums, axis=1)
 
 
 def _narrow(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.uint16)
 
 
+def _fixed(values: np.ndarray, width: int) -> pa.Array:
+    """Rows of a contiguous array as binaries of so many bytes."""
+    n = len(values)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 _KINDS = "doc_id long, row long, digest array<binary>, at array<int>, size array<int>, words binary, n_units long, own boolean"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.list_(pa.binary())), ("at", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("words", pa.binary()), ("n_units", pa.int64()), ("own", pa.bool_())])
 
 
 def _cut(by: str):
@@ -88,30 +104,34 @@ def _cut(by: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, places, sizes, words, counts, own = [], [], [], [], [], []
-            for text in batch.column(2):
-                h, starts, digest = units(_codes(TOKEN.findall(text.as_py() or "")), by)
-                size = np.diff(np.append(starts, len(h)))
-                big = np.flatnonzero(size >= small)
-                _, first = np.unique(digest[big], axis=0, return_index=True) if len(big) else (None, big)
-                kept = big[np.sort(first)]
-                raw = digest[kept].tobytes()
-                digests.append([raw[i : i + 16] for i in range(0, len(raw), 16)])
-                places.append(starts[kept])
-                sizes.append(size[kept])
-                words.append(_narrow(h).tobytes())
-                counts.append(len(starts))
-                own.append(len(kept) < len(big))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, f.type) for x, f in zip((digests, places, sizes, words, counts, own), list(_SCHEMA)[2:])]], schema=_SCHEMA)
+            n = batch.num_rows
+            h, doc, starts, digest = units([_codes(TOKEN.findall(t.as_py() or "")) for t in batch.column(2)], by)
+            size = np.diff(np.append(starts, len(h)))
+            of = doc[starts] if len(h) else doc
+            begins = np.searchsorted(doc, np.arange(n + 1))
+            big = np.flatnonzero(size >= small)
+            order = big[np.lexsort((big, digest[big, 1], digest[big, 0], of[big]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (of[order[1:]] != of[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]]).any(axis=1)
+            kept = np.sort(order[new])
+            offsets = pa.array(np.searchsorted(of[kept], np.arange(n + 1)), pa.int32())
+            lists = (_fixed(digest[kept], 16), pa.array((starts - begins[of])[kept], pa.int32()), pa.array(size[kept], pa.int32()))
+            codes = _narrow(h)
+            words = pa.array([codes[a:b].tobytes() for a, b in zip(begins, begins[1:])], pa.binary())
+            counts = np.diff(np.searchsorted(of, np.arange(n + 1)))
+            own = np.bincount(of[big], minlength=n) > np.bincount(of[kept], minlength=n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.ListArray.from_arrays(offsets, x) for x in lists], words, pa.array(counts, pa.int64()), pa.array(own)], names=["doc_id", "row", "digest", "at", "size", "words", "n_units", "own"]
+            )
 
     return run
 
 
-_ASKS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("left", pa.bool_()), ("a_doc", pa.int64()), ("a_row", pa.int64()), ("a_at", pa.int32())])
+_ASKS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("left", pa.bool_()), ("a_doc", pa.int64()), ("digest", pa.binary())])
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document's repeats: the two outer units at either end of runs of ASK words or more, with the word of the earliest occurrence at which that unit begins or ends."""
+    """Of each document's repeats: the two outer units at either end of runs of ASK words or more, with their earliest document."""
     for batch in batches:
         rows: list[tuple] = []
         for doc, row, repeats in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -122,22 +142,25 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while j < len(found) and found[j]["at"] - found[j - 1]["at"] - found[j - 1]["size"] <= 2:
                     j += 1
                 if sum(r["size"] for r in found[i:j]) >= ASK:
-                    rows += [(doc, row, r["at"], True, r["a_doc"], r["a_row"], r["a_at"]) for r in found[i : min(i + 2, j)]]
-                    rows += [(doc, row, r["at"] + r["size"], False, r["a_doc"], r["a_row"], r["a_at"] + r["size"]) for r in found[max(i, j - 2) : j]]
+                    rows += [(doc, row, r["at"], True, r["a_doc"], r["digest"]) for r in found[i : min(i + 2, j)]]
+                    rows += [(doc, row, r["at"] + r["size"], False, r["a_doc"], r["digest"]) for r in found[max(i, j - 2) : j]]
                 i = j
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ASKS)], schema=_ASKS)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a_doc, a_row, words, asked) to (a_doc, a_row, a_at, left, beside): the codes before or after a word."""
+    """(digest, at, size, words, asked) of documents to (digest, left, beside): the codes of the words before or after a unit."""
     for batch in batches:
         out: list[tuple] = []
-        for doc, row, words, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for i, asked in enumerate(batch.column(4).to_pylist()):
+            digests, at, size, words = (batch.column(k)[i].as_py() for k in range(4))
+            index = {d: k for k, d in enumerate(digests)}
             for x in asked:
-                at = 2 * x["a_at"]
-                out.append((doc, row, x["a_at"], x["left"], words[max(0, at - 2 * BESIDE) : at] if x["left"] else words[at : at + 2 * BESIDE]))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["a_doc", "a_row", "a_at", "left", "beside"])
+                if (k := index.get(x["digest"])) is not None:
+                    first, stop = 2 * at[k], 2 * (at[k] + size[k])
+                    out.append((x["digest"], x["left"], words[max(0, first - 2 * BESIDE) : first] if x["left"] else words[stop : stop + 2 * BESIDE]))
+        kinds = (pa.binary(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["digest", "left", "beside"])
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -156,7 +179,7 @@ def cut_runs(text: str | None, repeats: set[int], beside: dict[tuple[int, bool],
         return text, []
     found = list(TOKEN.finditer(text))
     codes = _codes([m[0] for m in found])
-    h, starts, digest = units(codes, by)
+    h, _, starts, digest = units([codes], by)
     h, stops = _narrow(h), np.append(starts, len(h))[1:]
     small = 1 if by == "lines" else 3
     first: dict[bytes, int] = {}
@@ -254,21 +277,20 @@ def substring_dedup(docs: DataFrame, least: int | None = None, more: tuple[str,
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")], F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     cut = durable(rows.select("doc_id", "row", "text").mapInArrow(_cut(by), _KINDS), "units")  # read again and again
     spread = cut.select("doc_id", "row", F.explode(F.arrays_zip("digest", "at", "size")).alias("u")).select("doc_id", "row", "u.digest", "u.at", "u.size")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "at")
-    first = spread.groupBy("digest").agg(F.min(place).alias("a"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("a.doc_id != last or (unnamed and a.doc_id is not null)")
-    first = first.select("digest", F.col("a.doc_id").alias("a_doc"), F.col("a.row").alias("a_row"), F.col("a.at").alias("a_at"))
-    again = spread.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("a_doc"))).select("doc_id", "row", "at", "size", "a_doc", "a_row", "a_at")
-    again = again.withColumn("key", F.xxhash64("doc_id", "row")).repartition("key").groupBy("key", "doc_id", "row").agg(F.collect_list(F.struct("at", "size", "a_doc", "a_row", "a_at")).alias("repeats"))
+    first = cut.select("doc_id", F.explode("digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("a_doc"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    first = durable(first.where("a_doc != last or (unnamed and a_doc is not null)").select("digest", "a_doc"), "first")
+    again = spread.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("a_doc"))).select("doc_id", "row", "at", "size", "a_doc", "digest")
+    again = again.withColumn("key", F.xxhash64("doc_id", "row")).repartition("key").groupBy("key", "doc_id", "row").agg(F.collect_list(F.struct("at", "size", "a_doc", "digest")).alias("repeats"))
     again = durable(again, "repeats")
     edge = "struct<at:int,left:boolean,beside:binary>"
     facts = cut.select("doc_id", "row", "own", "n_units", F.lit(None).cast("array<int>").alias("repeats"), F.lit(None).cast(edge).alias("edge"))
     facts = facts.unionAll(again.select("doc_id", "row", F.lit(None).cast("boolean"), F.lit(None).cast("long"), "repeats.at", F.lit(None).cast(edge)))
     if by == "passages":
-        asks = durable(again.select("doc_id", "row", "repeats").mapInArrow(_ask, "doc_id long, row long, at int, left boolean, a_doc long, a_row long, a_at int"), "asks")
-        asked = asks.groupBy("a_doc", "a_row").agg(F.collect_set(F.struct("a_at", "left")).alias("asked"))
-        held = cut.select(F.col("doc_id").alias("a_doc"), F.col("row").alias("a_row"), "words").join(asked, ["a_doc", "a_row"])
-        answers = held.select("a_doc", "a_row", "words", "asked").mapInArrow(_answer, "a_doc long, a_row long, a_at int, left boolean, beside binary").dropDuplicates(["a_doc", "a_row", "a_at", "left"])
-        told = asks.join(answers, ["a_doc", "a_row", "a_at", "left"]).select("doc_id", "row", F.struct("at", "left", "beside").alias("edge"))
+        asks = durable(again.select("doc_id", "row", "repeats").mapInArrow(_ask, "doc_id long, row long, at int, left boolean, a_doc long, digest binary"), "asks")
+        asked = asks.groupBy(F.col("a_doc").alias("doc_id")).agg(F.collect_set(F.struct("digest", "left")).alias("asked"))
+        held = cut.select("doc_id", "digest", "at", "size", "words").join(asked, "doc_id").select("digest", "at", "size", "words", "asked")
+        answers = held.mapInArrow(_answer, "digest binary, left boolean, beside binary")
+        told = asks.join(answers, ["digest", "left"]).select("doc_id", "row", F.struct("at", "left", "beside").alias("edge"))
         facts = facts.unionAll(told.select("doc_id", "row", F.lit(None).cast("boolean"), F.lit(None).cast("long"), F.lit(None).cast("array<int>"), "edge"))
     facts = facts.withColumn("key", F.xxhash64("doc_id", "row")).repartition("key").groupBy("key", F.col("doc_id").alias("d"), F.col("row").alias("r"))
     facts = facts.agg(F.max("own").alias("own"), F.max("n_units").alias("n_units"), F.transform(F.flatten(F.collect_list("repeats")), lambda x: F.struct(x.alias("at"))).alias("repeats"), F.collect_list("edge").alias("edges"))
