@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-LEAST, NEAR, PICK, BESIDE, ASK, CACHE = 48, 4, 16, 48, 8, 300_000
+LEAST, NEAR, PICK, BESIDE, ASK, CACHE = 48, 4, 16, 48, 16, 300_000
 TOKEN = re.compile(r"[^\W_]+|[.!?]+(?=[ \t\n])|\n")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x7FB5D329728EA185, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -250,7 +250,8 @@ def _drop(least: int, by: str, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean, spans = batch.column("text"), [[] for _ in range(batch.num_rows)]
-            work = [i for i, (own, r) in enumerate(zip(batch.column("own").to_pylist(), batch.column("repeats").to_pylist(), strict=True)) if within and own or r]
+            marks = batch.column("repeats" if by == "lines" else "edges").to_pylist()  # passages have edges, or are shorter than ASK
+            work = [i for i, (own, m) in enumerate(zip(batch.column("own").to_pylist(), marks, strict=True)) if within and own or m]
             if work:
                 texts = clean.to_pylist()
                 for i in work:
