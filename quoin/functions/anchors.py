@@ -5,35 +5,108 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.text import count_of, dehyphenate, norm, places_of
 
 MARKER = "array<struct<phrase:string,regex:boolean,before:string,after:string,nth:int>>"
-_QUOTED = r"(?:`(?P<{0}t>[^`]+)`|\"(?P<{0}q>[^\"]+)\")"
-_HEAD = re.compile(r"(?<![A-Za-z])`?(?:grep|search)(?P<re>-re)?:`?\s*" + _QUOTED.format("p"))
-_PIN = re.compile(r"\s*(?:(?P<side>before|after)\s+" + _QUOTED.format("c") + r"|#(?P<nth>\d+))")
-_ALSO = re.compile(r"\s*`?\s*[;|]\s*(?:`(?!`?(?:grep|search)(?:-re)?:)(?P<t>[^`]+)`|\"(?!(?:grep|search)(?:-re)?:)(?P<q>[^\"]+)\")")
+# The keys of an anchor, the suffix of one that is a pattern, its pins, and what parts further phrases.
+KEYS, PATTERN, SIDES, PARTS = ("grep", "search"), "-re", ("before", "after"), ";|"
+
+
+class _Scanner:
+    """Reads a text for anchors. Every reader takes a place and returns what it read with the place after it, or None where it can't read."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.end = text, len(text)
+
+    def char(self, at: int) -> str:
+        return self.text[at] if 0 <= at < self.end else ""
+
+    def past_space(self, at: int) -> int:
+        while self.char(at).isspace():
+            at += 1
+        return at
+
+    def quoted(self, at: int) -> tuple[str, int] | None:
+        """A phrase between two backticks or two double quotes that isn't empty."""
+        mark = self.char(at)
+        close = self.text.find(mark, at + 1) if mark and mark in "`\"" else -1
+        return (self.text[at + 1 : close], close + 1) if close > at + 1 else None
+
+    def key(self, at: int) -> tuple[bool, int] | None:
+        """A key with its colon: whether a pattern follows."""
+        for word in KEYS:
+            if self.text.startswith(word, at):
+                after = at + len(word)
+                pattern = self.text.startswith(PATTERN, after)
+                after += len(PATTERN) * pattern
+                return (pattern, after + 1) if self.char(after) == ":" else None
+        return None
+
+    def head(self, at: int) -> tuple[bool, str, int] | None:
+        """A key and its phrase. A backtick after the colon may close one before the key, or open the phrase."""
+        if not (found := self.key(at)):
+            return None
+        pattern, colon = found
+        for start in (colon + 1, colon) if self.char(colon) == "`" else (colon,):
+            if phrase := self.quoted(self.past_space(start)):
+                return pattern, *phrase
+        return None
+
+    def pin(self, at: int) -> tuple[str, str | int, int] | None:
+        """before or after and a phrase, or # and a number."""
+        at = self.past_space(at)
+        if self.char(at) == "#":
+            stop = at + 1
+            while self.char(stop).isdecimal():
+                stop += 1
+            return ("nth", min(int(self.text[at + 1 : stop]), 2**31 - 1), stop) if stop > at + 1 else None
+        for side in SIDES:
+            start = at + len(side)
+            if self.text.startswith(side, at) and self.char(start).isspace() and (phrase := self.quoted(self.past_space(start))):
+                return side, *phrase
+        return None
+
+    def further(self, at: int) -> tuple[str, int] | None:
+        """A phrase without a key of its own, after a semicolon or a bar."""
+        at = self.past_space(at)
+        if self.char(at) == "`":
+            at = self.past_space(at + 1)
+        if not self.char(at) or self.char(at) not in PARTS:
+            return None
+        at = self.past_space(at + 1)
+        inner = at + 2 if self.text.startswith("``", at) else at + 1
+        return None if self.key(inner) or self.key(at + 1) else self.quoted(at)
+
+    def anchors(self) -> list[dict]:
+        found: list[dict] = []
+        at = 0
+        while at < self.end:
+            places = [i for i in (self.text.find(k, at) for k in KEYS) if i >= 0]
+            if not places:
+                break
+            at = min(places)
+            before = self.char(at - 1) if at else ""
+            if before.isascii() and before.isalpha() or not (head := self.head(at)):
+                at += 1
+                continue
+            pattern, phrase, at = head
+            own = {"phrase": phrase, "regex": pattern, "before": None, "after": None, "nth": None}
+            found.append(own)
+            after = at
+            while pin := self.pin(after):
+                own[pin[0]], after = pin[1], pin[2]
+            while more := self.further(after):
+                found.append({"phrase": more[0], "regex": pattern, "before": None, "after": None, "nth": None})
+                after = more[1]
+        return found
 
 
 def markers_of(text: str | None) -> list[dict]:
     """All anchors of a text in order: each keyed phrase with the pins that touch it, then the bare phrases that share its marker."""
-    found: list[dict] = []
-    for head in _HEAD.finditer(text or ""):
-        own = {"phrase": head["pt"] or head["pq"], "regex": head["re"] is not None, "before": None, "after": None, "nth": None}
-        found.append(own)
-        at = head.end()
-        while pin := _PIN.match(text, at):
-            if pin["side"]:
-                own[pin["side"]] = pin["ct"] or pin["cq"]
-            else:
-                own["nth"] = min(int(pin["nth"]), 2**31 - 1)
-            at = pin.end()
-        while more := _ALSO.match(text, at):
-            found.append({"phrase": more["t"] or more["q"], "regex": own["regex"], "before": None, "after": None, "nth": None})
-            at = more.end()
-    return found
+    return _Scanner(text).anchors() if text else []
 
 
 def _parsed(texts: pd.Series) -> pd.Series:
@@ -45,18 +118,45 @@ def parse_markers(c: Column) -> Column:
     return F.pandas_udf(_parsed, MARKER)(c)
 
 
+def _compiled(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
 def _pattern_hits(flat: pd.Series, phrase: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-    """Matches of an intentional pattern whose neighbours fit; a pattern that doesn't compile has none."""
+    """Matches of an intentional pattern whose neighbours fit; a pattern that doesn't compile has none. Rows without a text aren't for patterns."""
 
-    def one(hay: str, p: str, b: str | None, a: str | None) -> int:
-        try:
-            spans = [m.span() for m in re.finditer(p, hay)]
-        except re.error:
+    def one(hay: str | None, p: str | None, b: str | None, a: str | None) -> int:
+        own = _compiled(p) if hay is not None and p is not None else None
+        if own is None:
             return 0
         fits = lambda s, e: (not b or hay[:s].endswith((b, b + " "))) and (not a or hay[e:].startswith((a, " " + a)))
-        return sum(fits(*x) for x in spans)
+        return sum(fits(*m.span()) for m in own.finditer(hay))
+
+    return pd.Series([one(*r) for r in zip(flat, phrase, before, after, strict=True)], dtype="int32")
+
+
+def _pattern_lines(text: pd.Series, phrase: pd.Series, before: pd.Series, after: pd.Series, nth: pd.Series) -> pd.Series:
+    """Lines (from 1) of a pattern's matches as the text stands, its pins and #n honoured."""
+
+    def one(raw: str | None, p: str | None, b: str | None, a: str | None, n: float | None) -> list[int]:
+        own = _compiled(p) if raw is not None and p is not None else None
+        if own is None:
+            return []
+        hits = [(i, line, m) for i, line in enumerate(raw.splitlines(), 1) for m in own.finditer(line)]
+        hits = [i for i, line, m in hits if (not b or line[: m.start()].rstrip().endswith(b)) and (not a or line[m.end() :].lstrip().startswith(a))]
+        if n is not None and n == n:
+            hits = hits[int(n) - 1 : int(n)] if n >= 1 else []
+        return list(dict.fromkeys(hits))
 
-    return pd.Series([one(*r) if r[0] is not None and r[1] is not None else 0 for r in zip(flat, phrase, before, after, strict=True)], dtype="int32")
+    return pd.Series([one(*r) for r in zip(text, phrase, before, after, nth, strict=True)])
+
+
+def pattern_lines(marker: Column, text: Column) -> Column:
+    """Lines of a pattern's matches; the texts of literal anchors aren't sent to Python."""
+    return F.pandas_udf(_pattern_lines, "array<int>")(F.when(marker["regex"], text), marker["phrase"], marker["before"], marker["after"], marker["nth"])
 
 
 def _beside(hay: Column, at: Column, phrase: Column, before: Column, after: Column) -> Column:
@@ -68,19 +168,50 @@ def _beside(hay: Column, at: Column, phrase: Column, before: Column, after: Colu
     return left & right
 
 
-def resolve(marker: Column, flat: Column, nohy: Column, patterns: bool = True) -> Column:
-    """struct<found, count, ambiguous>: phrases are literal in the folded text, else in the one without hyphens; pins decide in the latter; #n selects; without it several
-    places are ambiguous. patterns=False keeps Python out of the plan where no anchor is a pattern."""
+def _literal_count(marker: Column, flat: Column, nohy: Column) -> Column:
+    """Places of a literal phrase in the folded text, else in the one without hyphens; with pins, those in the latter whose neighbours fit."""
     phrase = norm(marker["phrase"])
-    before, after = (F.nullif(norm(marker[s]), F.lit("")) for s in ("before", "after"))
-    pinned = before.isNotNull() | after.isNotNull()
+    before, after = (F.nullif(norm(marker[s]), F.lit("")) for s in SIDES)
     bare = dehyphenate(phrase)
     literal = F.coalesce(F.nullif(count_of(phrase, flat), F.lit(0)), count_of(bare, nohy))
     held = F.size(F.filter(places_of(bare, nohy), lambda i: _beside(nohy, i, bare, dehyphenate(before), dehyphenate(after))))
-    n = F.when(pinned, F.when(bare == "", F.lit(0)).otherwise(held)).otherwise(literal)
-    if patterns:
-        n = F.when(marker["regex"], F.pandas_udf(_pattern_hits, "int")(flat, phrase, before, after)).otherwise(n)
-    n = F.when((phrase == "") | (marker["nth"] < 1), F.lit(0)).otherwise(n)
+    return F.when(before.isNotNull() | after.isNotNull(), F.when(bare == "", F.lit(0)).otherwise(held)).otherwise(literal)
+
+
+def _outcome(marker: Column, places: Column) -> Column:
+    """struct<found, count, ambiguous> of a marker that fits so many places: #n selects; without it several are ambiguous. Empty phrases and #0 are found nowhere."""
     nth = marker["nth"]
+    n = F.when((norm(marker["phrase"]) == "") | (nth < 1), F.lit(0)).otherwise(places)
     found = F.when(nth.isNotNull(), (n >= nth) & (nth >= 1)).otherwise(n > 0)
     return F.struct(F.coalesce(found, F.lit(False)).alias("found"), F.coalesce(n, F.lit(0)).cast("int").alias("count"), F.coalesce(nth.isNull() & (n > 1), F.lit(False)).alias("ambiguous"))
+
+
+def _pattern_of(marker: Column) -> Column:
+    return F.struct(norm(marker["phrase"]).alias("phrase"), *[F.nullif(norm(marker[s]), F.lit("")).alias(s) for s in SIDES])
+
+
+def resolve(marker: Column, flat: Column, nohy: Column, patterns: bool = True) -> Column:
+    """How a marker resolves in the folds of a text. Only the texts of patterns are sent to Python; patterns=False keeps it out of the plan where no anchor is one."""
+    n = _literal_count(marker, flat, nohy)
+    if patterns:
+        own = _pattern_of(marker)
+        n = F.when(marker["regex"], F.pandas_udf(_pattern_hits, "int")(F.when(marker["regex"], flat), own["phrase"], own["before"], own["after"])).otherwise(n)
+    return _outcome(marker, n)
+
+
+def _many_hits(flat: pd.Series, patterns: pd.Series) -> pd.Series:
+    def one(hay: str | None, own) -> list[int]:
+        rows = [(hay, None, None, None) if p is None else (hay, p["phrase"], p["before"], p["after"]) for p in own]
+        return _pattern_hits(*(pd.Series(list(c), dtype=object) for c in zip(*rows))).tolist() if len(rows) else []
+
+    return pd.Series([one(h, p) for h, p in zip(flat, patterns, strict=True)])
+
+
+def resolve_all(rows: DataFrame, marks: str = "marks", flat: str = "flat", nohy: str = "nohy") -> DataFrame:
+    """rows with an array of markers and the folds of one text, and how each marker resolves in it (column resolved, in order). The text is folded once, and goes to Python once if any is a pattern."""
+    m = F.col(marks)
+    patterns = F.transform(m, lambda x: F.when(x["regex"], _pattern_of(x)))
+    hits = F.pandas_udf(_many_hits, "array<int>")(F.when(F.exists(m, lambda x: x["regex"]), F.col(flat)), patterns)
+    out = rows.withColumn("pattern hits", hits)
+    each = lambda x, i: _outcome(x, F.when(x["regex"], F.get("pattern hits", i)).otherwise(_literal_count(x, F.col(flat), F.col(nohy))))
+    return out.withColumn("resolved", F.transform(m, each)).drop("pattern hits")

@@ -7,6 +7,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.functions.anchors import resolve
+from quoin.functions.text import count_of
+from quoin.operators.grounding import folded, marker
+
 
 def retrieval_means(scored: DataFrame, gold: DataFrame) -> DataFrame:
     """Means over the questions that have relevant ids: P@5, R@10, MRR, nDCG@10. scored (question, id, score), gold (question, id)."""
@@ -23,6 +27,33 @@ def retrieval_means(scored: DataFrame, gold: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 6).alias(c) for c in ("p5", "r10", "mrr")], F.round(F.avg(F.col("dcg") / ideal), 6).alias("ndcg10"))
 
 
+def anchor_compatibility(texts: DataFrame) -> DataFrame:
+    """texts (id, text, anchors as an array of phrases): the share of anchors that the text still holds, and their number; null where there are none. No measure to rank extractions by."""
+    rows = folded(texts).withColumn("marks", F.transform("anchors", lambda a: marker(a)))
+    rows = rows.withColumn("held", F.size(F.filter(F.transform("marks", lambda m: resolve(m, F.col("flat"), F.col("nohy"), False)["found"]), lambda x: x)))
+    n = F.size("anchors")
+    return rows.select("id", F.try_divide(F.col("held"), F.nullif(n, F.lit(0))).alias("share"), n.alias("n"))
+
+
+def count_scores(blobs: DataFrame, questions: DataFrame) -> DataFrame:
+    """The arm that BM25 is held against: (question, id, score) with how often a question's terms occur, as they are, whatever a blob's length."""
+    wanted = [r[0] for r in questions.select(F.explode(F.transform("terms", F.lower)).alias("t")).where(F.trim("t") != "").distinct().orderBy("t").collect()]
+    counts = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), count_of(F.lit(t), F.col("blob")).alias("tf")) for t in wanted]), lambda x: x["tf"] > 0)
+    if not wanted:
+        counts = F.array().cast("array<struct<term:string,tf:int>>")
+    asked = questions.select("question", F.explode(F.transform("terms", F.lower)).alias("term"))
+    return blobs.select("id", F.explode(counts).alias("h")).select("id", "h.*").join(asked, "term").groupBy("question", "id").agg(F.sum("tf").cast("double").alias("score"))
+
+
+# Words that a searcher leaves out of a question.
+SEARCH_STOP = ("the", "and", "for", "are", "was", "with", "that", "this", "from", "into", "versus", "vs", "when", "does", "how", "what", "why", "who", "some", "more", "than", "its")
+
+
+def search_terms(question: Column) -> Column:
+    """The words of a question that one would search for: of three letters or digits or more, in order, repeats too."""
+    return F.filter(F.regexp_extract_all(F.lower(question), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(*SEARCH_STOP))
+
+
 def weighted_kappa(x: Column, y: Column) -> Column:
     """Quadratic-weighted kappa as an aggregate, null where it is undefined: fewer than two pairs, or no disagreement to be expected."""
     expected = F.var_pop(x) + F.var_pop(y) + F.pow(F.avg(x) - F.avg(y), 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
@@ -32,12 +33,97 @@ def load_rubric(text: str, most: int = 4 << 20) -> dict:
     return json.loads(text, object_pairs_hook=once, parse_constant=refuse)
 
 
-def rubric_digest(rubric: dict) -> str:
-    """SHA-256 of the canonical JSON without what approval writes."""
-    import hashlib
+def _canonical(value: object) -> str:
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
 
-    content = {k: v for k, v in rubric.items() if k not in ("admission", "approved_digest")}
-    return hashlib.sha256(json.dumps(content, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+def rubric_digest(rubric: dict) -> str:
+    """SHA-256 of the canonical JSON without what approval writes: what was approved."""
+    return _canonical({k: v for k, v in rubric.items() if k not in ("admission", "approved_digest")})
+
+
+def rubric_identity(rubric: dict) -> str:
+    """SHA-256 of what a rater is asked to apply: words, scales and evidence, without notes, pins or approval. An agreement that was measured belongs to one identity."""
+    anchor = lambda e: {k: e.get(k) for k in ("card", "phrase", "before", "after", "nth")}
+
+    def told(f: dict | None) -> dict:
+        f = f or {}
+        return {"value": f.get("value"), "kind": f.get("kind"), "warrant": f.get("warrant") or "", "evidence": [anchor(e) for e in f.get("evidence") or ()]}
+
+    each = [
+        {
+            "id": c["id"], "max_score": len(c["levels"]) - 1, "statement": told(c.get("statement")), "guidance": told(c.get("guidance")), "fields": {k: told(v) for k, v in (c.get("fields") or {}).items()},
+            "levels": [{"score": x["score"], "descriptor": told(x["descriptor"])} for x in c["levels"]], "evidence": [anchor(e) for e in c.get("evidence") or ()],
+        }
+        for c in rubric["criteria"]
+    ]
+    return _canonical({"dimension": rubric["dimension"], "panel": list(rubric["panel"]), "criteria": each})
+
+
+def approved(rubric: dict) -> bool:
+    """Whether a person approved this very content."""
+    return rubric.get("admission") == "human_approved" and rubric.get("approved_digest") == rubric_digest(rubric)
+
+
+def rubric_problems(rubric: object) -> list[str]:
+    """Where the types of a rubric's JSON are wrong, as paths; true and false are no numbers. Rules on what the values say are in violations()."""
+    found: list[str] = []
+
+    def want(value: object, kind: type | tuple, at: str, may_lack: bool = False) -> bool:
+        ok = may_lack and value is None or isinstance(value, kind) and not (isinstance(value, bool) and bool not in (kind if isinstance(kind, tuple) else (kind,)))
+        if not ok:
+            found.append(f"{at}: {type(value).__name__}")
+        return ok and value is not None
+
+    def anchors(value: object, at: str) -> None:
+        if want(value, list, at, True):
+            for i, e in enumerate(value):
+                if want(e, dict, f"{at}[{i}]"):
+                    want(e.get("card"), str, f"{at}[{i}].card")
+                    want(e.get("phrase"), str, f"{at}[{i}].phrase")
+                    for k, kind in (("before", str), ("after", str), ("nth", int)):
+                        want(e.get(k), kind, f"{at}[{i}].{k}", True)
+                    if "regex" in e:
+                        found.append(f"{at}[{i}].regex: not allowed")
+
+    def envelope(value: object, at: str, may_lack: bool = False) -> None:
+        if want(value, dict, at, may_lack):
+            want(value.get("value"), str, f"{at}.value", True)
+            want(value.get("kind"), str, f"{at}.kind")
+            want(value.get("warrant"), str, f"{at}.warrant", True)
+            anchors(value.get("evidence"), f"{at}.evidence")
+
+    if want(rubric, dict, "rubric"):
+        want(rubric.get("dimension"), str, "dimension")
+        if want(rubric.get("panel"), list, "panel") and (not rubric["panel"] or not all(isinstance(c, str) and c for c in rubric["panel"])):
+            found.append("panel: names of cards, one at least")
+        if want(rubric.get("criteria"), list, "criteria"):
+            for i, c in enumerate(rubric["criteria"]):
+                at = f"criteria[{i}]"
+                if not want(c, dict, at):
+                    continue
+                want(c.get("id"), str, f"{at}.id")
+                want(c.get("criticality"), str, f"{at}.criticality", True)
+                envelope(c.get("statement"), f"{at}.statement")
+                envelope(c.get("guidance"), f"{at}.guidance", True)
+                anchors(c.get("evidence"), f"{at}.evidence")
+                if want(c.get("fields"), dict, f"{at}.fields", True):
+                    for k, v in c["fields"].items():
+                        envelope(v, f"{at}.fields.{k}")
+                if want(c.get("levels"), list, f"{at}.levels"):
+                    for j, x in enumerate(c["levels"]):
+                        if want(x, dict, f"{at}.levels[{j}]"):
+                            want(x.get("score"), int, f"{at}.levels[{j}].score")
+                            envelope(x.get("descriptor"), f"{at}.levels[{j}].descriptor")
+    return found
+
+
+def criterion_key(c: Column) -> Column:
+    """The digest of what a criterion says (id, statement, guidance, levels): what was derived for one wording isn't used for another under the same id."""
+    levels = F.array_join(F.transform(c["levels"], lambda x: F.concat(x["score"].cast("string"), F.lit("="), F.coalesce(x["descriptor"]["value"], F.lit("")))), "|")
+    nul = F.lit("\0")
+    return F.sha2(F.concat(c["id"], nul, F.coalesce(c["statement"]["value"], F.lit("")), nul, F.coalesce(c["guidance"]["value"], F.lit("")), nul, levels), 256)
 
 
 def criteria(rubrics: DataFrame) -> DataFrame:
@@ -45,6 +131,12 @@ def criteria(rubrics: DataFrame) -> DataFrame:
     return rubrics.select("dimension", "panel", F.posexplode("criteria").alias("ord", "c"))
 
 
+def _fields(c: Column) -> Column:
+    """The envelopes of a criterion: its levels' descriptors, its statement and guidance, and its further fields."""
+    further = F.coalesce(F.map_values(c["fields"]), F.filter(F.array(c["statement"]), lambda _: F.lit(False)))
+    return F.filter(F.concat(F.transform(c["levels"], lambda x: x["descriptor"]), F.array(c["statement"], c["guidance"]), further), lambda f: f.isNotNull())
+
+
 def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(c, r"[\p{Cf}\p{Cc}\p{Zs}\p{Zl}\p{Zp}]", "")) == "", F.lit(True))
 
@@ -54,7 +146,7 @@ def violations(rubrics: DataFrame) -> DataFrame:
     rows = criteria(rubrics)
     c, at = "c", lambda rule, when: (rule, when)
     levels = F.col("c.levels")
-    fields = F.filter(F.array_append(F.array_append(F.transform(levels, lambda x: x["descriptor"]), F.col("c.statement")), F.col("c.guidance")), lambda f: f.isNotNull())
+    fields = _fields(F.col("c"))
     some = lambda f: F.coalesce(F.size(f["evidence"]) > 0, F.lit(False))
     bad = lambda f: (
         ~f["kind"].isin(*KINDS)
@@ -66,7 +158,10 @@ def violations(rubrics: DataFrame) -> DataFrame:
     )
     cited = F.flatten(F.array_append(F.transform(fields, lambda f: F.coalesce(f["evidence"], F.array().cast(f"array<{EVIDENCE}>"))), F.coalesce(F.col("c.evidence"), F.array().cast(f"array<{EVIDENCE}>"))))
     rules = [
-        at("id-positional", F.col("c.id").rlike(r"^(c|criterion)?[-_]?\d+$") | _blank(F.col("c.id"))),
+        at("id", ~F.col("c.id").rlike(r"^[A-Za-z][A-Za-z0-9._-]*$") | _blank(F.col("c.id"))),
+        at("id-positional", F.col("c.id").rlike(r"^[A-Za-z]\d+[A-Za-z]?$")),
+        at("field-name", F.exists(F.map_keys("c.fields"), _blank)),
+        at("level-unknown", F.exists(levels, lambda x: x["descriptor"]["kind"] == "unknown")),
         at("criticality", F.col("c.criticality") != "required"),
         at("levels", (F.size(levels) < 2) | F.exists(F.transform(levels, lambda x, i: x["score"] != i), lambda b: b)),
         at("envelope", F.exists(fields, bad)),
@@ -97,11 +192,13 @@ def score_problems(scale: DataFrame, scores: DataFrame) -> DataFrame:
     return both.select("draft", "dimension", "criterion", problem.alias("problem")).where("problem is not null")
 
 
-def verdicts(scale: DataFrame, scores: DataFrame, hurdle: int = 70) -> DataFrame:
+def verdicts(scale: DataFrame, scores: DataFrame, hurdle: int = 60) -> DataFrame:
     """(draft, dimension, criteria, points, go, defects): the mean of score/top against the hurdle in whole numbers; a draft with any problem has none.
 
     Scales are control data: the least common multiple L of their tops is a literal, and sum(score * L / top) * 100 >= hurdle * n * L decides.
     """
+    if isinstance(hurdle, bool) or not isinstance(hurdle, int) or not 0 <= hurdle <= 100:
+        raise ValueError(f"hurdle must be a whole number from 0 to 100, not {hurdle!r}")
     tops = [r[0] for r in scale.select("top").distinct().collect()]
     whole = math.lcm(*tops) if tops else 1
     sound = scores.join(score_problems(scale, scores).select("draft", "dimension").distinct(), ["draft", "dimension"], "left_anti")
@@ -117,8 +214,7 @@ def bindings(rubrics: DataFrame) -> DataFrame:
     """(dimension, criterion, ord, card, marker) of every piece of evidence of every criterion, levels' and fields' included, in order."""
     c = F.col("c")
     none = F.array().cast(f"array<{EVIDENCE}>")
-    own = lambda f: F.coalesce(f["evidence"], none)
-    all_ = F.concat(F.coalesce(c["evidence"], none), F.coalesce(own(c["statement"]), none), F.coalesce(own(c["guidance"]), none), F.coalesce(F.flatten(F.transform(c["levels"], lambda x: F.coalesce(own(x["descriptor"]), none))), none))
+    all_ = F.concat(F.coalesce(c["evidence"], none), F.flatten(F.transform(_fields(c), lambda f: F.coalesce(f["evidence"], none))))
     rows = criteria(rubrics).select("dimension", c["id"].alias("criterion"), F.posexplode(all_).alias("ord", "e"))
     mark = F.struct(F.col("e.phrase").alias("phrase"), F.lit(False).alias("regex"), F.col("e.before").alias("before"), F.col("e.after").alias("after"), F.col("e.nth").alias("nth"))
     return rows.select("dimension", "criterion", "ord", F.col("e.card").alias("card"), mark.alias("marker"))
@@ -138,17 +234,24 @@ def first_failures(grounded: DataFrame) -> DataFrame:
     return grounded.groupBy("dimension", "criterion").agg(F.coalesce(bad, F.lit("found")).alias("status"))
 
 
-def explicit_gaps(rubrics: DataFrame, cards: DataFrame) -> DataFrame:
-    """Explicit values that no card which they cite holds as they are: (dimension, criterion, value). The value itself has to be found on a line; folds don't count."""
-    c = F.col("c")
-    fields = F.filter(F.array_append(F.array_append(F.transform(c["levels"], lambda x: x["descriptor"]), c["statement"]), c["guidance"]), lambda f: f.isNotNull() & (f["kind"] == "explicit"))
-    rows = criteria(rubrics).select("dimension", c["id"].alias("criterion"), F.explode(fields).alias("f"))
-    cited = rows.select("dimension", "criterion", F.col("f.value").alias("value"), F.explode(F.array_distinct(F.transform("f.evidence", lambda e: e["card"]))).alias("card"))
-    held = cited.join(cards.select("card", "text"), "card", "left").groupBy("dimension", "criterion", "value").agg(F.max(F.coalesce(F.contains("text", F.col("value")), F.lit(False))).alias("held"))
-    return held.where("not held").drop("held")
+def explicit_gaps(rubrics: DataFrame, cards: DataFrame, today: str = "0001-01-01", require_stamp: bool = False) -> DataFrame:
+    """Explicit values that no card which they cite holds as they are: (dimension, criterion, value). The value itself has to be found on a line of a fresh source; folds don't count."""
+    from quoin.operators.grounding import evidence_status, marker
 
+    rows = criteria(rubrics).select("dimension", F.col("c.id").alias("criterion"), F.explode(F.filter(_fields(F.col("c")), lambda f: f["kind"] == "explicit")).alias("f"))
+    cited = rows.select("dimension", "criterion", F.col("f.value").alias("value"), F.explode_outer(F.array_distinct(F.transform("f.evidence", lambda e: e["card"]))).alias("card"))
+    held = evidence_status(cited.withColumn("marker", marker(F.col("value"))).join(_stamped(cards), "card", "left"), today, require_stamp)
+    found = held.groupBy("dimension", "criterion", "value").agg(F.max(F.col("status") == "found").alias("held"))
+    return found.where("not held").drop("held")
 
-def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame, scores: DataFrame, today: str, hurdle: int = 70) -> DataFrame:
+
+def _stamped(cards: DataFrame) -> DataFrame:
+    """cards (card, text) with stored_sha and review_by, null where they lack them."""
+    none = F.lit(None).cast("string")
+    return cards.select("card", "text", *[(F.col(c) if c in cards.columns else none).alias(c) for c in ("stored_sha", "review_by")])
+
+
+def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame, scores: DataFrame, today: str, hurdle: int = 60, require_stamp: bool = True) -> DataFrame:
     """(draft, dimension, outcome, reason, points, defects): go or recycle, or unavailable with its first reason.
 
     The gates in order: the rubric is approved; its rules hold; its panel is as pinned; every binding grounds; explicit quotes stand in their cards; the scores are complete and in
@@ -160,8 +263,8 @@ def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame, scores: Data
         why(rubrics.where(F.coalesce(F.col("admission") != "human_approved", F.lit(True))), 1, F.lit("not-approved")),
         why(violations(rubrics), 2, F.concat(F.lit("rule-"), "rule")),
         why(fingerprint(pinned, live), 3, F.concat(F.lit("panel-"), "problem")),
-        why(ground(bindings(rubrics), cards, today).where("not grounded"), 4, F.concat(F.lit("evidence-"), "status")),
-        why(explicit_gaps(rubrics, cards), 5, F.lit("quote-rotted")),
+        why(ground(bindings(rubrics), cards, today, require_stamp).where("not grounded"), 4, F.concat(F.lit("evidence-"), "status")),
+        why(explicit_gaps(rubrics, cards, today, require_stamp), 5, F.lit("quote-rotted")),
     ]
     shut = gates[0]
     for g in gates[1:]:
@@ -176,13 +279,94 @@ def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame, scores: Data
     return rows.select("draft", "dimension", outcome.alias("outcome"), reason.alias("reason"), F.when(reason.isNull(), F.col("points")).alias("points"), F.when(reason.isNull(), F.col("defects")).alias("defects"))
 
 
+# How a move begins, what marks it as advice, and what of its text is a marker.
+MOVE, ADVISORY = r"^- \*\*(.+?)\*\*", r"(?i)\[advisory\]"
+IN_MARKER = r"(?s)\(\s*(?:grep|search)(?:-re)?:(?:[^`)]|`[^`]*`)*\)"
+
+
 def craft_moves(texts: DataFrame) -> DataFrame:
-    """(dimension, ord, name, body, markers) of the bold bullets of Craft sections (dimension, craft); a move without an anchor has none, which is an error of the rubric derived from it."""
+    """(dimension, ord, name, body, markers, criticality, guidance, problem) of the bold bullets of Craft sections (dimension, craft).
+
+    A move without an anchor has the problem unanchored, and a section without any move is one row with the problem no-moves: neither can be made a rubric.
+    """
     from quoin.functions.anchors import parse_markers
 
-    moves = F.filter(F.split("craft", r"\n(?=- \*\*)"), lambda m: m.rlike(r"^- \*\*"))
-    rows = texts.select("dimension", F.posexplode(moves).alias("ord", "body"))
-    return rows.select("dimension", "ord", F.trim(F.regexp_extract("body", r"^- \*\*(.+?)\*\*", 1), F.lit(" .:")).alias("name"), "body", parse_markers(F.col("body")).alias("markers"))
+    moves = F.filter(F.split("craft", r"\n(?=- \*\*)"), lambda m: m.rlike(MOVE))
+    rows = texts.select("dimension", F.posexplode_outer(moves).alias("ord", "body"))
+    rows = rows.withColumn("markers", parse_markers(F.col("body"))).withColumn("bare", F.regexp_replace(F.regexp_replace("body", MOVE, ""), IN_MARKER, ""))
+    guidance = F.btrim(F.regexp_replace(F.regexp_replace("bare", ADVISORY, ""), r"(?U)\s+", " "), F.lit(" .—-"))
+    problem = F.when(F.col("body").isNull(), "no-moves").when(F.size("markers") == 0, "unanchored")
+    return rows.select("dimension", "ord", F.trim(F.regexp_extract("body", MOVE, 1), F.lit(" .:")).alias("name"), "body", "markers", F.when(F.col("bare").rlike(ADVISORY), "advisory").otherwise("required").alias("criticality"), guidance.alias("guidance"), problem.alias("problem"))
+
+
+def panel_of(listed: Column) -> Column:
+    """The cards that a synthesis lists, without brackets and remarks in parentheses."""
+    return F.filter(F.transform(F.split(F.translate(listed, "[]", ""), ","), lambda x: F.trim(F.regexp_replace(x, r"\s*\([^)]*\)", ""))), lambda x: x != "")
+
+
+def ground_panel(moves: DataFrame, panel: DataFrame, cards: DataFrame, today: str, require_stamp: bool = False) -> DataFrame:
+    """Each anchor of moves (dimension, ord, markers) against every card of its panel (dimension, place, card): (dimension, ord, anchor, marker, status, card, line).
+
+    An anchor that one card holds is found there; one that several hold is ambiguous-panel; else the status is the most telling failure, the later card's of equal ones. Without a panel
+    nothing is found. cards (card, text, stored_sha, review_by).
+    """
+    from quoin.operators.grounding import evidence_status
+    from quoin.operators.services import REASONS
+
+    marks = moves.select("dimension", "ord", F.posexplode("markers").alias("anchor", "marker"))
+    asked = marks.join(panel, "dimension", "left").join(_stamped(cards), "card", "left")
+    done = evidence_status(asked, today, require_stamp).withColumn("status", F.when(F.col("card").isNull(), "not-found").otherwise(F.col("status")))
+    good = F.col("status").isin("found", "folded-only")
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("status")], F.lit(0))
+    g = done.groupBy("dimension", "ord", "anchor").agg(
+        F.first("marker").alias("marker"), F.count_if(good).alias("n"), F.max(F.when(good, F.struct("place", "card", "status", F.try_element_at("lines", F.lit(1)).alias("line")))).alias("hit"), F.max_by("status", F.when(~good, F.struct(rank, "place"))).alias("why")
+    )
+    one = F.col("n") == 1
+    status = F.when(one, F.col("hit.status")).when(F.col("n") > 1, "ambiguous-panel").otherwise(F.col("why"))
+    return g.select("dimension", "ord", "anchor", "marker", status.alias("status"), F.when(one, F.col("hit.card")).alias("card"), F.when(one, F.col("hit.line")).alias("line"))
+
+
+def derive(moves: DataFrame, panel: DataFrame, cards: DataFrame, today: str, levels: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Candidate rubrics made of Craft moves (from craft_moves), and the problems (dimension, ord, problem) of dimensions from which none is made.
+
+    A move becomes a criterion under a name that stays, its anchors cited to the card that holds each. What needs judgement is left blank: such a rubric breaks its rules until a person fills it.
+    A dimension with an unanchored move, an anchor that doesn't ground in exactly one card, two moves of one name, or a panel card that isn't installed, has problems and no rubric.
+    """
+    if isinstance(levels, bool) or not isinstance(levels, int) or levels < 2:
+        raise ValueError(f"levels must be a whole number of 2 or more, not {levels!r}")
+    from quoin.functions.text import slug
+
+    told = ground_panel(moves.where("problem is null"), panel, cards, today)
+    name = F.concat("dimension", F.lit("."), F.coalesce(F.nullif(slug(F.col("name")), F.lit("")), F.lit("criterion")))
+    named = moves.where("problem is null").withColumn("id", name)
+    live = panel.join(cards.select("card", F.sha2("text", 256).alias("sha")), "card", "left")
+    problem = lambda df, ord_, what: df.select("dimension", ord_.cast("int").alias("ord"), what.alias("problem"))
+    problems = problem(moves.where("problem is not null"), F.col("ord"), F.col("problem"))
+    problems = problems.unionAll(problem(told.where(~F.col("status").isin("found", "folded-only")), F.col("ord"), F.concat(F.lit("evidence-"), "status")))
+    problems = problems.unionAll(problem(named.groupBy("dimension", "id").agg(F.count("*").alias("n"), F.max("ord").alias("ord")).where("n > 1"), F.col("ord"), F.lit("name-repeated")))
+    problems = problems.unionAll(problem(live.where("sha is null"), F.lit(None), F.concat(F.lit("not-installed-"), "card"))).distinct()
+
+    text = lambda c: c.cast("string")
+    cited = told.groupBy("dimension", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("anchor", "card", "marker"))), lambda x: F.struct(x["card"].alias("card"), x["marker"]["phrase"].alias("phrase"), x["marker"]["before"].alias("before"), x["marker"]["after"].alias("after"), x["marker"]["nth"].alias("nth"))).alias("evidence"))
+    none = F.lit(None).cast(f"array<{EVIDENCE}>")
+    envelope = lambda value, kind, evidence: F.struct(text(value).alias("value"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.lit(None).cast("string").alias("warrant"), evidence.alias("evidence"))
+    said = F.col("guidance") != ""
+    c = F.struct(
+        "ord", "id", F.lit("required").alias("criticality"), envelope(F.col("name"), "paraphrase", F.col("evidence")).alias("statement"), envelope(F.when(said, F.col("guidance")), F.when(said, "derived").otherwise("unknown"), none).alias("guidance"),
+        F.lit(None).cast(f"map<string,{FIELD}>").alias("fields"), F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: F.struct(i.alias("score"), envelope(F.lit(""), "operator_policy", none).alias("descriptor"))).alias("levels"), F.col("evidence"),
+    )
+    body = named.join(cited, ["dimension", "ord"]).groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("ord")).alias("criteria"))
+    pins = live.groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "card"))), lambda x: x["card"]).alias("panel"), F.map_from_entries(F.collect_list(F.struct("card", "sha"))).alias("sources"))
+    sound = body.join(pins, "dimension").join(problems.select("dimension").distinct(), "dimension", "left_anti")
+    return sound.select("dimension", "panel", F.lit("candidate").alias("admission"), F.concat(F.lit("_syntheses/"), "dimension", F.lit(".md")).alias("derived_from"), F.struct("sources").alias("fingerprint"), "criteria"), problems
+
+
+def pinned(rubric: dict, live: dict[str, str | None], approve: bool = False) -> dict:
+    """A rubric of authored criteria with its panel's sources pinned as they are (card -> digest), and if it is approved the digest of what was approved."""
+    if gone := sorted(c for c in rubric["panel"] if live.get(c) is None):
+        raise ValueError(f"panel cards whose source isn't installed can't be pinned: {gone}")
+    out = {k: v for k, v in rubric.items() if k not in ("admission", "approved_digest")} | {"admission": "human_approved" if approve else "candidate", "fingerprint": {"sources": {c: live[c] for c in rubric["panel"]}}}
+    return out | {"approved_digest": rubric_digest(out)} if approve else out
 
 
 def sample_pages(pages: Column, seed: Column, n: int) -> Column:

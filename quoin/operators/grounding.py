@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quoin.functions import text as T
 from quoin.functions.text import places_of
-from quoin.functions.anchors import resolve
+from quoin.functions.anchors import pattern_lines, resolve, resolve_all
 from quoin.runtime import arrow_limits
 
 PHRASES_MB = 32
@@ -69,6 +69,17 @@ def folded(sources: DataFrame, text: str = "text") -> DataFrame:
     return sources.withColumn("flat", T.norm(F.col(text))).withColumn("nohy", T.dehyphenate(F.col("flat")))
 
 
+def resolved(asked: DataFrame, sources: DataFrame) -> DataFrame:
+    """asked (rel, owner, ord, marker) over sources (rel, text): (rel, owner, ord, phrase, found, count, ambiguous) of those whose source is there.
+
+    Anchors are gathered by source (as many as quote it), so that a source that any quotes is read and folded once.
+    """
+    marks = asked.groupBy("rel").agg(F.collect_list(F.struct("owner", "ord", "marker")).alias("own"))
+    rows = folded(marks.join(sources.select("rel", "text"), "rel").withColumn("marks", F.col("own.marker")))
+    done = resolve_all(rows).select("rel", F.explode(F.arrays_zip("own", "resolved")).alias("x"))
+    return done.select("rel", "x.own.owner", "x.own.ord", F.col("x.own.marker.phrase").alias("phrase"), "x.resolved.found", "x.resolved.count", "x.resolved.ambiguous")
+
+
 def marker(phrase: Column, regex: Column | None = None, before: Column | None = None, after: Column | None = None, nth: Column | None = None) -> Column:
     text = F.lit(None).cast("string")
     return F.struct(
@@ -78,7 +89,7 @@ def marker(phrase: Column, regex: Column | None = None, before: Column | None =
 
 
 def located(mark: Column, text: Column, most: int = 10) -> Column:
-    """Numbers of the lines on which a literal marker stands as it is, its pins and #n honoured; at most so many. Empty where it stands only across folds, and for patterns."""
+    """Numbers of the lines on which a marker stands as it is, its pins and #n honoured; at most so many. Empty where it stands only across folds."""
     phrase = mark["phrase"]
     before, after = F.nullif(mark["before"], F.lit("")), F.nullif(mark["after"], F.lit(""))
     numbered = F.filter(F.transform(T.split_lines(text), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"))), lambda x: F.contains(x["line"], phrase))
@@ -90,7 +101,8 @@ def located(mark: Column, text: Column, most: int = 10) -> Column:
 
     every = F.flatten(F.transform(numbered, own))
     chosen = F.when(mark["nth"].isNull(), every).when(F.size(every) >= mark["nth"], F.slice(every, mark["nth"], F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return F.when(mark["regex"] | (F.length(phrase) == 0), F.array().cast("array<int>")).otherwise(F.slice(F.array_distinct(chosen), 1, most))
+    none = F.array().cast("array<int>")
+    return F.when(F.length(phrase) == 0, none).when(mark["regex"], F.slice(pattern_lines(mark, text), 1, most)).otherwise(F.slice(F.array_distinct(chosen), 1, most))
 
 
 def folded_span(mark: Column, text: Column, count: Column) -> Column:
@@ -117,13 +129,13 @@ def evidence_context(rows: DataFrame, today: str, around: int = 3, most: int = 4
     return out.select("*", F.col("w").isNotNull().alias("usable"), F.col("w.lo").alias("line_start"), F.col("w.hi").alias("line_end"), F.when(F.col("w").isNotNull(), text).alias("context")).drop("span", "w")
 
 
-def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False, patterns: bool = False) -> DataFrame:
+def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False) -> DataFrame:
     """rows with marker, text (null: not installed), stored_sha, review_by: status in the order that is the contract, count and lines.
 
     source-not-installed, source-stale, not-found (also empty phrases and #0), ambiguous, review-date-invalid, review-expired, source-unstamped, then found, or folded-only where
     no single line holds the phrase.
     """
-    out = folded(rows).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), patterns)).withColumn("sha", F.sha2("text", 256))
+    out = folded(rows).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"))).withColumn("sha", F.sha2("text", 256))
     due = F.try_to_date(F.trim("review_by"), "yyyy-MM-dd")
     lines = located(F.col("marker"), F.col("text"))
     stamped = F.nullif(F.trim("stored_sha"), F.lit(""))
@@ -141,6 +153,22 @@ def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False, pa
     return out.withColumn("status", status).withColumn("count", F.coalesce("r.count", F.lit(0))).withColumn("lines", F.when(F.col("status") == "found", lines)).drop("flat", "nohy", "r")
 
 
+def context_bundle(rows: DataFrame, today: str, around: int = 3, most: int = 40, require_stamp: bool = False) -> DataFrame:
+    """rows (bundle, ord, marker, text, stored_sha, review_by): each request of a bundle with its context where it is usable; grounded says whether it counts as evidence, status why not."""
+    done = evidence_context(rows, today, around, most, require_stamp)
+    return done.withColumn("grounded", F.col("status").isin("found", "folded-only"))
+
+
+def occurrence_status(rows: DataFrame, most: int = 10) -> DataFrame:
+    """rows (phrase, text, stored_sha) with the status of a bare phrase, without review dates, and the lines that hold it, case ignored: source-not-installed, source-stale, not-found,
+    ambiguous, then found, or folded-only where no single line holds it."""
+    out = folded(rows).withColumn("r", resolve(marker(F.col("phrase")), F.col("flat"), F.col("nohy"), False))
+    held = F.filter(F.transform(T.split_lines(F.col("text")), lambda x, i: F.when(F.contains(F.lower(x), F.lower("phrase")), i + 1)), lambda n: n.isNotNull())
+    stale = F.nullif(F.trim("stored_sha"), F.lit("")) != F.sha2("text", 256)
+    status = F.when(F.col("text").isNull(), "source-not-installed").when(stale, "source-stale").when(~F.col("r.found"), "not-found").when(F.col("r.ambiguous"), "ambiguous").when(F.size(held) > 0, "found").otherwise("folded-only")
+    return out.withColumn("status", status).withColumn("lines", F.when(F.col("status") == "found", F.slice(held, 1, most))).drop("flat", "nohy", "r")
+
+
 def context_window(first: Column, last: Column, lines: Column, around: int = 3, most: int = 40) -> Column:
     """struct<lo, hi>: the match with so many lines on either side, at most `most` lines; of a longer match its beginning."""
     lo, hi, span = F.greatest(F.lit(1), first - around), F.least(lines, last + around), last - first + 1
@@ -156,38 +184,6 @@ def matching_lines(docs: DataFrame, phrase: str, most: int = 10) -> DataFrame:
     return ranked.select("id", (F.col("pos") + 1).alias("line_no"), F.trim("line").alias("line"))
 
 
-def finding(rows: DataFrame, severity: str, code: str, subject: Column) -> DataFrame:
-    return rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), subject.cast("string").alias("subject"))
-
-
-def integrity_findings(cards: DataFrame, sources: DataFrame, index: DataFrame, anchors: DataFrame, today: str) -> DataFrame:
-    """All findings over cards (id, rel, stored_sha, review_by, superseded_by), sources (rel, text), index (id) and anchors (id, marker); severity unmeasured isn't a pass.
-
-    Each check is a join or a filter of its own; only the folds of sources that anchors need are computed.
-    """
-    named = cards.where("rel is not null")
-    present = sources.select("rel", F.sha2("text", 256).alias("sha"))
-    held = named.join(present, "rel", "left")
-    own = anchors.join(named.select("id", "rel"), "id").join(folded(sources.select("rel", "text")), "rel").withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), False))
-    both = index.select("id", F.lit(1).alias("listed")).join(cards.select("id", F.lit(1).alias("present")), "id", "full_outer")
-    due = F.try_to_date(F.trim("review_by"), "yyyy-MM-dd")
-    parts = [
-        finding(cards.where("rel is null"), "error", "A", F.col("id")),
-        finding(held.where("sha is null"), "unmeasured", "U", F.col("id")),
-        finding(sources.select("rel").join(named.select("rel"), "rel", "left_anti"), "error", "B", F.col("rel")),
-        finding(both.where("listed is null or present is null"), "error", "D", F.col("id")),
-        finding(own.where("not r.found"), "error", "F", F.concat_ws("/", "id", "marker.phrase")),
-        finding(own.where("r.ambiguous"), "warn", "F", F.concat_ws("/", "id", "marker.phrase")),
-        finding(held.where("sha is not null and trim(stored_sha) != '' and stored_sha != sha"), "warn", "H", F.col("id")),
-        finding(cards.where((due < F.lit(today).cast("date")) | ((F.trim("review_by") != "") & due.isNull())), "warn", "H", F.col("id")),
-        finding(cards.where("trim(superseded_by) != ''"), "warn", "H", F.col("id")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def report(findings: DataFrame) -> DataFrame:
     """Counts of each severity, and ok: no error and nothing unmeasured."""
     n = lambda s: F.count_if(F.col("severity") == s)

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
@@ -131,3 +131,10 @@ def normalize(c: Column, words: frozenset[str] = frozenset()) -> Column:
 def changed(docs: DataFrame, words: frozenset[str] = frozenset()) -> DataFrame:
     """Dry run: the rows whose text would change, with the new text in normal."""
     return docs.withColumn("normal", normalize(F.col("text"), words)).where("text is not null and normal != text")
+
+
+def backups_to_prune(runs: DataFrame, keep: int) -> DataFrame:
+    """Backup folders (root, name, modified) beyond the newest so many of each root, one at least; folders of other names aren't backups."""
+    newest = Window.partitionBy("root").orderBy(F.desc("modified"))
+    own = runs.where(F.startswith("name", F.lit("normalize-backup-")))
+    return own.withColumn("age", F.row_number().over(newest)).where(F.col("age") > max(1, keep))

@@ -81,10 +81,12 @@ def deadline(size: Column, floor: int = 300, rate: int = 24_000, most: int = 3 *
 
 
 def any_of(anchors: DataFrame, sources: DataFrame) -> DataFrame:
-    """anchors (owner, marker, rels) that hold in any of the sources (rel, text) they name: found, and the sources that aren't there."""
+    """anchors (owner, marker, rels) that hold in any of the sources (rel, text) they name: found, and how many of the sources aren't there."""
     each = anchors.withColumn("a", F.col("a") if "a" in anchors.columns else F.xxhash64("owner", "marker", "rels")).select("a", "owner", "marker", F.explode_outer("rels").alias("rel"))
-    held = each.join(grounding.folded(sources.select("rel", "text")), "rel", "left").withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), False))
-    return held.groupBy("a", "owner").agg(F.max(F.coalesce("r.found", F.lit(False))).alias("found"), F.count_if(F.col("flat").isNull()).alias("absent"))
+    held = grounding.resolved(each.where("rel is not null").select("rel", F.struct("a", "owner").alias("owner"), F.lit(0).alias("ord"), "marker"), sources).groupBy("owner").agg(F.max("found").alias("found"), F.count("*").alias("there"))
+    n = each.groupBy("a", "owner").agg(F.count("*").alias("n"))
+    done = n.join(held.select("owner.a", "found", "there"), "a", "left")
+    return done.select("a", "owner", F.coalesce("found", F.lit(False)).alias("found"), (F.col("n") - F.coalesce("there", F.lit(0))).alias("absent"))
 
 
 def panel_names(synthesis: DataFrame, cards: DataFrame) -> DataFrame:
@@ -95,13 +97,13 @@ def panel_names(synthesis: DataFrame, cards: DataFrame) -> DataFrame:
     return synthesis.join(pairs.join(best, ["owner", "name", "kind"]).select("owner", "name", "kind", "id"), ["owner", "name"], "left")
 
 
-# Failures from the least to the most telling.
-REASONS = ("found", "source-not-installed", "not-found", "source-unstamped", "review-expired", "review-date-invalid", "source-stale", "ambiguous", "ambiguous-panel")
+# How telling a failure is; of equal ones the later card's counts.
+REASONS = {"not-found": 1, "source-not-installed": 2, "ambiguous": 3, "source-unstamped": 4, "source-stale": 5, "review-expired": 5, "review-date-invalid": 5}
 
 
 def worst_reason(rows: DataFrame, by: str = "anchor") -> DataFrame:
     """rows (anchor, ord, status) of one anchor over a panel: found if one card holds it, ambiguous-panel if several do, else the most telling failure, the later of equal ones."""
-    rank = F.array_position(F.array(*map(F.lit, REASONS)), F.col("status"))
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("status")], F.lit(0))
     good = F.col("status").isin("found", "folded-only")
     g = rows.groupBy(by).agg(F.count_if(good).alias("n"), F.max_by("status", F.when(~good, F.struct(rank, "ord"))).alias("why"))
     return g.select(by, F.when(F.col("n") == 1, "found").when(F.col("n") > 1, "ambiguous-panel").otherwise(F.col("why")).alias("status"))
@@ -131,6 +133,23 @@ def quality_gate(texts: DataFrame) -> DataFrame:
     return texts.withColumn("refused", F.when(c.isNull() | (F.size(T.split_words(c)) == 0), "no words").when(control > 0.1, "control characters").when(words == 0, "no words left"))
 
 
+def zoom_counts(cards: DataFrame) -> DataFrame:
+    """cards (zoom, aliases): how many there are of each zoom (stub where none is set), and how many of them have aliases."""
+    zoom = F.coalesce(F.nullif(F.trim("zoom"), F.lit("")), F.lit("stub"))
+    return cards.groupBy(zoom.alias("zoom")).agg(F.count("*").alias("cards"), F.count_if(F.coalesce(F.trim("aliases"), F.lit("")) != "").alias("aliased"))
+
+
+def duplicates(sources: DataFrame) -> DataFrame:
+    """sources (id, text) that stand in the corpus more than once: their digest, how often, and the smallest id."""
+    return sources.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+
+
+def composition(cards: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row on a base of cards (body) and sources (size): how many there are, megabytes of sources, and anchors of cards."""
+    n = cards.agg(F.count("*").alias("cards"), F.coalesce(F.sum(F.size(parse_markers(F.col("body")))), F.lit(0)).alias("anchors"))
+    return n.crossJoin(sources.agg(F.count("*").alias("sources"), F.coalesce(F.round(F.sum("size") / 1e6, 6), F.lit(0.0)).alias("megabytes")))
+
+
 def page_recall(pages: DataFrame) -> DataFrame:
     """pages (doc, page, shown, extracted): the share of the shown page's words, with their number, that the extraction has; null where the page shows none."""
     words = pages.select("doc", "page", F.explode(F.concat(F.transform(T.tokens(F.col("shown")), lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(T.tokens(F.col("extracted")), lambda t: F.struct(t.alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("x"))

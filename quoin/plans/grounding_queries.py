@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
-from quoin.functions.anchors import parse_markers, resolve
+from quoin.functions.anchors import parse_markers, resolve_all
 from quoin.operators import grounding as G
+from quoin.operators import linter as L
 from quoin.plans.registry import query
 from quoin.plans.text_queries import docs, sql_norm
 from quoin.runtime import durable, table
@@ -51,75 +52,91 @@ def j7_anchor_corpus_join(spark, sf_dir):
     return phrases(spark, sf_dir).select("phrase_id").join(hits, "phrase_id", "left").select("phrase_id", n.alias("documents"), t.alias("times"), status.alias("status"))
 
 
-# Each document's own anchors: a word sequence of its first line, plain, pinned by what stands before it, numbered, and one that no text has.
-_OWN_SQL = """w AS (SELECT doc_id AS id, text, string_split(split_part(text, E'\\n', 1), ' ') AS l FROM documents),
-  a AS (SELECT id, text, 'plain' AS kind, l[2] AS phrase, NULL AS before, NULL::INT AS nth FROM w WHERE len(l) > 2 UNION ALL SELECT id, text, 'pinned', l[2], l[1], NULL FROM w WHERE len(l) > 2 UNION ALL SELECT id, text, 'second', l[2], NULL, 2 FROM w WHERE len(l) > 2 UNION ALL SELECT id, text, 'absent', 'no such phrase', NULL, NULL FROM w WHERE len(l) > 2)"""
+# Each document's own anchors: a word of its first line, plain, pinned by what stands before it, numbered; one that no text has; the word as a pattern, numbered too; a broken pattern.
+_OWN_SQL = """w AS (SELECT doc_id AS id, text, string_split(split_part(text, E'\\n', 1), ' ') AS l FROM documents), k AS (SELECT id, text, l[2] AS phrase, l[1] AS first, regexp_replace(l[2], '[^a-z]', '.', 'g') AS pattern FROM w WHERE len(l) > 2),
+  a AS (SELECT id, text, 'plain' AS kind, phrase, NULL AS before, NULL::INT AS nth FROM k UNION ALL SELECT id, text, 'pinned', phrase, first, NULL FROM k UNION ALL SELECT id, text, 'second', phrase, NULL, 2 FROM k UNION ALL SELECT id, text, 'absent', 'no such phrase', NULL, NULL FROM k
+    UNION ALL SELECT id, text, 'pattern', pattern, NULL, NULL FROM k UNION ALL SELECT id, text, 'pattern second', pattern, NULL, 2 FROM k UNION ALL SELECT id, text, 'broken', '(' || phrase, NULL, NULL FROM k)"""
 _BARE = "regexp_replace(%s, '-\\s*', '', 'g')"
 
 
 def own_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, kinds, marks): the anchors of each document with a first line of three words or more."""
     words = F.split(F.substring_index("text", "\n", 1), " ")
-    mark = lambda kind, **k: F.struct(F.lit(kind).alias("kind"), G.marker(**k).alias("marker"))
-    second = F.element_at("l", 2)
-    kinds = F.array(mark("plain", phrase=second), mark("pinned", phrase=second, before=F.element_at("l", 1)), mark("second", phrase=second, nth=F.lit(2)), mark("absent", phrase=F.lit("no such phrase")))
-    return texts(spark, sf_dir).withColumn("l", words).where(F.size("l") > 2).select("id", "text", F.explode(kinds).alias("k")).select("id", "text", "k.kind", "k.marker")
+    second, pattern, yes = F.element_at("l", 2), F.regexp_replace(F.element_at("l", 2), "[^a-z]", "."), F.lit(True)
+    marks = {
+        "plain": G.marker(second), "pinned": G.marker(second, before=F.element_at("l", 1)), "second": G.marker(second, nth=F.lit(2)), "absent": G.marker(F.lit("no such phrase")),
+        "pattern": G.marker(pattern, yes), "pattern second": G.marker(pattern, yes, nth=F.lit(2)), "broken": G.marker(F.concat(F.lit("("), second), yes),
+    }
+    rows = texts(spark, sf_dir).withColumn("l", words).where(F.size("l") > 2)
+    return rows.select("id", "text", F.array(*map(F.lit, marks)).alias("kinds"), F.array(*marks.values()).alias("marks"))
 
 
 @query(f"""WITH {_OWN_SQL}, n AS (SELECT *, {FLAT} AS flat, trim(phrase) AS p FROM a), o AS (SELECT *, {_BARE % 'flat'} AS nohy, {_BARE % 'p'} AS pd, {_BARE % 'before'} AS bd FROM n),
-  s AS (SELECT id, kind, nth, CASE WHEN p = '' THEN 0 WHEN kind = 'pinned' THEN (CASE WHEN pd = '' THEN 0 ELSE len(list_filter(range(2, len(x) + 1), lambda i: ends_with(list_reduce(x[:i - 1], lambda u, v: u || pd || v), bd) OR ends_with(list_reduce(x[:i - 1], lambda u, v: u || pd || v), bd || ' '))) END)
+  s AS (SELECT id, kind, nth, CASE WHEN p = '' OR kind = 'broken' THEN 0 WHEN kind IN ('pattern', 'pattern second') THEN len(regexp_extract_all(flat, p)) WHEN kind = 'pinned' THEN (CASE WHEN pd = '' THEN 0 ELSE len(list_filter(range(2, len(x) + 1), lambda i: ends_with(list_reduce(x[:i - 1], lambda u, v: u || pd || v), bd) OR ends_with(list_reduce(x[:i - 1], lambda u, v: u || pd || v), bd || ' '))) END)
     WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) WHEN pd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, pd, ''))) // length(pd) END AS n FROM (SELECT *, string_split(nohy, pd) AS x FROM o))
   SELECT id, kind, CASE WHEN nth IS NULL THEN n > 0 ELSE n >= nth END AS found, n::INT AS count, nth IS NULL AND n > 1 AS ambiguous FROM s""")
 def f7_resolution_status(spark, sf_dir):
-    """How each document's own anchors resolve: literal, pinned by context, numbered."""
-    rows = G.folded(own_anchors(spark, sf_dir)).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), False))
-    return rows.select("id", "kind", "r.found", "r.count", "r.ambiguous")
+    """How each document's own anchors resolve: literal, pinned by context, numbered, patterns."""
+    rows = resolve_all(G.folded(own_anchors(spark, sf_dir))).select("id", F.explode(F.arrays_zip("kinds", "resolved")).alias("k"))
+    return rows.select("id", F.col("k.kinds").alias("kind"), "k.resolved.found", "k.resolved.count", "k.resolved.ambiguous")
 
 
-_CARD_SQL = """c AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id END AS rel, CASE doc_id % 5 WHEN 0 THEN 'stale' WHEN 1 THEN '' ELSE sha256(text) END AS stored, CASE doc_id % 7 WHEN 0 THEN '2025-06-30' WHEN 1 THEN 'soon' WHEN 2 THEN '2030-01-01' ELSE NULL END AS review_by,
-  split_part(split_part(text, E'\\n', 1), ' ', 2) || CASE WHEN doc_id % 3 = 0 THEN ' ' || split_part(split_part(text, E'\\n', 1), ' ', 3) WHEN doc_id % 3 = 1 THEN ' ' || split_part(replace(text, E'\\n', ' '), ' ', 3) || ' ' || split_part(replace(text, E'\\n', ' '), ' ', 4) ELSE '' END AS phrase FROM documents)"""
+_CARD_SQL = """b AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id END AS rel, CASE doc_id % 5 WHEN 0 THEN 'stale' WHEN 1 THEN '' ELSE sha256(text) END AS stored, CASE doc_id % 7 WHEN 0 THEN '2025-06-30' WHEN 1 THEN 'soon' WHEN 2 THEN '2030-01-01' ELSE NULL END AS review_by,
+  split_part(split_part(text, E'\\n', 1), ' ', 2) || CASE WHEN doc_id % 3 = 0 THEN ' ' || split_part(split_part(text, E'\\n', 1), ' ', 3) WHEN doc_id % 3 = 1 THEN ' ' || split_part(replace(text, E'\\n', ' '), ' ', 3) || ' ' || split_part(replace(text, E'\\n', ' '), ' ', 4) ELSE '' END AS plain FROM documents),
+  c AS (SELECT *, id % 17 = 5 AS is_re, CASE WHEN id % 17 = 5 THEN regexp_replace(plain, '[^a-z ]', '.', 'g') ELSE plain END AS phrase,
+    CASE WHEN id % 11 = 0 THEN NULL WHEN id % 23 = 7 THEN 'library/../' || id || '.txt' WHEN id % 19 = 4 THEN 'library/src0/none-' || id || '.txt' ELSE 'library/' || source || '/' || id || '.txt' END AS path FROM b)"""
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card for each document, some without source, stale, unstamped or due for review, with an anchor from its first words."""
+    """A card for each document, some without source, stale, unstamped or due for review, with an anchor from its first words, some of them patterns; path is where its source should be."""
     d, c = F.col("doc_id"), F.col("text")
     first, all_ = F.substring_index(c, "\n", 1), F.replace(c, F.lit("\n"), F.lit(" "))
     word = lambda t, i: F.split_part(t, F.lit(" "), F.lit(i))
     more = F.when(d % 3 == 0, F.concat(F.lit(" "), word(first, 3))).when(d % 3 == 1, F.concat(F.lit(" "), word(all_, 3), F.lit(" "), word(all_, 4))).otherwise("")
     stored = F.when(d % 5 == 0, "stale").when(d % 5 == 1, "").otherwise(F.sha2(c, 256))
     review = F.when(d % 7 == 0, "2025-06-30").when(d % 7 == 1, "soon").when(d % 7 == 2, "2030-01-01")
-    return docs(spark, sf_dir).select(d.alias("id"), F.when(d % 11 != 0, d).alias("rel"), stored.alias("stored_sha"), review.alias("review_by"), F.when(d % 13 == 0, "newer").alias("superseded_by"), F.concat(word(first, 2), more).alias("phrase"), "text")
+    at = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    path = F.when(d % 23 == 7, at("library/../", d, ".txt")).when(d % 19 == 4, at("library/src0/none-", d, ".txt")).otherwise(at("library/", F.col("source"), "/", d, ".txt"))
+    rows = docs(spark, sf_dir).select(d.alias("id"), F.when(d % 11 != 0, d).alias("rel"), stored.alias("stored_sha"), review.alias("review_by"), F.when(d % 13 == 0, "newer").alias("superseded_by"), F.concat(word(first, 2), more).alias("plain"), F.when(d % 11 != 0, path).alias("path"), at("library/", F.col("source"), "/", d, ".txt").alias("own_path"), "text")
+    pattern = F.col("id") % 17 == 5
+    return rows.withColumn("regex", pattern).withColumn("phrase", F.when(pattern, F.regexp_replace("plain", "[^a-z ]", ".")).otherwise(F.col("plain")))
 
 
 _RES_SQL = f"""{_CARD_SQL}, e AS (SELECT c.*, d.text, {FLAT.replace('text', 'd.text')} AS flat, {sql_norm('phrase')} AS p FROM c LEFT JOIN documents d ON d.doc_id = c.rel), g AS (SELECT *, {_BARE % 'flat'} AS nohy, {_BARE % 'p'} AS pd FROM e),
-  x AS (SELECT *, CASE WHEN p = '' THEN 0 WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) WHEN pd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, pd, ''))) // length(pd) END AS n, contains(text, phrase) AND len(list_filter(string_split(text, E'\\n'), lambda l: contains(l, phrase))) > 0 AS on_line FROM g)"""
+  x AS (SELECT *, CASE WHEN p = '' THEN 0 WHEN is_re THEN len(regexp_extract_all(flat, p)) WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) WHEN pd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, pd, ''))) // length(pd) END AS n,
+    CASE WHEN is_re THEN len(list_filter(string_split(text, E'\\n'), lambda l: regexp_matches(l, phrase))) > 0 ELSE contains(text, phrase) AND len(list_filter(string_split(text, E'\\n'), lambda l: contains(l, phrase))) > 0 END AS on_line FROM g)"""
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cards(spark, sf_dir)
     rows = c.drop("text").join(c.select(F.col("id").alias("rel"), "text"), "rel", "left")
-    return rows.withColumn("marker", G.marker(F.col("phrase")))
+    return rows.withColumn("marker", G.marker(F.col("phrase"), F.col("regex")))
 
 
 @query(f"""WITH {_RES_SQL} SELECT id, CASE WHEN text IS NULL THEN 'source-not-installed' WHEN stored <> '' AND stored <> sha256(text) THEN 'source-stale' WHEN trim(phrase) = '' OR n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous'
   WHEN review_by = 'soon' THEN 'review-date-invalid' WHEN review_by < '{TODAY}' THEN 'review-expired' WHEN on_line THEN 'found' ELSE 'folded-only' END AS status FROM x""")
 def r3_verify_evidence(spark, sf_dir):
-    """The strict verifier's status of each card's anchor; the order of its cases is the contract."""
+    """The strict verifier's status of each card's anchor, patterns included; the order of its cases is the contract."""
     return G.evidence_status(_evidence(spark, sf_dir), TODAY).select("id", "status")
 
 
-@query(f"""WITH {_RES_SQL} SELECT id, CASE WHEN text IS NULL THEN 'source-not-installed' WHEN stored <> '' AND stored <> sha256(text) THEN 'source-stale' WHEN trim(phrase) = '' OR n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous' WHEN on_line THEN 'found' ELSE 'folded-only' END AS status FROM x""")
+_PLAIN_SQL = _RES_SQL.replace("is_re, CASE WHEN id % 17 = 5 THEN regexp_replace(plain, '[^a-z ]', '.', 'g') ELSE plain END AS phrase", "is_re0, false AS is_re, plain AS phrase")
+
+
+@query(f"""WITH {_PLAIN_SQL} SELECT id, CASE WHEN text IS NULL THEN 'source-not-installed' WHEN stored <> '' AND stored <> sha256(text) THEN 'source-stale' WHEN n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous'
+  WHEN len(list_filter(string_split(text, E'\\n'), lambda l: contains(lower(l), lower(phrase)))) > 0 THEN 'found' ELSE 'folded-only' END AS status FROM x""")
 def r2_verify_taxonomy(spark, sf_dir):
-    """The same without review dates."""
-    return G.evidence_status(_evidence(spark, sf_dir).withColumn("review_by", F.lit(None).cast("string")), TODAY).select("id", "status")
+    """A bare phrase in its source, without review dates; lines are looked up whatever their case."""
+    return G.occurrence_status(_evidence(spark, sf_dir).withColumn("phrase", F.col("plain"))).select("id", "status")
 
 
 @query(f"""WITH {_RES_SQL}, r AS (SELECT id, CASE WHEN text IS NULL THEN 'source-not-installed' WHEN stored <> '' AND stored <> sha256(text) THEN 'source-stale' WHEN trim(phrase) = '' OR n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous' WHEN review_by = 'soon' THEN 'review-date-invalid' WHEN review_by < '{TODAY}' THEN 'review-expired'
     WHEN stored = '' THEN 'source-unstamped' WHEN on_line THEN 'found' ELSE 'folded-only' END AS status FROM x)
-  SELECT status, status IN ('found', 'folded-only') AS grounded, count(*)::BIGINT AS n FROM r GROUP BY status""")
+  SELECT id, id % 10 AS bundle, (id // 10)::BIGINT AS ord, status, status IN ('found', 'folded-only') AS grounded FROM r""")
 def r5_context_bundle(spark, sf_dir):
-    """Requests parted into grounded and rejected, each with its reason; unstamped sources are refused."""
-    rows = G.evidence_status(_evidence(spark, sf_dir), TODAY, require_stamp=True)
-    return rows.groupBy("status").agg(F.count("*").alias("n")).withColumn("grounded", F.col("status").isin("found", "folded-only")).select("status", "grounded", "n")
+    """Bundles of requests in their order, each grounded or rejected with its reason; unstamped sources are refused."""
+    rows = _evidence(spark, sf_dir).withColumn("bundle", F.col("id") % 10).withColumn("ord", F.expr("id DIV 10"))
+    return G.context_bundle(rows, TODAY, require_stamp=True).select("id", "bundle", "ord", "status", "grounded")
 
 
 @query("""SELECT id, line_no, line FROM (SELECT id, line_no, trim(line) AS line, row_number() OVER (PARTITION BY id ORDER BY line_no) AS r FROM (SELECT doc_id AS id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents)) WHERE contains(lower(line), 'tion')) WHERE r <= 10""")
@@ -161,42 +178,79 @@ def j3_index_fullouter(spark, sf_dir):
     return both.select("id", F.when(F.col("i").isNull(), "not-listed").otherwise("not-there").alias("problem"))
 
 
-@query(f"""WITH {_RES_SQL}, f AS (
-  SELECT 'error' AS severity, 'A' AS code, count(*) AS n FROM c WHERE rel IS NULL UNION ALL SELECT 'error', 'B', count(*) FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT 'error', 'D', count(*) FROM documents WHERE doc_id % 3 = 0
-  UNION ALL SELECT 'error', 'F', count(*) FROM x WHERE text IS NOT NULL AND n = 0 UNION ALL SELECT 'warn', 'F', count(*) FROM x WHERE text IS NOT NULL AND n > 1
-  UNION ALL SELECT 'warn', 'H', (SELECT count(*) FROM x WHERE text IS NOT NULL AND stored <> '' AND stored <> sha256(text)) + (SELECT count(*) FROM c WHERE review_by = 'soon' OR review_by < '{TODAY}') + (SELECT count(*) FROM documents WHERE doc_id % 13 = 0))
-  SELECT severity, code, n::BIGINT AS n FROM f WHERE n > 0""")
+SHELVES = [f"src{i}" for i in range(64)]
+
+
+@query(f"""WITH {_RES_SQL}, v AS (SELECT *, path IS NOT NULL AND NOT contains(path, '..') AS valid, path = 'library/' || source || '/' || id || '.txt' AS there FROM x), f AS (
+  SELECT 'error' AS severity, 'A' AS code, id::VARCHAR AS subject FROM v WHERE NOT valid UNION ALL SELECT 'unmeasured', 'U', id::VARCHAR FROM v WHERE valid AND NOT there UNION ALL SELECT 'error', 'B', 'library/' || source || '/' || doc_id || '.txt' FROM documents WHERE doc_id % 29 = 3
+  UNION ALL SELECT 'error', 'D', doc_id::VARCHAR FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'error', 'F', id::VARCHAR FROM v WHERE there AND n = 0 UNION ALL SELECT 'warn', 'F', id::VARCHAR FROM v WHERE there AND n > 1
+  UNION ALL SELECT 'warn', 'H', id::VARCHAR FROM v WHERE there AND stored <> '' AND stored <> sha256(text) UNION ALL SELECT 'warn', 'H', id::VARCHAR FROM v WHERE review_by = 'soon' OR review_by < '{TODAY}' UNION ALL SELECT 'warn', 'H', id::VARCHAR FROM v WHERE id % 13 = 0)
+  SELECT severity, code, subject, count(*)::BIGINT AS n FROM f GROUP BY ALL""")
 def c_integrity_findings(spark, sf_dir):
-    """All checks of the linter, counted by severity and code."""
-    c = cards(spark, sf_dir)
-    listed = c.where(F.col("id") % 3 > 0).select("id")
-    found = G.integrity_findings(c, c.select(F.col("id").alias("rel"), "text"), listed, c.select("id", G.marker(F.col("phrase")).alias("marker")), TODAY)
-    return found.groupBy("severity", "code").agg(F.count("*").alias("n"))
+    """The linter over cards whose paths are missing, outside the shelves or not installed, with literal anchors and patterns; strict, so ambiguous anchors are told."""
+    c = cards(spark, sf_dir).withColumn("rel", F.col("path")).withColumn("id", F.col("id").cast("string"))
+    d = F.col("id").cast("long")
+    sources = c.select(F.col("own_path").alias("rel"), F.when(d % 29 == 3, F.concat(F.lit("x"), "id")).otherwise(F.col("id")).alias("id"), "text")
+    anchors = c.select("id", G.marker(F.col("phrase"), F.col("regex")).alias("marker"))
+    found = L.check(c.drop("text"), sources, anchors, TODAY, index=c.where(d % 3 > 0).select("id"), pattern=L.source_path(SHELVES), strict=True)
+    return found.groupBy("severity", "code", "subject").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_RES_SQL} SELECT id, n::INT AS count, CASE WHEN n = 0 THEN 'error' ELSE 'warn' END AS severity FROM x WHERE text IS NOT NULL AND n <> 1""")
 def c_f_citation_rot(spark, sf_dir):
-    """Anchors that their own source no longer holds, or holds in several places."""
-    rows = G.folded(_evidence(spark, sf_dir).where("text is not null")).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), False)).where("r.count != 1")
-    return rows.select("id", "r.count", F.when(F.col("r.count") == 0, "error").otherwise("warn").alias("severity"))
+    """Anchors, patterns too, that their own source no longer holds, or holds in several places."""
+    c = cards(spark, sf_dir)
+    asked = c.where("rel is not null").select("rel", F.col("id").alias("owner"), F.lit(0).alias("ord"), G.marker(F.col("phrase"), F.col("regex")).alias("marker"))
+    rows = G.resolved(asked, c.select(F.col("id").alias("rel"), "text")).where("count != 1")
+    return rows.select(F.col("owner").alias("id"), "count", F.when(F.col("count") == 0, "error").otherwise("warn").alias("severity"))
+
+
+_LENS_SQL = """l AS (SELECT doc_id AS id, source, text, split_part(split_part(text, E'\\n', 1), ' ', 2) AS word FROM documents WHERE trim(split_part(split_part(text, E'\\n', 1), ' ', 2)) <> ''),
+  z AS (SELECT id, 'lens-' || id AS name, CASE WHEN id % 4 = 0 THEN 'zzz ' || word ELSE word END AS phrase, id % 6 AS kind FROM l WHERE NOT contains(word, '`') AND NOT contains(word, '"'))"""
+
+
+def _lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, phrase, kind) of a lens for each document: a sixth name no source, a sixth one that isn't there."""
+    word = F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(2))
+    rows = docs(spark, sf_dir).where((F.trim(word) != "") & ~F.contains(word, F.lit("`")) & ~F.contains(word, F.lit('"')))
+    return rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("lens-"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("zzz "), word)).otherwise(word).alias("phrase"), (F.col("doc_id") % 6).alias("kind"), "source")
+
+
+_HELD = f"""{_LENS_SQL}, h AS (SELECT z.*, d.text IS NOT NULL AS there, {FLAT.replace('text', 'd.text')} AS flat FROM z LEFT JOIN documents d ON d.doc_id = z.id), r AS (SELECT *, contains(flat, trim(phrase)) OR (replace(trim(phrase), '-', '') <> '' AND contains({_BARE % 'flat'}, {_BARE % 'trim(phrase)'})) AS held FROM h)"""
+
+
+@query(f"""WITH {_HELD} SELECT 'error' AS severity, 'F' AS code, name AS subject FROM r WHERE kind > 1 AND NOT held UNION ALL SELECT 'unmeasured', 'U', name FROM r WHERE kind <= 1""")
+def c_f_frameworks(spark, sf_dir):
+    """Anchors of frameworks in any source that these name; without one that is there, nothing was measured."""
+    f = _lenses(spark, sf_dir)
+    path = F.when(F.col("kind") == 0, "none").when(F.col("kind") == 1, "mylibrary/src0/x.txt, library/src1/gone.txt").otherwise(F.concat(F.lit("library/"), "source", F.lit("/"), F.col("id").cast("string"), F.lit(".txt")))
+    texts_ = f.select("name", F.concat(F.lit("**Source:** `"), path, F.lit("`\n(grep: `"), "phrase", F.lit("`)")).alias("text"))
+    sources = docs(spark, sf_dir).select(F.concat(F.lit("library/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), "text")
+    pattern = L.source_path(SHELVES)
+    parts = L.lens_findings(texts_, L.named_paths(texts_, pattern), sources, "error", "unmeasured")
+    return parts[0].unionByName(parts[1]).select("severity", "code", "subject")
+
+
+@query(f"""WITH {_HELD} SELECT 'warn' AS severity, 'F' AS code, name AS subject FROM r WHERE kind <= 1 OR NOT held""")
+def c_f_syntheses(spark, sf_dir):
+    """Anchors of syntheses in the sources of the cards that they list by name: both a lost anchor and a synthesis without sources are warnings."""
+    f = _lenses(spark, sf_dir)
+    named = F.when(F.col("kind") == 0, "cross, ref").when(F.col("kind") == 1, "no-such-card").otherwise(F.concat(F.lit("cards-"), F.col("id").cast("string"), F.lit("-end (cross-ref)")))
+    texts_ = f.select("name", F.concat(F.lit("---\ncards: ["), named, F.lit("]\n---\n(grep: `"), "phrase", F.lit("`)")).alias("text"))
+    d = docs(spark, sf_dir)
+    rel = F.concat(F.lit("library/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    own = d.select(F.concat(F.lit("cards-"), F.col("doc_id").cast("string"), F.lit("-end")).alias("id"), rel.alias("rel"))
+    pattern = L.source_path(SHELVES)
+    parts = L.lens_findings(texts_, L.synthesis_sources(texts_, own, None, pattern), d.select(rel.alias("rel"), "text"), "warn", "warn")
+    return parts[0].unionByName(parts[1]).select("severity", "code", "subject")
 
 
 @query(f"""WITH {_CARD_SQL} SELECT id, CASE WHEN id % 13 = 0 THEN 'superseded' WHEN review_by = 'soon' THEN 'review-date-invalid' WHEN review_by < '{TODAY}' THEN 'review-expired' WHEN stored <> '' AND stored <> sha256(d.text) THEN 'source-changed' END AS why FROM c LEFT JOIN documents d ON d.doc_id = c.rel
   WHERE id % 13 = 0 OR review_by = 'soon' OR review_by < '{TODAY}' OR (stored <> '' AND stored <> sha256(d.text))""")
 def c_h_freshness(spark, sf_dir):
     """The first reason why a card isn't fresh."""
-    due = F.try_to_date("review_by", "yyyy-MM-dd")
-    why = F.when(F.col("superseded_by").isNotNull(), "superseded").when(F.col("review_by").isNotNull() & due.isNull(), "review-date-invalid").when(due < F.lit(TODAY).cast("date"), "review-expired").when((F.col("stored_sha") != "") & (F.col("stored_sha") != F.sha2("text", 256)), "source-changed")
-    return _evidence(spark, sf_dir).select("id", why.alias("why")).where("why is not null")
-
-
-@query("""WITH b AS (SELECT source, list(DISTINCT regexp_replace(lower(split_part(text, E'\\n', 1)), '[^a-z0-9]+', ' ', 'g')) AS lines FROM documents WHERE doc_id % 2 = 0 GROUP BY source), d AS (SELECT doc_id AS id, source, regexp_replace(lower(split_part(text, E'\\n', 1)), '[^a-z0-9]+', ' ', 'g') AS line FROM documents)
-  SELECT id FROM d LEFT JOIN b USING (source) WHERE NOT coalesce(list_contains(lines, line), false)""")
-def j11_bibliography_coverage(spark, sf_dir):
-    """Sources whose title line no bibliography row of their shelf has (rows of even ids stand for the bibliography)."""
-    line = F.regexp_replace(F.lower(F.substring_index("text", "\n", 1)), "[^a-z0-9]+", " ")
-    own = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", line.alias("line"))
-    return own.join(own.where(F.col("id") % 2 == 0).select("source", "line").distinct(), ["source", "line"], "left_anti").select("id")
+    rows = _evidence(spark, sf_dir).withColumn("sha", F.sha2("text", 256))
+    return rows.select("id", F.try_element_at(L.freshness(rows, TODAY), F.lit(1)).alias("why")).where("why is not null")
 
 
 @query()

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
-from quoin.functions.anchors import parse_markers
 from quoin.operators import normalize
-from quoin.operators import services as S
+from quoin.operators.entailment import entailed, overlap
 from quoin.plans.registry import query
 from quoin.plans.text_queries import docs, odd_lines
 from quoin.runtime import scratch, spread, table
@@ -34,36 +30,6 @@ def f22_normalize(spark, sf_dir):
     return normalize.changed(wrapped).select("doc_id", F.length("normal").alias("chars"), F.sha2("normal", 256).alias("normal_sha"))
 
 
-def support(premise, claim, backend: Callable[[str, str], float] | None):
-    """A column of support scores from an injected model; without one every score is null: not measured."""
-    if backend is None:
-        return F.lit(None).cast("double")
-
-    def run(p: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([backend(a, b) if a is not None and b is not None else None for a, b in zip(p, c, strict=True)], dtype="float64")
-
-    return F.pandas_udf(run, "double")(premise, claim)
-
-
-def _overlap(premise: str, claim: str) -> float:
-    """A stand-in for a model: the share of the claim's words that the premise has."""
-    own = set(claim.lower().split())
-    return len(own & set(premise.lower().split())) / len(own) if own else 0.0
-
-
-def entailed(cards, backend: Callable[[str, str], float] | None):
-    """cards (id, body, text of the source): (id, ord, phrase, support) of every literal anchor of the body, its claim against the window of the source around it.
-
-    support is null where the source has no such window or the card no claim: not measured. A card without literal anchors is one row without ord and phrase.
-    """
-    literal = F.filter(parse_markers(F.col("body")), lambda m: ~m["regex"])
-    marks = cards.select("id", "body", "text", F.posexplode_outer(literal).alias("ord", "marker")).withColumn("phrase", F.col("marker.phrase"))
-    marked = lambda q: F.concat(F.lit(q), "phrase")  # noqa: E731  a mention within a marker comes before one in prose
-    at = F.when(F.contains("body", marked("`")), marked("`")).when(F.contains("body", marked('"')), marked('"')).otherwise(F.col("phrase"))
-    claim = F.when(F.col("phrase").isNotNull(), F.nullif(F.trim(S.claim_of(F.col("body"), at)), F.lit("")))
-    return marks.select("id", "ord", "phrase", support(S.sentence_window(F.col("text"), F.col("phrase")), claim, backend).alias("support"))
-
-
 @query()
 def r25_entail_stub(spark, sf_dir):
     """Support of each card's claims by the windows of its source, by a stand-in backend; a card for each document, with anchors in its first, middle and last sentences and a pattern."""
@@ -79,7 +45,7 @@ def r25_entail_stub(spark, sf_dir):
 
     spots = F.array_distinct(F.array(F.lit(1), F.ceil(n / 2), n.cast("long")))
     body = F.concat(F.array_join(F.transform(spots, line), " "), F.lit(" A pattern (grep-re: `.+`)."))
-    rows = entailed(docs(spark, sf_dir).withColumn("s", s).select(F.col("doc_id").alias("id"), body.alias("body"), "text"), _overlap)
+    rows = entailed(docs(spark, sf_dir).withColumn("s", s).select(F.col("doc_id").alias("id"), body.alias("body"), "text"), overlap)
     return rows.select(F.col("id").alias("doc_id"), "ord", "phrase", F.round("support", 6).alias("support"))
 
 

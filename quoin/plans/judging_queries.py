@@ -127,15 +127,36 @@ def j8_declared_binding(spark, sf_dir):
     return n.join(first, "criterion")
 
 
-@query(f"SELECT doc_id AS card, contains(text, phrase) AND phrase <> '' AS held FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN phrase || ' zzz' ELSE phrase END AS phrase FROM ({_CITED}) JOIN documents USING (doc_id)) WHERE NOT contains(text, phrase)")
+_QUOTE_SQL = f"(SELECT doc_id AS card, text, unnest([CASE WHEN doc_id % 3 = 0 THEN phrase || ' zzz' ELSE phrase END, CASE WHEN doc_id % 2 = 0 THEN 'qqq ' || phrase ELSE phrase END]) AS value FROM ({_CITED}) JOIN documents USING (doc_id) WHERE trim(phrase) <> '')"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT card, value, {sql_norm('value')} AS p, {FLAT.replace('text', 'q.text')} AS flat, len(list_filter(string_split(text, E'\\n'), lambda l: contains(l, value))) > 0 AS on_line FROM {_QUOTE_SQL} q), n AS (SELECT *, regexp_replace(flat, '-\\s*', '', 'g') AS nohy, regexp_replace(p, '-\\s*', '', 'g') AS pd FROM q)
+  SELECT card, value FROM n WHERE NOT (on_line AND CASE WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) WHEN pd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, pd, ''))) // length(pd) END = 1)""")
 def r17_explicit_gaps(spark, sf_dir):
-    """Explicit quotes that their card no longer holds as they are."""
-    d = docs(spark, sf_dir)
+    """Explicit quotes, one of them in a further field, that their card doesn't hold once and as they are on a line."""
     words = F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(2))
-    value = F.when(F.col("doc_id") % 3 == 0, F.concat(words, F.lit(" zzz"))).otherwise(words)
-    field = F.struct(value.alias("value"), F.lit("explicit").alias("kind"), F.lit(None).cast("string").alias("warrant"), F.array(F.struct(F.col("doc_id").alias("card"), value.alias("phrase"))).alias("evidence"))
-    level = F.array(F.struct(F.lit(0).alias("score"), field.alias("descriptor")))
-    c = F.array(F.struct(F.col("doc_id").cast("string").alias("id"), field.alias("statement"), field.alias("guidance"), level.alias("levels")))
+    d = docs(spark, sf_dir).where(F.trim(words) != "")
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat(words, F.lit(" zzz"))).otherwise(words)
+    other = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("qqq "), words)).otherwise(words)
+    field = lambda v: F.struct(v.alias("value"), F.lit("explicit").alias("kind"), F.lit(None).cast("string").alias("warrant"), F.array(F.struct(F.col("doc_id").alias("card"), v.alias("phrase"))).alias("evidence"))
+    level = F.array(F.struct(F.lit(0).alias("score"), field(own).alias("descriptor")))
+    c = F.array(F.struct(F.col("doc_id").cast("string").alias("id"), field(own).alias("statement"), field(own).alias("guidance"), F.create_map(F.lit("more"), field(other)).alias("fields"), level.alias("levels")))
     rubrics = d.select(F.lit("d").alias("dimension"), F.array().cast("array<string>").alias("panel"), c.alias("criteria"))
     gaps = gate.explicit_gaps(rubrics, d.select(F.col("doc_id").alias("card"), "text"))
-    return gaps.select(F.col("criterion").cast("long").alias("card"), F.lit(False).alias("held"))
+    return gaps.select(F.col("criterion").cast("long").alias("card"), "value")
+
+
+@query(f"""WITH m AS (SELECT * FROM (VALUES (0, -1), (1, 0), (2, 1)) t(place, step)), a AS (SELECT doc_id AS move, k AS anchor, CASE WHEN k = 1 THEN 'zzz ' || w ELSE w END AS phrase FROM (SELECT doc_id, split_part(split_part(text, E'\\n', 1), ' ', 2) AS w FROM documents), (VALUES (0), (1)) t(k) WHERE trim(w) <> ''),
+  s AS (SELECT move, anchor, place, phrase, {sql_norm('phrase')} AS p, d.text, {FLAT.replace('text', 'd.text')} AS flat FROM a, m LEFT JOIN documents d ON d.doc_id = a.move + m.step), n AS (SELECT *, regexp_replace(flat, '-\\s*', '', 'g') AS nohy, regexp_replace(p, '-\\s*', '', 'g') AS pd FROM s),
+  c AS (SELECT *, CASE WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) WHEN pd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, pd, ''))) // length(pd) END AS n FROM n),
+  r AS (SELECT move, anchor, place, coalesce(n = 1, false) AS good, CASE WHEN text IS NULL THEN 2 WHEN n = 0 THEN 1 ELSE 3 END AS rank FROM c)
+  SELECT move, anchor, CASE WHEN count(*) FILTER (WHERE good) > 1 THEN 'ambiguous-panel' WHEN count(*) FILTER (WHERE good) = 1 THEN 'grounded' ELSE ['not-found', 'source-not-installed', 'ambiguous'][max(rank) FILTER (WHERE NOT good)] END AS status, CASE WHEN count(*) FILTER (WHERE good) = 1 THEN max(move + place - 1) FILTER (WHERE good) END AS card FROM r GROUP BY move, anchor""")
+def gate_panel_grounding(spark, sf_dir):
+    """Two anchors of each move against a panel of three cards: exactly one has to hold an anchor."""
+    words = F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(2))
+    d = docs(spark, sf_dir)
+    moves = d.where(F.trim(words) != "").select(F.col("doc_id").cast("string").alias("dimension"), F.lit(0).alias("ord"), F.array(marker(words), marker(F.concat(F.lit("zzz "), words))).alias("markers"))
+    panel = moves.select("dimension", F.posexplode(F.array(*[F.col("dimension").cast("long") + i for i in (-1, 0, 1)])).alias("place", "card"))
+    done = gate.ground_panel(moves, panel, d.select(F.col("doc_id").alias("card"), "text"), "2026-01-01")
+    status = F.when(F.col("status").isin("found", "folded-only"), "grounded").otherwise(F.col("status"))
+    return done.select(F.col("dimension").cast("long").alias("move"), "anchor", status.alias("status"), "card")

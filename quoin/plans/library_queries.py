@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quoin.operators import evaluation, gate
 from quoin.operators import grounding as G
+from quoin.operators import linter as L
 from quoin.operators import services as S
+from quoin.operators.normalize import backups_to_prune
 from quoin.plans.grounding_queries import cards
 from quoin.plans.registry import query
 from quoin.plans.text_queries import WS, docs, sql_norm
@@ -29,11 +31,19 @@ def p3_projection(spark, sf_dir):
     return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.array_join(F.array_sort(F.map_keys(S.project(secs, "engine"))), ",").alias("names"))
 
 
-@query("SELECT doc_id AS id FROM documents WHERE regexp_full_match('lib/' || source || '/' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '.md' ELSE '.txt' END, 'lib/(src0|src1|src2)/[A-Za-z0-9._-]+\\.txt')")
+_PATHS = "(SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'lib/src1/' || doc_id || '.md' WHEN 1 THEN 'lib/src1/../' || doc_id || '.txt' WHEN 2 THEN '../lib/src1/' || doc_id || '.txt' WHEN 3 THEN 'lib/other/' || doc_id || '.txt' WHEN 4 THEN 'lib/src1/a b.txt' WHEN 5 THEN 'lib/' || source || '/x/' || doc_id || '.txt' ELSE 'lib/' || source || '/' || doc_id || '.txt' END AS rel, CASE doc_id % 4 WHEN 0 THEN 'a/b' WHEN 1 THEN '' WHEN 2 THEN 'a\\b' ELSE 'card-' || doc_id END AS card FROM documents)"
+
+
+@query(f"SELECT doc_id AS id, regexp_full_match(rel, 'lib/(src0|src1|src2)/[A-Za-z0-9._-]+\\.txt') AS source, card <> '' AND NOT contains(card, '/') AND NOT contains(card, chr(92)) AS card FROM {_PATHS}")
 def p6_source_fence(spark, sf_dir):
-    """Only texts of the configured shelves are sources."""
-    path = F.concat(F.lit("lib/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".md").otherwise(".txt"))
-    return docs(spark, sf_dir).where(path.rlike(r"^lib/(src0|src1|src2)/[A-Za-z0-9._-]+\.txt$")).select(F.col("doc_id").alias("id"))
+    """Only texts of the configured shelves are sources, and only bare names are cards."""
+    d = F.col("doc_id").cast("string")
+    at = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    rel = F.col("doc_id") % 9
+    path = F.when(rel == 0, at("lib/src1/", d, ".md")).when(rel == 1, at("lib/src1/../", d, ".txt")).when(rel == 2, at("../lib/src1/", d, ".txt")).when(rel == 3, at("lib/other/", d, ".txt")).when(rel == 4, "lib/src1/a b.txt").when(rel == 5, at("lib/", F.col("source"), "/x/", d, ".txt")).otherwise(at("lib/", F.col("source"), "/", d, ".txt"))
+    k = F.col("doc_id") % 4
+    card = F.when(k == 0, "a/b").when(k == 1, "").when(k == 2, "a\\b").otherwise(at("card-", d))
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), L.is_source_path(path, L.source_path(["src0", "src1", "src2"], "lib")).alias("source"), L.card_path(card).alias("card"))
 
 
 @query(f"SELECT doc_id AS id, trim(list_filter(string_split(t, E'\\n'), lambda x: trim(x) <> '' AND NOT starts_with(x, '_('))[1]) AS gist FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN E'_(to be written)\\n\\n' || text ELSE text END AS t FROM documents)")
@@ -73,16 +83,17 @@ def j6_panel_names(spark, sf_dir):
     return S.panel_names(s, c).groupBy("owner", "name").agg(F.count("id").alias("cards"), F.min("kind").alias("kind"))
 
 
-_STATUS = "CASE (doc_id * 7 + i) % 6 WHEN 0 THEN 'found' WHEN 1 THEN 'not-found' WHEN 2 THEN 'source-stale' WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'review-expired' ELSE 'not-found' END"
+_STATUS = "['found', 'not-found', 'source-stale', 'ambiguous', 'review-expired', 'source-not-installed', 'source-unstamped', 'review-date-invalid'][(doc_id * 5 + i * (doc_id % 7 + 1)) % 8 + 1]"
 
 
-@query(f"""WITH r AS (SELECT doc_id AS anchor, i AS ord, {_STATUS} AS status FROM documents, range(0, 3) t(i) WHERE i <= doc_id % 3), k AS (SELECT *, list_position(['found', 'source-not-installed', 'not-found', 'source-unstamped', 'review-expired', 'review-date-invalid', 'source-stale', 'ambiguous', 'ambiguous-panel'], status) AS rk FROM r)
+@query(f"""WITH r AS (SELECT doc_id AS anchor, i AS ord, {_STATUS} AS status FROM documents, range(0, 3) t(i) WHERE i <= doc_id % 3),
+  k AS (SELECT *, CASE WHEN status IN ('source-stale', 'review-expired', 'review-date-invalid') THEN 5 WHEN status = 'source-unstamped' THEN 4 WHEN status = 'ambiguous' THEN 3 WHEN status = 'source-not-installed' THEN 2 ELSE 1 END AS rk FROM r)
   SELECT anchor, CASE WHEN count(*) FILTER (WHERE status = 'found') = 1 THEN 'found' WHEN count(*) FILTER (WHERE status = 'found') > 1 THEN 'ambiguous-panel' ELSE max_by(status, rk * 100 + ord) FILTER (WHERE status <> 'found') END AS status FROM k GROUP BY anchor""")
 def w11_reason_rank(spark, sf_dir):
-    """One status for each anchor over its panel: the most telling failure."""
-    names = F.array(*map(F.lit, ("found", "not-found", "source-stale", "ambiguous", "review-expired", "not-found")))
+    """One status for each anchor over its panel: the most telling failure, the later card's of equal ones."""
+    names = F.array(*map(F.lit, ("found", "not-found", "source-stale", "ambiguous", "review-expired", "source-not-installed", "source-unstamped", "review-date-invalid")))
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("anchor"), F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("ord"))
-    return S.worst_reason(rows.withColumn("status", F.element_at(names, ((F.col("anchor") * 7 + F.col("ord")) % 6 + 1).cast("int"))))
+    return S.worst_reason(rows.withColumn("status", F.element_at(names, ((F.col("anchor") * 5 + F.col("ord") * (F.col("anchor") % 7 + 1)) % 8 + 1).cast("int"))))
 
 
 @query("SELECT doc_id AS draft, 'c' AS criterion, floor(avg(s) + 0.5)::INT AS score, (max(s) - min(s))::INT AS spread FROM (SELECT doc_id, (doc_id * (i + 2)) % 5 AS s FROM documents, range(0, 4) t(i)) GROUP BY doc_id")
@@ -93,39 +104,25 @@ def w12_balanced_scores(spark, sf_dir):
 
 @query("SELECT coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), 'stub') AS zoom, count(*)::BIGINT AS cards, (count(*) FILTER (WHERE source <> 'src0'))::BIGINT AS aliased FROM documents GROUP BY 1")
 def a2_zoom_counts(spark, sf_dir):
-    z = F.coalesce(F.nullif(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")), F.lit("")), F.lit("stub"))
-    return docs(spark, sf_dir).groupBy(z.alias("zoom")).agg(F.count("*").alias("cards"), F.count_if(F.col("source") != "src0").alias("aliased"))
+    rows = docs(spark, sf_dir).select(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("zoom"), F.nullif("source", F.lit("src0")).alias("aliases"))
+    return S.zoom_counts(rows)
 
 
 @query("SELECT text_sha, n::BIGINT AS n, first FROM (SELECT sha256(text) AS text_sha, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1) WHERE n > 1")
 def a20_duplicates(spark, sf_dir):
     """Sources that stand in the corpus more than once."""
-    return docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-
-
-def _page_recall(texts, most=None):
-    """Recall of each line of texts as a page, or of the first lines."""
-    shown = F.split("text", "\n")
-    lines = texts.select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(shown, 1, most) if most else shown).alias("pos", "shown"))
-    half = F.concat(F.substring("shown", F.lit(1), F.floor(F.length("shown") / 2).cast("int")), F.lit(" zz"))
-    pages = lines.select("doc", (F.col("pos") + 1).cast("long").alias("page"), "shown", half.alias("extracted"))
-    return S.page_recall(pages).select("doc", "page", F.round("recall", 6).alias("recall"))
-
-
-@query(f"""WITH p AS (SELECT doc_id AS doc, i AS page, l[i] AS shown, substr(l[i], 1, length(l[i]) // 2) || ' zz' AS extracted FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents), range(1, 4) t(i) WHERE i <= len(l)),
-  w AS (SELECT doc, page, unnest(regexp_extract_all(lower(replace(shown, '-', '')), '[\\p{{L}}\\p{{N}}]+')) AS t, 1 AS a, 0 AS b FROM p UNION ALL SELECT doc, page, unnest(regexp_extract_all(lower(replace(extracted, '-', '')), '[\\p{{L}}\\p{{N}}]+')), 0, 1 FROM p), g AS (SELECT doc, page, t, sum(a) AS a, sum(b) AS b FROM w GROUP BY doc, page, t)
-  SELECT p.doc, p.page, round(r, 6)::DOUBLE AS recall FROM p LEFT JOIN (SELECT doc, page, sum(least(a, b)) / nullif(sum(a), 0) AS r FROM g GROUP BY doc, page) q USING (doc, page)""")
-def a8_page_recall(spark, sf_dir):
-    """How much of the first three lines' words a halved extraction keeps. For all lines see a8_page_recall_all."""
-    return _page_recall(docs(spark, sf_dir), 3)
+    return S.duplicates(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("sha256", "text_sha")
 
 
 @query(f"""WITH p AS (SELECT doc_id AS doc, i AS page, l[i] AS shown, substr(l[i], 1, length(l[i]) // 2) || ' zz' AS extracted FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents))),
   w AS (SELECT doc, page, unnest(regexp_extract_all(lower(replace(shown, '-', '')), '[\\p{{L}}\\p{{N}}]+')) AS t, 1 AS a, 0 AS b FROM p UNION ALL SELECT doc, page, unnest(regexp_extract_all(lower(replace(extracted, '-', '')), '[\\p{{L}}\\p{{N}}]+')), 0, 1 FROM p), g AS (SELECT doc, page, t, sum(a) AS a, sum(b) AS b FROM w GROUP BY doc, page, t)
   SELECT p.doc, p.page, round(r, 6)::DOUBLE AS recall FROM p LEFT JOIN (SELECT doc, page, sum(least(a, b)) / nullif(sum(a), 0) AS r FROM g GROUP BY doc, page) q USING (doc, page)""")
-def a8_page_recall_all(spark, sf_dir):
-    """How much of every line's words a halved extraction keeps."""
-    return _page_recall(docs(spark, sf_dir))
+def a8_page_recall(spark, sf_dir):
+    """How much of every line's words a halved extraction keeps; each line is a page."""
+    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "shown"))
+    half = F.concat(F.substring("shown", F.lit(1), F.floor(F.length("shown") / 2).cast("int")), F.lit(" zz"))
+    pages = lines.select("doc", (F.col("pos") + 1).cast("long").alias("page"), "shown", half.alias("extracted"))
+    return S.page_recall(pages).select("doc", "page", F.round("recall", 6).alias("recall"))
 
 
 @query(f"SELECT doc_id AS id, CASE WHEN w = 0 THEN 'no words' WHEN share > 0.1 THEN 'control characters' END AS refused FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(t, '{WS}', ' ', 'g'), ' '), lambda x: x <> '')) AS w, (length(t) - length(regexp_replace(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'))) / greatest(length(t), 1) AS share FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN replace(text, 'e', chr(2)) ELSE text END AS t FROM documents))")
@@ -163,35 +160,26 @@ def h12_deadline(spark, sf_dir):
     return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), S.deadline(F.col("n_chars") * 1000).cast("long").alias("seconds"))
 
 
-@query("SELECT doc_id AS id, sha256(lang || chr(1) || source || chr(1) || n_chars) AS key FROM documents")
+@query("SELECT doc_id AS id, sha256('aim-' || doc_id || chr(0) || split_part(text, E'\\n', 1) || chr(0) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END || chr(0) || '0=low|1=' || source) AS key FROM documents")
 def h3_criterion_key(spark, sf_dir):
-    """A digest of joined fields, as keys of criteria are made."""
-    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.sha2(F.concat_ws("\x01", "lang", "source", F.col("n_chars").cast("string")), 256).alias("key"))
-
-
-@query(f"""WITH b AS (SELECT source, doc_id % 2 AS tabled, min({_FIRST}) AS line FROM documents GROUP BY 1, 2) SELECT d.doc_id AS id, coalesce(max(CASE WHEN b.tabled = 1 THEN b.line END), max(b.line)) AS line FROM documents d JOIN b ON b.source = d.source GROUP BY d.doc_id""")
-def j10_bibliography_lookup(spark, sf_dir):
-    """The bibliography row of each source's shelf; table rows before prose."""
-    d = docs(spark, sf_dir)
-    lines = d.groupBy("source", (F.col("doc_id") % 2).alias("tabled")).agg(F.min(F.substring_index("text", "\n", 1)).alias("line"))
-    best = lines.groupBy("source").agg(F.max_by("line", "tabled").alias("line"))
-    return d.select(F.col("doc_id").alias("id"), "source").join(best, "source").select("id", "line")
-
-
-@query(f"SELECT doc_id AS id FROM documents WHERE (CASE WHEN doc_id % 5 = 0 THEN upper({_FIRST}) ELSE {_FIRST} END) <> {_FIRST}")
-def j12_bibliography_mirror(spark, sf_dir):
-    """Cards whose bibliography line isn't the live one."""
-    first = F.substring_index("text", "\n", 1)
-    d = docs(spark, sf_dir)
-    copied = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, F.upper(first)).otherwise(first).alias("copied"))
-    return copied.join(d.select(F.col("doc_id").alias("id"), first.alias("live")), "id").where("copied != live").select("id")
+    """The digest of what a criterion says, which a judge's steps are kept by."""
+    field = lambda c: F.struct(c.alias("value"))
+    level = lambda i, c: F.struct(F.lit(i).alias("score"), field(c).alias("descriptor"))
+    rows = docs(spark, sf_dir).select(
+        "doc_id", F.struct(F.concat(F.lit("aim-"), F.col("doc_id").cast("string")).alias("id"), field(F.substring_index("text", "\n", 1)).alias("statement"), field(F.when(F.col("doc_id") % 3 != 0, F.col("lang"))).alias("guidance"), F.array(level(0, F.lit("low")), level(1, F.col("source"))).alias("levels")).alias("c")
+    )
+    return rows.select(F.col("doc_id").alias("id"), gate.criterion_key(F.col("c")).alias("key"))
 
 
-@query("SELECT round(avg(contains(d.text, b.text)::INT), 6) AS share, count(*)::BIGINT AS anchors FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+@query(f"""WITH w AS (SELECT doc_id AS id, {sql_norm('text')} AS flat, string_split({_FIRST}, ' ') AS l FROM documents), a AS (SELECT id, flat, regexp_replace(flat, '-\\s*', '', 'g') AS nohy, trim(unnest([l[1], l[2] || ' ' || l[3], 'no such thing', l[3] || 'zz'])) AS p FROM w WHERE len(l) > 2)
+  SELECT id, round(avg((p <> '' AND (contains(flat, p) OR (regexp_replace(p, '-\\s*', '', 'g') <> '' AND contains(nohy, regexp_replace(p, '-\\s*', '', 'g')))))::INT), 6) AS share, count(*)::BIGINT AS anchors FROM a GROUP BY id""")
 def r23_anchor_compatibility(spark, sf_dir):
-    """The share of anchors that a corpus still holds."""
-    pairs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("phrase")).join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return pairs.agg(F.round(F.avg(F.contains("text", F.col("phrase")).cast("int")), 6).alias("share"), F.count("*").alias("anchors"))
+    """The share of each document's anchors that its text still holds, over folds."""
+    l = F.split(F.substring_index("text", "\n", 1), " ")  # noqa: E741
+    word = lambda i: F.element_at("l", i)
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", l.alias("l")).where(F.size("l") > 2)
+    rows = rows.select("id", "text", F.array(word(1), F.concat_ws(" ", word(2), word(3)), F.lit("no such thing"), F.concat(word(3), F.lit("zz"))).alias("anchors"))
+    return evaluation.anchor_compatibility(rows).select("id", F.round("share", 6).alias("share"), F.col("n").cast("long").alias("anchors"))
 
 
 @query()
@@ -203,11 +191,11 @@ def r6_retrieve_evidence(spark, sf_dir):
     return rows.select("id", "status", "route", "rank", "line", F.sha2("passage", 256).alias("passage_sha"))
 
 
-@query("SELECT doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS age FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) > 3")
+@query("SELECT root, name FROM (SELECT source AS root, CASE WHEN doc_id % 5 = 0 THEN 'other-' ELSE 'normalize-backup-' END || doc_id AS name, row_number() OVER (PARTITION BY source, doc_id % 5 = 0 ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents) WHERE r > 3 AND starts_with(name, 'normalize-backup-')")
 def k8_prune_backups(spark, sf_dir):
-    """All but the newest three of each group (sizes stand for times)."""
-    age = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), age.cast("long").alias("age")).where("age > 3")
+    """Backups that go as only the newest three of each root stay; other folders aren't touched."""
+    name = F.concat(F.when(F.col("doc_id") % 5 == 0, "other-").otherwise("normalize-backup-"), F.col("doc_id").cast("string"))
+    return backups_to_prune(docs(spark, sf_dir).select(F.col("source").alias("root"), name.alias("name"), F.struct("n_chars", "doc_id").alias("modified")), 3).select("root", "name")
 
 
 @query("SELECT lang AS kb, count(*)::BIGINT AS cards FROM documents WHERE lang IN (SELECT DISTINCT lang FROM documents ORDER BY 1 LIMIT 10) GROUP BY lang")

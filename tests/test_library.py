@@ -209,7 +209,7 @@ def test_small_operators(spark):
 
 
 def test_entailment_scores_every_literal_anchor(spark):
-    from quoin.plans import ingest_queries as I
+    from quoin.operators import entailment as I
 
     source = "One fine day. Two dogs ran. Three cats sat. Four birds sang loud. Five fish swam."
     body = "Four birds are named in prose. Dogs flew away (grep: `Two dogs`). Loud fish sang (grep: `Four birds`). A gap (grep-re: `One.+day`). Nothing (grep: `day. Two`)."
@@ -233,5 +233,5 @@ def test_every_line_is_a_page(spark, tmp_path):
     from quoin.plans import catalog
 
     spark.createDataFrame([(1, "one two\nthree four\nfive six\nseven eights\n\nnine ten"), (2, "only one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r["doc"], r["page"]): r["recall"] for r in catalog.QUERIES["a8_page_recall_all"](spark, str(tmp_path)).collect()}
+    got = {(r["doc"], r["page"]): r["recall"] for r in catalog.QUERIES["a8_page_recall"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1): 0.5, (1, 2): 0.5, (1, 3): 0.5, (1, 4): 0.5, (1, 5): None, (1, 6): 0.5, (2, 1): 0.5}

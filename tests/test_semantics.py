@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.functions import anchors, text as T
-from quoin.operators import agreement, evaluation, gate, grounding, normalize, retrieval
+from quoin.operators import agreement, evaluation, gate, grounding, linter, normalize, retrieval
 from quoin.sources import formats
 
 
@@ -188,7 +188,7 @@ def test_missing_source_is_unmeasured(spark):
     cards = spark.createDataFrame([(1, "a", "", None, None)], "id int, rel string, stored_sha string, review_by string, superseded_by string")
     none = spark.createDataFrame([], "rel string, text string")
     anchors_ = spark.createDataFrame([(1, "p")], "id int, phrase string").select("id", grounding.marker(F.col("phrase")).alias("marker"))
-    r = grounding.report(grounding.integrity_findings(cards, none, cards.select("id"), anchors_, "2026-01-01")).first()
+    r = grounding.report(linter.check(cards, none, anchors_, "2026-01-01", index=cards.select("id"))).first()
     assert (r["errors"], r["unmeasured"], r["ok"]) == (0, 1, False)
 
 
