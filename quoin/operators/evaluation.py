@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from quoin.functions.anchors import resolve
 from quoin.functions.text import count_of
 from quoin.operators.grounding import folded, marker
+from quoin.runtime import durable
 
 
 def retrieval_means(scored: DataFrame, gold: DataFrame) -> DataFrame:
     """Means over the questions that have relevant ids: P@5, R@10, MRR, nDCG@10. scored (question, id, score), gold (question, id)."""
     gold = gold.select("question", "id").distinct()
     sizes = gold.groupBy("question").agg(F.count("*").alias("n"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("score", 9)), "id")))
-    hits = ranked.join(gold, ["question", "id"], "left_semi").select("question", "rank")
+    placed = durable(scored.select("question", "id", (-F.round("score", 9)).alias("s")), "scored")
+    top = placed.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy("s", "id"))).where("rank <= 10")  # a limit in each task before the shuffle
+    hits = top.join(gold, ["question", "id"], "left_semi").select("question", "rank")
+    best = placed.join(gold, ["question", "id"], "left_semi").groupBy("question").agg(F.min(F.struct("s", "id")).alias("best"))
+    first = placed.join(best, "question").groupBy("question").agg((F.count_if(F.struct("s", "id") < F.col("best")) + 1).alias("first"))  # counted, not sorted
     gain = 1 / F.log2(F.col("rank") + 1)
-    per = sizes.join(hits, "question", "left").groupBy("question", "n").agg(
-        (F.count_if(F.col("rank") <= 5) / 5.0).alias("p5"), (F.count_if(F.col("rank") <= 10) / F.col("n")).alias("r10"),
-        F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("mrr"), F.coalesce(F.sum(F.when(F.col("rank") <= 10, gain)), F.lit(0.0)).alias("dcg"),
-    )
+    counts = hits.groupBy("question").agg(F.count_if(F.col("rank") <= 5).alias("in5"), F.count("*").alias("in10"), F.sum(gain).alias("dcg"))
+    per = sizes.join(counts, "question", "left").join(first, "question", "left").select(
+        "n", (F.coalesce("in5", F.lit(0)) / 5.0).alias("p5"), (F.coalesce("in10", F.lit(0)) / F.col("n")).alias("r10"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce("dcg", F.lit(0.0)).alias("dcg")
+    )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return per.agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 6).alias(c) for c in ("p5", "r10", "mrr")], F.round(F.avg(F.col("dcg") / ideal), 6).alias("ndcg10"))
 

@@ -2,36 +2,60 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
 from quoin.operators.grounding import phrase_hits
+from quoin.runtime import durable
 
 K1, B, FEW_TERMS = 1.5, 0.75, 12
 
 
+def _counted(blobs: DataFrame, wanted: list[str]) -> DataFrame:
+    """(id, dl, tfs): each blob's words and how often it has each term, in the order of wanted. Blobs are read once; few terms are counted in the JVM, many by one automaton."""
+    dl = F.greatest(F.size(T.split_words(F.col("blob"))), F.lit(1))
+    if len(wanted) <= FEW_TERMS:
+        return blobs.select("id", dl.alias("dl"), F.array(*[T.count_of(F.lit(t), F.col("blob")) for t in wanted]).alias("tfs"))
+    numbered = blobs.sparkSession.createDataFrame(list(enumerate(wanted)), "phrase_id long, phrase string")
+    found = phrase_hits(blobs.select("id", F.col("blob").alias("text")), numbered)
+    own = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("phrase_id").cast("int"), "times"))).alias("own"))
+    return blobs.select("id", dl.alias("dl")).join(own, "id", "left").select("id", "dl", "own")
+
+
 def bm25(blobs: DataFrame, questions: DataFrame) -> DataFrame:
     """Scores of (question, id) for blobs (id, blob in lower case) and questions (question, terms array), by how often a term occurs as a substring.
 
-    Questions are control data: a few distinct terms are counted in the JVM, many by one automaton that goes through each blob once. Blobs are read once either way and only hits
-    are kept; statistics are one more aggregate of the hits.
+    Questions are control data. Blobs are read once and their counts written (a row of numbers each); statistics and scores come from those.
     """
-    sized = blobs.select("id", "blob", F.greatest(F.size(T.split_words(F.col("blob"))), F.lit(1)).alias("dl"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = [r[0] for r in questions.select(F.explode(F.transform("terms", F.lower)).alias("term")).where(F.trim("term") != "").distinct().orderBy("term").collect()]
-    if len(wanted) <= FEW_TERMS:
-        found = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), T.count_of(F.lit(t), F.col("blob")).alias("tf")) for t in wanted]), lambda x: x["tf"] > 0) if wanted else F.array().cast("array<struct<term:string,tf:int>>")
-        hits = sized.select("id", "dl", F.explode(found).alias("h")).select("id", "dl", "h.term", "h.tf")
+    asked = [(r["question"], [t.lower() for t in r["terms"] if t.strip()]) for r in questions.select("question", "terms").collect()]
+    wanted = sorted({t for _, terms in asked for t in terms})
+    kind = questions.schema["question"].dataType.simpleString()
+    if not wanted:
+        return blobs.select(F.lit(None).cast(kind).alias("question"), "id", F.lit(0.0).alias("score")).where("false")
+    few = len(wanted) <= FEW_TERMS
+    counts = durable(_counted(blobs, wanted), "counts")
+    tf = lambda i: F.get("tfs", F.lit(i)) if few else F.coalesce(F.try_element_at("own", F.lit(i)), F.lit(0))
+    if few:
+        dfs = F.array(*[F.count_if(tf(i) > 0) for i in range(len(wanted))])
+        stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("dfs")).first()
+        df = {t: stats["dfs"][i] for i, t in enumerate(wanted)}
     else:
-        numbered = questions.sparkSession.createDataFrame(list(enumerate(wanted)), "phrase_id long, term string")
-        found = phrase_hits(blobs.select("id", F.col("blob").alias("text")), numbered.withColumnRenamed("term", "phrase"))
-        hits = found.join(F.broadcast(numbered), "phrase_id").join(sized.select("id", "dl"), "id").select("id", "dl", "term", F.col("times").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(stats).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    asked = questions.select("question", F.posexplode(F.transform("terms", F.lower)).alias("ord", "term")).where(F.trim("term") != "")
-    score = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(F.broadcast(weights), "term").join(F.broadcast(asked), "term").groupBy("question", "id").agg(F.sum(score).alias("score"))
+        stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        seen = {r["i"]: r["df"] for r in counts.select(F.explode(F.map_keys("own")).alias("i")).groupBy("i").agg(F.count("*").alias("df")).collect()}
+        df = {t: seen.get(i, 0) for i, t in enumerate(wanted)}
+    idf = {t: math.log(1 + (stats["n"] - df[t] + 0.5) / (df[t] + 0.5)) for t in wanted}
+    place = {t: i for i, t in enumerate(wanted)}
+    weight = lambda i: tf(i) * (K1 + 1) / (tf(i) + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"])))
+    if few:
+        each = F.array(*[F.struct(F.lit(q).cast(kind).alias("question"), sum((F.lit(idf[t]) * weight(place[t]) for t in terms), F.lit(0.0)).alias("score"), sum(((tf(place[t]) > 0).cast("int") for t in terms), F.lit(0)).alias("hits")) for q, terms in asked if terms])
+        return counts.select("id", F.explode(each).alias("x")).where("x.hits > 0").select("x.question", "id", "x.score")
+    terms_ = counts.sparkSession.createDataFrame([(q, place[t], idf[t]) for q, terms in asked for t in terms], f"question {kind}, i int, idf double")
+    hits = counts.where("own is not null").select("id", "dl", F.explode("own").alias("i", "tf"))
+    score = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"])))
+    return hits.join(terms_, "i").groupBy("question", "id").agg(F.sum(score).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "question") -> DataFrame:
@@ -40,6 +64,11 @@ def top_k(scored: DataFrame, k: int, by: str = "question") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_with_total(scored: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """The k best of all rows, ties to the smaller id, and how many rows there are."""
+    return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k), scored.count()
+
+
 def blocks(docs: DataFrame, most: int = 8) -> DataFrame:
     """Paragraphs (islands between blank lines) in pieces of at most so many lines: id, start, end (lines from 1), text."""
     lines = docs.select(F.col("doc_id").alias("id"), F.posexplode(T.split_lines(F.col("text"))).alias("at", "line")).withColumn("blank", F.trim(F.translate("line", "\t\f ", "   ")) == "")
@@ -72,12 +101,21 @@ def excerpt(text: Column, terms: Column, most: int = 2000) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(cut)
 
 
+def content_terms(question: str, title: Column | None) -> Column:
+    """A question's terms without those of the title, which chose the source; all of them if none is left."""
+    asked = T.terms(F.lit(question))
+    if title is None:
+        return asked
+    left = F.array_except(asked, F.coalesce(T.terms(title), F.array().cast("array<string>")))
+    return F.when(F.size(left) > 0, left).otherwise(asked)
+
+
 def evidence(docs: DataFrame, question: str, k: int = 5) -> DataFrame:
-    """The k best blocks of each document for a question: id, rank, start, end, score, excerpt. Retrieval only: no claim that a passage answers it."""
-    spark = docs.sparkSession
-    asked = spark.range(1).select(F.lit(question).alias("question"), T.terms(F.lit(question)).alias("terms"))
-    own = blocks(docs).crossJoin(F.broadcast(asked))
-    scored = own.withColumn("score", passage_score(F.col("text"), F.col("terms"), F.col("question"))).where("score > 0")
+    """The k best blocks of each document (doc_id, text, and title where there is one) for a question: id, rank, start, end, score, excerpt. No claim that a passage answers it."""
+    own = blocks(docs).withColumn("terms", T.terms(F.lit(question)))
+    if "title" in docs.columns:
+        own = own.drop("terms").join(docs.select(F.col("doc_id").alias("id"), content_terms(question, F.col("title")).alias("terms")), "id")
+    scored = own.withColumn("score", passage_score(F.col("text"), F.col("terms"), F.lit(question))).where("score > 0")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "start"))).where(F.col("rank") <= k)
     return ranked.select("id", "rank", "start", "end", "score", excerpt(F.col("text"), F.col("terms")).alias("excerpt"))
 
@@ -88,13 +126,20 @@ def cue_hit(cue: Column, symptom: Column) -> Column:
     return F.when(cue.rlike("[A-Za-z0-9]"), F.regexp_like(symptom, quoted)).otherwise(F.contains(symptom, cue))
 
 
-def diagnose(symptoms: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """symptoms (symptom_id, symptom) against the map (ord, cues, dims): the dimensions of rows with a hit, most hits first, each once (symptom_id, rank, dimension)."""
+def diagnose(symptoms: DataFrame, diagnostics: DataFrame, dimensions: DataFrame | None = None) -> DataFrame:
+    """symptoms (symptom_id, symptom) against the map (ord, cues, dims): the dimensions of rows with a hit, most hits first, each once (symptom_id, rank, dimension).
+
+    dimensions (name, core_question) add the question of each, empty where it has none.
+    """
     hits = symptoms.crossJoin(F.broadcast(diagnostics)).withColumn("low", F.lower("symptom"))
     scored = hits.withColumn("score", F.size(F.filter("cues", lambda c: cue_hit(F.lower(c), F.col("low"))))).where("score > 0")
     dims = scored.select("symptom_id", "score", "ord", F.posexplode("dims").alias("place", "d")).withColumn("dimension", F.replace(F.lower(F.trim("d")), F.lit(" "), F.lit("-")))
     firsts = dims.groupBy("symptom_id", "dimension").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "place")).alias("best"))
-    return firsts.withColumn("rank", F.row_number().over(Window.partitionBy("symptom_id").orderBy("best"))).select("symptom_id", "rank", "dimension")
+    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("symptom_id").orderBy("best"))).select("symptom_id", "rank", "dimension")
+    if dimensions is None:
+        return ranked
+    asked = dimensions.select(F.col("name").alias("dimension"), "core_question")
+    return ranked.join(asked, "dimension", "left").select("symptom_id", "rank", "dimension", F.coalesce("core_question", F.lit("")).alias("core_question"))
 
 
 NAME_STOP = ["the", "of", "a", "an", "and", "to", "in", "on", "for", "by", "&"]

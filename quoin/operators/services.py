@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quoin.functions import text as T
 from quoin.functions.anchors import parse_markers, resolve
 from quoin.operators import grounding, retrieval
+from quoin.runtime import durable
 
 LEVELS = ("meta", "thin", "full", "content")
 
@@ -158,34 +159,54 @@ def page_recall(pages: DataFrame) -> DataFrame:
     return pages.select("doc", "page").join(sums, ["doc", "page"], "left")
 
 
-def card_passages(cards: DataFrame, question: str, k: int = 5) -> DataFrame:
-    """Anchors of cards (id, body, text of the source) that bear on a question: paragraphs that score, their markers weighted twice, grounded in the source; (id, rank, phrase, score, line).
+def card_passages(cards: DataFrame, question: str, today: str, k: int = 5, around: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The first route of evidence: anchors of cards (id, body, text, stored_sha, review_by) in paragraphs that bear on a question, each with the lines around it.
 
-    This is the first route of evidence; ids without any row go on to the blocks of their whole source.
+    (id, rank, start, end, score, passage), the best k of each card by twice the marker's score and the paragraph's, passages of the same lines once; and (id, issue): why other anchors
+    of such paragraphs aren't usable.
     """
-    asked = cards.sparkSession.range(1).select(T.terms(F.lit(question)).alias("terms"))
-    paras = cards.crossJoin(F.broadcast(asked)).select("id", "text", "terms", F.posexplode(F.split("body", r"\n\s*\n")).alias("place", "para"))
-    scored = paras.withColumn("para_score", retrieval.passage_score(F.col("para"), F.col("terms"), F.lit(question))).where("para_score > 0")
+    terms = T.terms(F.lit(question))
+    paras = cards.select("id", "text", "stored_sha", "review_by", F.posexplode(F.split("body", r"\n\s*\n")).alias("place", "para"))
+    scored = paras.withColumn("para_score", retrieval.passage_score(F.col("para"), terms, F.lit(question))).where("para_score > 0")
     marks = scored.select("*", F.posexplode(parse_markers(F.col("para"))).alias("ord", "marker"))
-    one = F.when(F.size("terms") > 0, retrieval.passage_score(F.col("marker.phrase"), F.col("terms")))
-    found = grounding.folded(marks.withColumn("score", 2 * one + F.col("para_score"))).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy")))
-    sure = found.where("r.found and not r.ambiguous")
-    line = F.array_position(F.transform(T.split_lines(F.col("text")), lambda x: F.contains(x, F.col("marker.phrase"))), True)
-    rows = sure.select("id", F.col("marker.phrase").alias("phrase"), "score", line.alias("line"), (F.col("place") * 10_000 + F.col("ord")).alias("o"))
-    once = rows.groupBy("id", "phrase", "line").agg(F.max("score").alias("score"), F.min("o").alias("o"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "o")))
-    return ranked.where(F.col("rank") <= k).select("id", "rank", "phrase", "score", "line")
-
-
-def retrieve_evidence(cards: DataFrame, question: str, k: int = 5) -> DataFrame:
-    """(id, status, route, rank, line, passage): card anchors where a card has some, else blocks of its source; insufficient where neither gives any. Never an answer."""
-    anchors = card_passages(cards, question, k)
-    rest = cards.join(anchors.select("id").distinct(), "id", "left_anti").select(F.col("id").alias("doc_id"), "text")
-    blocks = retrieval.evidence(rest, question, k)
-    found = anchors.select("id", F.lit("anchors").alias("route"), "rank", F.col("line").cast("long").alias("line"), F.col("phrase").alias("passage"))
-    found = found.unionAll(blocks.select("id", F.lit("source"), "rank", F.col("start").cast("long"), "excerpt"))
+    rows = marks.withColumn("score", 2 * retrieval.passage_score(F.col("marker.phrase"), terms, F.lit(question)) + F.col("para_score")).drop("para")
+    done = durable(grounding.evidence_context(rows, today, around, 40).select("id", "place", "ord", "score", "status", "usable", "line_start", "line_end", "context"), "passages")
+    once = done.where("usable").groupBy("id", "line_start", "line_end").agg(F.max(F.struct("score", (-F.col("place")).alias("p"), (-F.col("ord")).alias("o"))).alias("best"), F.first("context").alias("context"))
+    order = Window.partitionBy("id").orderBy(F.desc("best.score"), F.desc("best.p"), F.desc("best.o"))
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    passages = ranked.select("id", "rank", F.col("line_start").cast("long").alias("start"), F.col("line_end").cast("long").alias("end"), F.col("best.score").alias("score"), retrieval.excerpt(F.col("context"), terms).alias("passage"))
+    return passages, done.where("not usable").select("id", F.col("status").alias("issue")).distinct()
+
+
+def retrieve_evidence(cards: DataFrame, question: str, today: str = "0001-01-01", k: int = 5, full_text: bool = False, around: int = 2) -> DataFrame:
+    """(id, status, route, rank, start, end, score, passage, full_text, issues): citable passages for a question, of cards (id, title, body, text, stored_sha, review_by).
+
+    Anchors of cards come first; where a card has no usable one, or full_text is asked for, the blocks of its whole source are searched, without its title's words. Sources that
+    aren't installed, or are stale, give none. insufficient where there is none; evidence-found says that the passages stand there, not that they answer.
+    """
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError(f"k must be 1 or more, not {k!r}")
+    if isinstance(around, bool) or not isinstance(around, int) or around < 0:
+        raise ValueError(f"around must be 0 or more, not {around!r}")
+    question = question.strip()
+    none = F.lit(None).cast("string")
+    rows = cards.select("id", "body", "text", *[(F.col(c) if c in cards.columns else none).alias(c) for c in ("title", "stored_sha", "review_by")])
+    stale = F.coalesce(F.nullif(F.trim("stored_sha"), F.lit("")) != F.sha2("text", 256), F.lit(False))
+    issue = F.when(F.col("text").isNull(), "source-not-installed").when(stale, "source-stale")
+    found, asked = None, F.size(T.terms(F.lit(question))) > 0
+    rest, issues = rows, rows.select("id", issue.alias("issue")).where("issue is not null")
+    if not full_text:
+        anchors, unusable = card_passages(rows.where(asked), question, today, k, around)
+        found = durable(anchors.select("id", F.lit("card-anchor").alias("route"), "rank", "start", "end", "score", "passage"), "anchors")
+        rest, issues = rows.join(found.select("id").distinct(), "id", "left_anti"), issues.unionAll(unusable).distinct()
+    read = rest.where(issue.isNull() & asked)
+    blocks = retrieval.evidence(read.select(F.col("id").alias("doc_id"), "text", "title"), question, k)
+    blocks = blocks.select("id", F.lit("full-text"), "rank", F.col("start").cast("long"), F.col("end").cast("long"), "score", "excerpt")
+    all_ = blocks.toDF("id", "route", "rank", "start", "end", "score", "passage") if found is None else found.unionAll(blocks)
+    why = issues.groupBy("id").agg(F.array_sort(F.collect_set("issue")).alias("issues"))
+    out = rows.select("id").join(all_, "id", "left").join(why, "id", "left").join(read.select("id", F.lit(True).alias("full_text")), "id", "left")
     status = F.when(F.col("route").isNull(), "insufficient").otherwise("evidence-found")
-    return cards.select("id").join(found, "id", "left").select("id", status.alias("status"), "route", "rank", "line", "passage")
+    return out.select("id", status.alias("status"), "route", "rank", "start", "end", "score", "passage", F.coalesce("full_text", F.lit(False)).alias("full_text"), F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))
 
 
 @dataclass(frozen=True)
@@ -212,7 +233,7 @@ def _services() -> dict[str, Service]:
             Service("consult", lambda t, q: retrieval.consult(t["lenses"].sparkSession.createDataFrame([(0, q["name"])], "query_id int, name string"), t["lenses"]), True, ("lenses",)),
             Service("diagnose", lambda t, q: retrieval.diagnose(t["diagnostics"].sparkSession.createDataFrame([(0, q["symptom"])], "symptom_id int, symptom string"), t["diagnostics"]), True, ("diagnostics",)),
             Service("verify", lambda t, q: grounding.evidence_status(t["evidence"].withColumn("marker", grounding.marker(F.lit(q["phrase"]))), q["today"], q.get("require_stamp", False)).select("id", "status", "lines"), False, ("evidence",)),
-            Service("evidence", lambda t, q: retrieve_evidence(t["evidence"].select("id", "body", "text"), q["question"], p(q, "limit", 1, 100, 5)), False, ("evidence",)),
+            Service("evidence", lambda t, q: retrieve_evidence(t["evidence"], q["question"], q["today"], p(q, "limit", 1, 100, 5), bool(q.get("full_text"))), False, ("evidence",)),
             Service("check", lambda t, q: grounding.integrity_findings(t["cards"], t["sources"], t["index"], t["anchors"], q["today"]), True, ("cards", "sources", "index", "anchors")),
         )
     }

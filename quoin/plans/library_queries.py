@@ -9,8 +9,9 @@ from quoin.operators import grounding as G
 from quoin.operators import linter as L
 from quoin.operators import services as S
 from quoin.operators.normalize import backups_to_prune
-from quoin.plans.grounding_queries import cards
+from quoin.plans.grounding_queries import TODAY
 from quoin.plans.registry import query
+from quoin.plans.retrieval_queries import _COUNTS, _SCORE, BLOCKS_SQL
 from quoin.plans.text_queries import WS, docs, sql_norm
 from quoin.runtime import table
 
@@ -182,13 +183,25 @@ def r23_anchor_compatibility(spark, sf_dir):
     return evaluation.anchor_compatibility(rows).select("id", F.round("share", 6).alias("share"), F.col("n").cast("long").alias("anchors"))
 
 
-@query()
+_R6_SQL = f"""WITH c AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS src, split_part({_FIRST}, ' ', 2) AS phrase, doc_id % 5 = 0 AS stale, doc_id % 7 = 0 AS expired, doc_id % 3 = 0 AS titled, {sql_norm('text')} AS flat FROM documents),
+  n AS (SELECT *, regexp_replace(flat, '-\\s*', '', 'g') AS nohy, {sql_norm('phrase')} AS p FROM c), x AS (SELECT *, CASE WHEN p = '' OR contains(phrase, '`') THEN 0 WHEN contains(flat, p) THEN (length(flat) - length(replace(flat, p, ''))) // length(p) WHEN replace(p, '-', '') = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, replace(p, '-', ''), ''))) // length(replace(p, '-', '')) END AS n FROM n),
+  a AS (SELECT id, 'card-anchor' AS route, 1 AS rank, 1 AS start, least(len(string_split(text, E'\\n')) - (ends_with(text, E'\\n'))::INT, 3) AS "end", text FROM x WHERE id % 2 = 0 AND src IS NOT NULL AND NOT stale AND NOT expired AND n = 1),
+  {BLOCKS_SQL % "(SELECT doc_id, text AS t FROM documents)"}, k AS ({_COUNTS % "blk"}), f AS (SELECT k.id, k.start, k."end", k.text, CASE WHEN titled THEN CASE WHEN c1 > 0 AND c3 > 0 THEN 10.0 + least(c1, 3) + least(c3, 3) ELSE 0 END ELSE {_SCORE} END AS score FROM k JOIN x ON x.id = k.id WHERE src IS NOT NULL AND NOT stale AND k.id NOT IN (SELECT id FROM a)),
+  g AS (SELECT id, 'full-text' AS route, row_number() OVER (PARTITION BY id ORDER BY score DESC, start) AS rank, start, "end", text FROM f WHERE score > 0),
+  u AS (SELECT id, route, rank::INT AS rank, start, "end", CASE WHEN length(array_to_string(string_split(text, E'\\n')[:3], E'\\n')) <= 2000 THEN sha256(array_to_string(string_split(text, E'\\n')[:"end"], E'\\n')) END AS passage_sha FROM a UNION ALL SELECT id, route, rank::INT, start, "end", CASE WHEN length(text) <= 2000 THEN sha256(text) END FROM g WHERE rank <= 3)
+  SELECT x.id, CASE WHEN route IS NULL THEN 'insufficient' ELSE 'evidence-found' END AS status, route, rank, start::BIGINT AS start, "end"::BIGINT AS "end", passage_sha FROM x LEFT JOIN u USING (id)"""
+
+
+@query(_R6_SQL)
 def r6_retrieve_evidence(spark, sf_dir):
-    """Both routes: anchors of cards, then blocks of the sources of cards without any."""
-    c = cards(spark, sf_dir)
-    body = F.when(F.col("id") % 2 == 0, F.concat(F.lit("on tion ende reau (grep: `"), F.replace(F.col("phrase"), F.lit("`"), F.lit("")), F.lit("`)\n\nother"))).otherwise(F.lit("nothing here"))
-    rows = S.retrieve_evidence(c.select("id", body.alias("body"), "text"), "tion ende reau", 3)
-    return rows.select("id", "status", "route", "rank", "line", F.sha2("passage", 256).alias("passage_sha"))
+    """Both routes: anchors of cards with the lines around them, then blocks of the sources of cards without a usable one, without the title's words; stale and absent sources give nothing."""
+    d, t = F.col("doc_id"), F.col("text")
+    phrase = F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(2))
+    body = F.when(d % 2 == 0, F.concat(F.lit("on tion ende reau (grep: `"), F.replace(phrase, F.lit("`"), F.lit("")), F.lit("`)\n\nother"))).otherwise(F.lit("nothing here"))
+    rows = docs(spark, sf_dir).select(d.alias("id"), F.when(d % 3 == 0, "Ende of it").otherwise("Plain").alias("title"), body.alias("body"), F.when(d % 11 != 0, t).alias("text"), F.when(d % 5 == 0, "bad").alias("stored_sha"), F.when(d % 7 == 0, "2020-01-01").alias("review_by"))
+    found = S.retrieve_evidence(rows, "tion ende reau", TODAY, 3)
+    whole = F.when(~F.startswith("passage", F.lit("…")) & ~F.endswith("passage", F.lit("…")), F.sha2("passage", 256))
+    return found.select("id", "status", "route", "rank", "start", "end", whole.alias("passage_sha"))
 
 
 @query("SELECT root, name FROM (SELECT source AS root, CASE WHEN doc_id % 5 = 0 THEN 'other-' ELSE 'normalize-backup-' END || doc_id AS name, row_number() OVER (PARTITION BY source, doc_id % 5 = 0 ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents) WHERE r > 3 AND starts_with(name, 'normalize-backup-')")

@@ -43,9 +43,8 @@ _TOP = "SELECT id, round(score, 6) AS score, total FROM (SELECT id, score, count
 
 def _search(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
     scored = retrieval.bm25(blobs(spark, sf_dir, full), asked(spark))
-    total = scored.agg(F.count("*").alias("total"))
-    best = scored.orderBy(F.desc(F.round("score", 9)), "id").limit(20)
-    return best.crossJoin(F.broadcast(total)).select("id", F.round("score", 6).alias("score"), "total")
+    best, total = retrieval.best_with_total(scored, 20)
+    return best.select("id", F.round("score", 6).alias("score"), F.lit(total).alias("total"))
 
 
 @query(f"WITH {_bm25_sql(_blob_sql(False), _ASKED)} {_TOP}")
@@ -144,12 +143,15 @@ def lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
   a AS (SELECT query_id, replace(lower(trim(name)), ' ', '-') AS stem, list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of', 'a', 'an', 'and', 'to', 'in', 'on', 'for', 'by', '&')) AS toks FROM q),
   l AS (SELECT 'source' AS kind, 'card-' || doc_id AS name, lower('card-' || doc_id || ' ' || split_part(text, E'\\n', 1) || ' ' || lang) AS hay FROM documents UNION ALL VALUES ('dimension', 'part-who', 'part-who'), ('dimension', 'part-what', 'part-what')),
   p AS (SELECT query_id, kind, name, name = stem AS exact, kind = 'dimension' AND starts_with(name, stem || '-') AS family, kind = 'dimension' AND contains(name, stem) AS inside, len(toks) AS need, len(list_filter(toks, lambda t: regexp_matches(hay, '(^|[^\\p{L}\\p{N}_])' || t || '($|[^\\p{L}\\p{N}_])'))) AS words FROM l, a),
-  n AS (SELECT query_id, bool_or(exact) AS e, sum(family::INT) AS f, sum((kind <> 'dimension' AND words = need AND need > 0)::INT) AS u FROM p GROUP BY query_id)
-  SELECT query_id, CASE WHEN e OR f = 1 THEN 'exact' WHEN f > 1 OR u > 1 THEN 'ambiguous' WHEN u = 1 THEN 'unique' ELSE 'none' END AS status,
-    (CASE WHEN e THEN 1 WHEN f > 0 THEN f WHEN u > 0 THEN least(u, 8) ELSE least(5, (SELECT count(*) FROM p WHERE p.query_id = n.query_id AND kind <> 'dimension' AND words > 0)) END)::BIGINT AS matches FROM n""")
+  n AS (SELECT query_id, bool_or(exact) AS e, sum(family::INT) AS f, sum((kind <> 'dimension' AND words = need AND need > 0)::INT) AS u FROM p GROUP BY query_id),
+  s AS (SELECT *, CASE WHEN e OR f = 1 THEN 'exact' WHEN f > 1 OR u > 1 THEN 'ambiguous' WHEN u = 1 THEN 'unique' ELSE 'none' END AS status FROM n),
+  m AS (SELECT p.*, s.status, s.f, s.u, CASE WHEN s.e THEN p.exact WHEN s.f > 0 THEN p.family WHEN s.u > 0 THEN p.kind <> 'dimension' AND p.words = p.need ELSE p.kind <> 'dimension' AND p.words > 0 END AS member FROM p JOIN s USING (query_id)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, name) AS rank FROM m WHERE member)
+  SELECT s.query_id, s.status, r.rank, r.name FROM s LEFT JOIN (SELECT * FROM r WHERE rank <= CASE WHEN status = 'exact' THEN 1 WHEN status = 'ambiguous' AND f = 0 THEN 8 WHEN status = 'none' THEN 5 ELSE 1000000 END) r USING (query_id)""")
 def r7_consult_resolve(spark, sf_dir):
+    """Which lenses a name may mean, in order."""
     found = retrieval.consult(spark.createDataFrame(NAMES, "query_id int, name string"), lenses(spark, sf_dir))
-    return found.groupBy("query_id", "status").agg(F.count("name").alias("matches"))
+    return found.select("query_id", "status", F.col("rank").cast("long").alias("rank"), "name")
 
 
 _GOLD = f"SELECT item_id AS question, word AS term FROM {TERMS_SQL} WHERE n <= 4"

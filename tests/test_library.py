@@ -93,8 +93,14 @@ def test_evidence_routes(spark):
     src = "First line.\nPacing is the tempo of scenes.\nLast."
     rows = [("a", "Tempo of scenes and pacing (grep: `tempo of scenes`)\n\nOther", src), ("b", "nothing", src), ("c", "nothing", "unrelated")]
     got = {r["id"]: r for r in services.retrieve_evidence(spark.createDataFrame(rows, "id string, body string, text string"), "pacing tempo scenes").collect()}
-    assert (got["a"]["route"], got["a"]["line"], got["a"]["passage"]) == ("anchors", 2, "tempo of scenes")
-    assert got["b"]["route"] == "source" and got["c"]["status"] == "insufficient"
+    assert (got["a"]["route"], got["a"]["start"], got["a"]["end"], got["a"]["passage"]) == ("card-anchor", 1, 3, src)
+    assert got["b"]["route"] == "full-text" and got["c"]["status"] == "insufficient" and got["c"]["full_text"]
+    forced = services.retrieve_evidence(spark.createDataFrame(rows[:1], "id string, body string, text string"), "pacing tempo scenes", full_text=True).first()
+    assert (forced["route"], forced["start"]) == ("full-text", 1)
+    odd = [("s", "x", src, "bad", None), ("n", "x", None, None, None), ("e", rows[0][1], src, None, "2020-01-01")]
+    told = {r["id"]: r for r in services.retrieve_evidence(spark.createDataFrame(odd, "id string, body string, text string, stored_sha string, review_by string"), "pacing tempo scenes", "2026-01-01").collect()}
+    assert told["s"]["issues"] == ["source-stale"] and told["n"]["issues"] == ["source-not-installed"] and told["e"]["issues"] == ["review-expired"] and told["e"]["route"] == "full-text"
+    assert services.retrieve_evidence(spark.createDataFrame(rows[:1], "id string, body string, text string"), "of the").first()["status"] == "insufficient"
 
 
 def test_panel_status(spark):
