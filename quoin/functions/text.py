@@ -115,9 +115,13 @@ def restore_lost_ligatures(c: Column) -> Column:
     return c
 
 
+# What a bad text layer looks like.
+TILDES, CAPITALS = "[A-Za-z]+~[A-Za-z]+", r"\b[a-z]{2,}[A-Z]{2}[a-z]*\b"
+
+
 def corruption_markers(c: Column) -> Column:
     """Tildes within words, and runs of capitals within lower-case words."""
-    return F.regexp_count(c, F.lit("[A-Za-z]+~[A-Za-z]+")) + F.regexp_count(c, F.lit(r"\b[a-z]{2,}[A-Z]{2}[a-z]*\b"))
+    return F.regexp_count(c, F.lit(TILDES)) + F.regexp_count(c, F.lit(CAPITALS))
 
 
 def corruption_score(c: Column) -> Column:
@@ -190,3 +194,11 @@ def section(c: Column, name: str) -> Column:
     parts = F.filter(F.slice(F.split(c, r"(?m)^##\s+", -1), F.lit(2), F.greatest(F.size(F.split(c, r"(?m)^##\s+", -1)) - 1, F.lit(0))), lambda s: F.lower(F.trim(F.substring_index(s, "\n", 1))) == name)
     last = F.try_element_at(parts, F.lit(-1))
     return F.trim(F.regexp_replace(last, r"^[^\n]*\n?", ""), F.lit(" \n\t"))
+
+
+def sections(c: Column) -> Column:
+    """All sections by their heading in lower case; of equal ones the last counts."""
+    parts = F.split(c, r"(?m)^##\s+", -1)
+    own = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.struct(F.lower(F.trim(F.substring_index(s, "\n", 1))).alias("k"), F.trim(F.regexp_replace(s, r"^[^\n]*\n?", ""), F.lit(" \n\t")).alias("v")))
+    last = F.filter(own, lambda x, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)

@@ -32,22 +32,40 @@ def containment(bag: DataFrame) -> DataFrame:
     return sums.select("id", "control_tokens", "candidate_tokens", ratio("shared").alias("containment"), ratio("candidate_tokens").alias("inflation"))
 
 
+def rank_orders(unique: DataFrame, by: list[str], least: int) -> DataFrame:
+    """Spearman's rank correlation of places pa and pb in each group, with the number of anchors; null below `least` of them. Ranks have no ties, so the closed form is exact."""
+    win = Window.partitionBy(*by)
+    ranked = unique.withColumn("x", F.row_number().over(win.orderBy("pa"))).withColumn("y", F.row_number().over(win.orderBy("pb")))
+    n = F.count("*").cast("double")
+    rho = F.when(F.count("*") >= max(2, least), 1 - 6 * F.sum(F.pow((F.col("x") - F.col("y")).cast("double"), 2)) / (n * (n * n - 1)))
+    return ranked.groupBy(*by).agg(F.count("*").alias("anchors"), rho.alias("rank_order"))
+
+
 def window_orders(bag: DataFrame, sizes: DataFrame, width: int = WINDOW, least: int = ANCHORS) -> DataFrame:
     """(id, w, anchors, rank_order): Spearman's rank correlation of the tokens that are unique on both sides, for each window of the control's tokens.
 
     Windows with fewer than `least` of them abstain (null), and windows without any are kept. Ranks have no ties, so the closed form is exact.
     """
     unique = bag.where("na = 1 and nb = 1").withColumn("w", F.floor(F.col("pa") / width).cast("int"))
-    win = Window.partitionBy("id", "w")
-    ranked = unique.withColumn("x", F.row_number().over(win.orderBy("pa"))).withColumn("y", F.row_number().over(win.orderBy("pb")))
-    n = F.count("*").cast("double")
-    rho = F.when(F.count("*") >= max(2, least), 1 - 6 * F.sum(F.pow((F.col("x") - F.col("y")).cast("double"), 2)) / (n * (n * n - 1)))
-    scored = ranked.groupBy("id", "w").agg(F.count("*").alias("anchors"), rho.alias("rank_order"))
+    scored = rank_orders(unique, ["id", "w"], least)
     last = F.greatest(F.ceil(F.col("control_tokens") / width).cast("int") - 1, F.lit(0))
     every = sizes.select("id", F.explode(F.sequence(F.lit(0), last)).alias("w"))
     return every.join(scored, ["id", "w"], "left").select("id", "w", F.coalesce("anchors", F.lit(0)).alias("anchors"), "rank_order")
 
 
+def page_positions(pages: DataFrame, page: str = "pages") -> DataFrame:
+    """(id, i, t) of documents given as arrays of pages: the place holds the page (from 0) above 32 bits, and the token's place in it."""
+    rows = pages.select("id", F.posexplode(page).alias("p", "text")).select("id", "p", F.posexplode(T.tokens(F.col("text"))).alias("j", "t"))
+    return rows.select("id", (F.shiftleft(F.col("p").cast("long"), 32) + F.col("j")).alias("i"), "t")
+
+
+def page_orders(bag: DataFrame, pages: DataFrame, least: int = ANCHORS, page: str = "pages") -> DataFrame:
+    """window_orders with the control's own pages as windows; bag is of page_positions of the control."""
+    unique = bag.where("na = 1 and nb = 1").withColumn("w", F.shiftright("pa", 32).cast("int"))
+    every = pages.select("id", F.explode(F.sequence(F.lit(0), F.greatest(F.size(page), F.lit(1)) - 1)).alias("w"))
+    return every.join(rank_orders(unique, ["id", "w"], least), ["id", "w"], "left").select("id", "w", F.coalesce("anchors", F.lit(0)).alias("anchors"), "rank_order")
+
+
 def nearest_rank(values: Column, q: float) -> Column:
     """The nearest-rank quantile (half to even) of a sorted array, null if it is empty."""
     return F.try_element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import random
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The schema of a rubric.
@@ -355,7 +357,7 @@ def derive(moves: DataFrame, panel: DataFrame, cards: DataFrame, today: str, lev
         "ord", "id", F.lit("required").alias("criticality"), envelope(F.col("name"), "paraphrase", F.col("evidence")).alias("statement"), envelope(F.when(said, F.col("guidance")), F.when(said, "derived").otherwise("unknown"), none).alias("guidance"),
         F.lit(None).cast(f"map<string,{FIELD}>").alias("fields"), F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: F.struct(i.alias("score"), envelope(F.lit(""), "operator_policy", none).alias("descriptor"))).alias("levels"), F.col("evidence"),
     )
-    body = named.join(cited, ["dimension", "ord"]).groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("ord")).alias("criteria"))
+    body = named.join(cited, ["dimension", "ord"]).groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(c), lambda x, y: x["ord"] - y["ord"]), lambda x: x.dropFields("ord")).alias("criteria"))
     pins = live.groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "card"))), lambda x: x["card"]).alias("panel"), F.map_from_entries(F.collect_list(F.struct("card", "sha"))).alias("sources"))
     sound = body.join(pins, "dimension").join(problems.select("dimension").distinct(), "dimension", "left_anti")
     return sound.select("dimension", "panel", F.lit("candidate").alias("admission"), F.concat(F.lit("_syntheses/"), "dimension", F.lit(".md")).alias("derived_from"), F.struct("sources").alias("fingerprint"), "criteria"), problems
@@ -370,6 +372,48 @@ def pinned(rubric: dict, live: dict[str, str | None], approve: bool = False) ->
 
 
 def sample_pages(pages: Column, seed: Column, n: int) -> Column:
-    """n pages of 1..pages in order, the same for the same seed: those with the smallest hash."""
-    every = F.transform(F.sequence(F.lit(1), pages), lambda p: F.struct(F.xxhash64(seed, p).alias("h"), p.alias("p")))
-    return F.array_sort(F.transform(F.slice(F.array_sort(every), 1, n), lambda x: x["p"]))
+    """n pages of 1..pages in order, the same for the same seed, as the standard library's generator draws them; all if there are no more, none of no pages."""
+
+    def one(last: float, start: int) -> list[int]:
+        every = range(1, int(last) + 1) if last == last and last else range(0)
+        return list(every) if n >= len(every) else sorted(random.Random(int(start)).sample(every, max(0, n)))
+
+    def run(last: pd.Series, start: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(last, start, strict=True)])
+
+    return F.pandas_udf(run, "array<int>")(pages, seed)
+
+
+def document_seed(text: Column) -> Column:
+    """A number that is a document's own, as decimal text: the first 64 bits of its digest."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10)
+
+
+def rater_order(drafts: DataFrame, raters: DataFrame) -> DataFrame:
+    """(rater, draft, ord): each rater's own order of the drafts (draft as text), which no rater can foresee and every run repeats."""
+    rows = drafts.select(F.col("draft").cast("string").alias("draft")).crossJoin(F.broadcast(raters.select("rater")))
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("rater").orderBy(F.sha2(F.concat("rater", F.lit(":"), "draft"), 256))))
+
+
+def sheet(rubric: dict, drafts: DataFrame, rater: str) -> DataFrame:
+    """The JSON lines (ord, line) of a rater's sheet: a header with the rubric's identity and the drafts' digest, then a row for each draft, in the rater's order, and criterion, to be scored.
+
+    drafts (draft, text) with a draft's name once.
+    """
+    spark = drafts.sparkSession
+    each = spark.createDataFrame([(i, c["id"], c["statement"].get("value"), (c.get("guidance") or {}).get("value"), {str(x["score"]): x["descriptor"].get("value") for x in c["levels"]}, len(c["levels"]) - 1) for i, c in enumerate(rubric["criteria"])], "place int, criterion string, statement string, guidance string, levels map<string,string>, max_score int")
+    n = drafts.agg(F.count("*").alias("n"), F.count_distinct("draft").alias("names"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("draft", F.sha2("text", 256).alias("sha"))))), 256).alias("digest"))
+    head = F.struct(F.lit("rating-sheet/v1").alias("schema"), F.lit(rater).alias("rater"), F.lit(rubric["dimension"]).alias("dimension"), F.lit(rubric_identity(rubric)).alias("rubric_digest"), F.col("digest").alias("draft_digest"), (F.col("n") * len(rubric["criteria"])).alias("rows"))
+    header = n.select(F.lit(0).cast("long").alias("ord"), F.when(F.col("n") == F.col("names"), F.to_json(head)).otherwise(F.raise_error(F.lit("a draft's name is repeated")).cast("string")).alias("line"))
+    order = rater_order(drafts, spark.createDataFrame([(rater,)], "rater string"))
+    row = F.struct("rater", "draft", "criterion", "statement", "guidance", "levels", "max_score", F.lit(None).cast("int").alias("score"), F.lit("").alias("note"))
+    rows = order.crossJoin(F.broadcast(each)).select(((F.col("ord") - 1) * len(rubric["criteria"]) + F.col("place") + 1).cast("long").alias("ord"), F.to_json(row, {"ignoreNullFields": "false"}).alias("line"))
+    return header.unionAll(rows)
+
+
+def paired(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two raters' rows (draft, criterion, max_score, score): the pairs (criterion, scale, x, y) that both scored on one scale, and the problems (draft, criterion, problem) of the rest."""
+    both = one.select("draft", "criterion", F.col("max_score").alias("s1"), F.col("score").alias("x")).join(two.select("draft", "criterion", F.col("max_score").alias("s2"), F.col("score").alias("y")), ["draft", "criterion"], "full_outer")
+    problem = F.when(F.col("s1").isNull() | F.col("s2").isNull(), "only one has it").when(F.col("s1") != F.col("s2"), "scales differ").when(F.col("x").isNull() | F.col("y").isNull(), "unscored")
+    told = both.withColumn("problem", problem)
+    return told.where("problem is null").select("criterion", F.col("s1").alias("scale"), "x", "y"), told.where("problem is not null").select("draft", "criterion", "problem")

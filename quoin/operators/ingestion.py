@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
-from quoin.operators import agreement, normalize
+from quoin.operators import agreement, bibliography, normalize
 from quoin.operators.services import quality_gate
 from quoin.runtime import durable
 from quoin.sources import formats, library
@@ -31,11 +33,12 @@ def verify_extractions(rows: DataFrame, limits: dict | None = None) -> DataFrame
     return agreement.decide(rows.select("id", "declared", "pages", "accepted").join(measured, "id", "left"), limits)
 
 
-def coverage(pages: DataFrame) -> DataFrame:
-    """pages (id, text with form feeds): pages, and those with fewer than five words, as numbers from 1."""
+def coverage(pages: DataFrame, least_words: int = 5) -> DataFrame:
+    """pages (id, text with form feeds; declared where it is known): pages, those with fewer words as numbers from 1, and whether the control itself has another number of pages than declared."""
     p = T.split_pages(F.col("text"))
-    few = F.filter(F.transform(p, lambda t, i: F.when(F.size(T.split_words(t)) < 5, i + 1)), lambda n: n.isNotNull())
-    return pages.select("id", F.size(p).alias("pages"), few.alias("empty"))
+    few = F.filter(F.transform(p, lambda t, i: F.when(F.size(T.split_words(t)) < least_words, i + 1)), lambda n: n.isNotNull())
+    declared = F.col("declared") if "declared" in pages.columns else F.lit(None).cast("int")
+    return pages.select("id", F.size(p).alias("pages"), few.alias("empty"), F.coalesce((declared > 0) & (F.size(p) != declared), F.lit(False)).alias("control_mismatch"))
 
 
 def ingest_files(files: DataFrame, words: frozenset[str] = frozenset()) -> DataFrame:
@@ -48,15 +51,16 @@ def ingest_files(files: DataFrame, words: frozenset[str] = frozenset()) -> DataF
     return again.select("path", "format", text.alias("text"), F.sha2(text, 256).alias("sha256"), "source_sha256", "refused")
 
 
-def provenance(ingested: DataFrame, at: str) -> DataFrame:
-    """A log row for each accepted file, bound to what was written by its digest."""
-    return ingested.where("refused is null").select("path", "format", "source_sha256", F.col("sha256").alias("output_sha256"), F.lit(at).cast("timestamp").alias("ingested_at"))
+def provenance(ingested: DataFrame, at: str, limits: dict | None = None, tool: str = "") -> DataFrame:
+    """A log row for each accepted file, bound to what was written by its digest, with the limits and the tool it was judged by."""
+    told = json.dumps(agreement.LIMITS | (limits or {}), sort_keys=True)
+    return ingested.where("refused is null").select("path", "format", "source_sha256", F.col("sha256").alias("output_sha256"), F.lit(at).cast("timestamp").alias("ingested_at"), F.lit(told).alias("limits"), F.lit(tool).alias("tool"))
 
 
 def scaffold(sources: DataFrame, existing: DataFrame, frameworks: DataFrame | None = None) -> DataFrame:
     """A card text for each source (id, shelf, rel, sha256): what the tool manages, then what was written by hand below the mark of the existing card (id, card), or stubs.
 
-    Running it again changes nothing. frameworks (rel, framework) point sources to the framework that represents them; of several the last by name counts.
+    Running it again changes nothing. A source's line of the bibliography (line, where sources have one) gives its title and is copied. frameworks (rel, framework) point sources to the framework that represents them; of several the last by name counts.
     """
     own = existing.select("id", library.body_below_mark(F.col("card")).alias("body"))
     rows = sources.join(own, "id", "left")
@@ -67,8 +71,10 @@ def scaffold(sources: DataFrame, existing: DataFrame, frameworks: DataFrame | No
     stub = F.lit("\n\n## Thin\n_(to be written)_\n\n## Full\n_(to be written)_\n")
     framed = F.when(F.col("framework").isNotNull(), F.concat(F.lit("framework: "), "framework", F.lit("\n"))).otherwise("")
     zoom = F.when(F.contains(F.coalesce("body", F.lit("_(to be written)_")), F.lit("_(to be written)_")), "stub").otherwise("full")
-    name = F.initcap(F.regexp_replace("id", "[-_]+", " "))
-    head = F.concat(F.lit("---\nid: "), "id", F.lit("\nfile: "), "rel", F.lit("\nshelf: "), "shelf", F.lit("\nzoom: "), zoom, F.lit("\nsource_sha256: "), "sha256", F.lit("\n"), framed, F.lit("---\n# "), name, F.lit(f"\n\n{MARK}"))
+    line = F.col("line") if "line" in rows.columns else F.lit(None).cast("string")
+    name = bibliography.source_title(F.col("id"), line)
+    copied = F.when(line.isNotNull(), F.concat(F.lit("\n\n**Bibliography.** "), line)).otherwise("")
+    head = F.concat(F.lit("---\nid: "), "id", F.lit("\nfile: "), "rel", F.lit("\nshelf: "), "shelf", F.lit("\nzoom: "), zoom, F.lit("\nsource_sha256: "), "sha256", F.lit("\n"), framed, F.lit("---\n# "), name, copied, F.lit(f"\n\n{MARK}"))
     return rows.select("id", F.concat(head, F.coalesce("body", stub)).alias("card"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 
 import pandas as pd
@@ -69,14 +70,14 @@ def wrapped(text: str) -> bool:
     return bool(sizes) and sizes[-1] < 400 and sizes[len(sizes) // 2] < 90
 
 
-def _glued(so_far: str, line: str, words: frozenset[str]) -> str:
-    """The next line of a paragraph: after a hyphen without a space, keeping the hyphen where both halves are words."""
-    line = line.strip()
-    left, right = re.search("([A-Za-z]+)-$", so_far), re.match("[A-Za-z]+", line)
+def _joined(so_far: str, line: str, words: frozenset[str]) -> str:
+    """A paragraph with its next line: a space between them, or none where a hyphen splits a word at the line's end. The hyphen goes, but stays between two words of their own."""
+    line, stem = line.strip(), so_far.removesuffix("-")
+    left = stem[len(stem.rstrip(string.ascii_letters)) :] if stem != so_far else ""
     if not left:
-        return f"{so_far} {line}" if so_far else line
-    compound = left[1].lower() in words and right is not None and right[0].lower() in words
-    return so_far + line if compound else so_far[:-1] + line
+        return " ".join(x for x in (so_far, line) if x) if so_far else line
+    right = line[: len(line) - len(line.lstrip(string.ascii_letters))]
+    return (so_far if {left.lower(), right.lower()} <= words else stem) + line
 
 
 def reflow(text: str, words: frozenset[str]) -> str:
@@ -94,7 +95,7 @@ def reflow(text: str, words: frozenset[str]) -> str:
             if line.strip() or not out or out[-1] != "":
                 out.append(line if line.strip() else "")
             continue
-        open_ = line.rstrip() if open_ is None else _glued(open_, line, words)
+        open_ = line.rstrip() if open_ is None else _joined(open_, line, words)
         if len(line.rstrip()) < ends:
             out.append(open_)
             open_ = None
@@ -103,13 +104,13 @@ def reflow(text: str, words: frozenset[str]) -> str:
     return "\n".join(out)
 
 
-def restore(text: str) -> str:
-    def one(m: re.Match) -> str:
-        w = m[0]
-        fixed = T.LOST_LIGATURES.get(w.lower(), w)
-        return fixed if fixed is w else fixed.upper() if w.isupper() else fixed.capitalize() if w[0].isupper() else fixed
+def _in_case_of(word: str, other: str) -> str:
+    return other.upper() if word.isupper() else other.capitalize() if word[0].isupper() else other
+
 
-    return _SHORT_WORD.sub(one, text)
+def restore(text: str) -> str:
+    """Words that lost a ligature, in the case that they stand in."""
+    return _SHORT_WORD.sub(lambda m: _in_case_of(m[0], T.LOST_LIGATURES[m[0].lower()]) if m[0].lower() in T.LOST_LIGATURES else m[0], text)
 
 
 def normalized(text: str, words: frozenset[str] = frozenset()) -> str:
@@ -128,6 +129,27 @@ def normalize(c: Column, words: frozenset[str] = frozenset()) -> Column:
     return F.pandas_udf(run, "string")(c)
 
 
+def running_heads(lines: DataFrame, least: int = 5) -> DataFrame:
+    """lines (doc_id, line): the short lines that a document has so often, as (doc_id, line, times)."""
+    own = lines.select("doc_id", F.trim("line").alias("line")).where((F.col("line") != "") & T.may_be_running_head(F.col("line")))
+    return own.groupBy("doc_id", "line").agg(F.count("*").alias("times")).where(F.col("times") >= least)
+
+
+def without_furniture(lines: DataFrame, least: int = 5) -> DataFrame:
+    """lines (doc_id, ord, line) with keep: false for page numbers, folios, noise and running heads; tables and blank lines stay. All in the JVM, for texts that are rows of lines already."""
+    s = F.col("s")
+    rows = lines.withColumn("s", F.trim("line")).withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "s")))
+    junk = T.is_page_number(s) | T.is_roman_folio(s) | T.is_ocr_noise(s) | (T.may_be_running_head(s) & (F.col("times") >= least))
+    return rows.withColumn("keep", T.is_table_line(s) | (s == "") | ~junk).drop("s", "times")
+
+
+def applied(docs: DataFrame, words: frozenset[str]) -> DataFrame:
+    """All rows with what they are to be (normal) and were (text), and whether that changes. Without a word list control bytes would be lost for good, so none is refused."""
+    if not words:
+        raise ValueError("a word list is needed: without one control bytes are only stripped")
+    return docs.withColumn("normal", normalize(F.col("text"), words)).withColumn("changed", F.coalesce(F.col("normal") != F.col("text"), F.lit(False)))
+
+
 def changed(docs: DataFrame, words: frozenset[str] = frozenset()) -> DataFrame:
     """Dry run: the rows whose text would change, with the new text in normal."""
     return docs.withColumn("normal", normalize(F.col("text"), words)).where("text is not null and normal != text")

@@ -150,6 +150,17 @@ def name_tokens(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
 
 
+def folded_lenses(lenses: DataFrame, framework_sources: DataFrame | None) -> DataFrame:
+    """lenses (kind, name, title, aliases) with sources that a framework (source, framework) stands for left out, and their titles and aliases among the framework's aliases."""
+    if framework_sources is None:
+        return lenses
+    own = lenses.where("kind = 'source'").select(F.col("name").alias("source"), F.concat_ws(" ", "title", "aliases").alias("more"))
+    told = framework_sources.select("source", F.col("framework").alias("name")).join(own, "source").groupBy("name").agg(F.concat_ws(" ", F.array_sort(F.collect_list("more"))).alias("more"))
+    kept = lenses.join(framework_sources.select(F.lit("source").alias("kind"), F.col("source").alias("name")), ["kind", "name"], "left_anti")
+    folded = kept.join(told.withColumn("kind", F.lit("framework")), ["kind", "name"], "left")
+    return folded.select("kind", "name", "title", F.when(F.col("more").isNotNull(), F.concat_ws(" ", "aliases", "more")).otherwise(F.col("aliases")).alias("aliases"))
+
+
 def consult(queries: DataFrame, lenses: DataFrame, most: int = 8, hints: int = 5) -> DataFrame:
     """Names (query_id, name) against lenses (kind, name, title, aliases): the exact stem first, then a family of stems, then whole words of all lenses.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quoin.functions import text as T
 from quoin.functions.anchors import parse_markers, resolve
 from quoin.operators import grounding, retrieval
+from quoin.operators.agreement import rank_orders
 from quoin.runtime import durable
 
 LEVELS = ("meta", "thin", "full", "content")
@@ -151,12 +153,19 @@ def composition(cards: DataFrame, sources: DataFrame) -> DataFrame:
     return n.crossJoin(sources.agg(F.count("*").alias("sources"), F.coalesce(F.round(F.sum("size") / 1e6, 6), F.lit(0.0)).alias("megabytes")))
 
 
-def page_recall(pages: DataFrame) -> DataFrame:
-    """pages (doc, page, shown, extracted): the share of the shown page's words, with their number, that the extraction has; null where the page shows none."""
-    words = pages.select("doc", "page", F.explode(F.concat(F.transform(T.tokens(F.col("shown")), lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(T.tokens(F.col("extracted")), lambda t: F.struct(t.alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("x"))
-    bag = words.groupBy("doc", "page", "x.t").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
+def page_recall(pages: DataFrame, least: int = 4) -> DataFrame:
+    """pages (doc, page, shown, extracted): the share of the shown page's words, with their number, that the extraction has, and the rank correlation of words that both have once.
+
+    recall is null where the page shows no word or there is no extraction of it (error); order is null below `least` such words.
+    """
+    side = lambda c, a, b: F.transform(T.tokens(F.col(c)), lambda t, i: F.struct(t.alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"), i.alias("i")))
+    none = F.array().cast("array<struct<t:string,a:int,b:int,i:int>>")
+    words = pages.select("doc", "page", F.explode(F.concat(F.coalesce(side("shown", 1, 0), none), F.coalesce(side("extracted", 0, 1), none))).alias("x"))
+    bag = words.groupBy("doc", "page", "x.t").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"), F.min(F.when(F.col("x.a") == 1, F.col("x.i"))).alias("pa"), F.min(F.when(F.col("x.b") == 1, F.col("x.i"))).alias("pb"))
     sums = bag.groupBy("doc", "page").agg(F.try_divide(F.sum(F.least("a", "b")), F.nullif(F.sum("a"), F.lit(0))).alias("recall"))
-    return pages.select("doc", "page").join(sums, ["doc", "page"], "left")
+    order = rank_orders(bag.where("a = 1 and b = 1"), ["doc", "page"], least).select("doc", "page", F.col("rank_order").alias("order"))
+    rows = pages.select("doc", "page", F.when(F.col("extracted").isNull(), "no text of this page").alias("error")).join(sums, ["doc", "page"], "left").join(order, ["doc", "page"], "left")
+    return rows.select("doc", "page", F.when(F.col("error").isNull(), F.col("recall")).alias("recall"), F.when(F.col("error").isNull(), F.col("order")).alias("order"), "error")
 
 
 def card_passages(cards: DataFrame, question: str, today: str, k: int = 5, around: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -219,40 +228,136 @@ class Service:
     needs: tuple[str, ...] = field(default=())
 
 
+def _bounded(params: dict, key: str, low: int, high: int, default: int) -> int:
+    """A whole number of the parameters within bounds; true is none."""
+    v = params.get(key, default)
+    return max(low, min(high, v)) if isinstance(v, int) and not isinstance(v, bool) else default
+
+
+def _search(t: dict, q: dict) -> DataFrame:
+    asked = t["cards"].sparkSession.createDataFrame([(0, list(q["terms"]))], "question int, terms array<string>")
+    parts = ["id", *[F.coalesce(c, F.lit("")) for c in ("title", "aliases", "thin")], *([F.coalesce("full", F.lit(""))] if q.get("full") else [])]
+    blobs = t["cards"].select("id", F.lower(F.concat_ws(" ", *parts)).alias("blob"))
+    return retrieval.top_k(retrieval.bm25(blobs, asked), _bounded(q, "limit", 1, 1000, 20)).drop("question")
+
+
+def _consult(t: dict, q: dict) -> DataFrame:
+    return retrieval.consult(t["lenses"].sparkSession.createDataFrame([(0, q["name"])], "query_id int, name string"), retrieval.folded_lenses(t["lenses"], t.get("framework_sources")))
+
+
+def _diagnose(t: dict, q: dict) -> DataFrame:
+    return retrieval.diagnose(t["diagnostics"].sparkSession.createDataFrame([(0, q["symptom"])], "symptom_id int, symptom string"), t["diagnostics"], t.get("dimensions"))
+
+
+def _verify(t: dict, q: dict) -> DataFrame:
+    if q.get("occurrence"):
+        return grounding.occurrence_status(t["evidence"].withColumn("phrase", F.lit(q["phrase"])), _bounded(q, "max_lines", 1, 1000, 10)).select("id", "status", "lines")
+    asked = parse_markers(F.lit(q["phrase"]))
+    bare = grounding.marker(F.lit(q["phrase"]))
+    return grounding.evidence_status(t["evidence"].withColumn("marker", F.coalesce(F.try_element_at(asked, F.lit(1)), bare)), q["today"], q.get("require_stamp", False)).select("id", "status", "lines")
+
+
+def _check(t: dict, q: dict) -> DataFrame:
+    from quoin.operators import linter
+
+    return linter.check(
+        t["cards"], t["sources"], t["anchors"], q["today"], index=t.get("index"), indexed=q.get("indexed", "index" in t), pattern=q.get("pattern"), strict=bool(q.get("strict")), frameworks=t.get("frameworks"), syntheses=t.get("syntheses"),
+        bibliography_lines=t.get("bibliography"), catalogued=bool(q.get("catalogued")), missed=t.get("missed"), backend=q.get("backend"), threshold=q.get("threshold", 0.5),
+    )
+
+
+def _build(t: dict, q: dict) -> DataFrame:
+    """(path, text) of the cards, new or as they should be."""
+    from quoin.operators import bibliography, ingestion
+
+    sources = t["sources"].select("id", "shelf", "rel", "sha256")
+    if "bibliography" in t:
+        sources = sources.join(bibliography.lookup(sources, t["bibliography"]), "id")
+    made = ingestion.scaffold(sources, t["existing"], t.get("framework_sources"))
+    return made.select(F.concat(F.lit(q.get("cards", "cards") + "/"), "id", F.lit(".md")).alias("path"), F.col("card").alias("text"))
+
+
+def _normalize(t: dict, q: dict) -> DataFrame:
+    """(rel, text, normal) of the sources that would change."""
+    from quoin.operators import normalize
+
+    return normalize.changed(t["sources"], frozenset(q.get("words", ()))).select("rel", "text", "normal")
+
+
+def _ingest(t: dict, q: dict) -> DataFrame:
+    from quoin.operators import ingestion
+
+    return ingestion.ingest_files(t["files"], frozenset(q.get("words", ())))
+
+
+def _review(t: dict, q: dict) -> DataFrame:
+    from quoin.operators import gate
+
+    return gate.review(t["rubrics"], t["panel_cards"], t["pinned"], t["scores"], q["today"], q.get("hurdle", 60), q.get("require_stamp", True))
+
+
+def _settings(t: dict, q: dict) -> DataFrame:
+    from quoin.sources import settings
+
+    rows = [(s.name, None if s.value is None else str(s.value), s.source) for s in settings.resolve(q.get("arguments"), q.get("file")).values()]
+    return q["spark"].createDataFrame(rows, "name string, value string, source string")
+
+
+def _init(t: dict, q: dict) -> DataFrame:
+    """(path, text) of a new base."""
+    from quoin.sources import library
+
+    shelves = list(q.get("shelves") or ["books"])
+    toml = f"id = {json.dumps(q['id'])}\nshelves = {json.dumps(shelves)}\n"
+    library.manifest(toml, ".")
+    rows = [("library.toml", toml), ("cards/README.md", "# Cards\n"), *[(f"{s}/.keep", "") for s in shelves]]
+    return q["spark"].createDataFrame(rows, "path string, text string")
+
+
 def _services() -> dict[str, Service]:
-    p = lambda params, key, low, high, default: max(low, min(high, params.get(key, default))) if isinstance(params.get(key, default), int) and not isinstance(params.get(key, default), bool) else default
-    ask = lambda t, q: t["cards"].sparkSession.createDataFrame([(0, list(q["terms"]))], "question int, terms array<string>")
-    blob = lambda t, q: t["cards"].select("id", F.lower(F.concat_ws(" ", "id", F.coalesce("title", F.lit("")), F.coalesce("aliases", F.lit("")), F.coalesce("thin", F.lit("")), F.coalesce("full", F.lit("")) if q.get("full") else F.lit(""))).alias("blob"))
-    return {
-        s.id: s
-        for s in (
-            Service("search", lambda t, q: retrieval.top_k(retrieval.bm25(blob(t, q), ask(t, q)), p(q, "limit", 1, 1000, 20)).drop("question"), True, ("cards",)),
-            Service("zoom", lambda t, q: zoom(t["cards"].where(F.col("id") == q["id"]), q.get("level", "thin")), False, ("cards",)),
-            Service("cards", lambda t, q: t["cards"].select("id", "title", "shelf", "zoom"), True, ("cards",)),
-            Service("lenses", lambda t, q: t["lenses"].select("kind", "name", "title"), True, ("lenses",)),
-            Service("consult", lambda t, q: retrieval.consult(t["lenses"].sparkSession.createDataFrame([(0, q["name"])], "query_id int, name string"), t["lenses"]), True, ("lenses",)),
-            Service("diagnose", lambda t, q: retrieval.diagnose(t["diagnostics"].sparkSession.createDataFrame([(0, q["symptom"])], "symptom_id int, symptom string"), t["diagnostics"]), True, ("diagnostics",)),
-            Service("verify", lambda t, q: grounding.evidence_status(t["evidence"].withColumn("marker", grounding.marker(F.lit(q["phrase"]))), q["today"], q.get("require_stamp", False)).select("id", "status", "lines"), False, ("evidence",)),
-            Service("evidence", lambda t, q: retrieve_evidence(t["evidence"], q["question"], q["today"], p(q, "limit", 1, 100, 5), bool(q.get("full_text"))), False, ("evidence",)),
-            Service("check", lambda t, q: grounding.integrity_findings(t["cards"], t["sources"], t["index"], t["anchors"], q["today"]), True, ("cards", "sources", "index", "anchors")),
-        )
-    }
+    every = (
+        Service("search", _search, True, ("cards",)),
+        Service("zoom", lambda t, q: zoom(t["cards"].where(F.col("id") == q["id"]), q.get("level", "thin")), False, ("cards",)),
+        Service("cards", lambda t, q: t["cards"].select("id", "title", "shelf", "zoom"), True, ("cards",)),
+        Service("lenses", lambda t, q: t["lenses"].select("kind", "name", "title"), True, ("lenses",)),
+        Service("kbs", lambda t, q: t["kbs"], False, ("kbs",)),
+        Service("consult", _consult, True, ("lenses",)),
+        Service("diagnose", _diagnose, True, ("diagnostics",)),
+        Service("verify", _verify, False, ("evidence",)),
+        Service("evidence", lambda t, q: retrieve_evidence(t["evidence"], q["question"], q["today"], _bounded(q, "limit", 1, 100, 5), bool(q.get("full_text"))), False, ("evidence",)),
+        Service("check", _check, True, ("cards", "sources", "anchors")),
+        Service("build", _build, False, ("sources", "existing")),
+        Service("normalize", _normalize, False, ("sources",)),
+        Service("ingest", _ingest, False, ("files",)),
+        Service("review", _review, False, ("rubrics", "panel_cards", "pinned", "scores")),
+        Service("settings", _settings),
+        Service("init", _init),
+    )
+    if len({s.id for s in every}) < len(every):
+        raise ValueError("two operations share an id")
+    return {s.id: s for s in every}
 
 
 SERVICES = _services()
 FANOUT = 10
 
 
-def execute(op: str, tables: dict[str, DataFrame], params: dict, kbs: list[str] | None = None) -> DataFrame:
-    """Run a verb over tables whose column kb, where they have one, is its scope; several bases for a verb that fans out, the first ten by id."""
+def scope(op: str, kbs: list[str] | None) -> tuple[list[str] | None, int]:
+    """The bases that an operation runs over, the first ten by id, and how many are left out."""
     if op not in SERVICES:
         raise ValueError(f"unknown operation {op!r}")
+    if kbs is not None and len(set(kbs)) > 1 and not SERVICES[op].fanout:
+        raise ValueError(f"{op} is for one knowledge base")
+    chosen = None if kbs is None else sorted(set(kbs))
+    return (None, 0) if chosen is None else (chosen[:FANOUT], max(0, len(chosen) - FANOUT))
+
+
+def execute(op: str, tables: dict[str, DataFrame], params: dict, kbs: list[str] | None = None) -> DataFrame:
+    """Run a verb over tables whose column kb, where they have one, is its scope; several bases for a verb that fans out, the first ten by id. Bases that can't be read are rows of kbs, not here."""
+    chosen, _ = scope(op, kbs)
     service = SERVICES[op]
     if missing := [n for n in service.needs if n not in tables]:
         raise ValueError(f"{op} needs the tables {missing}")
-    if kbs is not None and len(kbs) > 1 and not service.fanout:
-        raise ValueError(f"{op} is for one knowledge base")
-    chosen = None if kbs is None else sorted(kbs)[:FANOUT]
     held = {k: t.where(F.col("kb").isin(*chosen)) if chosen is not None and "kb" in t.columns else t for k, t in tables.items()}
     return service.run(held, params)
 

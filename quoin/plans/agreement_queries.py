@@ -81,3 +81,16 @@ def u2_missing_pages(spark, sf_dir):
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id")).withColumn("declared", n).where("declared > 0")
     pages = F.when(F.col("id") % 4 != 0, F.filter(F.sequence(F.lit(1), F.col("declared")), lambda p: p % (F.col("id") % 4 + 1) > 0))
     return rows.withColumn("missing", A.missing_pages(F.col("declared"), pages)).where("missing is not null").select("id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, unnest(t) AS t, generate_subscripts(t, 1) - 1 AS i FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM (SELECT doc_id, {_CAND_SQL} AS text FROM documents))), l AS (SELECT doc_id AS id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS w FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents)),
+  a AS (SELECT id, w, unnest(t) AS t, w * 4294967296 + generate_subscripts(t, 1) AS i FROM (SELECT id, w, {TOKENS_SQL} AS t FROM l)), bag AS (SELECT id, t, sum(x) AS na, sum(y) AS nb, min(pa) AS pa, min(pb) AS pb FROM (SELECT id, t, 1 AS x, 0 AS y, i AS pa, NULL::BIGINT AS pb FROM a UNION ALL SELECT id, t, 0, 1, NULL, i FROM c) GROUP BY id, t),
+  rk AS (SELECT id, w, row_number() OVER (PARTITION BY id, w ORDER BY pa) AS x, row_number() OVER (PARTITION BY id, w ORDER BY pb) AS y FROM (SELECT *, pa // 4294967296 AS w FROM bag WHERE na = 1 AND nb = 1)),
+  sc AS (SELECT id, w, count(*) AS anchors, CASE WHEN count(*) >= 8 THEN 1 - 6 * sum((x - y) * (x - y))::DOUBLE / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)) END AS rank_order FROM rk GROUP BY id, w)
+  SELECT l.id, l.w::BIGINT AS w, coalesce(anchors, 0)::BIGINT AS anchors, round(rank_order, 6) AS rank_order FROM l LEFT JOIN sc USING (id, w)""")
+def w2_page_windows(spark, sf_dir):
+    """Order within the control's own pages; its lines stand for pages."""
+    pages = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("pages"))
+    bag = durable(A.bags(A.page_positions(pages), pair(spark, sf_dir)[1]), "bag")
+    w = A.page_orders(bag, pages)
+    return w.select("id", F.col("w").cast("long").alias("w"), F.col("anchors").cast("long").alias("anchors"), F.round("rank_order", 6).alias("rank_order"))

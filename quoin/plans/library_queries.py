@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quoin.functions import text as T
 from quoin.operators import evaluation, gate
 from quoin.operators import grounding as G
 from quoin.operators import linter as L
@@ -116,14 +117,17 @@ def a20_duplicates(spark, sf_dir):
 
 
 @query(f"""WITH p AS (SELECT doc_id AS doc, i AS page, l[i] AS shown, substr(l[i], 1, length(l[i]) // 2) || ' zz' AS extracted FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents))),
-  w AS (SELECT doc, page, unnest(regexp_extract_all(lower(replace(shown, '-', '')), '[\\p{{L}}\\p{{N}}]+')) AS t, 1 AS a, 0 AS b FROM p UNION ALL SELECT doc, page, unnest(regexp_extract_all(lower(replace(extracted, '-', '')), '[\\p{{L}}\\p{{N}}]+')), 0, 1 FROM p), g AS (SELECT doc, page, t, sum(a) AS a, sum(b) AS b FROM w GROUP BY doc, page, t)
-  SELECT p.doc, p.page, round(r, 6)::DOUBLE AS recall FROM p LEFT JOIN (SELECT doc, page, sum(least(a, b)) / nullif(sum(a), 0) AS r FROM g GROUP BY doc, page) q USING (doc, page)""")
+  q AS (SELECT doc, page, regexp_extract_all(lower(replace(shown, '-', '')), '[\\p{{L}}\\p{{N}}]+') AS s, list_reverse(regexp_extract_all(lower(replace(extracted, '-', '')), '[\\p{{L}}\\p{{N}}]+')) AS e FROM p),
+  w AS (SELECT doc, page, unnest(s) AS t, generate_subscripts(s, 1) AS i, 1 AS a FROM q UNION ALL SELECT doc, page, unnest(e), generate_subscripts(e, 1), 0 FROM q), g AS (SELECT doc, page, t, sum(a) AS a, sum(1 - a) AS b, min(i) FILTER (WHERE a = 1) AS pa, min(i) FILTER (WHERE a = 0) AS pb FROM w GROUP BY doc, page, t),
+  k AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY pa) AS x, row_number() OVER (PARTITION BY doc, page ORDER BY pb) AS y FROM g WHERE a = 1 AND b = 1), o AS (SELECT doc, page, CASE WHEN count(*) >= 4 THEN 1 - 6 * sum((x - y) * (x - y))::DOUBLE / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)) END AS r FROM k GROUP BY doc, page)
+  SELECT p.doc, p.page, round(z.r, 6)::DOUBLE AS recall, round(o.r, 6) AS "order" FROM p LEFT JOIN (SELECT doc, page, sum(least(a, b)) / nullif(sum(a), 0) AS r FROM g GROUP BY doc, page) z USING (doc, page) LEFT JOIN o USING (doc, page)""")
 def a8_page_recall(spark, sf_dir):
-    """How much of every line's words a halved extraction keeps; each line is a page."""
+    """How much of every line's words an extraction of its first half, backwards, keeps, and in what order; each line is a page."""
     lines = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "shown"))
     half = F.concat(F.substring("shown", F.lit(1), F.floor(F.length("shown") / 2).cast("int")), F.lit(" zz"))
+    half = F.array_join(F.reverse(T.tokens(half)), " ")
     pages = lines.select("doc", (F.col("pos") + 1).cast("long").alias("page"), "shown", half.alias("extracted"))
-    return S.page_recall(pages).select("doc", "page", F.round("recall", 6).alias("recall"))
+    return S.page_recall(pages).select("doc", "page", F.round("recall", 6).alias("recall"), F.round("order", 6).alias("order"))
 
 
 @query(f"SELECT doc_id AS id, CASE WHEN w = 0 THEN 'no words' WHEN share > 0.1 THEN 'control characters' END AS refused FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(t, '{WS}', ' ', 'g'), ' '), lambda x: x <> '')) AS w, (length(t) - length(regexp_replace(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'))) / greatest(length(t), 1) AS share FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN replace(text, 'e', chr(2)) ELSE text END AS t FROM documents))")

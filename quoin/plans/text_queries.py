@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
+from quoin.operators import gate, normalize
 from quoin.plans.registry import query
 from quoin.runtime import spread, table
 
@@ -152,20 +153,23 @@ def p9_line_classes(spark, sf_dir):
     return odd_lines(spark, sf_dir).select("doc_id", F.trim("line").alias("s")).groupBy("doc_id").agg(*[F.sum(v.cast("int")).alias(k) for k, v in classes.items()])
 
 
-@query(f"SELECT doc_id, s AS line, count(*)::BIGINT AS times FROM (SELECT doc_id, trim(line) AS s FROM (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line FROM documents)) WHERE s <> '' AND {HEAD_SQL} GROUP BY doc_id, s HAVING count(*) >= 5")
+_HEADED_SQL = "(SELECT doc_id, unnest(string_split(text || repeat(E'\\n' || split_part(split_part(text, E'\\n', 1), ' ', 1) || ' head', CASE doc_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 4 ELSE 7 END::INT), E'\\n')) AS line FROM documents)"
+
+
+@query(f"SELECT doc_id, s AS line, count(*)::BIGINT AS times FROM (SELECT doc_id, trim(line) AS s FROM {_HEADED_SQL}) WHERE s <> '' AND {HEAD_SQL} GROUP BY doc_id, s HAVING count(*) >= 5")
 def a4_running_heads(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
-    return lines.where((F.col("line") != "") & T.may_be_running_head(F.col("line"))).groupBy("doc_id", "line").agg(F.count("*").alias("times")).where("times >= 5")
+    """Lines that a document repeats as a running head; one is planted in each, often enough in two thirds."""
+    head = F.concat(F.lit("\n"), F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(1)), F.lit(" head"))
+    times = F.when(F.col("doc_id") % 3 == 0, 5).when(F.col("doc_id") % 3 == 1, 4).otherwise(7)
+    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.concat("text", F.repeat(head, times)), "\n")).alias("line"))
+    return normalize.running_heads(lines)
 
 
 @query(f"""SELECT doc_id, (count(*) - count(*) FILTER (WHERE keep))::BIGINT AS removed, sha256(coalesce(string_agg(line, E'\\n' ORDER BY ord) FILTER (WHERE keep), '')) AS kept_sha FROM (
   SELECT doc_id, ord, line, {TABLE_SQL} OR s = '' OR NOT ({NUMBER_SQL} OR {ROMAN_SQL} OR {NOISE_SQL} OR ({HEAD_SQL} AND times >= 5)) AS keep
   FROM (SELECT doc_id, ord, line, trim(line) AS s, count(*) OVER (PARTITION BY doc_id, trim(line)) AS times FROM {LINES_SQL})) GROUP BY doc_id""")
 def f21_strip_furniture(spark, sf_dir):
-    s = F.col("s")
-    lines = odd_lines(spark, sf_dir).withColumn("s", F.trim("line")).withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "s")))
-    junk = T.is_page_number(s) | T.is_roman_folio(s) | T.is_ocr_noise(s) | (T.may_be_running_head(s) & (F.col("times") >= 5))
-    kept = lines.withColumn("keep", T.is_table_line(s) | (s == "") | ~junk)
+    kept = normalize.without_furniture(odd_lines(spark, sf_dir))
     ordered = F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("ord", "line"))))
     return kept.groupBy("doc_id").agg(F.count_if(~F.col("keep")).alias("removed"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 256).alias("kept_sha"))
 
@@ -184,7 +188,7 @@ def h1_sha256(spark, sf_dir):
 
 @query("SELECT item_id, (('0x' || substr(sha256(text), 1, 16))::UBIGINT)::VARCHAR AS seed FROM benchmark")
 def h4_doc_seed(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.conv(F.substring(F.sha2("text", 256), 1, 16), 16, 10).alias("seed"))
+    return table(spark, sf_dir, "benchmark").select("item_id", gate.document_seed(F.col("text")).alias("seed"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(split_part(text, E'\\n', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
@@ -215,9 +219,8 @@ def s8_card_fields(spark, sf_dir):
 
 @query("SELECT rater, doc_id, row_number() OVER (PARTITION BY rater ORDER BY sha256(rater || ':' || doc_id)) AS ord FROM (SELECT doc_id FROM labels), (SELECT unnest(['ann', 'bo']) AS rater)")
 def w9_rater_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.explode(F.array(F.lit("ann"), F.lit("bo"))).alias("rater"))
-    order = F.row_number().over(Window.partitionBy("rater").orderBy(F.sha2(F.concat("rater", F.lit(":"), F.col("doc_id").cast("string")), 256)))
-    return rows.select("rater", "doc_id", order.cast("long").alias("ord"))
+    order = gate.rater_order(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("draft")), spark.createDataFrame([("ann",), ("bo",)], "rater string"))
+    return order.select("rater", F.col("draft").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("ord"))
 
 
 @query("""SELECT level, sum(chars)::BIGINT AS chars, sum(tokens)::BIGINT AS tokens, (count(*) FILTER (WHERE tokens > 0))::BIGINT AS owed FROM (

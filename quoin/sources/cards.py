@@ -22,5 +22,5 @@ def card_fields(cards: DataFrame, card: str = "card") -> DataFrame:
     """Parsed fields of a column of cards; null where a card has none."""
     front = T.front_matter(F.col(card))
     keys = ("id", "file", "aliases", "shelf", "zoom", "source_sha256", "review_by", "superseded_by")
-    known = [c for c in cards.columns if c not in {*keys, "title", "thin", "full"}]
-    return cards.select(*known, *[T.field(front, k).alias(k) for k in keys], T.title(F.col(card)).alias("title"), T.section(F.col(card), "thin").alias("thin"), T.section(F.col(card), "full").alias("full"))
+    known = [c for c in cards.columns if c not in {*keys, "title", "thin", "full", "sections"}]
+    return cards.select(*known, *[T.field(front, k).alias(k) for k in keys], T.title(F.col(card)).alias("title"), T.section(F.col(card), "thin").alias("thin"), T.section(F.col(card), "full").alias("full"), T.sections(F.col(card)).alias("sections"))

@@ -79,25 +79,83 @@ def escaped(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def files(spark: SparkSession, folder: str, pattern: str, suffix: str) -> DataFrame:
-    """(name, text, bytes) of the files of a folder whose name fits; bytes that aren't UTF-8 become U+FFFD in text."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def files(spark: SparkSession, folder: str, pattern: str, suffix: str, strict: bool = False) -> DataFrame:
+    """(name, text, bytes) of the files of a folder whose name fits. Bytes that aren't UTF-8 become U+FFFD in text; with strict they fail the job. A folder that isn't there has none."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "name string, text string, bytes binary")
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(escaped(folder))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), suffix + "$", "")
-    return rows.select(F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("content").alias("bytes"))
+    text = F.col("content").cast("string")
+    return rows.select(F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("name"), (F.validate_utf8(text) if strict else F.make_valid_utf8(text)).alias("text"), F.col("content").alias("bytes"))
+
 
+SOURCES = "kb string, shelf string, id string, rel string, text string, size long, sha256 string"
 
-def sources(spark: SparkSession, lib: Library) -> DataFrame:
+
+def sources(spark: SparkSession, lib: Library, strict: bool = False) -> DataFrame:
     """(kb, shelf, id, rel, text, size, sha256) of all texts of all shelves; shelves that aren't there are left out."""
-    out = None
+    out = spark.createDataFrame([], SOURCES)
     for shelf in lib.shelves:
-        part = files(spark, f"{lib.root}/{lib.sources}/{shelf}", "*.txt", r"\.txt").select(
+        part = files(spark, f"{lib.root}/{lib.sources}/{shelf}", "*.txt", r"\.txt", strict).select(
             F.lit(lib.id).alias("kb"), F.lit(shelf).alias("shelf"), F.col("name").alias("id"), F.concat(F.lit(f"{shelf}/" if lib.sources == "." else f"{lib.sources}/{shelf}/"), F.col("name"), F.lit(".txt")).alias("rel"), "text",
             F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"),
         )
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
+def clashes(sources: DataFrame) -> DataFrame:
+    """Names (id) that stand on several shelves: cards go by name only, so these would share one."""
+    return sources.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def rubric_path(lib: Library, dimension: str) -> str:
+    """Where a dimension's rubric lies; a name that would leave the folder is refused."""
+    if not re.fullmatch("[A-Za-z][A-Za-z0-9_-]*", dimension):
+        raise ConfigError(f"dimension {dimension!r} isn't a plain name")
+    return f"{lib.root}/{lib.frameworks or 'frameworks'}/_criteria/{dimension}.json"
+
+
+class Catalog:
+    """The registry of a file that may change while it is served: read again when its time or size does. One that can't be read keeps what was last good, and says so in `problem`."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.stamp = spark, path, None
+        self.rows: list[dict] = []
+        self.problem: str | None = None
+        self.refresh()
+
+    def refresh(self) -> list[dict]:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        try:
+            found = at.getFileSystem(conf).getFileStatus(at)
+            stamp = (found.getModificationTime(), found.getLen())
+            if stamp == self.stamp:
+                return self.rows
+            self.stamp = stamp
+            text = self.spark.read.text(escaped(self.path), wholetext=True).first()[0]
+            listed = tomllib.loads(text).get("kb", [])
+            if not isinstance(listed, list) or any(not isinstance(k, dict) or not isinstance(k.get("path"), str) for k in listed):
+                raise ConfigError("kb must be a list of tables with a path")
+            root = self.path.rsplit("/", 1)[0]
+            entries = {}
+            for k in listed:
+                base = k["path"] if k["path"].startswith("/") or "://" in k["path"] else f"{root}/{k['path']}"
+                toml = f"{base}/library.toml"
+                entries[k.get("name", k["path"])] = (self.spark.read.text(escaped(toml), wholetext=True).first()[0] if exists(self.spark, toml) else "=", base)
+            self.rows, self.problem = registry(entries), None
+        except Exception as e:  # the last good catalog is better than none
+            self.problem = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+        return self.rows
+
+
 def cards(spark: SparkSession, lib: Library) -> DataFrame:
     """Parsed cards; the board and the readme are none."""
     rows = files(spark, f"{lib.root}/{lib.cards}", "*.md", r"\.md").where(~F.concat("name", F.lit(".md")).isin(*NOT_CARDS)).select(F.lit(lib.id).alias("kb"), F.col("name").alias("stem"), F.col("text").alias("card"))
@@ -166,3 +224,30 @@ def rating_sheet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def tripwire(enumerated: DataFrame, on_disk: DataFrame) -> DataFrame:
     """Names that are in the folder but weren't enumerated: an error, as a check over too few cards passes."""
     return on_disk.join(enumerated, "name", "left_anti")
+
+
+def sheet_problems(header: DataFrame, rows: DataFrame) -> DataFrame:
+    """(problem) of a rating sheet: no header or several, another number of rows than it declares, rows without draft or criterion, repeated ones, scales that aren't 2 to 100, scores off the scale."""
+    told = lambda df, what: df.select(F.lit(what).alias("problem"))
+    n = header.agg(F.count("*").alias("headers"), F.max("rows").alias("declared")).crossJoin(rows.agg(F.count("*").alias("found")))
+    parts = [
+        told(n.where("headers != 1"), "header"), told(n.where("headers = 1 and (declared is null or declared != found)"), "rows"), told(rows.where("draft is null or criterion is null"), "key"),
+        told(rows.groupBy("draft", "criterion").count().where("count > 1"), "repeated"), told(rows.where("max_score is null or max_score < 2 or max_score > 100"), "scale"), told(rows.where("score < 0 or score > max_score"), "score"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def gold(spark: SparkSession, path: str) -> DataFrame:
+    """(question, id) of a gold set of JSON lines (q, relevant); a line that isn't of the schema fails the read."""
+    lines = spark.read.schema("q string, relevant array<string>").option("mode", "FAILFAST").json(path)
+    return lines.select(F.col("q").alias("question"), F.explode("relevant").alias("id"))
+
+
+def gold_for(gold: DataFrame, cards: DataFrame) -> DataFrame:
+    """The gold set, if any of its ids is a card here: one that was made for another corpus would score 0 whatever ranks."""
+    if gold.join(cards.select("id"), "id", "left_semi").isEmpty():
+        raise ValueError("none of the gold set's ids is a card of this base")
+    return gold

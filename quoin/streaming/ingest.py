@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,30 +17,47 @@ def arrivals(spark: SparkSession, folder: str, schema: StructType, files: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """Sources that pass the guards (some words, at most a tenth control characters), with digest and size."""
+def judged(docs: DataFrame) -> DataFrame:
+    """Sources with digest, size, state and reason: refused without words, or with more than a tenth control characters, else accepted."""
     c = F.col("text")
     control = (F.length(c) - F.length(F.regexp_replace(c, T.CONTROL, ""))) / F.greatest(F.length(c), F.lit(1))
-    return docs.where(c.isNotNull() & (F.size(T.split_words(c)) > 0) & (control <= 0.1)).withColumn("sha256", F.sha2(c, 256)).withColumn("size", F.octet_length(c))
+    reason = F.when(c.isNull() | (F.size(T.split_words(c)) == 0), "no words").when(control > 0.1, "control characters")
+    return docs.withColumn("sha256", F.sha2(c, 256)).withColumn("size", F.octet_length(c)).withColumn("state", F.when(reason.isNull(), "accepted").otherwise("refused")).withColumn("reason", reason)
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """Sources that pass the guards, with digest and size."""
+    return judged(docs).where("state = 'accepted'").drop("state", "reason")
+
+
+LOG = "sha256 string, size long, state string, reason string, run string, batch long"
 
 
-def ingest(stream: DataFrame, to: str, log: str, checkpoint: str) -> StreamingQuery:
-    """Write what is new under `to` (partitioned by batch) and a row for each source to the log; a batch that runs again overwrites itself.
+def ingest(stream: DataFrame, to: str, log: str, checkpoint: str, quarantine: str | None = None) -> StreamingQuery:
+    """Write what is new under `to`, what is refused under `quarantine` (if given), and a row for each source to the log; all in folders of run and batch.
 
-    The digests that are there already are read back, so a source that comes twice, or in a later run, is written once.
+    run is the query's id, which its checkpoint keeps: a batch that runs again overwrites itself, and a stream with another checkpoint adds folders of its own. Digests that any other
+    batch has logged are read back, so a source that comes twice, in a later run too, is written once.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        new = accepted(rows).dropDuplicates(["sha256"])
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(log)
-        if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-            known = spark.read.schema("sha256 string, batch long").parquet(log).where(F.col("batch") < number)
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        told = judged(rows)
+        new = told.where("state = 'accepted'").dropDuplicates(["sha256"])
+        at = spark._jvm.org.apache.hadoop.fs.Path(log)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            known = spark.read.schema(LOG).parquet(log).where((F.col("state") == "accepted") & ~((F.col("run") == run) & (F.col("batch") == number)))
             new = new.join(known.select("sha256"), "sha256", "left_anti")
-        new = new.persist()
-        new.write.mode("overwrite").parquet(f"{to}/batch={number}")
-        new.select("sha256", "size", F.lit("accepted").alias("state")).write.mode("overwrite").parquet(f"{log}/batch={number}")
-        new.unpersist()
+        own = f"run={run}/batch={number}"
+        new.drop("state", "reason").write.mode("overwrite").parquet(f"{to}/{own}")
+        refused = told.where("state = 'refused'")
+        if quarantine:
+            refused.write.mode("overwrite").parquet(f"{quarantine}/{own}")
+        written = spark.read.schema("sha256 string, size int").parquet(f"{to}/{own}")  # what was written is what is logged
+        rows_ = written.select("sha256", F.col("size").cast("long").alias("size"), F.lit("accepted").alias("state"), F.lit(None).cast("string").alias("reason"))
+        rows_ = rows_.unionAll(refused.select("sha256", F.col("size").cast("long"), "state", "reason")) if quarantine else rows_
+        rows_.write.mode("overwrite").parquet(f"{log}/{own}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

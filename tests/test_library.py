@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,8 +137,8 @@ def test_craft_moves(spark):
     craft = "Intro\n- **Cut early.** Leave (grep: `cut`)\n- **No anchor** here"
     got = gate.craft_moves(spark.createDataFrame([("d", craft)], "dimension string, craft string")).collect()
     assert [(r["name"], len(r["markers"])) for r in got] == [("Cut early", 1), ("No anchor", 0)]
-    pages = spark.range(1).select(gate.sample_pages(F.lit(10), F.lit("s"), 3).alias("a"), gate.sample_pages(F.lit(2), F.lit("s"), 3).alias("b")).first()
-    assert len(pages["a"]) == 3 and pages["a"] == sorted(pages["a"]) and pages["b"] == [1, 2]
+    pages = spark.range(1).select(gate.sample_pages(F.lit(10), F.lit(1618), 3).alias("a"), gate.sample_pages(F.lit(2), F.lit(1618), 3).alias("b"), gate.sample_pages(F.lit(0), F.lit(1), 3).alias("c")).first()
+    assert pages["a"] == sorted(random.Random(1618).sample(range(1, 11), 3)) and pages["b"] == [1, 2] and pages["c"] == []
 
 
 def test_stream_writes_each_source_once(spark, tmp_path):
@@ -168,7 +169,7 @@ def test_ingest_and_verify(spark):
     assert {r["id"]: (r["state"], r["reasons"]) for r in ingestion.verify_extractions(pairs).collect()} == {1: ("verified", []), 2: ("failed", ["containment", "inflation-low"]), 3: ("abstained", []), 4: ("failed", ["pages-missing"])}
     files = spark.createDataFrame([("a", "The defne of it\n".encode()), ("b", b"<html><p>Hi there</p></html>"), ("c", b""), ("d", b"%PDF-1")], "path string, content binary")
     got = {r["path"]: r for r in ingestion.ingest_files(files).collect()}
-    assert got["a"]["text"].strip() == "The define of it" and got["b"]["text"] == "Hi there" and got["c"]["refused"] == "no words" and got["d"]["text"] is None and got["d"]["refused"]
+    assert got["a"]["text"].strip() == "The define of it" and got["b"]["text"] == "Hi there" and "unsupported" in got["c"]["refused"] and got["d"]["text"] is None and got["d"]["refused"]
     assert ingestion.provenance(ingestion.ingest_files(files), "2026-01-01").count() == 2
     assert ingestion.coverage(spark.createDataFrame([(1, "one two three four five six\f\f")], "id int, text string")).first()["empty"] == [2]
 
@@ -181,7 +182,7 @@ def test_scaffold_keeps_what_is_written(spark):
     first = ingestion.scaffold(src, none)
     by_hand = first.withColumn("card", F.when(F.col("id") == "on-style", F.concat(F.regexp_replace("card", r"(?s)(-->).*", "$1"), F.lit("\n\n## Thin\nMine\n"))).otherwise(F.col("card")))
     again = {r["id"]: r["card"] for r in ingestion.scaffold(src, by_hand).collect()}
-    assert again["on-style"].endswith("## Thin\nMine\n") and "zoom: full" in again["on-style"] and "zoom: stub" in again["new"] and "# On Style" in again["on-style"]
+    assert again["on-style"].endswith("## Thin\nMine\n") and "zoom: full" in again["on-style"] and "zoom: stub" in again["new"] and "# On style" in again["on-style"]
     twice = ingestion.scaffold(src, spark.createDataFrame(list(again.items()), "id string, card string"))
     assert {r["id"]: r["card"] for r in twice.collect()} == again
     (line,) = ingestion.board(spark.createDataFrame([("s", "b", None), ("s", "a", "full")], "shelf string, id string, zoom string")).collect()
@@ -241,3 +242,179 @@ def test_every_line_is_a_page(spark, tmp_path):
     spark.createDataFrame([(1, "one two\nthree four\nfive six\nseven eights\n\nnine ten"), (2, "only one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc"], r["page"]): r["recall"] for r in catalog.QUERIES["a8_page_recall"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1): 0.5, (1, 2): 0.5, (1, 3): 0.5, (1, 4): 0.5, (1, 5): None, (1, 6): 0.5, (2, 1): 0.5}
+
+
+def test_stream_with_another_checkpoint_keeps_what_is_there(spark, tmp_path):
+    schema = "doc_id long, text string"
+    at = tmp_path
+    for run, rows in (("one", [(1, "first"), (2, "second"), (3, "")]), ("two", [(4, "first"), (5, "third")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{at}/drop-{run}")
+        stream = ingest.arrivals(spark, f"{at}/drop-{run}", spark.createDataFrame([], schema).schema)
+        ingest.ingest(stream, f"{at}/to", f"{at}/log", f"{at}/checkpoint-{run}", f"{at}/refused").awaitTermination()
+    assert sorted(r["text"] for r in spark.read.parquet(f"{at}/to").collect()) == ["first", "second", "third"]
+    log = spark.read.schema(ingest.LOG).parquet(f"{at}/log")
+    assert log.where("state = 'accepted'").count() == 3 and [r["reason"] for r in log.where("state = 'refused'").collect()] == ["no words"] and spark.read.parquet(f"{at}/refused").count() == 1
+
+
+def test_absent_shelves_and_strict_reads(spark, kb):
+    lib = library.manifest('id = "kb"\nshelves = ["books", "gone"]\n', kb.root)
+    assert {r["shelf"] for r in library.sources(spark, lib).collect()} == {"books"}
+    assert library.sources(spark, library.manifest('id = "kb"\nshelves = []\n', kb.root)).count() == 0
+    with pytest.raises(Exception):
+        library.sources(spark, kb, strict=True).select("text").collect()
+    assert library.clashes(spark.createDataFrame([("a",), ("a",), ("b",)], "id string")).first()["id"] == "a"
+    for name in ("../x", "a/b", "1a", ""):
+        with pytest.raises(library.ConfigError):
+            library.rubric_path(kb, name)
+
+
+def test_catalog_keeps_the_last_good(spark, kb, tmp_path):
+    import os
+
+    at = tmp_path / "registry.toml"
+    (tmp_path / "base").mkdir()
+    (tmp_path / "base/library.toml").write_text('id = "one"\nshelves = ["x"]\n')
+    at.write_text('[[kb]]\nname = "a"\npath = "base"\n[[kb]]\nname = "b"\npath = "gone"\n')
+    c = library.Catalog(spark, str(at))
+    assert [(r["name"], r["ok"]) for r in c.rows] == [("a", True), ("b", False)] and c.problem is None
+    at.write_text("[[kb]\nhalf written")
+    os.utime(at, (2_000_000_000, 2_000_000_000))
+    assert [(r["name"], r["ok"]) for r in c.refresh()] == [("a", True), ("b", False)] and c.problem
+
+
+def test_settings_precedence():
+    from quoin.sources import settings
+
+    got = settings.resolve({"judge.hurdle": 70}, settings.load("[judge]\nhurdle = 50\npermutations = 4\n"), {"QUOIN_JUDGE_PERMUTATIONS": "6", "QUOIN_INGEST_VERIFY": "no"})
+    assert [(got[k].value, got[k].source) for k in ("judge.hurdle", "judge.permutations", "ingest.verify", "ingest.tier", "judge.model")] == [(70, "argument"), (6, "environment"), (False, "environment"), ("auto", "default"), (None, "unset")]
+    for bad in (lambda: settings.load("[judge]\nhurdel = 1"), lambda: settings.resolve({"judge.hurdle": True}), lambda: settings.resolve({"judge.hurdle": 101}), lambda: settings.resolve({"judge.permutations": 3}), lambda: settings.resolve({"ingest.docling_url": "ftp://x"}), lambda: settings.resolve({}, {}, {"QUOIN_JUDGE_HURDLE": "59.6"})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_calibration_covers_only_what_was_measured():
+    from quoin.operators.judge import PROMPT_VERSION, Calibration
+
+    c = Calibration("r", 20, 0.6, model="m", orders=2, prompt_version=PROMPT_VERSION)
+    assert c.covers("r", "m", 2) and not any((c.covers("x", "m", 2), c.covers("r", "n", 2), c.covers("r", "m", 4), c.covers("r", None, 2), c.covers("r", "m", None)))
+    assert not Calibration("r", 20, 0.6).covers("r", None, None) and not Calibration("r", 19, 0.9, model="m", orders=2, prompt_version=PROMPT_VERSION).covers("r", "m", 2)
+    assert not Calibration("r", 20, 0.59, model="m", orders=2, prompt_version=PROMPT_VERSION).covers("r", "m", 2) and not Calibration("r", 20, 0.6, model="m", orders=True, prompt_version=PROMPT_VERSION).covers("r", "m", 1)
+
+
+def test_judges(spark):
+    from quoin.operators import judge
+
+    drafts = spark.createDataFrame([("x", "d")], "draft string, dimension string")
+    scale = spark.createDataFrame([("d", "a", 5), ("d", "b", 25), ("d", "c", 10)], "dimension string, criterion string, top int")
+    known = spark.createDataFrame([("c", 1)], "criterion string, score int")
+    assert {r["criterion"]: r["score"] for r in judge.fixture_scores(drafts, scale, known, 0.9).collect()} == {"a": 5, "b": 23, "c": 1}
+    assert {r["criterion"]: r["score"] for r in judge.fixture_scores(drafts, scale, None, 0.58).collect()} == {"a": 3, "b": 15, "c": 6}
+    rows = spark.createDataFrame([("x", "a", "text", "asked", 5)], "draft string, criterion string, text string, asked string, top int")
+    assert tuple(judge.judged(rows, lambda t, a, back: 4 if back else 3).first()) == ("x", "a", 4, 1)
+    with pytest.raises(ValueError):
+        judge.judged(rows, lambda t, a, back: 3, 3)
+    with pytest.raises(Exception):
+        judge.judged(rows, lambda t, a, back: 6).collect()
+
+
+def test_rubrics_are_derived_checked_and_approved(spark, kb, capsys):
+    from pathlib import Path
+
+    from quoin.__main__ import main
+
+    root = Path(kb.root)
+    (root / "library.toml").write_text('id = "kb"\nshelves = ["books"]\nframeworks = "fw"\nsyntheses = "lenses"\n')
+    (root / "fw").mkdir()
+    (root / "lenses/pacing.md").write_text("---\ncards: [brevity (cross-ref), latin]\n---\n# Pacing\n\n## Craft\nIntro\n- **Cut early.** [advisory] Leave out words (grep: `needless words`).\n- **Keep it short** (grep: `sentence should`; `unnecessary words`)\n")
+    (root / "cards/latin.md").write_text("---\nid: latin\nfile: books/latin.txt\n---\n# Latin\n")
+    assert main(["--root", kb.root, "rubric-derive", "pacing"]) == 0 and main(["--root", kb.root, "rubric-derive", "pacing"]) == 1
+    at = root / "fw/_criteria/pacing.json"
+    doc = json.loads(at.read_text())
+    assert [c["id"] for c in doc["criteria"]] == ["pacing.cut-early", "pacing.keep-it-short"] and doc["panel"] == ["brevity", "latin"] and len(doc["criteria"][0]["levels"]) == 6
+    assert [e["card"] for e in doc["criteria"][1]["evidence"]] == ["brevity", "brevity"] and doc["criteria"][0]["guidance"]["value"] == "Leave out words"
+    assert main(["--root", kb.root, "rubric-check", "pacing"]) == 1  # warrants and levels are a person's to write
+    card = root / "cards/brevity.md"
+    for name in ("brevity", "latin"):
+        sha = hashlib.sha256((root / f"books/{name}.txt").read_bytes().decode("utf-8", "replace").encode()).hexdigest()
+        card = root / f"cards/{name}.md"
+        card.write_text(card.read_text().replace(f"id: {name}\n", f"id: {name}\nsource_sha256: {sha}\n"))
+    for c in doc["criteria"]:
+        c["statement"]["warrant"] = "it says so"
+        c["guidance"] = {"value": "g", "kind": "derived", "warrant": "w"}
+        for x in c["levels"]:
+            x["descriptor"] = {"value": f"level {x['score']}", "kind": "operator_policy", "warrant": "w"}
+    at.write_text(json.dumps(doc))
+    (at.parent / ".pacing.json.crc").unlink(missing_ok=True)
+    capsys.readouterr()
+    assert main(["--root", kb.root, "rubric-check", "pacing"]) == 0 and "not approved" in capsys.readouterr().out
+    assert main(["--root", kb.root, "rubric-approve", "pacing"]) == 0 and gate.approved(json.loads(at.read_text()))
+    changed = json.loads(at.read_text())
+    changed["criteria"][0]["levels"][0]["descriptor"]["value"] = "other"
+    assert not gate.approved(changed) and gate.rubric_identity(changed) != gate.rubric_identity(json.loads(at.read_text()))
+    problems = gate.rubric_problems(changed | {"panel": [], "criteria": [changed["criteria"][0] | {"evidence": [{"card": "a", "phrase": "p", "nth": True, "regex": 0}]}]})
+    assert problems == ["panel: names of cards, one at least", "criteria[0].evidence[0].nth: bool", "criteria[0].evidence[0].regex: not allowed"]
+
+
+def test_derivation_refuses_what_it_cannot_cite(spark):
+    craft = "- **One** (grep: `alpha`)\n- **One.** (grep: `beta`)\n- **Two** no anchor\n- **Three** (grep: `both`)\n- **Four** (grep: `gone`)"
+    moves = gate.craft_moves(spark.createDataFrame([("d", craft), ("e", "prose")], "dimension string, craft string"))
+    panel = spark.createDataFrame([("d", 0, "k"), ("d", 1, "l"), ("d", 2, "m")], "dimension string, place int, card string")
+    cards = spark.createDataFrame([("k", "alpha both"), ("l", "beta both")], "card string, text string")
+    made, problems = gate.derive(moves, panel, cards, "2026-01-01")
+    assert made.count() == 0
+    assert {(r["dimension"], r["ord"], r["problem"]) for r in problems.collect()} == {("d", 1, "name-repeated"), ("d", 2, "unanchored"), ("d", 3, "evidence-ambiguous-panel"), ("d", 4, "evidence-source-not-installed"), ("d", None, "not-installed-m"), ("e", None, "no-moves")}
+
+
+def test_rating_sheets_round_trip(spark, tmp_path):
+    rubric = _rubric()
+    drafts = spark.createDataFrame([("x", "one"), ("y", "two")], "draft string, text string")
+    lines = [r["line"] for r in gate.sheet(rubric, drafts, "ann").orderBy("ord").collect()]
+    (tmp_path / "sheet.jsonl").write_text("\n".join(lines))
+    header, rows = library.rating_sheet(spark, str(tmp_path / "sheet.jsonl"))
+    assert header.first()["rows"] == 2 and header.first()["rubric_digest"] == gate.rubric_identity(rubric) and rows.where("score is null").count() == 2
+    assert library.sheet_problems(header, rows).count() == 0
+    bad = spark.createDataFrame([("x", "aim", 2, 3), ("x", "aim", 1, None), (None, "b", 2, 0)], "draft string, criterion string, max_score int, score int")
+    assert {r["problem"] for r in library.sheet_problems(header, bad).collect()} == {"rows", "key", "repeated", "scale", "score"}
+    two = spark.createDataFrame([("x", "aim", 2, 1), ("y", "aim", 3, 1), ("z", "aim", 2, 1)], "draft string, criterion string, max_score int, score int")
+    one = spark.createDataFrame([("x", "aim", 2, 2), ("y", "aim", 2, 1), ("w", "aim", 2, None)], "draft string, criterion string, max_score int, score int")
+    pairs, problems = gate.paired(one, two)
+    assert [tuple(r) for r in pairs.collect()] == [("aim", 2, 2, 1)]
+    assert {(r["draft"], r["problem"]) for r in problems.collect()} == {("y", "scales differ"), ("z", "only one has it"), ("w", "only one has it")}
+
+
+def test_gold_for_another_corpus_is_refused(spark, tmp_path):
+    (tmp_path / "gold.jsonl").write_text('{"q": "what is pacing", "relevant": ["a", "b"]}\n')
+    gold = library.gold(spark, str(tmp_path / "gold.jsonl"))
+    assert library.gold_for(gold, spark.createDataFrame([("a",)], "id string")).count() == 2
+    with pytest.raises(ValueError):
+        library.gold_for(gold, spark.createDataFrame([("z",)], "id string"))
+
+
+def test_the_facade():
+    import quoin
+
+    assert all(callable(getattr(quoin, n)) or n in ("__version__", "SERVICES") for n in quoin.__all__)
+    assert len(quoin.SERVICES) == 16
+    with pytest.raises(ValueError):
+        services.scope("zoom", ["a", "b"])
+    assert services.scope("search", [f"k{i:02}" for i in range(13)]) == ([f"k{i:02}" for i in range(10)], 3)
+
+
+def test_consult_folds_a_book_into_its_framework(spark):
+    from quoin.operators import retrieval
+
+    lenses = spark.createDataFrame([("source", "king", "On Writing", "craft"), ("framework", "king-fw", "King", None), ("source", "other", "Other", "")], "kind string, name string, title string, aliases string")
+    folded = retrieval.folded_lenses(lenses, spark.createDataFrame([("king", "king-fw")], "source string, framework string"))
+    assert {(r["kind"], r["name"]) for r in folded.collect()} == {("framework", "king-fw"), ("source", "other")}
+    found = retrieval.consult(spark.createDataFrame([(0, "writing craft")], "query_id int, name string"), folded).first()
+    assert (found["status"], found["name"]) == ("unique", "king-fw")
+
+
+def test_bibliography_rows(spark):
+    from quoin.operators import bibliography as B
+
+    text = "| **Plato** | `plato-republic.txt` |\nprose xbooth.txt and booth.txt.\nbooth.txt\n| King | `king.x.txt` |\nmention of Strunk only"
+    rows = B.lines(spark.createDataFrame([(text,)], "text string"))
+    ids = spark.createDataFrame([("plato",), ("plato-republic",), ("booth",), ("xbooth",), ("king",), ("strunk-white",), ("zzz-1999",)], "id string")
+    assert {r["id"]: r["line"] for r in B.lookup(ids, rows).collect()} == {"plato": None, "plato-republic": "**Plato** | `plato-republic.txt` |", "booth": "booth.txt", "xbooth": "prose xbooth.txt and booth.txt.", "king": "King | `king.x.txt` |", "strunk-white": None, "zzz-1999": None}
+    assert {r["id"] for r in B.uncovered(ids, rows).collect()} == {"zzz-1999"}
