@@ -58,18 +58,6 @@ def pattern(lib: library.Library) -> str:
     return linter.source_path(list(lib.shelves), lib.sources)
 
 
-def write(spark: SparkSession, root: str, rows: DataFrame) -> int:
-    """Write (path, text) under the root, one after another, in whatever store it is; how many there were."""
-    jvm, n = spark._jvm, 0
-    for r in rows.toLocalIterator():
-        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{r['path']}")
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-        out.write(bytearray((r["text"] or "").encode()))
-        out.close()
-        n += 1
-    return n
-
-
 def rubric(spark: SparkSession, lib: library.Library, t: dict[str, DataFrame], verb: str, dimension: str, today: str) -> int:
     """Derive a candidate rubric from a dimension's Craft moves, check one, or approve one that is sound."""
     at = library.rubric_path(lib, dimension)
@@ -82,7 +70,7 @@ def rubric(spark: SparkSession, lib: library.Library, t: dict[str, DataFrame], v
         for p in problems.collect():
             print(f"{p['problem']} (move {p['ord']})", file=sys.stderr)
         rows = made.select(F.lit(at.removeprefix(f"{lib.root}/")).alias("path"), F.to_json(F.struct(*made.columns)).alias("text"))
-        return 0 if not library.exists(spark, at) and write(spark, lib.root, rows) else 1
+        return 0 if not library.exists(spark, at) and library.write_files(rows, lib.root) else 1
     if not library.exists(spark, at):
         print(f"no rubric at {at}", file=sys.stderr)
         return 1
@@ -99,7 +87,7 @@ def rubric(spark: SparkSession, lib: library.Library, t: dict[str, DataFrame], v
         return 1
     if verb == "rubric-approve":
         shas = {r["card"]: r["sha"] for r in live.where(F.col("card").isin(*doc["panel"])).select("card", F.sha2("text", 256).alias("sha")).collect()}
-        write(spark, lib.root, spark.createDataFrame([(at.removeprefix(f"{lib.root}/"), json.dumps(gate.pinned(doc, shas, True), ensure_ascii=False, indent=1))], "path string, text string"))
+        library.write_files(spark.createDataFrame([(at.removeprefix(f"{lib.root}/"), json.dumps(gate.pinned(doc, shas, True), ensure_ascii=False, indent=1))], "path string, text string"), lib.root)
     else:
         print("approved" if gate.approved(doc) else "sound, not approved")
     return 0
@@ -127,7 +115,7 @@ def main(args: list[str] | None = None) -> int:
         at = f"{a.root}/settings.toml"
         rows = services.execute(a.verb, {}, params | {"file": settings.load(spark.read.text(library.escaped(at), wholetext=True).first()[0]) if a.verb == "settings" and library.exists(spark, at) else {}})
         if a.verb == "init":
-            print(f"{write(spark, a.root, rows)} files")
+            print(f"{library.write_files(rows, a.root)} files")
         else:
             print("\n".join(f"{r['name']}\t{r['value']}\t{r['source']}" for r in rows.collect()))
         return 0
@@ -159,11 +147,11 @@ def main(args: list[str] | None = None) -> int:
     rows = services.execute(a.verb, t, params)
     if a.verb == "build":
         made = durable(rows, "cards")  # it depends on the files that are written
-        n = write(spark, a.root, made) if a.write else made.count()
+        n = library.write_files(made, a.root) if a.write else made.count()
         if a.write:
             ids = made.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("id")).orderBy("id")
             lines = ids.agg(F.concat(F.lit("# Board\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: F.concat(F.lit("- ["), i, F.lit("]("), i, F.lit(".md)"))), "\n"), F.lit("\n")).alias("text"))
-            write(spark, a.root, lines.select(F.lit(f"{lib.cards}/INDEX.md").alias("path"), "text"))
+            library.write_files(lines.select(F.lit(f"{lib.cards}/INDEX.md").alias("path"), "text"), a.root)
         print(f"{n} cards" + ("" if a.write else ", not written"))
         return 0
     if a.verb == "check":

@@ -260,7 +260,8 @@ def r4_verify_context(spark, sf_dir):
     return rows.select("id", "status", "usable", "line_start", "line_end", F.sha2("context", 256).alias("context_sha"))
 
 
-@query()
+@query("""SELECT item_id, ord::INT AS ord, CASE WHEN ord = 0 THEN regexp_replace(text, '[`"\\n]', ' ', 'g') ELSE phrase END AS phrase, ord = 3 AS regex, CASE WHEN ord = 0 THEN 'a b' END AS before, NULL::VARCHAR AS after, CASE WHEN ord = 0 THEN 2 END::INT AS nth
+  FROM benchmark, (VALUES (0, ''), (1, 'q r'), (2, 'other'), (3, 'z.*'), (4, 'lone')) t(ord, phrase)""")
 def f4_parse_markers(spark, sf_dir):
     """Anchors in every spelling, parsed from a card text built around each benchmark passage."""
     t = F.regexp_replace("text", "[`\"\n]", " ")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tomllib
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +96,28 @@ def files(spark: SparkSession, folder: str, pattern: str, suffix: str, strict: b
     return rows.select(F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("name"), (F.validate_utf8(text) if strict else F.make_valid_utf8(text)).alias("text"), F.col("content").alias("bytes"))
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write (path, text) under a root that all executors reach; each file whole or not at all, and again if a task runs again. How many there were."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{quote(root)}")
+        n = 0
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = f"{base}/{path}"
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{at}.writing") as out:
+                    out.write((text or "").encode("utf-8", "surrogatepass"))
+                store.move(f"{at}.writing", at)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return rows.select("path", "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 SOURCES = "kb string, shelf string, id string, rel string, text string, size long, sha256 string"
 
 
