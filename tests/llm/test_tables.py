@@ -168,6 +168,19 @@ def test_knn(spark):
     assert knn.top_k(df.where("vec_id in (50, 51, 52)")).count() == 2
 
 
+def test_knn_sends_less_where_data_has_a_shape(spark, monkeypatch):
+    """Clusters in directions of their own: fewer copies than groups of queries, and still every best."""
+    monkeypatch.setattr(knn, "GROUP", 5)
+    rng = np.random.default_rng(5)
+    data = [(i, (np.eye(16)[i % 8] * 4 + rng.normal(0, 0.05, 16)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    copies, groups = knn.replication(df)
+    assert groups >= 8 and copies < 0.5 * groups
+    whole = np.floor(256 * np.array([v for _, v in data]))
+    want = {(i, n + 1, j, -s) for i in range(0, 1600, 50) for n, (s, j) in enumerate(sorted((-int(x), j) for j, x in enumerate(whole @ whole[i]) if j != i)[:5])}
+    assert {tuple(r) for r in knn.top_k(df).collect()} == want
+
+
 def test_knn_of_small_tables(spark):
     """Tables so small that the k-th best score is negative."""
     rng = np.random.default_rng(3)
