@@ -14,7 +14,7 @@ from quoin.runtime import durable, ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which a language is recognised; texts without letters (`und`) go."""
+    """Rows in which a language is recognised, labelled with it; texts without letters (`und`) go."""
     ship(spark)
     return langid.kept(docs)
 

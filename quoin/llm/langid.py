@@ -1,13 +1,15 @@
 """Language identification by cross-parsing entropy.
 
-Of each language (every label) a sample of labelled text becomes a suffix automaton: at most SAMPLE symbols, from at most 2 * DOCS documents that a hash of their id picks,
-of each its first PREFIX characters, if they have SHORT symbols or more, and an equal share of SAMPLE but LEAST symbols at least. A worker holds the automata of one group of
-at most LANGUAGES languages, which bounds it at about 200 MB (50 MB for four languages); of more languages, each group parses all texts in tasks of its own and the least rate
-over the groups decides. A text is cut greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases a symbol wins, ties to the first name. Symbols are lower-cased
-letters, with runs of anything else as one space; letters that no sample of the group has match nothing. The whole text is parsed, in stretches of STRETCH symbols at whose ends a phrase ends.
+Of each language (every label) a sample of labelled text becomes a suffix automaton: at most SAMPLE symbols, from the 2 * DOCS rows with the least hash of id and text at most, of
+each its first PREFIX characters, if they have SHORT symbols or more, and an equal share of SAMPLE but LEAST symbols at least. These bounds are parameters of learn(). A worker
+holds the automata of one group of at most LANGUAGES languages, which bounds it at about 200 MB (50 MB for four languages); of more languages, each group parses all texts in tasks
+of its own and the least rate over the groups decides. A text is cut greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases a letter
+wins, ties to the first name. Letters are lower-cased, runs of anything else are one space. The COMMON letters that the group's samples have most are a symbol each; any other
+letter of theirs is a number of as many digits to the base 32 as they need, so alphabets of any size are told apart; letters that no sample of the group has match nothing.
+The whole text is parsed, in stretches of STRETCH symbols at whose ends a phrase ends.
 
 Automata are dense tables (states by symbols) and many stretches advance together, a symbol a step. Texts that are null or have no letter are `und`, with score 0.
-score is the share by which the winner needs fewer phrases than the second (with one language: 1 - phrases a symbol). Without any labelled row all are `und`.
+score is the share by which the winner needs fewer phrases than the second (with one language: 1 - phrases a letter). Without any labelled row all are `und`.
 Labels that are null or blank aren't learned. Only doc_id, text and, in learning, lang are read; lang, source and doc_id are no inputs of a prediction.
 """
 
@@ -20,29 +22,32 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits
 
 SAMPLE, DOCS, PREFIX, SHORT, LEAST = 32_768, 128, 4000, 20, 256
-LANGUAGES, STRETCH, SYMBOLS, BLOCK = 8, 1024, 96, 2_000_000
+LANGUAGES, STRETCH, COMMON, BLOCK = 8, 1024, 61, 2_000_000
 _READY: dict = {}
 
 
 def learn(rows: DataFrame, most: int = SAMPLE, docs: int = DOCS, prefix: int = PREFIX, short: int = SHORT, least: int = LEAST) -> dict[str, str]:
     """A bounded sample of normalised text for each language of rows (doc_id, text, lang)."""
-    rows = rows.where("lang is not null and trim(lang) != '' and text is not null").select("doc_id", "text", "lang", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)).alias("h"))
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    rows = rows.where("lang is not null and trim(lang) != '' and text is not null").select("text", "lang", F.pmod(h, F.lit(1 << 30)).alias("h"))
     counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     out: dict[str, str] = {}
+    order = Window.partitionBy("lang").orderBy("h", "text")
     for at in range(0, len(counts), 8 * LANGUAGES):  # what the driver holds at once
-        limits = rows.sparkSession.createDataFrame([(k, int(min(1.0, 2 * docs / n) * (1 << 30))) for k, n in counts[at : at + 8 * LANGUAGES]], "lang string, most long")
-        picked = rows.join(F.broadcast(limits), "lang").where("h < most").select("lang", "h", F.substring("text", 1, prefix).alias("text")).collect()
+        limits = rows.sparkSession.createDataFrame([(k, int(min(1.0, 4 * docs / n) * (1 << 30))) for k, n in counts[at : at + 8 * LANGUAGES]], "lang string, most long")
+        likely = rows.join(F.broadcast(limits), "lang").where("h < most").select("lang", "h", F.substring("text", 1, prefix).alias("text"))
+        picked = likely.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * docs).collect()  # however many rows share a hash
         texts: dict[str, list] = {}
-        for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
+        for r in sorted(picked, key=lambda r: (r["lang"], r["r"])):
             if len(t := normalised(r["text"])) >= short:
                 texts.setdefault(r["lang"], []).append(t)
-        out |= {k: " ".join(t[: max(least, most // len(v))] for t in v[: 2 * docs])[:most] for k, v in texts.items()}
+        out |= {k: " ".join(t[: max(least, most // len(v))] for t in v)[:most] for k, v in texts.items()}
     return out
 
 
@@ -86,23 +91,56 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
     return nxt[:size]
 
 
+class _Symbols:
+    """Letters as symbols: 0 letters that no sample has, 2 space, from 3 on the common letters, then the 32 digits that other letters are written in."""
+
+    def __init__(self, sample: dict[str, str]) -> None:
+        seen = Counter("".join(sample.values()))
+        del seen[" "]
+        common = [c for c, _ in seen.most_common(COMMON)]
+        rest = sorted(set(seen) - set(common))
+        self.table = np.fromiter((0 if chr(c).isalpha() else 2 for c in range(0x110000)), np.uint8, 0x110000)
+        for i, c in enumerate(sorted(common)):
+            self.table[ord(c)] = 3 + i
+        self.first = 3 + len(common)
+        self.width = self.first + (32 if rest else 0)
+        self.digits, self.number = 1, None
+        if rest:
+            while 32**self.digits < len(rest):
+                self.digits += 1
+            self.number = np.zeros(0x110000, np.int32)
+            self.number[[ord(c) for c in rest]] = np.arange(len(rest))
+            self.table[[ord(c) for c in rest]] = 1
+
+    def of(self, text: str) -> tuple[np.ndarray, int]:
+        """The symbols of a text, with one space for a run of them, and the number of its letters and spaces."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = self.table[points]
+        space = s == 2
+        kept = ~(space & np.append(True, space[:-1]))
+        s, points = s[kept], points[kept]
+        n = len(s)
+        if self.number is not None and (s == 1).any():
+            times = np.where(s == 1, self.digits, 1)
+            at = np.repeat(np.arange(n), times)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            digit = self.number[points[at]] // 32 ** (self.digits - 1 - np.minimum(place, self.digits - 1)) % 32
+            s = np.where(s[at] == 1, self.first + digit, s[at]).astype(np.uint8)
+        return s, n
+
+
 def _model(sample: dict[str, str]):
-    """Table from code points to symbols (0 letters that no sample has, 1 rare letters, 2 space), and the languages' automata one below another."""
+    """The symbols, and the languages' automata one below another."""
     key = hashlib.sha256(repr(sorted(sample.items())).encode()).digest()
     if key not in _READY:
         _READY.clear()
-        common = [c for c, _ in Counter("".join(sample.values())).most_common(SYMBOLS) if c != " "][: SYMBOLS - 3]
-        table = np.fromiter((0 if chr(c).isalpha() else 2 for c in range(0x110000)), np.uint8, 0x110000)
-        table[[ord(c) for c in set("".join(sample.values())) if c.isalpha()]] = 1
-        for i, c in enumerate(sorted(common)):
-            table[ord(c)] = 3 + i
-        width, parts, base, roots = 3 + len(common), [], 0, []
+        symbols, parts, base, roots = _Symbols(sample), [], 0, []
         for lang in sorted(sample):
-            auto = automaton(table[np.frombuffer(sample[lang].encode("utf-32-le"), np.uint32)], width)
+            auto = automaton(symbols.of(sample[lang])[0], symbols.width)
             parts.append(np.where(auto, auto + base, 0))
             roots.append(base + 1)
             base += len(auto)
-        _READY[key] = table, width, np.concatenate(parts).astype(np.int32).ravel(), np.array(roots, np.int32), sorted(sample)
+        _READY[key] = symbols, np.concatenate(parts).astype(np.int32).ravel(), np.array(roots, np.int32)
     return _READY[key]
 
 
@@ -134,10 +172,10 @@ def phrases(rows: list[np.ndarray], width: int, flat: np.ndarray, roots: np.ndar
 
 
 def _rates(sample: dict[str, str]):
-    """For batches (doc_id, text): the batch, the phrases a symbol of each language (by name) and row, and whether the row has a letter."""
+    """For batches (doc_id, text): the batch, the phrases a letter of each language (by name) and row, and whether the row has a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        table, width, flat, roots, _ = _model(sample)
+        symbols, flat, roots = _model(sample)
         for batch in batches:
             totals, sizes = np.zeros((len(roots), batch.num_rows)), np.zeros(batch.num_rows, np.int64)
             rows: list[np.ndarray] = []
@@ -147,7 +185,7 @@ def _rates(sample: dict[str, str]):
             def parse() -> None:
                 nonlocal rows, owners, held
                 if rows:
-                    got = phrases(rows, width, flat, roots)
+                    got = phrases(rows, symbols.width, flat, roots)
                     for k in range(len(roots)):
                         totals[k] += np.bincount(owners, got[k], batch.num_rows)
                 rows, owners, held = [], [], 0
@@ -156,12 +194,10 @@ def _rates(sample: dict[str, str]):
                 t = text.as_py()
                 if not t:
                     continue
-                s = table[np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-                space = s == 2
-                s = s[~(space & np.append(True, space[:-1]))]
-                if not len(s) or s.max() == 2 and s.min() == 2:
+                s, n = symbols.of(t.lower())
+                if not n or s.max() == 2 and s.min() == 2:
                     continue
-                sizes[i] = len(s)
+                sizes[i] = n
                 for at in range(0, len(s), STRETCH):
                     rows.append(s[at : at + STRETCH])
                     owners.append(i)
@@ -215,7 +251,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def languages(docs: DataFrame, sample: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score of every row; learned from the rows' own labels but for held-out rows, unless a sample is given."""
+    """doc_id, lang_pred, score of every row (and row, a hash of its text, where there are several groups of languages); learned from the rows' own labels but for held-out rows, unless a sample is given."""
     arrow_limits(docs.sparkSession)
     if sample is None:
         sample = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
@@ -226,21 +262,23 @@ def languages(docs: DataFrame, sample: dict[str, str] | None = None) -> DataFram
     rows = rows.withColumn("row", F.xxhash64("text"))
     parts = [rows.mapInArrow(_two_best(g), "doc_id long, row long, best array<struct<rate:double,lang:string>>").withColumn("g", F.lit(i)) for i, g in enumerate(groups)]
     held = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "row").agg((F.count("*") / len(groups)).cast("int").alias("times"), F.collect_set(F.struct("g", "best")).alias("all"))
-    ranked = held.select("doc_id", "times", F.array_sort(F.flatten("all.best")).alias("r"))
+    ranked = held.select("doc_id", "row", "times", F.array_sort(F.flatten("all.best")).alias("r"))
     first, second = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
     score = F.least(F.greatest((second["rate"] - first["rate"]) / F.greatest(second["rate"], F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
-    out = ranked.select("doc_id", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    out = ranked.select("doc_id", "row", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     return out.drop("copy")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows, with their own columns, whose text has a letter: the ones that prediction doesn't call `und`, or wouldn't if anything could be learned."""
+    """The rows, with their own columns, whose text has a letter, and their lang as it is predicted: a wrong or missing label is set right. Rows that prediction calls `und` go; where
+    nothing can be learned, so do texts without a letter, and lang stays as it is."""
     arrow_limits(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = names.index("text")
-    sample = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    inner = _predict(groups_of(sample)[0]) if sample else None  # what has a letter is the same in all groups
+    at, label = names.index("text"), names.index("lang") if "lang" in names else None
+    sample = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")) if label is not None else {}
+    groups = groups_of(sample)
+    inner = _predict(groups[0]) if sample else None  # what has a letter is the same in all groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,6 +287,15 @@ def kept(docs: DataFrame) -> DataFrame:
                 continue
             own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
             (found,) = inner(iter([own]))
-            yield batch.filter(pa.array([x != "und" for x in found.column(1).to_pylist()]))
+            told = found.column(1)
+            if len(groups) == 1:
+                batch = batch.set_column(label, batch.schema.field(label), told.cast(batch.schema.field(label).type))
+            yield batch.filter(pa.array([x != "und" for x in told.to_pylist()]))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    rows = plain.mapInArrow(run, plain.schema).toDF(*names)
+    if len(groups) < 2:
+        return rows
+    told = languages(rows.select("doc_id", "text", "lang"), sample).select("doc_id", "lang_pred", "row").dropDuplicates(["doc_id", "row"])
+    told = told.select(F.col("doc_id").alias("d "), F.col("row").alias("r "), "lang_pred")
+    both = rows.withColumn("r", F.xxhash64("text")).join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("d ")) & (F.col("r") == F.col("r ")), "left")
+    return both.select(*[F.coalesce("lang_pred", "lang").alias(c) if c == "lang" else rows[f"`{c}`"] for c in names])

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.llm.license_texts import TEXTS
 from quoin.runtime import arrow_limits
 
 #: Phrases and labels that are always reported.
@@ -38,6 +39,8 @@ NOTICES = [
     ("mpl-2.0", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "public domain", "This is free and unencumbered software released into the public domain"),
 ]
+ALL = NOTICES + TEXTS
+Templates = list[tuple[str, str, str]]
 RARE, COVER, SLACK = 8, 0.6, 3
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -49,8 +52,9 @@ def words(text: bytes | None) -> list[bytes]:
 class Index:
     """Templates and the postings of their rarest words."""
 
-    def __init__(self, df: dict[bytes, int], n: int):
-        self.templates = [(label, words(p.encode()), words(p.encode()), 1.0) for p, label in BASE] + [(label, words(t.encode()), words(k.encode()), COVER) for label, k, t in NOTICES]
+    def __init__(self, df: dict[bytes, int], n: int, templates: Templates):
+        own = [(label, words(t.encode()), words(k.encode()), COVER) for label, k, t in templates]
+        self.templates = [(label, words(p.encode()), words(p.encode()), 1.0) for p, label in BASE] + [t for t in own if t[1]]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for _, t, _, _ in self.templates for w in t}
         self.need = []
@@ -88,9 +92,9 @@ class Index:
         return base, labels, score
 
 
-def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
+def frequencies(docs: DataFrame, templates: Templates = ALL) -> tuple[dict[bytes, int], int]:
     """Document frequencies of the templates' words over all documents, and the number of documents."""
-    vocabulary = {w for p in [b[0] for b in BASE] + [t for _, _, t in NOTICES] for w in words(p.encode())}
+    vocabulary = {w for p in [b[0] for b in BASE] + [t for _, _, t in templates] for w in words(p.encode())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -108,9 +112,9 @@ def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
 
-def _scan(df: dict[bytes, int], n: int):
+def _scan(df: dict[bytes, int], n: int, templates: Templates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(df, n)
+        index = Index(df, n, templates)
         for batch in batches:
             out: tuple[list, ...] = tuple([] for _ in _SCHEMA)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -124,9 +128,12 @@ def _scan(df: dict[bytes, int], n: int):
     return run
 
 
-def licenses(docs: DataFrame) -> DataFrame:
-    """n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
+def licenses(docs: DataFrame, templates: Templates = ALL) -> DataFrame:
+    """n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
+
+    templates (label, mandatory key phrase, text) are control data that every worker holds: notices and whole licence texts unless others are given. The base phrases are always looked for.
+    """
     arrow_limits(docs.sparkSession)
-    df, n = frequencies(docs)
+    df, n = frequencies(docs, templates)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_scan(df, n), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_scan(df, n, templates), schema)

@@ -124,7 +124,10 @@ def test_language_id(odd_docs, spark):
     assert {r["doc_id"]: r["lang_pred"] for r in langid.languages(blind).collect()} == {k: r["lang_pred"] for k, r in got.items()}
     assert {r["doc_id"] for r in langid.kept(docs).collect()} == set(got) - {1000, 1001, 1002}
     assert langid.languages(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred != 'und'").count() == 0
-    assert langid.kept(odd_docs).columns == odd_docs.columns
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") < 6, F.lit(None)).otherwise(F.col("lang")))
+    assert {r["doc_id"]: r["lang"] for r in langid.kept(wrong).collect()} == {k: r["lang_pred"] for k, r in got.items() if r["lang_pred"] != "und"}
+    assert langid.kept(odd_docs).columns == odd_docs.columns and langid.kept(odd_docs).count() <= odd_docs.count()
+    assert langid.languages(odd_docs).count() == odd_docs.count()
 
 
 def test_texts_without_letters_go_where_nothing_is_learned(spark):
@@ -155,12 +158,50 @@ def test_language_id_of_many_labels(spark):
     assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.languages(own, few).collect()} == want
 
 
+def test_large_alphabets_are_told_apart(spark):
+    """Two invented languages in thousands of letters each, of which no sample has all; letters that no sample has speak for neither."""
+    import random
+
+    random.seed(6)
+    letters = {"xx": [chr(0x4E00 + i) for i in range(3000)], "yy": [chr(0x6000 + i) for i in range(3000)]}
+    shared = [chr(0x4E00 + i) for i in range(0, 3000, 7)]
+    text = lambda k: " ".join("".join(random.choice(letters[k] + shared) for _ in range(3)) for _ in range(25))
+    docs = spark.createDataFrame([(i, text("xx" if i % 2 else "yy"), "xx" if i % 2 else "yy") for i in range(240)], "doc_id long, text string, lang string")
+    got = langid.languages(docs).join(docs, "doc_id").where(langid.held_out(F.col("doc_id")))
+    assert got.count() > 40 and got.where("lang_pred != lang").count() == 0
+
+
+def test_rows_without_id_are_learned_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"some text number {'abcdefghij'[i % 10] * (1 + i % 37)} and more of it", "xx") for i in range(900)], "doc_id long, text string, lang string")
+    assert 0 < len(langid.learn(docs, docs=4)["xx"].split("some")) - 1 <= 8
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out(F.col("doc_id")) & (F.col("lang_pred") != "und"))
+    assert both.count() > 200 and both.where("lang_pred = lang").count() >= 0.98 * both.count()
+
+
+def test_whole_licences_and_own_templates(spark):
+    from quoin.llm.license_texts import TEXTS
+
+    docs = [(i, f"some words before it\n{t}\nand after", label) for i, (label, _, t) in enumerate(TEXTS)] + [(100, "The licence of our house: keep the doors closed at night and feed the cat", "house"), (101, "nothing of the kind", "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, want string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.licenses(df).collect()}
+    assert all(want in got[i] for i, _, want in docs[:-2]) and got[100] == got[101] == [""]
+    assert "bsd-3-clause" not in got[1]
+    own = licenses.licenses(df, [("house", "keep the doors closed", "keep the doors closed at night and feed the cat"), ("none", "x", "")])
+    assert {r["doc_id"] for r in own.where("labels like '%house%'").collect()} == {100}
+
+
 def test_phrases_by_brute_force():
     """The automata's parse against a search for the longest match at each place."""
     sample = {"aa": "abracadabra abba", "bb": "cadillac adac bac"}
-    table, width, flat, roots, langs = langid._model(sample)
+    symbols, flat, roots = langid._model(sample)
+    width, langs = symbols.width, sorted(sample)
     for text in ("abracad", "cadabra lacb", "x abc", "dddd", "z"):
-        row = table[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        row, n = symbols.of(text)
+        assert n == len(text)
         got = langid.phrases([row], width, flat, roots)[:, 0].tolist()
         want = []
         for k in langs:
