@@ -2,7 +2,9 @@
 
 Leaves are clauses (a run of words up to a delimiter, at most about 24 characters); they tile the text, so equal roots mean equal texts.
 A paragraph is the clauses of a line, a section a run of paragraphs that ends at a blank line, or after a paragraph whose digest says so,
-or after 64 paragraphs: an insertion changes the digests of its own branch alone. The fingerprint is the root's hex digits, then the leaves' short codes.
+or after 64 paragraphs: an insertion changes the digests of its own branch alone. The fingerprint is the tree: the root's hex digits, then for each section its code, and for each
+paragraph its code and its leaves' codes. Trees are compared from the root down: equal branches count whole and aren't opened, so roots test equality, likeness() counts what is
+shared below branches that differ, and edits() tells where they are. It takes about a quarter of the text's length, as its leaves have to tell edits within a line.
 
 Null text counts as empty. Documents are in the order of doc_id (null first; rows with one doc_id by their text's hash); the one after the last is the first.
 A table of one document has itself as the next. An empty table gives an empty result. Only doc_id and text are read, so other columns may have any names.
@@ -26,20 +28,22 @@ from quoin.runtime import arrow_limits
 
 LEAF = re.compile(r"[^.,;:!?\n]{0,23}[\s.,;:!?]+|[^.,;:!?\n]{1,24}")
 SECTION_MOST = 64
-BUCKETS_MOST, BUCKET_ROWS = 4096, 1000
+RANGES_MOST, RANGE_ROWS = 65_536, 1000
+Tree = tuple[bytes, list]
 
 
-def tree(text: str) -> tuple[bytes, list, list[bytes]]:
-    """Root digest; sections as (digest, characters, paragraphs as (digest, characters, number of leaves)); leaf digests."""
+def tree(text: str) -> Tree:
+    """Root digest; sections as (digest, characters, paragraphs); paragraphs as (digest, characters, leaf digests one after another, 32 bytes each)."""
     sha = hashlib.sha256
-    leaves, sections, paragraphs = [], [], []
-    start, chars, all_chars = 0, 0, 0
+    sections, paragraphs, leaves = [], [], []
+    chars = 0
 
     def close_paragraph() -> bytes:
-        nonlocal start, chars
-        digest = sha(b"\1" + b"".join(leaves[start:])).digest()
-        paragraphs.append((digest, chars, len(leaves) - start))
-        start, chars = len(leaves), 0
+        nonlocal leaves, chars
+        joined = b"".join(leaves)
+        digest = sha(b"\1" + joined).digest()
+        paragraphs.append((digest, chars, joined))
+        leaves, chars = [], 0
         return digest
 
     def close_section() -> None:
@@ -54,46 +58,78 @@ def tree(text: str) -> tuple[bytes, list, list[bytes]]:
             digest = close_paragraph()
             if piece.count("\n") > 1 or digest[0] < 32 or len(paragraphs) >= SECTION_MOST:
                 close_section()
-    if start < len(leaves):
+    if leaves:
         close_paragraph()
     if paragraphs:
         close_section()
-    return sha(b"\3" + b"".join(s[0] for s in sections)).digest(), sections, leaves
+    return sha(b"\3" + b"".join(s[0] for s in sections)).digest(), sections
+
+
+def printed(t: Tree) -> str:
+    """The fingerprint of a tree: root, then sections parted by / as a code and paragraphs parted by comma, each a code and its leaves' codes. Codes are 24 bits, of sections 48."""
+    code = lambda d: base64.b64encode(d, b"-_").decode()
+    leaves = lambda joined: b"".join([joined[i : i + 3] for i in range(0, len(joined), 32)])
+    return t[0].hex() + ":" + "/".join(code(s[0][:6]) + ",".join(code(p[0][:3] + leaves(p[2])) for p in s[2]) for s in t[1])
 
 
 def fingerprint(text: str | None) -> str:
-    root, _, leaves = tree(text or "")
-    return root.hex() + ":" + base64.b64encode(b"".join(x[:3] for x in leaves)).decode()
+    return printed(tree(text or ""))
+
+
+def _parsed(print_: str) -> list[tuple[str, list[str]]]:
+    """A fingerprint's sections: code, and paragraphs as they stand."""
+    return [(s[:8], s[8:].split(",")) for s in print_[65:].split("/")] if len(print_) > 65 else []
+
+
+def _unshared(x: list, y: list, key) -> tuple[list, list, list]:
+    """What only x and only y have by a key, one for one, and what of x is shared."""
+    left = Counter(map(key, y))
+    shared, own = [], []
+    for v in x:
+        if left[key(v)] > 0:
+            left[key(v)] -= 1
+            shared.append(v)
+        else:
+            own.append(v)
+    other = []
+    for v in reversed(y):  # the last of equal ones are left over
+        if left[key(v)] > 0:
+            left[key(v)] -= 1
+            other.append(v)
+    return own, other[::-1], shared
 
 
 def likeness(a: str, b: str) -> float:
-    """Shared leaves of two fingerprints, twice, over all leaves: 1 for equal texts and for no others."""
+    """Leaves that two fingerprints share, twice, over all their leaves: 1 for equal texts and for no others. Equal sections count whole, then equal paragraphs of the others, then leaves of the rest."""
     if a[:64] == b[:64]:
         return 1.0
-    x, y = ([s[i : i + 4] for i in range(65, len(s), 4)] for s in (a, b))
+    x, y = _parsed(a), _parsed(b)
+    size = lambda paragraphs: sum(len(p) // 4 - 1 for p in paragraphs)
+    total = sum(size(s[1]) for s in x) + sum(size(s[1]) for s in y)
     if not x or not y:
         return 0.0
-    few, many = (x, y) if len(x) < len(y) else (y, x)
-    left, shared = Counter(few), 0
-    for c in many:
-        if left.get(c):
-            left[c] -= 1
-            shared += 1
-    return min(2.0 * shared / (len(x) + len(y)), 0.999999)
-
-
-def edits(a: str | None, b: str | None) -> list[tuple[int, int]]:
-    """Spans of characters of b in paragraphs that a doesn't have; branches with equal digests aren't opened."""
-    known, known_sections = set(), set()
-    for digest, _, paragraphs in tree(a or "")[1]:
-        known_sections.add(digest)
-        known.update(p[0] for p in paragraphs)
+    x, y, same = _unshared(x, y, lambda s: s[0])
+    shared = sum(size(s[1]) for s in same)
+    p, q, same = _unshared([p for s in x for p in s[1]], [p for s in y for p in s[1]], lambda p: p[:4])
+    shared += size(same)
+    cut = lambda paragraphs: [p[i : i + 4] for p in paragraphs for i in range(4, len(p), 4)]
+    shared += len(_unshared(cut(p), cut(q), lambda c: c)[2])
+    return min(2.0 * shared / total, 0.999999)
+
+
+def edits(a: Tree | str | None, b: Tree | str | None) -> list[tuple[int, int]]:
+    """Spans of characters of b (texts or their trees) in paragraphs that a doesn't have; branches with equal digests aren't opened."""
+    a, b = (x if isinstance(x, tuple) else tree(x or "") for x in (a, b))
+    if a[0] == b[0]:
+        return []
+    sections = {s[0] for s in a[1]}
+    paragraphs = {p[0] for s in a[1] for p in s[2]}
     out, at = [], 0
-    for digest, chars, paragraphs in tree(b or "")[1]:
-        if digest not in known_sections:
+    for digest, chars, own in b[1]:
+        if digest not in sections:
             place = at
-            for p, n, _ in paragraphs:
-                if p not in known:
+            for p, n, _ in own:
+                if p not in paragraphs:
                     if out and out[-1][1] == place:
                         out[-1] = (out[-1][0], place + n)
                     else:
@@ -112,11 +148,12 @@ def edited(text: str, following: str) -> str:
 def beside_next(docs: DataFrame) -> DataFrame:
     """(b, mark, doc_id, text) in partitions and order such that each row's next row in its b is its next document; mark is 1 for copies that only close a b.
 
-    Ranges of doc_id come from its approximate quantiles (4096 at most), so texts are shuffled once and no range holds an unbounded share of the ids.
+    Ranges of doc_id come from its approximate quantiles, RANGE_ROWS documents each (more from 65 million documents on, as the driver holds at most RANGES_MOST bounds), so texts are
+    shuffled once and no range holds an unbounded share of the ids. Ranges are sorted, which spills, and streamed; rows without an id are one range.
     """
     ids = docs.select("doc_id")
     n = ids.count()
-    parts = max(1, min(BUCKETS_MOST, n // BUCKET_ROWS))
+    parts = max(1, min(RANGES_MOST, n // RANGE_ROWS))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
     cuts = sorted(set(cuts or []))
 
@@ -132,7 +169,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     both = placed.withColumn("closing", closing).select(
         F.explode(F.filter(F.array(F.struct(F.col("b"), F.lit(0).alias("mark")), F.struct(F.col("closing").alias("b"), F.lit(1).alias("mark"))), lambda x: x["b"].isNotNull())).alias("to"), "doc_id", "text"
     )
-    return both.select("to.b", "to.mark", "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("b").sortWithinPartitions("b", "mark", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    return both.select("to.b", "to.mark", "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 16), "b").sortWithinPartitions("b", "mark", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
 
 def bucket_of(cuts: list[int]):
@@ -144,12 +181,12 @@ def bucket_of(cuts: list[int]):
     return bucket
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<struct<start:bigint,end:bigint>>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, out = None, []  # held: b, mark, doc_id, text, fingerprint
+    held, out = None, []  # held: b, mark, doc_id, text, tree, fingerprint
 
     def flush() -> pa.RecordBatch:
         nonlocal out
@@ -161,20 +198,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, mark, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[0] == b and held[1] == 1:
                 continue  # more rows of the closing id
-            own = fingerprint(text)
+            own = tree(text)
+            own_print = printed(own)
             if held and held[0] == b:
-                _, _, at, was, print_ = held
+                _, _, at, was, before, print_ = held
                 new = edited(was, text)
-                changed = fingerprint(new)
-                out.append((at, len(was), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), print_, changed, likeness(print_, changed), likeness(print_, own)))
+                after = tree(new)
+                changed = printed(after)
+                out.append((at, len(was), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), print_, changed, likeness(print_, changed), likeness(print_, own_print), [{"start": i, "end": j} for i, j in edits(before, after)]))
                 if len(out) >= 500:
                     yield flush()
-            held = (b, mark, doc_id, text, own)
+            held = (b, mark, doc_id, text, own, own_print)
     if out:
         yield flush()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and its likeness to the edited text and to the next document."""
+    """Each document's fingerprint, that of its edited text, its likeness to the edited text and to the next document, and the spans of the edited text that differ (edits)."""
     arrow_limits(docs.sparkSession)
     return beside_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_compare, SCHEMA)

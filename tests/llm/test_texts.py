@@ -35,6 +35,7 @@ def test_fingerprints(odd_docs):
     for r in got:
         assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) in by[r["doc_id"]]
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert (r["edits"] == []) == (r["fingerprint"] == r["edited_fingerprint"] or r["edited_sha256"] == hashlib.sha256(b"").hexdigest())
 
 
 def test_fingerprint_tells_texts_apart():
@@ -44,8 +45,29 @@ def test_fingerprint_tells_texts_apart():
     (span,) = fingerprints.edits(a, b)
     assert "Changed" in b[slice(*span)] and len(b[slice(*span)]) < 60
     assert fingerprints.edits(a, a) == [] and 0.9 < fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) < 1
-    root, sections, leaves = fingerprints.tree(a)
-    assert sum(s[1] for s in sections) == len(a) and sum(p[2] for s in sections for p in s[2]) == len(leaves)
+    root, sections = fingerprints.tree(a)
+    assert sum(s[1] for s in sections) == len(a) and sum(len(p[2]) for s in sections for p in s[2]) == 32 * len(fingerprints.LEAF.findall(a))
+
+
+def test_likeness_by_brute_force():
+    """Descent through the trees against the pieces of both texts as they are: never more, and hardly less. Edits hold every character that changed."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(7)
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) + rng.choice(["", "", ",", ".", ".\n", "!\n\n"]) for _ in range(rng.randint(1, 400))]
+        changed = [("new" if rng.random() < 0.05 else w) for w in words if rng.random() > 0.03]
+        a, b = " ".join(words), " ".join(changed)
+        x, y = (Counter(fingerprints.LEAF.findall(t)) for t in (a, b))
+        whole = 2 * sum((x & y).values()) / max(1, sum(x.values()) + sum(y.values()))
+        near = fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b))
+        assert near <= whole + 0.01 and near >= whole - 0.1 and (near == 1) == (a == b)
+        spans = fingerprints.edits(a, b)
+        kept = {line.strip() for line in a.split("\n")}
+        for m in re.finditer(r"[^\n]+", b):
+            if m[0].strip() and m[0].strip() not in kept:  # changed lines, but for the spaces between them
+                assert any(s <= m.start() + len(m[0]) - len(m[0].lstrip()) and m.start() + len(m[0].rstrip()) <= e for s, e in spans)
 
 
 def test_empty_tables(no_docs):
