@@ -20,22 +20,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (shingles of five words, 0.8), that with the smallest doc_id. Rows without words are no group's."""
+    """One document of each group of near-duplicates (shingles of five words, 0.8), that with the smallest doc_id. Rows without words are no group's.
+
+    Rows without a doc_id go if a document of their group has one; groups of such rows alone stay.
+    """
     ship(spark)
     found = neardup.near_duplicates(docs, k=5, percent=80)
-    gone = durable(found.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.repartition("doc_id").join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = durable(found.where("not kept").select(F.col("key").alias("its key")).distinct(), "gone")
+    keyed = docs.withColumn("its key", neardup.key_of(F.col("doc_id"), F.col("text"))).repartition("its key")
+    return keyed.join(gone, "its key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 48 words or more that occur earlier; documents of which nothing is left go."""
+    """Texts without the passages of 48 words or more that occur earlier; documents of which nothing is left go. Null texts stay; of equal places the smallest doc_id keeps its passage."""
     ship(spark)
     done = substring.substring_dedup(docs, more=("removed spans", "number of units"))
     return done.where(~((F.size("`removed spans`") > 0) & (F.trim("text") == ""))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences of 2048 ids."""
+    """Pieces of all documents with their sequences of 2048 ids; null texts are empty ones, and pieces of one length are packed in the order of a hash."""
     ship(spark)
     return packing.pack(packing.pieces(docs, WORD_BPE))
 

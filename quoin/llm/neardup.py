@@ -12,8 +12,9 @@ Two documents are linked when 100 * |A and B| >= percent * |A or B|. Sets hold 6
 Each step drops pairs only by bounds: set sizes, and 1 bit of each minimum (a pair at 0.8 differs in 16 of 160 bits on average, sd 3.8; 44 may differ), then the full sets decide.
 Pairs within one component aren't checked, as they change no component. Equal sets are one node from the start, so copies never meet in a bucket.
 
-Null or empty texts have an empty set and link with nothing. Rows of one doc_id are one node. A row whose doc_id is null is linked like others but never names a
-component; if no other row is linked with it, component_id is null and it is kept. Only doc_id and text are read.
+Null or empty texts have an empty set and link with nothing; very long ones are held one at a time. Rows of one doc_id are one node. A row whose doc_id is null goes by a key made of
+its text (below NO_ID, where no doc_id may lie): it is linked like others but never names a component. Where no row with a doc_id is linked with it, component_id is null and it is
+kept, else it isn't. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from quoin.llm.graphs import components
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-BANDS, ROWS, BITS_MOST, CACHE, FILE = 40, 4, 44, 300_000, 5_000
+BANDS, ROWS, BITS_MOST, CACHE, FILE, MEMBERS = 40, 4, 44, 300_000, 5_000, 64
+NO_ID = -(1 << 62)
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -96,43 +98,48 @@ def _sign(k: int):
     return run
 
 
+def _held_against(schema: pa.Schema, columns: list[str]):
+    """Runs one(sa, sb) for rows (a, block, b, text) in which the text of a comes first in its block (b null), then those of its b; what one returns goes beside a and b, None drops the row."""
+
+    def make(k: int, one):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, sa = None, None
+            for batch in batches:
+                out: list[tuple] = []
+                for a, block, b, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    if b is None:
+                        at, sa = (a, block), shingle_set(text, k)
+                    elif at == (a, block) and (got := one(sa, shingle_set(text, k))) is not None:
+                        out.append((a, b, *got))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], schema.field(c).type) for i, c in enumerate(columns)], names=columns)
+
+        return run
+
+    return make
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_DIFFERENCE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int32()), ("novel", pa.list_(pa.int64()))])
+
+
 def _confirm(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sa = None, None
-        for batch in batches:
-            keep = []
-            for i, (ta, tb) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                ta, tb = ta.as_py(), tb.as_py()
-                if ta != last:
-                    last, sa = ta, shingle_set(ta, k)
-                sb = shingle_set(tb, k)
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                if 100 * both >= percent * (len(sa) + len(sb) - both) > 0:
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+    """Pairs whose sets are to be linked."""
 
-    return run
+    def one(sa: np.ndarray, sb: np.ndarray) -> tuple | None:
+        both = len(np.intersect1d(sa, sb, assume_unique=True))
+        return () if 100 * both >= percent * (len(sa) + len(sb) - both) > 0 else None
+
+    return _held_against(_LINK, ["a", "b"])(k, one)
 
 
 def _differences(k: int):
     """Of pairs (a, b): shingles of b that a has, and the others."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int32()), ("novel", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sa = None, None
-        for batch in batches:
-            both, novel = [], []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                ta = ta.as_py()
-                if ta != last:
-                    last, sa = ta, shingle_set(ta, k)
-                sb = shingle_set(tb.as_py(), k)
-                has = np.isin(sb, sa, assume_unique=True)
-                both.append(int(has.sum()))
-                novel.append(sb[~has].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int32()), pa.array(novel, pa.list_(pa.int64()))], schema=schema)
+    def one(sa: np.ndarray, sb: np.ndarray) -> tuple:
+        has = np.isin(sb, sa, assume_unique=True)
+        return int(has.sum()), sb[~has].view(np.int64)
 
-    return run
+    return _held_against(_DIFFERENCE, ["a", "b", "both", "novel"])(k, one)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -141,13 +148,18 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent) & (differ <= BITS_MOST)
 
 
+def key_of(doc_id: Column, text: Column) -> Column:
+    """The doc_id, or for rows without one a number of their text below NO_ID."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) - 1 - F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), key (key_of the row)."""
     arrow_limits(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(key_of(F.col("doc_id"), F.col("text")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = durable(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "signed")
     files = max(8, signed.count() // FILE)  # of the smaller tables
-    classes = durable(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes", files)
+    classes = durable(signed.where("digest is not null").groupBy("digest").agg(F.coalesce(F.min(F.when(F.col("doc_id") > NO_ID, F.col("doc_id"))), F.min("doc_id")).alias("rep"), F.count("*").alias("copies")), "classes", files)
     nodes = durable(
         signed.join(classes.where("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits", "bands"), "nodes"
     )
@@ -167,9 +179,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = durable(docs.repartition("doc_id").join(involved, "doc_id", "left_semi"), "texts", files)
 
     def with_texts(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return with_b.select("a", "b", "ta", "tb")
+        """(a, block, b, text): each b's text once a pair, and a's once for each block of MEMBERS of its pairs or so, before them; so a centre's text doesn't travel with every member."""
+        pairs = pairs.select("a", "b")
+        blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+        own = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+        members = own.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "block", "b", "text")
+        centres = blocks.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
+        return members.unionAll(centres).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return durable(with_texts(pairs).mapInArrow(_confirm(k, percent), "a long, b long"), "links", files)
@@ -210,7 +226,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = links.unionAll(confirmed(crossing))
         comp = components(links, files=files)
 
-    linked = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
+    named = comp.groupBy("component").agg(F.min(F.when(F.col("node") > NO_ID, F.col("node"))).alias("name"))  # the smallest that is a doc_id
+    linked = classes.join(comp.withColumnRenamed("node", "rep").join(named, "component"), "rep", "left").where("copies > 1 or component is not null")
+    linked = linked.select("digest", F.coalesce("name", F.when(F.col("rep") > NO_ID, F.col("rep"))).alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(linked, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    doc_id = F.when(F.col("doc_id") > NO_ID, F.col("doc_id"))
+    component = F.coalesce("component", doc_id)
+    return out.select(doc_id.alias("doc_id"), "n_shingles", component.alias("component_id"), doc_id.eqNullSafe(component).alias("kept"), F.col("doc_id").alias("key"))

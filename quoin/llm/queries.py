@@ -26,7 +26,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return neardup.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+    return neardup.near_duplicates(documents(spark, sf_dir), k=4, percent=80).drop("key")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

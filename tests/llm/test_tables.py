@@ -58,7 +58,8 @@ def copies(spark):
 
 
 @pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates(copies, k):
+def test_near_duplicates(copies, k, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", 4 if k == 5 else neardup.MEMBERS)
     want = classes([tuple(r) for r in copies.collect()], k, 80)
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in neardup.near_duplicates(copies, k).collect()}
     assert got == want and len(set(c for c, _ in want.values())) < len(want)
@@ -76,6 +77,20 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    """Edited copies without a doc_id are linked by way of each other; the document with one names the group, and a group without any has no name."""
+    rng = random.Random(9)
+    base, other = ([f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(2))
+    chain = [base]
+    for _ in range(3):
+        chain.append([*chain[-1]])
+        chain[-1][40 * len(chain)] = f"new{len(chain)}"
+    alone = [*other[:-1], "end"]
+    rows = [(None, " ".join(c)) for c in chain[:3]] + [(70, " ".join(chain[3])), (None, " ".join(other)), (None, " ".join(alone)), (None, " ".join(other)), (None, None), (5, "some text of its own")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert len(got) == len(rows) and sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted([("None", "70", False)] * 3 + [("70", "70", True)] + [("None", "None", True)] * 4 + [("5", "5", True)])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
