@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.runtime import arrow_limits
+from quoin.runtime import arrow_limits, worker_cache
 
 SAMPLE, DOCS, PREFIX, SHORT, LEAST = 32_768, 128, 4000, 20, 256
 LANGUAGES, STRETCH, COMMON, BLOCK = 8, 1024, 61, 2_000_000
-_READY: dict = {}
 
 
 def learn(rows: DataFrame, most: int = SAMPLE, docs: int = DOCS, prefix: int = PREFIX, short: int = SHORT, least: int = LEAST) -> dict[str, str]:
@@ -132,16 +131,17 @@ class _Symbols:
 def _model(sample: dict[str, str]):
     """The symbols, and the languages' automata one below another."""
     key = hashlib.sha256(repr(sorted(sample.items())).encode()).digest()
-    if key not in _READY:
-        _READY.clear()
+    ready = worker_cache("automata", 1)  # gone when the worker turns to something else
+    if key not in ready:
+        ready.clear()
         symbols, parts, base, roots = _Symbols(sample), [], 0, []
         for lang in sorted(sample):
             auto = automaton(symbols.of(sample[lang])[0], symbols.width)
             parts.append(np.where(auto, auto + base, 0))
             roots.append(base + 1)
             base += len(auto)
-        _READY[key] = symbols, np.concatenate(parts).astype(np.int32).ravel(), np.array(roots, np.int32)
-    return _READY[key]
+        ready[key] = symbols, np.concatenate(parts).astype(np.int32).ravel(), np.array(roots, np.int32)
+    return ready[key]
 
 
 def phrases(rows: list[np.ndarray], width: int, flat: np.ndarray, roots: np.ndarray) -> np.ndarray:

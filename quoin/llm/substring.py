@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-LEAST, NEAR, PICK, BESIDE, ASK, CACHE = 48, 4, 16, 48, 16, 300_000
+LEAST, NEAR, PICK, BESIDE, ASK, CACHE, CHARS = 48, 4, 16, 48, 16, 200_000, 500_000
 TOKEN = re.compile(r"[^\W_]+|[.!?]+(?=[ \t\n])|\n")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x7FB5D329728EA185, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -98,12 +99,21 @@ def _fixed(values: np.ndarray, width: int) -> pa.Array:
 _KINDS = "doc_id long, row long, digest array<binary>, at array<int>, size array<int>, words binary, n_units long, own boolean"
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about CHARS characters of text: what is held for each character is many times as large."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.diff(np.cumsum(size) // CHARS)) + 1
+        for a, b in zip([0, *ends], [*ends, batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def _cut(by: str):
     """Each document's distinct digests with the first word and the size of the first unit that has each; its words as codes; whether it repeats a unit of its own."""
     small = 1 if by == "lines" else 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             n = batch.num_rows
             h, doc, starts, digest = units([_codes(TOKEN.findall(t.as_py() or "")) for t in batch.column(2)], by)
             size = np.diff(np.append(starts, len(h)))
