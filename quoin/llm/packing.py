@@ -1,11 +1,13 @@
 """Best-fit packing of documents into sequences, in bulk-synchronous supersteps.
 
-Documents become ids (a word-level BPE, then id 0) and, where longer than a sequence, pieces. Pieces and gaps are both sorted by size. As sizes are whole numbers up to
-the capacity, a superstep takes all pieces of one size, the largest first; a sweep matches them with the gaps' successors (the smallest gap that holds the size), pieces
-that want the same gap are ordered by their rank within the size, gaps shrink, and the next superstep begins. Gaps are kept by class (size, run of sequence numbers), so
-the sweeps' state has at most one entry for each gap size and run, whatever the number of documents; ranks within a size are counted by the executors over salted groups,
-so that a size shared by a third of all pieces is no single task. A size leaves three runs at most, and a run is cut at most once for each piece that a sequence can
-take, so the plan's rows, which are broadcast, have a bound that the capacity alone sets (about 10^5 rows of 48 bytes at 2048).
+Documents become ids (a word-level BPE, then id 0) and, where longer than a sequence, pieces. As many sequences are open as the ids need at least. A superstep sorts pieces and gaps
+together by size, the largest first, a gap before a piece of its size, and sweeps: each piece takes the smallest gap that holds it and that no larger piece has taken. In the sorted
+order that is a matching of brackets, a gap opening one and a piece closing the last that is open, so it is found in parts: sizes are whole numbers up to the capacity, counts of each
+size give the depth at which it begins (a window over at most two rows a size), a row's rank within its size gives its own depth, and a piece goes to the gap that opened its depth
+last. Ranks are what resolves pieces that want one gap; they are counted over salted groups, so that a size shared by a third of all pieces is no single task. A superstep takes the pieces over half the size of the largest (all, from a 32nd of the
+capacity down). A gap that holds several of that largest piece takes part with as many slots, each smaller by that piece. Then gaps shrink, and the next superstep begins with what wasn't placed; when a
+sweep places nothing, sequences are opened for it. Each superstep ends in written tables, so a lost executor loses one at most. All state is in tables; the driver knows only how
+many ids are left and the largest piece.
 
 Null and empty texts are one piece that holds id 0 alone. doc_id may be null or repeated; rows are then packed one by one like others. An empty table gives no rows.
 Only doc_id and text are read.
@@ -16,7 +18,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from quoin.runtime import arrow_limits, durable, worker_cache
 
 CACHE = 600_000
+SHARE, SMALL = 0.6, 32
 _LOADED: dict = {}
 _ODD = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
 _USUAL = "\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0386-\u03ff\u0400-\u0481\u1e00-\u1eff\u2010-\u2027\u20ac"
@@ -113,68 +115,71 @@ def _cut(path: str, capacity: int):
     return run
 
 
-def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit by classes, on the driver: (length, first rank, rank after the last, pieces a sequence, first sequence, offset there). Ranks of a length count from 0."""
-    sizes: list[int] = []  # of gaps, ascending
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, number)
-    steps, sequences = [], 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                insort(sizes, gap)
-                runs[gap] = []
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, total = 0, counts[length]
-        while rank < total:
-            i = bisect_left(sizes, length)
-            if i < len(sizes):
-                gap = sizes[i]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], sizes[i]
-            else:
-                gap, first, n = capacity, sequences, -(-(total - rank) // (capacity // length))
-                sequences += n
-            each, left = gap // length, total - rank
-            full = min(n, left // each)
-            if full:
-                steps.append((length, rank, rank + full * each, each, first, capacity - gap))
-                rank += full * each
-                leave(gap - each * length, first, full)
-            if full < n:
-                some = total - rank  # fewer than a whole sequence takes
-                if some:
-                    steps.append((length, rank, total, some, first + full, capacity - gap))
-                    rank = total
-                    leave(gap - some * length, first + full, 1)
-                leave(gap, first + full + bool(some), n - full - bool(some))
-    return steps
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     arrow_limits(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def _ranked(rows: DataFrame, salts: int) -> DataFrame:
+    """rows (kind, size, id) with their rank from 0 within kind and size."""
+    own = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    inner = F.row_number().over(Window.partitionBy("kind", "size", "salt").orderBy("id")) - 1
+    if salts == 1:
+        return own.withColumn("rank", inner).drop("salt")
+    n = own.groupBy("kind", "size", "salt").agg(F.count("*").alias("n"))
+    before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("kind", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return own.withColumn("inner", inner).join(before, ["kind", "size", "salt"]).withColumn("rank", F.col("before") + F.col("inner")).drop("salt", "before", "inner")
+
+
+def sweep(pieces: DataFrame, slots: DataFrame, salts: int) -> DataFrame:
+    """(id, size, seq, slot): pieces (id, size) in slots (id, size, seq, slot) of gaps, each the smallest that holds it and that is left by larger ones; pieces without one aren't in it."""
+    none = F.lit(None)
+    rows = slots.select(F.lit(0).alias("kind"), "size", "id", "seq", "slot").unionAll(pieces.select(F.lit(1), "size", "id", none.cast("long"), none.cast("int")))
+    counts = rows.groupBy("size", "kind").agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.desc("size"), "kind")  # two rows a size at most
+    run = counts.withColumn("after", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(order))
+    run = run.withColumn("depth", F.col("after") - F.least(F.lit(0), F.min("after").over(order)))
+    run = run.withColumn("begins", F.coalesce(F.lag("depth").over(order), F.lit(0))).withColumn("place", F.row_number().over(order))
+    own = _ranked(rows, salts).join(F.broadcast(run.select("size", "kind", "begins", "place")), ["size", "kind"])
+    own = own.withColumn("level", F.when(F.col("kind") == 0, F.col("begins") + F.col("rank") + 1).otherwise(F.col("begins") - F.col("rank"))).where("level > 0")
+    at = Window.partitionBy("level").orderBy("place")
+    met = own.withColumn("to", F.lag(F.struct("seq", "slot")).over(at))
+    return met.where("kind = 1").select("id", "size", "to.seq", "to.slot")
+
+
 def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Pieces with their sequence_id and offset. Ties of a length go by a hash of the id, then id and piece."""
-    spark = cut.sparkSession
-    cut = durable(cut, "pieces")
-    salts = max(16, min(1024, cut.count() // 200_000))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = durable(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes", 1)  # at most capacity * salts rows
-    counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    before = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("inner", inner).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("inner") - 1).drop("before", "inner", "salt")
-    steps = spark.createDataFrame(supersteps(counts, capacity), "length long, since long, until long, each long, first long, at long")
-    on = (ranked["length"] == steps["length"]) & (ranked["rank"] >= steps["since"]) & (ranked["rank"] < steps["until"])
-    place = F.col("rank") - F.col("since")
-    return ranked.join(F.broadcast(steps), on).select(
-        "doc_id", "piece", "start", ranked["length"], "ids_crc32",
-        (F.col("first") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(place, F.col("each")) * ranked["length"]).cast("long").alias("offset"),
-    )
+    """Pieces with their sequence_id and offset. Equal pieces are placed in any order; all of them are."""
+    cut = durable(cut.withColumn("id", F.monotonically_increasing_id()), "pieces")
+    left = cut.select("id", F.col("length").alias("size"))
+    facts = left.agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.max("size").alias("top"), F.min("size").alias("least")).first()
+    salts = max(1, facts["n"] // 200_000)
+    files = max(8, salts)  # of the small tables
+    gaps, opened, placed = None, 0, []
+    moved = 0
+    while facts["n"]:
+        over = int(facts["top"] * SHARE) if facts["top"] * SMALL > capacity else 0  # pieces of this superstep are larger; small ones are all taken at once
+        now = left.where(F.col("size") > over)
+        if not moved:
+            new = -(-(facts["ids"] if gaps is None else now.agg(F.sum("size")).first()[0]) // capacity)
+            fresh = cut.sparkSession.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("room"))
+            gaps, opened = (fresh if gaps is None else gaps.unionAll(fresh)), opened + new
+        times = F.greatest(F.lit(1), F.floor(F.col("room") / facts["top"])).cast("int")
+        slots = gaps.where((F.col("room") > over) & (F.col("room") >= facts["least"])).select("seq", "room", F.explode(F.sequence(F.lit(0), times - 1)).alias("slot"))
+        slots = slots.select((F.col("seq") * capacity + F.col("slot")).alias("id"), (F.col("room") - F.col("slot") * facts["top"]).alias("size"), "seq", "slot")
+        got = sweep(now, slots, salts).join(gaps, "seq")
+        before = F.sum("size").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+        got = durable(got.select("id", "size", "seq", (capacity - F.col("room") + F.coalesce(before, F.lit(0))).alias("offset")), "placed", files)
+        moved = got.count()
+        if moved:
+            placed.append(got)
+            used = got.groupBy("seq").agg(F.sum("size").alias("used"))
+            gaps = durable(gaps.join(used, "seq", "left").select("seq", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0"), "gaps", files)
+            left = durable(left.join(got.select("id"), "id", "left_anti"), "left", files)
+            facts = left.agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.max("size").alias("top"), F.min("size").alias("least")).first()
+    if not placed:
+        return cut.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    at = placed[0]
+    for p in placed[1:]:
+        at = at.unionAll(p)
+    return cut.join(at.select("id", F.col("seq").alias("sequence_id"), "offset"), "id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))

@@ -262,32 +262,43 @@ def _packed(got, capacity):
     return len(held)
 
 
-def test_supersteps_are_best_fit():
-    """The classes' plan places as many sequences as best-fit decreasing piece by piece."""
+def test_packing_is_close_to_the_least(spark):
+    """Sizes of many kinds: all pieces once, gapless, and hardly more sequences than their ids need, or than best-fit one by one takes."""
+    import random
+    from bisect import bisect_left, insort
+
+    rng = random.Random(3)
+    kinds = {"mixed": [rng.randint(1, 100) for _ in range(2000)], "hot": [34] * 700 + [rng.randint(1, 60) for _ in range(900)], "large": [rng.randint(51, 100) for _ in range(300)], "one size": [40] * 101, "tiny": [1] * 500 + [100], "few": [7]}
+    for name, sizes in kinds.items():
+        gaps: list[int] = []
+        for n in sorted(sizes, reverse=True):
+            i = bisect_left(gaps, n)
+            left = (gaps.pop(i) if i < len(gaps) else 100) - n
+            insort(gaps, left)
+        rows = spark.createDataFrame([(i % 7 or None, 0, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+        got = packing.pack(rows, 100).collect()
+        assert sorted((r["ids_crc32"], r["length"]) for r in got) == list(enumerate(sizes))
+        assert _packed(got, 100) <= max(len(gaps) * 1.02 + 1, -(-sum(sizes) // 100)), name
+
+
+def test_a_sweep_takes_the_smallest_gap_that_holds(spark):
+    """Against pieces one by one, the largest first, each in the smallest gap that is left and holds it."""
     import random
 
-    random.seed(1)
-    for capacity in (10, 37, 64):
-        counts = {n: random.randint(1, 30) for n in random.sample(range(1, capacity + 1), min(capacity, 12))}
-        bins: list[int] = []
-        for n in sorted(counts, reverse=True):
-            for _ in range(counts[n]):
-                able = [i for i, g in enumerate(bins) if g >= n]
-                i = min(able, key=lambda i: bins[i]) if able else len(bins)
-                bins[i : i + 1] = [(bins[i] if able else capacity) - n]
-        used, ranks = {}, {n: set() for n in counts}
-        for length, since, until, each, first, at in packing.supersteps(counts, capacity):
-            for rank in range(since, until):
-                place = rank - since
-                used.setdefault(first + place // each, []).append((at + place % each * length, length))
-                ranks[length].add(rank)
-        assert all(ranks[n] == set(range(c)) for n, c in counts.items()) and len(used) == len(bins)
-        for own in used.values():
-            at = 0
-            for offset, length in sorted(own):
-                assert offset == at
-                at += length
-            assert at <= capacity
+    rng = random.Random(4)
+    for salts in (1, 3):
+        pieces = [(i, rng.randint(1, 40)) for i in range(120)]
+        slots = [(i, rng.randint(1, 40), i, 0) for i in range(90)]
+        left, want = sorted(s for _, s, *_ in slots), []
+        for _, n in sorted(pieces, key=lambda p: -p[1]):
+            fit = [g for g in left if g >= n]
+            if fit:
+                left.remove(fit[0])
+                want.append((n, fit[0]))
+        own = {i: s for i, s, *_ in slots}
+        got = packing.sweep(spark.createDataFrame(pieces, "id long, size long"), spark.createDataFrame(slots, "id long, size long, seq long, slot int"), salts).collect()
+        assert sorted((r["size"], own[r["seq"]]) for r in got) == sorted(want)
+        assert len({r["seq"] for r in got}) == len(got) and all(dict(pieces)[r["id"]] == r["size"] for r in got)
 
 
 def test_licences(spark, odd_docs):
