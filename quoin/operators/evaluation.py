@@ -76,7 +76,7 @@ def rater_agreement(pairs: DataFrame, bar: float = 0.6) -> DataFrame:
 
 def tier_totals(runs: DataFrame, tiers: list[str]) -> DataFrame:
     """runs (doc, tier, recall, orders, error): attempts, measured and failures of each tier; a missing run is a failure."""
-    grid = runs.select("doc").distinct().crossJoin(F.broadcast(runs.sparkSession.createDataFrame([(t,) for t in tiers], "tier string")))
+    grid = runs.select("doc").distinct().select("doc", F.explode(F.array(*map(F.lit, tiers))).alias("tier"))
     all_ = grid.join(runs, ["doc", "tier"], "left")
     return all_.groupBy("tier").agg(F.count("*").alias("attempted"), F.count("recall").alias("measured"), F.count_if(F.col("recall").isNull()).alias("failed"))
 
@@ -97,7 +97,6 @@ def paired_ranking(runs: DataFrame, tiers: list[str], least: int = 2) -> DataFra
             break
     shared = measured.where(F.col("tier").isin(*best)).groupBy("doc").agg(F.count_distinct("tier").alias("k")).where(F.col("k") == len(best)).select("doc")
     own = measured.where(F.col("tier").isin(*best)).join(shared, "doc")
-    low = lambda q: F.expr(f"element_at(array_sort(collect_list(recall)), cast(floor({q} * (count(*) - 1)) AS INT) + 1)")
-    stats = own.groupBy("tier").agg(F.count("*").alias("docs"), F.round(F.median("recall"), 6).alias("median_recall"), F.round(F.min("recall"), 6).alias("worst_recall"), F.round(low(0.1), 6).alias("p10_recall"), F.round(F.median("orders"), 6).alias("median_order"))
+    stats = own.groupBy("tier").agg(F.count("*").alias("docs"), F.round(F.median("recall"), 6).alias("median_recall"), F.round(F.min("recall"), 6).alias("worst_recall"), F.round(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY recall)"), 6).alias("p10_recall"), F.round(F.median("orders"), 6).alias("median_order"))
     ranked = F.row_number().over(Window.orderBy(F.coalesce(F.col("median_order") < 0, F.lit(False)), F.desc("median_recall"), "tier"))
     return stats.withColumn("rank", ranked)

@@ -131,7 +131,7 @@ def diagnose(symptoms: DataFrame, diagnostics: DataFrame, dimensions: DataFrame
 
     dimensions (name, core_question) add the question of each, empty where it has none.
     """
-    hits = symptoms.crossJoin(F.broadcast(diagnostics)).withColumn("low", F.lower("symptom"))
+    hits = symptoms.crossJoin(diagnostics).withColumn("low", F.lower("symptom"))
     scored = hits.withColumn("score", F.size(F.filter("cues", lambda c: cue_hit(F.lower(c), F.col("low"))))).where("score > 0")
     dims = scored.select("symptom_id", "score", "ord", F.posexplode("dims").alias("place", "d")).withColumn("dimension", F.replace(F.lower(F.trim("d")), F.lit(" "), F.lit("-")))
     firsts = dims.groupBy("symptom_id", "dimension").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "place")).alias("best"))
@@ -164,12 +164,12 @@ def folded_lenses(lenses: DataFrame, framework_sources: DataFrame | None) -> Dat
 def consult(queries: DataFrame, lenses: DataFrame, most: int = 8, hints: int = 5) -> DataFrame:
     """Names (query_id, name) against lenses (kind, name, title, aliases): the exact stem first, then a family of stems, then whole words of all lenses.
 
-    One row for each match with status exact, unique, ambiguous or none (then a suggestion), and one row without match where there is none. Queries are control data and broadcast.
+    One row for each match with status exact, unique, ambiguous or none (then a suggestion), and one row without match where there is none. Queries are few; Spark chooses how they meet the lenses.
     """
     stem = F.replace(F.lower(F.trim("asked")), F.lit(" "), F.lit("-"))
     asked = queries.select("query_id", F.col("name").alias("asked")).withColumn("stem", stem).withColumn("toks", name_tokens(F.col("asked")))
     hay = F.lower(F.concat_ws(" ", "name", "title", F.coalesce("aliases", F.lit(""))))
-    pairs = lenses.withColumn("hay", hay).crossJoin(F.broadcast(asked))
+    pairs = lenses.withColumn("hay", hay).crossJoin(asked)
     words = F.size(F.filter("toks", lambda t: F.regexp_like(F.col("hay"), F.concat(F.lit(r"\b"), t, F.lit(r"\b")))))
     kind_order = F.when(F.col("kind") == "dimension", 0).when(F.col("kind") == "framework", 1).otherwise(2)
     exact, family = F.col("name") == F.col("stem"), (F.col("kind") == "dimension") & F.startswith("name", F.concat("stem", F.lit("-")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"quoin-{os.getpid()}")
+        at = os.path.join(tempfile.gettempdir(), f"quoin-{os.getpid()}")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        found = f"file://{at}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -58,7 +62,7 @@ def durable(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all that this process wrote with durable(); results that still depend on it can't be read afterwards."""
+    """Delete all that this process wrote with durable(); results that still depend on it can't be read afterwards. Long sessions call it when their results are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
@@ -66,14 +70,13 @@ def release(spark: SparkSession) -> None:
 
 
 def arrow_limits(spark: SparkSession, rows: int = 500, mb: int = 8) -> None:
-    """Bound the batches that Python workers get, by rows and by bytes: texts may be very long."""
+    """Bound the batches that Python workers get, by rows and by bytes: texts may be very long. These settings of the session stay, as plans run after the call that made them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: a zip of it goes with the session, once."""
-    import shutil
     from pathlib import Path
 
     sc = spark.sparkContext
