@@ -53,11 +53,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+# On a local store (no other is touched), files without checksum files beside them: without native libraries each one costs a JVM several forks, for the rights of every file made.
+_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def durable(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """df as a table written in the shared folder and read again: its lineage ends there, and a lost executor loses none of it. partitions: files at most, for small tables."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    (df.coalesce(partitions) if partitions else df).write.options(**_LOCAL).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
