@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     arrow_limits(docs.sparkSession)
     docs = docs.select(key_of(F.col("doc_id"), F.col("text")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = durable(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "signed")
-    files = max(8, signed.count() // FILE)  # of the smaller tables
+    files = max(4, signed.count() // FILE)  # of the smaller tables
     classes = durable(signed.where("digest is not null").groupBy("digest").agg(F.coalesce(F.min(F.when(F.col("doc_id") > NO_ID, F.col("doc_id"))), F.min("doc_id")).alias("rep"), F.count("*").alias("copies")), "classes", files)
     nodes = durable(
         signed.join(classes.where("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits", "bands"), "nodes"

@@ -154,7 +154,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     left = cut.select("id", F.col("length").alias("size"))
     facts = left.agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.max("size").alias("top"), F.min("size").alias("least")).first()
     salts = max(1, facts["n"] // 200_000)
-    files = max(8, salts)  # of the small tables
+    files = max(4, salts)  # of the small tables
     gaps, opened, placed = None, 0, []
     moved = 0
     while facts["n"]:
