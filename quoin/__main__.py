@@ -5,14 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
 from quoin.functions.anchors import parse_markers
-from quoin.operators import bibliography, gate, grounding, linter, services
+from quoin.operators import bibliography, gate, grounding, linter, normalize, services
 from quoin.runtime import durable, ship
 from quoin.sources import library, settings
 
@@ -144,6 +144,12 @@ def main(args: list[str] | None = None) -> int:
         if clash := [r["id"] for r in library.clashes(t["sources"]).collect()]:
             print(f"names on several shelves: {clash}", file=sys.stderr)
             return 1
+    if a.verb == "normalize" and a.write:
+        with open(f"{a.root}/words.txt", encoding="utf-8") as f:
+            words = frozenset(f.read().lower().split())
+        n = normalize.apply(t["sources"], words, a.root, f"{a.root}/../{lib.id}-backups", datetime.now().strftime("%Y%m%d-%H%M%S"))
+        print(f"{n} sources changed")
+        return 0
     rows = services.execute(a.verb, t, params)
     if a.verb == "build":
         made = durable(rows, "cards")  # it depends on the files that are written

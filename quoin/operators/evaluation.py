@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.anchors import resolve
-from quoin.functions.text import count_of
-from quoin.operators.grounding import folded, marker
+from quoin.operators.grounding import folded, marker, phrase_hits
 from quoin.runtime import durable
 
 
@@ -41,12 +40,10 @@ def anchor_compatibility(texts: DataFrame) -> DataFrame:
 
 def count_scores(blobs: DataFrame, questions: DataFrame) -> DataFrame:
     """The arm that BM25 is held against: (question, id, score) with how often a question's terms occur, as they are, whatever a blob's length."""
-    wanted = [r[0] for r in questions.select(F.explode(F.transform("terms", F.lower)).alias("t")).where(F.trim("t") != "").distinct().orderBy("t").collect()]
-    counts = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), count_of(F.lit(t), F.col("blob")).alias("tf")) for t in wanted]), lambda x: x["tf"] > 0)
-    if not wanted:
-        counts = F.array().cast("array<struct<term:string,tf:int>>")
-    asked = questions.select("question", F.explode(F.transform("terms", F.lower)).alias("term"))
-    return blobs.select("id", F.explode(counts).alias("h")).select("id", "h.*").join(asked, "term").groupBy("question", "id").agg(F.sum("tf").cast("double").alias("score"))
+    asked = questions.select("question", F.explode(F.transform("terms", F.lower)).alias("term")).where(F.trim("term") != "")
+    numbered = asked.select("term").distinct().select(F.xxhash64("term").alias("phrase_id"), F.col("term").alias("phrase"))
+    hits = phrase_hits(blobs.select("id", F.col("blob").alias("text")), numbered)
+    return hits.join(asked.withColumn("phrase_id", F.xxhash64("term")), "phrase_id").groupBy("question", "id").agg(F.sum("times").cast("double").alias("score"))
 
 
 # Words that a searcher leaves out of a question.

@@ -155,6 +155,29 @@ def changed(docs: DataFrame, words: frozenset[str] = frozenset()) -> DataFrame:
     return docs.withColumn("normal", normalize(F.col("text"), words)).where("text is not null and normal != text")
 
 
+def apply(sources: DataFrame, words: frozenset[str], root: str, backups: str, stamp: str, keep: int = 5) -> int:
+    """Write the sources (rel, text) that change under their root, after a copy of each as it was under backups, in a folder of the run; how many. Older folders beyond keep go.
+
+    stamp names the run: one plain path component, so that no copy leaves the folder of backups.
+    """
+    from quoin.runtime import durable
+    from quoin.sources.library import write_files
+
+    if not re.fullmatch("[A-Za-z0-9._-]{1,64}", stamp) or stamp in (".", ".."):
+        raise ValueError(f"stamp {stamp!r} isn't a plain name")
+    spark = sources.sparkSession
+    changes = durable(applied(sources.select("rel", "text"), words).where("changed").select("rel", "text", "normal"), "normal")  # before any file changes
+    n = write_files(changes.select(F.col("rel").alias("path"), "text"), f"{backups}/normalize-backup-{stamp}")
+    if n:
+        write_files(changes.select(F.col("rel").alias("path"), F.col("normal").alias("text")), root)
+        at = spark._jvm.org.apache.hadoop.fs.Path(backups)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        runs = [(backups, f.getPath().getName(), f.getModificationTime()) for f in store.listStatus(at) if f.isDirectory()]
+        for r in backups_to_prune(spark.createDataFrame(runs, "root string, name string, modified long"), keep).collect():
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{backups}/{r['name']}"), True)
+    return n
+
+
 def backups_to_prune(runs: DataFrame, keep: int) -> DataFrame:
     """Backup folders (root, name, modified) beyond the newest so many of each root, one at least; folders of other names aren't backups."""
     newest = Window.partitionBy("root").orderBy(F.desc("modified"))

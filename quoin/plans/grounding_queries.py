@@ -253,7 +253,11 @@ def c_h_freshness(spark, sf_dir):
     return rows.select("id", F.try_element_at(L.freshness(rows, TODAY), F.lit(1)).alias("why")).where("why is not null")
 
 
-@query()
+@query(f"""WITH {_RES_SQL}, s AS (SELECT *, CASE WHEN text IS NULL THEN 'source-not-installed' WHEN stored <> '' AND stored <> sha256(text) THEN 'source-stale' WHEN trim(phrase) = '' OR n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous' WHEN review_by = 'soon' THEN 'review-date-invalid' WHEN review_by < '{TODAY}' THEN 'review-expired' WHEN on_line THEN 'found' ELSE 'folded-only' END AS status,
+    CASE WHEN ends_with(text, E'\\n') THEN text[:-2] ELSE text END AS t, array_to_string(list_transform(list_filter(string_split(p, ' '), lambda w: w <> ''), lambda w: regexp_escape(w)), '\\s+') AS pat FROM x),
+  l AS (SELECT *, string_split(t, E'\\n') AS l FROM s), m AS (SELECT *, CASE WHEN status = 'found' THEN list_position(list_transform(l, lambda y: CASE WHEN is_re THEN regexp_matches(y, phrase) ELSE contains(y, phrase) END), true) WHEN status = 'folded-only' AND NOT is_re AND len(regexp_extract_all(t, pat)) = 1 THEN length(string_split_regex(t, pat)[1]) - length(replace(string_split_regex(t, pat)[1], E'\\n', '')) + 1 END AS lo FROM l),
+  h AS (SELECT *, CASE WHEN status = 'folded-only' THEN lo + length(regexp_extract(t, pat, 0)) - length(replace(regexp_extract(t, pat, 0), E'\\n', '')) ELSE lo END AS hi FROM m)
+  SELECT id, status, lo IS NOT NULL AS usable, CASE WHEN lo > 0 THEN greatest(1, lo - 3) END::INT AS line_start, CASE WHEN lo > 0 THEN least(len(l), hi + 3) END::INT AS line_end, CASE WHEN lo > 0 THEN sha256(array_to_string(l[greatest(1, lo - 3):least(len(l), hi + 3)], E'\\n')) END AS context_sha FROM h""")
 def r4_verify_context(spark, sf_dir):
     """Each card's anchor with the lines around it, where it grounds and can be placed."""
     rows = G.evidence_context(_evidence(spark, sf_dir), TODAY)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import text as T
 from quoin.operators import evaluation, retrieval
+from quoin.operators.grounding import phrase_hits
 from quoin.plans.registry import query
 from quoin.plans.text_queries import TERMS_SQL, docs
 from quoin.runtime import table
@@ -157,15 +158,28 @@ def r7_consult_resolve(spark, sf_dir):
 _GOLD = f"SELECT item_id AS question, word AS term FROM {TERMS_SQL} WHERE n <= 4"
 
 
-@query(f"""WITH {_bm25_sql(_blob_sql(True), _GOLD)}, g AS (SELECT item_id AS question, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text)), gn AS (SELECT question, count(*) AS n FROM g GROUP BY question),
+_MEANS = """, g AS (SELECT item_id AS question, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text)), gn AS (SELECT question, count(*) AS n FROM g GROUP BY question),
   k AS (SELECT r.question, r.id, row_number() OVER (PARTITION BY r.question ORDER BY round(score, 9) DESC, r.id) AS rank, g.id IS NOT NULL AS rel FROM r LEFT JOIN g USING (question, id)),
   m AS (SELECT gn.question, gn.n, coalesce(sum((rel AND rank <= 5)::INT), 0) / 5.0 AS p5, coalesce(sum((rel AND rank <= 10)::INT), 0) / gn.n AS r10, coalesce(1.0 / min(CASE WHEN rel THEN rank END), 0) AS mrr, coalesce(sum(CASE WHEN rel AND rank <= 10 THEN 1 / log2(rank + 1) END), 0) AS dcg FROM gn LEFT JOIN k USING (question) GROUP BY gn.question, gn.n)
-  SELECT count(*)::BIGINT AS questions, round(avg(p5), 6) AS p5, round(avg(r10), 6) AS r10, round(avg(mrr), 6) AS mrr, round(avg(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n)), 6) AS ndcg10 FROM m""")
+  SELECT count(*)::BIGINT AS questions, round(avg(p5), 6) AS p5, round(avg(r10), 6) AS r10, round(avg(mrr), 6) AS mrr, round(avg(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n)), 6) AS ndcg10 FROM m"""
+
+
+@query(f"WITH {_bm25_sql(_blob_sql(True), _GOLD)}{_MEANS}")
 def a11_retrieval_metrics(spark, sf_dir):
     """Each benchmark passage asks with its first four terms; the documents that hold it are relevant."""
-    from quoin.operators.grounding import phrase_hits
+    questions, gold = _gold(spark, sf_dir)
+    return evaluation.retrieval_means(retrieval.bm25(blobs(spark, sf_dir, True), questions), gold)
+
 
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), "text")
     questions = items.select("question", F.slice(T.terms(F.col("text")), 1, 4).alias("terms"))
-    gold = phrase_hits(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), items.select(F.col("question").alias("phrase_id"), F.col("text").alias("phrase"))).select(F.col("phrase_id").alias("question"), "id")
-    return evaluation.retrieval_means(retrieval.bm25(blobs(spark, sf_dir, True), questions), gold)
+    gold = phrase_hits(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), items.select(F.col("question").alias("phrase_id"), F.col("text").alias("phrase")))
+    return questions, gold.select(F.col("phrase_id").alias("question"), "id")
+
+
+@query("WITH " + _bm25_sql(_blob_sql(True), _GOLD).replace("sum(idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))", "sum(tf)") + _MEANS)
+def r20_raw_count_arm(spark, sf_dir):
+    """The same questions ranked by raw counts, which BM25 is held against."""
+    questions, gold = _gold(spark, sf_dir)
+    return evaluation.retrieval_means(evaluation.count_scores(blobs(spark, sf_dir, True), questions), gold)

@@ -417,3 +417,20 @@ def test_bibliography_rows(spark):
     ids = spark.createDataFrame([("plato",), ("plato-republic",), ("booth",), ("xbooth",), ("king",), ("strunk-white",), ("zzz-1999",)], "id string")
     assert {r["id"]: r["line"] for r in B.lookup(ids, rows).collect()} == {"plato": None, "plato-republic": "**Plato** | `plato-republic.txt` |", "booth": "booth.txt", "xbooth": "prose xbooth.txt and booth.txt.", "king": "King | `king.x.txt` |", "strunk-white": None, "zzz-1999": None}
     assert {r["id"] for r in B.uncovered(ids, rows).collect()} == {"zzz-1999"}
+
+
+def test_normalisation_is_applied_with_backups(spark, tmp_path):
+    from quoin.operators import normalize
+
+    root, backups = tmp_path / "base", tmp_path / "backups"
+    (root / "books").mkdir(parents=True)
+    (root / "books/a.txt").write_text("The defne of it\n")
+    sources = spark.createDataFrame([("books/a.txt", "The defne of it\n"), ("books/b.txt", "clean\n")], "rel string, text string")
+    words = frozenset({"define"})
+    for i in range(3):
+        assert normalize.apply(sources, words, str(root), str(backups), f"run{i}", keep=2) == 1
+    assert (root / "books/a.txt").read_text() == "The define of it\n" and not (root / "books/b.txt").exists()
+    assert (backups / "normalize-backup-run2/books/a.txt").read_text() == "The defne of it\n" and len(list(backups.iterdir())) == 2
+    for bad in (lambda: normalize.apply(sources, words, str(root), str(backups), "../x"), lambda: normalize.apply(sources, frozenset(), str(root), str(backups), "y")):
+        with pytest.raises(ValueError):
+            bad()
