@@ -295,7 +295,8 @@ def kept(docs: DataFrame) -> DataFrame:
     rows = plain.mapInArrow(run, plain.schema).toDF(*names)
     if len(groups) < 2:
         return rows
-    told = languages(rows.select("doc_id", "text", "lang"), sample).select("doc_id", "lang_pred", "row").dropDuplicates(["doc_id", "row"])
-    told = told.select(F.col("doc_id").alias("d "), F.col("row").alias("r "), "lang_pred")
-    both = rows.withColumn("r", F.xxhash64("text")).join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("d ")) & (F.col("r") == F.col("r ")), "left")
-    return both.select(*[F.coalesce("lang_pred", "lang").alias(c) if c == "lang" else rows[f"`{c}`"] for c in names])
+    told = languages(rows.select("doc_id", "text", "lang"), sample).dropDuplicates(["doc_id", "row"]).select(F.col("doc_id").alias("its id"), F.col("row").alias("its row"), F.col("lang_pred").alias("its language"))
+    same = F.col("c_id").eqNullSafe(F.col("its id")) & (F.col("c_row") == F.col("its row"))
+    own = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("c_id"), F.xxhash64("text").alias("c_row"))
+    both = own.join(told, same, "left")
+    return both.select(*[(F.coalesce("its language", f"c{i}") if i == label else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])

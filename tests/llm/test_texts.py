@@ -174,6 +174,9 @@ def test_language_id_of_many_labels(spark):
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["lang_pred"]) for r in langid.languages(docs, sample).collect())
     assert got == sorted([(d, k) for d, _, k in data[:-4]] + [(9000, "und"), (9001, "und"), (-1, "l00"), (1, "l00")])
     assert all(0 <= r["score"] <= 1 for r in langid.languages(docs, sample).collect())
+    clashing = docs.withColumn("lang_pred", F.lit(1)).withColumn("row", F.lit("r")).withColumn("r", F.lit("r"))
+    told = langid.kept(clashing.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))))
+    assert told.columns == clashing.columns and sorted((str(r["doc_id"]), r["lang"]) for r in told.collect()) == sorted((str(d), k) for d, k in [(-1, "l00") if d is None else (d, k) for d, _, k in data[:-4]] + [("None", "l00"), (1, "l00")])
     few = dict(list(sample.items())[:9])
     own = docs.where("doc_id < 900")
     want = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in own.select("doc_id", "text").mapInArrow(langid._predict(few), "doc_id long, lang_pred string, score double").collect()}
