@@ -109,5 +109,5 @@ def _count(fields: list[str], lined: set[str], path: str, pattern: str):
 def token_counts(docs: DataFrame, fields: list[str], tokenizer: str, pattern: str, lined: tuple[str, ...] = ("text",)) -> DataFrame:
     """A row for each section: doc_id, field, section (from 0 in its field), start, end (characters of the joined text), n_tokens, token_share, crossing."""
     arrow_limits(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f).cast("string").alias(f"field_{i}") for i, f in enumerate(fields)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{f}`").cast("string").alias(f"field_{i}") for i, f in enumerate(fields)])
     return rows.mapInArrow(_count(fields, set(lined), tokenizer, pattern), "doc_id long, field string, section int, start long, end long, n_tokens long, token_share double, crossing long")

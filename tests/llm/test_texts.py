@@ -107,6 +107,7 @@ def test_long_words_merge_alike(encoding):
 
 def test_token_counts(odd_docs):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(BYTE_BPE), special_tokens={})
+    assert token_counts.token_counts(odd_docs, ["n.x"], BYTE_BPE, P.PATTERN).count() == odd_docs.count()
     got = token_counts.token_counts(odd_docs, ["source", "text"], BYTE_BPE, P.PATTERN).collect()
     sums = {}
     for r in got:
