@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quoin.runtime import arrow_limits, durable, worker_cache
 
 CACHE = 600_000
-SHARE, SMALL = 0.6, 32
+SHARE, SMALL = 0.5, 32
 _LOADED: dict = {}
 _ODD = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
 _USUAL = "\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0386-\u03ff\u0400-\u0481\u1e00-\u1eff\u2010-\u2027\u20ac"
@@ -125,8 +125,6 @@ def _ranked(rows: DataFrame, salts: int) -> DataFrame:
     """rows (kind, size, id) with their rank from 0 within kind and size."""
     own = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     inner = F.row_number().over(Window.partitionBy("kind", "size", "salt").orderBy("id")) - 1
-    if salts == 1:
-        return own.withColumn("rank", inner).drop("salt")
     n = own.groupBy("kind", "size", "salt").agg(F.count("*").alias("n"))
     before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("kind", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return own.withColumn("inner", inner).join(before, ["kind", "size", "salt"]).withColumn("rank", F.col("before") + F.col("inner")).drop("salt", "before", "inner")
@@ -153,8 +151,8 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     cut = durable(cut.withColumn("id", F.monotonically_increasing_id()), "pieces")
     left = cut.select("id", F.col("length").alias("size"))
     facts = left.agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.max("size").alias("top"), F.min("size").alias("least")).first()
-    salts = max(1, facts["n"] // 200_000)
-    files = max(4, salts)  # of the small tables
+    salts = max(16, facts["n"] // 20_000)  # gaps and pieces of one size may be nearly all
+    files = max(4, facts["n"] // 200_000)  # of the small tables
     gaps, opened, placed = None, 0, []
     moved = 0
     while facts["n"]:
