@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quoin.llm.graphs import components
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-BANDS, ROWS, BITS_MOST, CACHE, FILE, MEMBERS = 40, 4, 44, 300_000, 40_000, 64
+BANDS, ROWS, BITS_MOST, CACHE, FILE, MEMBERS = 40, 4, 44, 150_000, 40_000, 64
 NO_ID = -(1 << 62)
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-LEAST, NEAR, PICK, BESIDE, ASK, CACHE, CHARS = 48, 4, 16, 48, 16, 200_000, 500_000
+LEAST, NEAR, PICK, BESIDE, ASK, CACHE, CHARS = 48, 4, 16, 48, 16, 100_000, 500_000
 TOKEN = re.compile(r"[^\W_]+|[.!?]+(?=[ \t\n])|\n")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x7FB5D329728EA185, 0xD6E8FEB86659FD93], np.uint64)
 
