@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe, fingerprints, knn, langid, licenses, neardup, packing, substring, token_counts, warc
+from quoin.llm import bpe, codes, fingerprints, knn, langid, licenses, neardup, packing, reassembly, substring, token_counts, warc
 from quoin.runtime import ship, spread, table
 
 WORD_BPE, BYTE_BPE, MULTI_BPE, PATTERN = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -73,9 +73,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_minhash, op3_warc, op4_bpe, op5_token_counts, op6_substring_dedup, op7_knn, op8_language, op9_packing, op10_licenses)
-}
+def op11_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return reassembly.digests(reassembly.reassembled(table(spark, sf_dir, "conversations")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_fingerprints, op2_minhash, op3_warc, op4_bpe, op5_token_counts, op6_substring_dedup, op7_knn, op8_language, op9_packing, op10_licenses, op11_reassembly, op13_vector_codes)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Links by counting shared shingles of all pairs, and their transitive closure.
 _NEAR_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
   s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
