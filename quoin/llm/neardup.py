@@ -153,6 +153,16 @@ def key_of(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) - 1 - F.pmod(F.xxhash64(text), F.lit(1 << 61)))
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, block, b, text): each b's text once a pair, and a's once for each block of MEMBERS of its pairs or so, before them; so a centre's text doesn't travel with every member."""
+    pairs = pairs.select("a", "b")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    own = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    members = own.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "block", "b", "text")
+    centres = blocks.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
+    return members.unionAll(centres).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), key (key_of the row)."""
     arrow_limits(docs.sparkSession)
@@ -178,17 +188,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = durable(docs.repartition("doc_id").join(involved, "doc_id", "left_semi"), "texts", files)
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        """(a, block, b, text): each b's text once a pair, and a's once for each block of MEMBERS of its pairs or so, before them; so a centre's text doesn't travel with every member."""
-        pairs = pairs.select("a", "b")
-        blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-        own = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
-        members = own.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "block", "b", "text")
-        centres = blocks.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
-        return members.unionAll(centres).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return durable(with_texts(pairs).mapInArrow(_confirm(k, percent), "a long, b long"), "links", files)
+        return durable(with_texts(pairs, texts).mapInArrow(_confirm(k, percent), "a long, b long"), "links", files)
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     links = confirmed(best)
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     several = parts.groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
     mixed = durable(named.join(several, "band").join(told, "rep"), "mixed", files)
     refs = mixed.select(F.col("main").alias("a"), F.col("rep").alias("b")).distinct()
-    against = durable(with_texts(refs).mapInArrow(_differences(k), "a long, b long, both int, novel array<long>"), "differences", files)
+    against = durable(with_texts(refs, texts).mapInArrow(_differences(k), "a long, b long, both int, novel array<long>"), "differences", files)
     novel = against.select("a", "b", F.explode("novel").alias("t"))
     known = novel.groupBy("a", "t").agg(F.count("*").alias("times")).where("times > 1").select("a", "t")
     shared = novel.join(known, ["a", "t"]).groupBy("a", "b").agg(F.count("*").cast("int").alias("more"))
