@@ -1,12 +1,12 @@
 """Substring dedup: digests of short units, their earliest place in the corpus, and repeated passages cut out to the word.
 
-Words are runs of letters and digits, compared in lower case; everything between them is taken along. by="passages" cuts a text after words that are candidates: the last of a line,
-the last of a sentence, or one that a hash picks (one of PICK). Of candidates within NEAR words of each other only the first kind counts, then the smallest hash; so a cut
-depends on a few words around it, and the units inside a passage are the same wherever the passage stands. by="lines" has whole lines as units.
+Words are runs of letters and digits, compared in lower case; everything between them is taken along. by="passages" cuts a text after each word that comes first among
+the NEAR words on either side of it: the last of a line before the last of a sentence, that before others, then by the smallest hash. So a cut depends on a few words around it, the units inside a passage
+are the same wherever the passage stands, and text without sentence ends is cut as often as other text: a passage of 51 words holds whole units of 10 words in total. by="lines" has whole lines as units.
 Units of three words or more (of one, for lines) are hashed to 128 bits; over all documents the digest's first place (smallest doc_id, there the first unit) is its earliest
 occurrence, and units elsewhere are repeats. Repeats that follow each other are a run. A passage seldom begins and ends with a unit, so the ends of a run are
-compared word by word with what stands beside the earliest occurrence (BESIDE words of it, as 16-bit codes) and the run grows as far as they agree. A run of least words or more is
-removed; shorter ones are phrases that texts share by chance, and stay (lines have least=1: every repeated line goes). A stretch of one word that is said over and over is
+compared word by word with what stands beside the earliest occurrence (BESIDE words of it, as 16-bit codes) and the run grows as far as they agree; that is asked of runs whose units have ASK words or more
+(no passage of 48 words was seen to have fewer). A run of least words or more is removed; shorter ones are phrases that texts share by chance, and stay (lines have least=1: every repeated line goes). A stretch of one word that is said over and over is
 one unit, and equal only to as long a stretch. Removed spans keep their offsets (characters of the original
 text); a span goes on to the next word that stays.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quoin.runtime import arrow_limits, durable, worker_cache
 
-LEAST, NEAR, PICK, BESIDE, ASK, CACHE, CHARS = 48, 4, 16, 48, 16, 100_000, 500_000
+LEAST, NEAR, BESIDE, ASK, CACHE, CHARS = 48, 6, 48, 8, 100_000, 500_000
 TOKEN = re.compile(r"[^\W_]+|[.!?]+(?=[ \t\n])|\n")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x7FB5D329728EA185, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -71,11 +71,11 @@ def units(texts: list[np.ndarray], by: str) -> tuple[np.ndarray, np.ndarray, np.
         cut = np.zeros(len(h), bool)
         cut[ends(0)] = True
     else:
-        rank = np.where(h >> np.uint64(8) & np.uint64(PICK - 1), 3, 2).astype(np.uint64)
+        rank = np.full(len(h), 2, np.uint64)
         rank[ends(1)] = 1
         rank[ends(0)] = 0
         key = rank << np.uint64(32) | h >> np.uint64(32)
-        cut = rank < 3
+        cut = np.ones(len(h), bool)
         for d in range(1, min(NEAR, len(h) - 1) + 1):
             other = doc[d:] != doc[:-d]
             cut[d:] &= (key[d:] < key[:-d]) | other

@@ -6,6 +6,7 @@ import random
 import re
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -127,16 +128,18 @@ def test_substrings(spark, odd_docs, no_docs):
     assert substring.substring_dedup(twice).first()["removed"] == [] and substring.substring_dedup(twice, within=True).first()["text"] == f"{passage}\nTail."
 
 
-def test_substrings_by_brute_force(spark):
-    """Of runs of 50 words that stand in a document of smaller id, wherever they begin and end, nearly all words go; next to nothing else does."""
+@pytest.mark.parametrize("sentences", [True, False])
+def test_substrings_by_brute_force(spark, sentences):
+    """Of runs of 50 words that stand in a document of smaller id, wherever they begin and end, with and without sentence ends, nearly all words go; next to nothing else does."""
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
 
     def prose(n):
         words = [rng.choice(vocabulary) for _ in range(n)]
-        return " ".join(w + (". " if rng.random() < 0.1 else ".\n" if rng.random() < 0.03 else "").rstrip(" ") for w in words)
+        ends = (lambda: (". " if rng.random() < 0.1 else ".\n" if rng.random() < 0.03 else "").rstrip(" ")) if sentences else (lambda: "")
+        return " ".join(w + ends() for w in words)
 
-    planted = [prose(rng.randint(51, 120)) for _ in range(60)]
+    planted = [prose(rng.randint(51, 120 if sentences else 60)) for _ in range(60)]
     docs = {i: f"{prose(rng.randint(3, 150))} {rng.choice(planted) if i % 2 else ''} {prose(rng.randint(3, 40))}\nRead more here" for i in range(300)}
     docs[300] = docs[1].replace(" ", "  ")
     words = {d: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)] for d, t in docs.items()}
@@ -167,6 +170,20 @@ def test_repeated_lines(spark):
     assert got == [(1, data[0][1]), (2, "Another text."), (3, "Other.\n"), (9, ""), (9, "")]
 
 
+def test_lines_of_whole_documents_by_sql(spark):
+    """Every line of every document against SQL: hot lines and repeats within a document too, with within=True."""
+    con = duckdb.connect()
+    want = con.execute("""WITH l AS (SELECT doc_id, i, t[i] AS line, array_to_string(regexp_extract_all(lower(t[i]), '[\\p{L}\\p{N}]+'), ' ') AS words FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t
+      FROM '/root/testdata/sf0.001/documents.parquet'))), f AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS r FROM l) SELECT doc_id, coalesce(string_agg(words, ' ' ORDER BY i) FILTER (r = 1 AND words <> ''), '') FROM f GROUP BY doc_id""").fetchall()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = substring.substring_dedup(docs, by="lines", within=True).collect()
+    plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    assert {r["doc_id"]: plain(r["text"]) for r in got} == {d: " ".join(w.split()) for d, w in want}
+    hot = spark.createDataFrame([(i, f"Read more about this and that here today now\nown {i}\nown {i}") for i in range(40)], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in substring.substring_dedup(hot, by="lines", within=True).collect()}
+    assert sum("Read more" in t for t in kept.values()) == 1 and all(t.count(f"own {i}") == 1 for i, t in kept.items())
+
+
 def test_knn(spark):
     rng = np.random.default_rng(1)
     data = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(600)] + [(600 + i, [0.1] * 16) for i in range(12)]
