@@ -5,14 +5,16 @@ link when 100 * |A and B| >= percent * |A or B|. The join is exact but for 64-bi
 
 Tokens have one order everywhere: those of the rare class first, then those of the frequent class, each by hash. A set of n tokens has to share at least a = ceil(percent * n / 100) with any partner, so
 partners share a token among the first n - a + 1 of both (their prefixes).
-  1. Of each set the first tokens by hash are written, a few more than a prefix takes. A token that more than RARE sets have there is frequent.
+  1. Of each set the first tokens by hash are written, a few more than a prefix takes. A token that more than RARE sets have there is frequent; so is one that more than RARE of the sets have anywhere whose
+     prefix holds such tokens. Any fixed class of frequent tokens gives right results; a good one keeps buckets small.
   2. A set whose prefix holds rare tokens alone is indexed by those, one by one. If either partner is such a set, the token they share is rare.
   3. Else the set's prefix is extended by as many tokens as may differ between partners (and two): floor((100 - percent) * n / percent) + 2. Partners of this kind share a rare token, or so many frequent ones that two
      of them stand next to each other among the frequent tokens of both. So rare tokens are indexed singly, and frequent ones by combinations of two neighbours: an index linear in the text.
   4. Buckets of the index aren't listed pair by pair: members are held against one centre. Pairs pass bounds on sizes, on the tokens before and after the shared one (for combinations: on frequent
      tokens, as those that share rare ones meet elsewhere), and on parities: with a bit for each residue of token hashes that occurs an odd number of times, sets differ by at least as many tokens as bits.
      Survivors are verified on full sets; first each set's pair with most shared buckets, then, across the components so found, the rest.
-  5. Only buckets that still hold several components pair their other members with these, salted by size; the same bounds, verification and components follow. Pairs within a component change nothing.
+  5. Only buckets that still hold several components hold their other members against these, salted by size, and only where one of the two has enough frequent tokens for any link; the same bounds apply within the
+     join, and verification and components follow. Pairs within a component change nothing.
 
 Null or empty texts have an empty set and link with nothing; very long ones are held one at a time. Rows of one doc_id are one document, linked with whatever one of its texts is linked with. A row whose
 doc_id is null is linked like others but never names a component; where no row with a doc_id is linked with it, component_id is null. An empty table gives no rows. Only doc_id and text are read.
@@ -32,7 +34,7 @@ from quoin.llm.graphs import components
 from quoin.llm.neardup import NO_ID, _mixed, key_of, shingle_set, with_texts
 from quoin.runtime import arrow_limits, durable
 
-RARE, SPARE, FILE, SALTED = 24, 7, 40_000, 128
+RARE, SPARE, FILE, SALTED = 12, 4, 40_000, 128
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -59,7 +61,7 @@ def _sign(k: int, percent: int):
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), k)
                 n = len(s)
-                window = s[: prefix_size(n, percent) + SPARE * n // 100 + 8] if n else None
+                window = s[: prefix_size(n, percent) + SPARE * n // 100 + 4] if n else None
                 out.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), window.view(np.int64), parities(s)) if n else (0, None, None, None))
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=["doc_id", "n", "digest", "window", "odd"])
@@ -79,19 +81,18 @@ def _tokens(k: int):
     return run
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a set in the order of hashes: its signatures in an extended prefix, and how many tokens may be shared before and after each."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set in the order of hashes: its signatures in an extended prefix, and the place of each: that of a rare token, or less than 0 for a combination, by the number of frequent tokens."""
     hot = np.isin(tokens, frequent)
     rare, often, n = tokens[~hot], tokens[hot], len(tokens)
     length = prefix_size(n, percent) - 1 + reach(n, percent)
     rare = rare[:length]
     often = often[: max(0, length - len(rare))]
     pairs = _mixed(_mixed(often[:-1]) + often[1:])
-    at = np.arange(len(rare))
-    return np.concatenate([rare, pairs]), np.concatenate([at, np.zeros(len(pairs), np.int64)]), np.concatenate([n - 1 - at, np.full(len(pairs), int(hot.sum()) - 1)])
+    return np.concatenate([rare, pairs]), np.concatenate([np.arange(len(rare)), np.full(len(pairs), -int(hot.sum()))])
 
 
-_SIGNED = "rep long, n long, sig long, before long, after long"
+_INDEX = "sig long, rep long, n int, place int"
 
 
 def _extended(percent: int):
@@ -100,9 +101,9 @@ def _extended(percent: int):
             for i in range(len(batch)):
                 tokens = batch.column(1)[i].values.to_numpy().view(np.uint64)
                 frequent = batch.column(2)[i]
-                sig, before, after = signatures(tokens, frequent.values.to_numpy().view(np.uint64) if frequent.is_valid else tokens[:0], percent)
-                same = lambda v: pa.array(np.full(len(sig), v, np.int64))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([same(batch.column(0)[i].as_py()), same(len(tokens)), pa.array(sig.view(np.int64)), pa.array(before), pa.array(after)], names=["rep", "n", "sig", "before", "after"])
+                sig, place = signatures(tokens, frequent.values.to_numpy().view(np.uint64) if frequent.is_valid else tokens[:0], percent)
+                same = lambda v, kind: pa.array(np.full(len(sig), v, kind))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), same(batch.column(0)[i].as_py(), np.int64), same(len(tokens), np.int32), pa.array(place.astype(np.int32))], names=["sig", "rep", "n", "place"])
 
     return run
 
@@ -134,26 +135,42 @@ def _differ(x: Column, y: Column) -> Column:
     return F.when(F.size(x) <= F.size(y), count(x, y)).otherwise(count(y, x))
 
 
+def _near(x: str, y: str, both: Column, percent: int) -> Column:
+    """Whether parities allow a link of sets with so many tokens in all: 100 * shared >= percent * joint, as what differs is the joint less the shared."""
+    lengths = F.least(F.size(x), F.size(y)) * 2 >= F.greatest(F.size(x), F.size(y))
+    return lengths & (_differ(F.col(x), F.col(y)) * (100 + percent) <= both * (100 - percent))
+
+
 def _may_share(x: str, y: str, percent: int) -> Column:
-    """Bounds on what two members of a bucket share."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    most = F.least(F.least(f"{x}.before", f"{y}.before") + 1 + F.least(f"{x}.after", f"{y}.after"), nx, ny)
-    return most * (100 + percent) >= (nx + ny) * percent
+    """Bounds on what two members of a bucket share: tokens before and after a shared rare one; for combinations, no more than either's frequent ones."""
+    nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.place"), F.col(f"{y}.place")
+    most = F.when(px < 0, F.least(-px, -py)).otherwise(F.least(px, py) + F.least(nx - px, ny - py))
+    return F.least(most, nx, ny) * (100 + percent) >= (nx + ny) * percent
 
 
 def prefixes(docs: DataFrame, nodes: DataFrame, k: int, percent: int, files: int) -> DataFrame:
-    """(rep, n, sig, before, after): the index, from nodes (rep, n, window) and the texts (doc_id, text) of those whose prefix holds frequent tokens."""
+    """(sig, rep, n, place): the index, from nodes (rep, n, window) and the texts (doc_id, text) of those whose prefix holds frequent tokens."""
     each = nodes.select("rep", F.explode("window").alias("token"))
-    frequent = durable(each.groupBy("token").count().where(F.col("count") > RARE).select("token"), "frequent", files)
-    hit = each.join(frequent, "token", "left_semi").groupBy("rep").agg(F.collect_set("token").alias("hot"))  # at most a window
-    size = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    known = durable(nodes.select("rep", "n", "window").join(hit, "rep", "left").select("rep", "n", F.when(F.col("hot").isNull(), F.col("window")).otherwise(F.array_except("window", "hot")).alias("rare"), size.alias("size")), "prefixes")
-    simple = known.where(F.size("rare") >= F.col("size")).select("rep", "n", F.posexplode(F.slice("rare", F.lit(1), F.col("size").cast("int"))).alias("at", "sig"))
-    simple = simple.select("rep", "n", "sig", F.col("at").cast("long").alias("before"), (F.col("n") - F.col("at") - 1).alias("after"))
-    wanted = known.where(F.size("rare") < F.col("size")).select("rep").distinct()
-    full = durable(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_tokens(k), "rep long, tokens array<long>"), "tokens")
+    size = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
+
+    def known(frequent: DataFrame) -> DataFrame:
+        """(rep, n, rare): rare tokens that make the prefix; null where frequent ones are needed."""
+        hit = each.join(frequent, "token", "left_semi").groupBy("rep").agg(F.collect_set("token").alias("hot"))  # at most a window
+        told = nodes.select("rep", "n", "window").join(hit, "rep", "left").withColumn("rare", F.when(F.col("hot").isNull(), F.col("window")).otherwise(F.array_except("window", "hot")))
+        return told.select("rep", "n", F.when(F.size("rare") >= size, F.slice("rare", F.lit(1), size)).alias("rare"))
+
+    def whole(reps: DataFrame) -> DataFrame:
+        return docs.join(reps.where("rare is null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_tokens(k), "rep long, tokens array<long>")
+
+    many = lambda tokens: tokens.groupBy("token").count().where(F.col("count") > RARE).select("token")
+    first = durable(many(each), "frequent", files)
+    more = many(whole(known(first)).select(F.explode("tokens").alias("token")))
+    frequent = durable(first.unionAll(more).distinct(), "frequent", files)
+    told = durable(known(frequent), "prefixes")
+    full = durable(whole(told), "tokens")
     hot = full.select("rep", F.explode("tokens").alias("token")).join(frequent, "token", "left_semi").groupBy("rep").agg(F.collect_set("token").alias("hot"))
-    return simple.unionAll(full.join(hot, "rep", "left").mapInArrow(_extended(percent), _SIGNED))
+    simple = told.select("rep", "n", F.posexplode("rare").alias("place", "sig")).select("sig", "rep", F.col("n").cast("int").alias("n"), "place")
+    return simple.unionAll(full.join(hot, "rep", "left").mapInArrow(_extended(percent), _INDEX))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -166,16 +183,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     own = signed.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "window", "odd")
     nodes = durable(own.dropDuplicates(["rep", "window", "n"]), "nodes")
     index = durable(prefixes(docs, nodes, k, percent, files), "index")
-    member = F.struct("rep", "n", "before", "after")
-    full = index.groupBy("sig").agg(F.min_by(member, F.struct(-(F.col("before") + F.col("after")) / F.col("n"), "rep")).alias("x"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least != most").select("sig", "x")
-    buckets = durable(index.join(full, "sig").select("sig", F.col("x"), member.alias("y")), "buckets")  # of several sets
+    member = F.struct("rep", "n", "place")
+    shared = index.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least != most").select("sig")
+    own = durable(index.join(shared, "sig", "left_semi"), "shared")  # of several sets
+    centre = own.groupBy("sig").agg(F.min_by(member, F.struct(F.when(F.col("place") < 0, F.col("place") / F.col("n")).otherwise(F.lit(0.0)), "rep")).alias("x"))
+    buckets = durable(own.join(centre, "sig").select("sig", "x", member.alias("y")), "buckets")
     odd = nodes.select("rep", "odd")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb, ...) that parities allow."""
         both = pairs.join(odd.select(F.col("rep").alias("a"), F.col("odd").alias("p")), "a").join(odd.select(F.col("rep").alias("b"), F.col("odd").alias("q")), "b")
-        least = F.least(F.size("p"), F.size("q")) * 2 >= F.greatest(F.size("p"), F.size("q"))
-        return both.where(least & (_differ(F.col("p"), F.col("q")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).drop("p", "q")
+        return both.where(_near("p", "q", F.col("na") + F.col("nb"), percent)).drop("p", "q")
 
     found = buckets.where(F.col("x.rep") != F.col("y.rep")).where(_may_share("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
@@ -202,12 +220,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     named = buckets.select("sig", "y", F.col("y.rep").alias("rep")).join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "y", F.coalesce("component", "rep").alias("c"))
     sizes = named.groupBy("sig", "c").agg(F.count("*").alias("size"))
     several = sizes.groupBy("sig").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1").select("sig", "main", F.ceil(F.col("size") / SALTED).cast("int").alias("salts"))
-    mixed = durable(named.join(several, "sig"), "mixed")
-    few = mixed.where("c != main").select("sig", F.col("y").alias("x"), F.col("c").alias("cx"), F.pmod(F.xxhash64("y.rep"), F.col("salts")).cast("int").alias("salt"))
-    all_ = mixed.select("sig", "y", "c", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    met = few.join(all_, ["sig", "salt"]).where("cx != c and (c = main or x.rep < y.rep)").where(_may_share("x", "y", percent))
-    met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.when(F.col("x.rep") < F.col("y.rep"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.col("x.rep") < F.col("y.rep"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
-    crossing = durable(bounded(met.distinct()).select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing", files)
+    strong = (F.col("y.place") >= 0) | (-F.col("y.place") * (100 + percent) >= F.col("y.n") * 2 * percent)  # of combinations: two sets with fewer frequent tokens can't link
+    mixed = durable(named.join(several, "sig").join(odd.withColumnRenamed("rep", "its rep"), F.col("y.rep") == F.col("its rep")).withColumn("y", F.struct("y.rep", "y.n", "y.place", "odd")).drop("odd", "its rep").withColumn("strong", strong), "mixed")
+    few = mixed.where("c != main").select(F.col("sig").alias("own sig"), F.col("y").alias("x"), F.col("c").alias("cx"), F.pmod(F.xxhash64("y.rep"), F.col("salts")).cast("int").alias("own salt"), F.explode(F.when(F.col("strong"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("meets"))
+    all_ = mixed.select("sig", "y", "c", "main", "strong", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    able = _may_share("x", "y", percent) & _near("x.odd", "y.odd", F.col("x.n") + F.col("y.n"), percent)
+    met = few.join(all_, F.expr("`own sig` = sig and `own salt` = salt and meets = strong and cx != c and (c = main or x.rep < y.rep)") & able)
+    met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    crossing = durable(met.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing", files)
     if not crossing.isEmpty():
         links = links.unionAll(confirmed(crossing))
         comp = components(links, files=files)
