@@ -16,6 +16,10 @@ EVIDENCE = "struct<card:string,phrase:string,before:string,after:string,nth:int>
 FIELD = f"struct<value:string,kind:string,warrant:string,evidence:array<{EVIDENCE}>>"
 RUBRIC = f"schema string, dimension string, panel array<string>, admission string, approved_digest string, derived_from string, note string, fingerprint struct<sources:map<string,string>>, criteria array<struct<id:string,criticality:string,statement:{FIELD},guidance:{FIELD},fields:map<string,{FIELD}>,levels:array<struct<score:int,descriptor:{FIELD}>>,evidence:array<{EVIDENCE}>>>"
 KINDS = ("explicit", "paraphrase", "derived", "operator_policy", "unknown")
+# Names of the schema, of rubrics (they are file names), of criteria, of slots that are no names, and digests.
+SCHEMA = "criterion-spec/v1"
+SCHEMAS, DIMENSION, NAME, SLOT, SHA = r"^(?:[a-z]+\.)?criterion-spec/v1$", r"^[A-Za-z][A-Za-z0-9_-]*$", r"^[A-Za-z][A-Za-z0-9._-]*$", r"^[A-Za-z]\d+[A-Za-z]?$", r"^[0-9a-f]{64}$"
+APPROVAL = ("admission", "approved_digest")
 
 
 def load_rubric(text: str, most: int = 4 << 20) -> dict:
@@ -42,7 +46,7 @@ def _canonical(value: object) -> str:
 
 def rubric_digest(rubric: dict) -> str:
     """SHA-256 of the canonical JSON without what approval writes: what was approved."""
-    return _canonical({k: v for k, v in rubric.items() if k not in ("admission", "approved_digest")})
+    return _canonical({k: v for k, v in rubric.items() if k not in APPROVAL})
 
 
 def rubric_identity(rubric: dict) -> str:
@@ -121,6 +125,82 @@ def rubric_problems(rubric: object) -> list[str]:
     return found
 
 
+def _kind(v: Column) -> Column:
+    """The kind of a JSON value: STRING, BIGINT, BOOLEAN, OBJECT, ARRAY, VOID ...; null where there is none."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _part(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "variant")
+
+
+def body_digest(v: Column) -> Column:
+    """rubric_digest as a column, of a rubric's JSON as a variant: keys are sorted and values compact there. It is the same for all JSON whose numbers are whole, as a rubric's are."""
+    own = F.try_variant_get(v, "$", "map<string,variant>")
+    names = F.array_sort(F.filter(F.map_keys(own), lambda k: ~k.isin(*APPROVAL)))
+    said = F.transform(names, lambda k: F.concat(F.substr(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.to_json(own[k])))
+    text = F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}"))
+    for x in "ABCDEF":  # of control characters; backslashes before them are pairs
+        text = F.regexp_replace(text, rf"((?<!\\)(?:\\\\)*\\u00[01]){x}", rf"$1{x.lower()}")
+    return F.sha2(text, 256)
+
+
+def type_problems(v: Column) -> Column:
+    """rubric_problems as a column, of a rubric's JSON as a variant (null: no JSON, or a key twice): where types are wrong, as paths, with the kind that stands there. true and false are no numbers."""
+    none = F.array().cast("array<string>")
+
+    def want(x: Column, kinds: tuple[str, ...], at: Column, may_lack: bool = False) -> Column:
+        k = _kind(x)
+        ok = F.coalesce(k.isin(*kinds), F.lit(False)) | (F.coalesce(k == "VOID", F.lit(True)) if may_lack else F.lit(False))
+        return F.when(ok, none).otherwise(F.array(F.concat(at, F.lit(": "), F.coalesce(F.lower(k), F.lit("missing")))))
+
+    def each(x: Column, at: Column, told) -> Column:
+        """What is told of every element of a list."""
+        items = F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
+        return F.flatten(F.transform(items, lambda e, i: told(e, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+
+    sub = lambda at, key: F.concat(at, F.lit(f".{key}"))
+    text, whole, thing, many = ("STRING",), ("BIGINT",), ("OBJECT",), ("ARRAY",)
+
+    def anchor(e: Column, at: Column) -> Column:
+        refused = F.when(_kind(_part(e, "regex")).isNotNull(), F.array(F.concat(at, F.lit(".regex: not allowed")))).otherwise(none)
+        fields = [want(_part(e, "card"), text, sub(at, "card")), want(_part(e, "phrase"), text, sub(at, "phrase")), *(want(_part(e, k), kind, sub(at, k), True) for k, kind in (("before", text), ("after", text), ("nth", whole)))]
+        return F.when(_kind(e) == "OBJECT", F.concat(*fields, refused)).otherwise(want(e, thing, at))
+
+    def anchors(x: Column, at: Column) -> Column:
+        return F.concat(want(x, many, at, True), each(x, at, anchor))
+
+    def envelope(x: Column, at: Column, may_lack: bool = False) -> Column:
+        fields = [want(_part(x, "value"), text, sub(at, "value"), True), want(_part(x, "kind"), text, sub(at, "kind")), want(_part(x, "warrant"), text, sub(at, "warrant"), True), anchors(_part(x, "evidence"), sub(at, "evidence"))]
+        return F.when(_kind(x) == "OBJECT", F.concat(*fields)).otherwise(want(x, thing, at, may_lack))
+
+    def criterion(c: Column, at: Column) -> Column:
+        levels = lambda e, i: F.when(_kind(e) == "OBJECT", F.concat(want(_part(e, "score"), whole, sub(i, "score")), envelope(_part(e, "descriptor"), sub(i, "descriptor")))).otherwise(want(e, thing, i))
+        further = F.coalesce(F.try_variant_get(_part(c, "fields"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+        more = F.flatten(F.transform(F.array_sort(F.map_keys(further)), lambda k: envelope(further[k], F.concat(at, F.lit(".fields."), k))))
+        parts = [
+            want(_part(c, "id"), text, sub(at, "id")), want(_part(c, "criticality"), text, sub(at, "criticality"), True), envelope(_part(c, "statement"), sub(at, "statement")), envelope(_part(c, "guidance"), sub(at, "guidance"), True),
+            anchors(_part(c, "evidence"), sub(at, "evidence")), want(_part(c, "fields"), thing, sub(at, "fields"), True), more, want(_part(c, "levels"), many, sub(at, "levels")), each(_part(c, "levels"), sub(at, "levels"), levels),
+        ]
+        return F.when(_kind(c) == "OBJECT", F.concat(*parts)).otherwise(want(c, thing, at))
+
+    panel = F.coalesce(F.try_variant_get(_part(v, "panel"), "$", "array<variant>"), F.array().cast("array<variant>"))
+    named = F.when((_kind(_part(v, "panel")) == "ARRAY") & ((F.size(panel) == 0) | F.exists(panel, lambda c: (_kind(c) != "STRING") | (F.try_variant_get(c, "$", "string") == ""))), F.array(F.lit("panel: names of cards, one at least"))).otherwise(none)
+    all_ = F.concat(want(_part(v, "dimension"), text, F.lit("dimension")), want(_part(v, "panel"), many, F.lit("panel")), named, want(_part(v, "criteria"), many, F.lit("criteria")), each(_part(v, "criteria"), F.lit("criteria"), criterion))
+    return F.when(v.isNull(), F.array(F.lit("rubric: no JSON, or a key is repeated"))).when(_kind(v) == "OBJECT", all_).otherwise(F.array(F.concat(F.lit("rubric: "), F.lower(_kind(v)))))
+
+
+def read_rubrics(rows: DataFrame, text: str = "text", most: int = 4 << 20) -> DataFrame:
+    """A table of rubrics' JSON texts as the rubrics' fields, body_digest and problems (paths whose types are wrong; such rubrics must not be used), after the columns of rows but for the text.
+
+    A text over the size is no rubric; nor is one in which a key is repeated, or with constants that aren't JSON.
+    """
+    v = F.when(F.octet_length(text) <= most, F.try_parse_json(text))
+    read = rows.withColumn("json ", v).withColumn("rubric ", F.from_json(text, RUBRIC))
+    kept = [f"`{c}`" for c in rows.columns if c != text]
+    return read.select(*kept, "`rubric `.*", body_digest(F.col("json ")).alias("body_digest"), type_problems(F.col("json ")).alias("problems"))
+
+
 def criterion_key(c: Column) -> Column:
     """The digest of what a criterion says (id, statement, guidance, levels): what was derived for one wording isn't used for another under the same id."""
     levels = F.array_join(F.transform(c["levels"], lambda x: F.concat(x["score"].cast("string"), F.lit("="), F.coalesce(x["descriptor"]["value"], F.lit("")))), "|")
@@ -144,8 +224,12 @@ def _blank(c: Column) -> Column:
 
 
 def violations(rubrics: DataFrame) -> DataFrame:
-    """(dimension, criterion, rule) of each broken rule; none means that the structure holds."""
+    """(dimension, criterion, rule) of each broken rule; none means that the structure holds. Rules on a rubric as a whole have no criterion.
+
+    rubrics as read_rubrics makes them: without the column body_digest no approval holds, as nobody can tell what was approved.
+    """
     rows = criteria(rubrics)
+    own = lambda name: F.col(name) if name in rubrics.columns else F.lit(None)
     c, at = "c", lambda rule, when: (rule, when)
     levels = F.col("c.levels")
     fields = _fields(F.col("c"))
@@ -160,12 +244,14 @@ def violations(rubrics: DataFrame) -> DataFrame:
     )
     cited = F.flatten(F.array_append(F.transform(fields, lambda f: F.coalesce(f["evidence"], F.array().cast(f"array<{EVIDENCE}>"))), F.coalesce(F.col("c.evidence"), F.array().cast(f"array<{EVIDENCE}>"))))
     rules = [
-        at("id", ~F.col("c.id").rlike(r"^[A-Za-z][A-Za-z0-9._-]*$") | _blank(F.col("c.id"))),
-        at("id-positional", F.col("c.id").rlike(r"^[A-Za-z]\d+[A-Za-z]?$")),
+        at("id", ~F.coalesce(F.col("c.id").rlike(NAME), F.lit(False)) | _blank(F.col("c.id"))),
+        at("id-positional", F.col("c.id").rlike(SLOT)),
+        at("statement-unknown", F.coalesce(F.col("c.statement.kind") == "unknown", F.lit(True))),
+        at("evidence", F.coalesce(F.size("c.evidence") < 1, F.lit(True))),
         at("field-name", F.exists(F.map_keys("c.fields"), _blank)),
         at("level-unknown", F.exists(levels, lambda x: x["descriptor"]["kind"] == "unknown")),
         at("criticality", F.col("c.criticality") != "required"),
-        at("levels", (F.size(levels) < 2) | F.exists(F.transform(levels, lambda x, i: x["score"] != i), lambda b: b)),
+        at("levels", levels.isNull() | (F.size(levels) < 2) | F.exists(F.transform(levels, lambda x, i: x["score"] != i), lambda b: b)),
         at("envelope", F.exists(fields, bad)),
         at("panel", F.size(F.array_except(F.transform(cited, lambda e: e["card"]), F.col("panel"))) > 0),
         at("nth", F.exists(cited, lambda e: e["nth"] < 1)),
@@ -174,7 +260,28 @@ def violations(rubrics: DataFrame) -> DataFrame:
     broken = F.filter(F.array(*[F.when(F.coalesce(w, F.lit(False)), F.lit(r)) for r, w in rules]), lambda r: r.isNotNull())
     each = rows.select("dimension", F.col("c.id").alias("criterion"), F.explode(broken).alias("rule"))
     twice = rows.groupBy("dimension", F.col("c.id").alias("criterion")).agg(F.count("*").alias("n")).where("n > 1").select("dimension", "criterion", F.lit("id-repeated").alias("rule"))
-    return each.unionByName(twice)
+    panel, pins = own("panel").cast("array<string>"), own("fingerprint")["sources"] if "fingerprint" in rubrics.columns else F.lit(None).cast("map<string,string>")
+    no = lambda c: F.coalesce(c, F.lit(True))
+    whole = [
+        at("schema", no(~own("schema").cast("string").rlike(SCHEMAS))),
+        at("dimension", no(~F.col("dimension").cast("string").rlike(DIMENSION))),
+        at("panel-empty", no(F.size(panel) < 1)),
+        at("panel-repeated", F.size(F.array_distinct(panel)) < F.size(panel)),
+        at("criteria-empty", no(F.size("criteria") < 1)),
+        at("pin", F.exists(F.map_values(pins), lambda x: no(~x.rlike(SHA)))),
+        at("admission", ~own("admission").cast("string").isin("candidate", "human_approved")),
+        at("approved-digest", (own("admission") == "human_approved") & no(own("approved_digest").cast("string") != own("body_digest").cast("string"))),
+        at("types", F.size(own("problems").cast("array<string>")) > 0),
+    ]
+    broken = F.filter(F.array(*[F.when(F.coalesce(w, F.lit(False)), F.lit(r)) for r, w in whole]), lambda r: r.isNotNull())
+    return each.unionByName(twice).unionByName(rubrics.select("dimension", F.lit(None).cast("string").alias("criterion"), F.explode(broken).alias("rule")))
+
+
+def pins(rubrics: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """(dimension, card, pinned) of every card of every panel, pinned being null where nothing pins it. pinned (dimension, card, pinned), or else the rubrics' own fingerprints."""
+    if pinned is None:
+        return rubrics.select("dimension", F.explode("panel").alias("card"), F.col("fingerprint.sources").alias("s")).select("dimension", "card", F.col("s")[F.col("card")].alias("pinned"))
+    return rubrics.select("dimension", F.explode("panel").alias("card")).join(pinned.select("dimension", "card", "pinned"), ["dimension", "card"], "left")
 
 
 def fingerprint(panel: DataFrame, live: DataFrame) -> DataFrame:
@@ -213,11 +320,11 @@ def verdicts(scale: DataFrame, scores: DataFrame, hurdle: int = 60) -> DataFrame
 
 
 def bindings(rubrics: DataFrame) -> DataFrame:
-    """(dimension, criterion, ord, card, marker) of every piece of evidence of every criterion, levels' and fields' included, in order."""
+    """(dimension, criterion, ord, card, marker) of every piece of evidence of every criterion, levels' and fields' included, in order. A criterion that cites nothing itself is one row without ord."""
     c = F.col("c")
     none = F.array().cast(f"array<{EVIDENCE}>")
     all_ = F.concat(F.coalesce(c["evidence"], none), F.flatten(F.transform(_fields(c), lambda f: F.coalesce(f["evidence"], none))))
-    rows = criteria(rubrics).select("dimension", c["id"].alias("criterion"), F.posexplode(all_).alias("ord", "e"))
+    rows = criteria(rubrics).select("dimension", c["id"].alias("criterion"), F.posexplode_outer(F.when(F.size(F.coalesce(c["evidence"], none)) > 0, all_)).alias("ord", "e"))
     mark = F.struct(F.col("e.phrase").alias("phrase"), F.lit(False).alias("regex"), F.col("e.before").alias("before"), F.col("e.after").alias("after"), F.col("e.nth").alias("nth"))
     return rows.select("dimension", "criterion", "ord", F.col("e.card").alias("card"), mark.alias("marker"))
 
@@ -226,14 +333,15 @@ def ground(bound: DataFrame, cards: DataFrame, today: str, require_stamp: bool =
     """Each binding against the one card that it declares: status, and grounded (found or folded-only). cards (card, text, stored_sha, review_by)."""
     from quoin.operators.grounding import evidence_status
 
-    done = evidence_status(bound.join(cards, "card", "left"), today, require_stamp)
-    return done.select("dimension", "criterion", "ord", "card", "status", F.col("status").isin("found", "folded-only").alias("grounded"))
+    done = evidence_status(bound.where("ord is not null").join(cards, "card", "left"), today, require_stamp)
+    told = done.select("dimension", "criterion", "ord", "card", "status", F.col("status").isin("found", "folded-only").alias("grounded"))
+    return told.unionByName(bound.where("ord is null").select("dimension", "criterion", "ord", "card", F.lit("not-grounded").alias("status"), F.lit(False).alias("grounded")))
 
 
 def first_failures(grounded: DataFrame) -> DataFrame:
-    """(dimension, criterion, status): found, or the first failure in the order of bindings; a criterion without evidence isn't in it."""
+    """(dimension, criterion, status): found, or the first failure in the order of bindings; of a criterion without bindings (where told) not-grounded."""
     bad = F.min_by("status", F.when(~F.col("grounded"), F.col("ord")))
-    return grounded.groupBy("dimension", "criterion").agg(F.coalesce(bad, F.lit("found")).alias("status"))
+    return grounded.groupBy("dimension", "criterion").agg(F.coalesce(bad, F.when(F.count("ord") == 0, "not-grounded"), F.lit("found")).alias("status"))
 
 
 def explicit_gaps(rubrics: DataFrame, cards: DataFrame, today: str = "0001-01-01", require_stamp: bool = False) -> DataFrame:
@@ -253,18 +361,22 @@ def _stamped(cards: DataFrame) -> DataFrame:
     return cards.select("card", "text", *[(F.col(c) if c in cards.columns else none).alias(c) for c in ("stored_sha", "review_by")])
 
 
-def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame, scores: DataFrame, today: str, hurdle: int = 60, require_stamp: bool = True) -> DataFrame:
-    """(draft, dimension, outcome, reason, points, defects): go or recycle, or unavailable with its first reason.
+def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame | None, scores: DataFrame, today: str, hurdle: int = 60, require_stamp: bool = True, calibrated: DataFrame | None = None) -> DataFrame:
+    """(draft, dimension, outcome, reason, points, defects, calibrated): go or recycle, or unavailable with its first reason.
 
-    The gates in order: the rubric is approved; its rules hold; its panel is as pinned; every binding grounds; explicit quotes stand in their cards; the scores are complete and in
-    range. rubrics have admission; pinned (dimension, card, pinned).
+    The gates in order: a person approved this very content; its rules hold; every card of its panel is installed, pinned and as pinned; every binding grounds; explicit quotes stand in their cards; the
+    scores are complete and in range. Whatever can't be told keeps the gate shut. rubrics as read_rubrics makes them; pinned as for pins(). calibrated (dimension): the rubrics on which the judge was measured
+    against people and agreed; of others, and without the table, the verdict says false.
     """
+    from quoin.runtime import durable
+
+    rubrics = durable(rubrics, "rubrics")  # every gate reads them
     why = lambda df, rank, reason: df.select("dimension", F.struct(F.lit(rank).alias("rank"), reason.alias("reason")).alias("w"))
     live = cards.select("card", F.sha2("text", 256).alias("sha"))
     gates = [
-        why(rubrics.where(F.coalesce(F.col("admission") != "human_approved", F.lit(True))), 1, F.lit("not-approved")),
+        why(rubrics.where(~F.coalesce((F.col("admission") == "human_approved") & (F.col("approved_digest") == (F.col("body_digest") if "body_digest" in rubrics.columns else F.lit(None))), F.lit(False))), 1, F.lit("not-approved")),
         why(violations(rubrics), 2, F.concat(F.lit("rule-"), "rule")),
-        why(fingerprint(pinned, live), 3, F.concat(F.lit("panel-"), "problem")),
+        why(fingerprint(pins(rubrics, pinned), live), 3, F.concat(F.lit("panel-"), "problem")),
         why(ground(bindings(rubrics), cards, today, require_stamp).where("not grounded"), 4, F.concat(F.lit("evidence-"), "status")),
         why(explicit_gaps(rubrics, cards, today, require_stamp), 5, F.lit("quote-rotted")),
     ]
@@ -275,10 +387,11 @@ def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame, scores: Data
     scale = criteria(rubrics).select("dimension", F.col("c.id").alias("criterion"), (F.size("c.levels") - 1).alias("top"))
     judged = verdicts(scale, scores, hurdle)
     drafts = scores.select("draft", "dimension").distinct().join(rubrics.select("dimension"), "dimension")
-    rows = drafts.join(first, "dimension", "left").join(judged, ["draft", "dimension"], "left")
+    known = calibrated.select("dimension").distinct().withColumn("calibrated", F.lit(True)) if calibrated is not None else rubrics.select("dimension").where("false").withColumn("calibrated", F.lit(True))
+    rows = drafts.join(first, "dimension", "left").join(judged, ["draft", "dimension"], "left").join(known, "dimension", "left")
     reason = F.coalesce(F.col("w.reason"), F.when(F.col("go").isNull(), "scores"))
     outcome = F.when(reason.isNotNull(), "unavailable").when(F.col("go"), "go").otherwise("recycle")
-    return rows.select("draft", "dimension", outcome.alias("outcome"), reason.alias("reason"), F.when(reason.isNull(), F.col("points")).alias("points"), F.when(reason.isNull(), F.col("defects")).alias("defects"))
+    return rows.select("draft", "dimension", outcome.alias("outcome"), reason.alias("reason"), F.when(reason.isNull(), F.col("points")).alias("points"), F.when(reason.isNull(), F.col("defects")).alias("defects"), (reason.isNull() & F.coalesce("calibrated", F.lit(False))).alias("calibrated"))
 
 
 # How a move begins, what marks it as advice, and what of its text is a marker.
@@ -360,7 +473,7 @@ def derive(moves: DataFrame, panel: DataFrame, cards: DataFrame, today: str, lev
     body = named.join(cited, ["dimension", "ord"]).groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(c), lambda x, y: x["ord"] - y["ord"]), lambda x: x.dropFields("ord")).alias("criteria"))
     pins = live.groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "card"))), lambda x: x["card"]).alias("panel"), F.map_from_entries(F.collect_list(F.struct("card", "sha"))).alias("sources"))
     sound = body.join(pins, "dimension").join(problems.select("dimension").distinct(), "dimension", "left_anti")
-    return sound.select("dimension", "panel", F.lit("candidate").alias("admission"), F.concat(F.lit("_syntheses/"), "dimension", F.lit(".md")).alias("derived_from"), F.struct("sources").alias("fingerprint"), "criteria"), problems
+    return sound.select(F.lit(SCHEMA).alias("schema"), "dimension", "panel", F.lit("candidate").alias("admission"), F.concat(F.lit("_syntheses/"), "dimension", F.lit(".md")).alias("derived_from"), F.struct("sources").alias("fingerprint"), "criteria"), problems
 
 
 def pinned(rubric: dict, live: dict[str, str | None], approve: bool = False) -> dict:

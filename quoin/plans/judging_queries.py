@@ -101,13 +101,13 @@ def a3_board_rollup(spark, sf_dir):
     return r.select(F.coalesce("source", F.lit("all")).alias("shelf"), F.coalesce("lang", F.lit("all")).alias("zoom"), "cards", "chars")
 
 
-@query("SELECT doc_id AS card, CASE WHEN doc_id % 6 = 0 THEN 'missing' WHEN doc_id % 6 = 1 THEN 'unpinned' ELSE 'drifted' END AS problem FROM documents WHERE doc_id % 6 < 3")
+@query("SELECT doc_id AS card, CASE WHEN doc_id % 6 = 0 THEN 'missing' WHEN doc_id % 6 IN (1, 4) THEN 'unpinned' ELSE 'drifted' END AS problem FROM documents WHERE doc_id % 6 IN (0, 1, 2, 4)")
 def j18_fingerprint(spark, sf_dir):
-    """A panel's pinned digests against live sources."""
-    d = docs(spark, sf_dir).select(F.col("doc_id").alias("card"), F.sha2("text", 256).alias("sha"))
-    k = F.col("card") % 6
-    panel = d.select(F.lit("d").alias("dimension"), "card", F.when(k == 1, F.lit(None)).when(k == 2, "0").otherwise(F.col("sha")).alias("pinned"))
-    return gate.fingerprint(panel, d.where(k != 0)).select("card", "problem")
+    """Panels of a card each against live sources: not installed, pinned as null, pinned as something else, or not among the pins at all."""
+    d = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("card"), F.sha2("text", 256).alias("sha"), (F.col("doc_id") % 6).alias("k"))
+    rubrics = d.select(F.col("card").alias("dimension"), F.array("card").alias("panel"))
+    pinned = d.where("k != 4").select(F.col("card").alias("dimension"), "card", F.when(F.col("k") == 1, F.lit(None)).when(F.col("k") == 2, "0").otherwise(F.col("sha")).alias("pinned"))
+    return gate.fingerprint(gate.pins(rubrics, pinned), d.where("k != 0").select("card", "sha")).select(F.col("card").cast("long").alias("card"), "problem")
 
 
 _CITED = "SELECT doc_id, split_part(split_part(text, E'\\n', 1), ' ', 2) AS phrase FROM documents"
@@ -115,14 +115,15 @@ _CITED = "SELECT doc_id, split_part(split_part(text, E'\\n', 1), ' ', 2) AS phra
 
 @query(f"""WITH p AS ({_CITED}), f AS (SELECT p.doc_id, p.phrase, {FLAT.replace('text', 'd.text')} AS flat, {sql_norm('phrase')} AS n FROM p JOIN documents d ON d.doc_id = p.doc_id), g AS (SELECT *, regexp_replace(flat, '-\\s*', '', 'g') AS nohy, regexp_replace(n, '-\\s*', '', 'g') AS nd FROM f),
   k AS (SELECT doc_id, CASE WHEN n = '' THEN 0 WHEN contains(flat, n) THEN (length(flat) - length(replace(flat, n, ''))) // length(n) WHEN nd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, nd, ''))) // length(nd) END AS c FROM g)
-  SELECT 'aim-' || doc_id % 20 || 'x' AS criterion, count(*)::BIGINT AS bindings, sum((c = 1)::INT)::BIGINT AS grounded, (ARRAY_AGG(CASE WHEN c = 0 THEN 'not-found' ELSE 'ambiguous' END ORDER BY doc_id) FILTER (WHERE c <> 1))[1] AS first_failure FROM k GROUP BY 1""")
+  SELECT 'aim-' || doc_id % 20 || 'x' AS criterion, count(*)::BIGINT AS bindings, sum((c = 1)::INT)::BIGINT AS grounded, (ARRAY_AGG(CASE WHEN c = 0 THEN 'not-found' ELSE 'ambiguous' END ORDER BY doc_id) FILTER (WHERE c <> 1))[1] AS first_failure FROM k GROUP BY 1 UNION ALL SELECT 'bare-' || doc_id, 0, 0, 'not-grounded' FROM documents WHERE doc_id % 50 = 7""")
 def j8_declared_binding(spark, sf_dir):
-    """Each binding against the one card that it declares; a criterion's first failure in the order of its bindings."""
+    """Each binding against the one card that it declares; a criterion's first failure in the order of its bindings, or that it has none."""
     d = docs(spark, sf_dir)
     bound = d.select(F.lit("d").alias("dimension"), F.concat(F.lit("aim-"), (F.col("doc_id") % 20).cast("string"), F.lit("x")).alias("criterion"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("card"), marker(F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(2))).alias("marker"))
+    bare = d.where("doc_id % 50 = 7").select(F.lit("d").alias("dimension"), F.concat(F.lit("bare-"), F.col("doc_id").cast("string")).alias("criterion"), *[F.lit(None).cast(bound.schema[c].dataType).alias(c) for c in ("ord", "card", "marker")])
     live = d.select(F.col("doc_id").alias("card"), "text", F.lit(None).cast("string").alias("stored_sha"), F.lit(None).cast("string").alias("review_by"))
-    done = gate.ground(bound, live, "2026-01-01", require_stamp=False)
-    n = done.groupBy("criterion").agg(F.count("*").alias("bindings"), F.count_if(F.col("grounded")).alias("grounded"))
+    done = gate.ground(bound.unionByName(bare), live, "2026-01-01", require_stamp=False)
+    n = done.groupBy("criterion").agg(F.count("ord").alias("bindings"), F.count_if(F.col("grounded")).alias("grounded"))
     first = gate.first_failures(done).select("criterion", F.nullif("status", F.lit("found")).alias("first_failure"))
     return n.join(first, "criterion")
 

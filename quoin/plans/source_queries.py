@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from quoin.functions.anchors import parse_markers
 from quoin.operators import evaluation, gate, grounding, ingestion, normalize
 from quoin.operators import services as S
-from quoin.plans.grounding_queries import TODAY
+from quoin.plans.grounding_queries import FLAT, TODAY
 from quoin.plans.registry import query
 from quoin.plans.text_queries import docs, sql_norm
 from quoin.runtime import durable, scratch, shared_dir
@@ -298,39 +299,100 @@ def r15_craft_moves(spark, sf_dir):
     return moves.select(F.col("dimension").alias("id"), "ord", F.when(F.col("body").isNotNull(), F.col("name")).alias("name"), "criticality", "guidance", "problem", F.when(F.col("body").isNotNull(), F.size("markers")).alias("anchors"))
 
 
-_RULES = "CASE doc_id % 8 WHEN 0 THEN 'id-positional' WHEN 1 THEN 'levels' WHEN 2 THEN 'panel' WHEN 3 THEN 'nth' WHEN 4 THEN 'envelope' WHEN 5 THEN 'criticality' WHEN 6 THEN 'id' END"
+_RULES = "['id-positional', 'levels', 'panel', 'nth', 'envelope', 'criticality', 'id', NULL, 'schema', 'evidence', 'statement-unknown', 'panel-empty', 'approved-digest', 'pin', 'dimension', 'panel-repeated'][doc_id % 16 + 1]"
 
 
-@query(f"SELECT doc_id AS id, {_RULES} AS rule FROM documents WHERE doc_id % 8 < 7")
+@query(f"SELECT doc_id AS id, {_RULES} AS rule FROM documents WHERE doc_id % 16 <> 7 UNION ALL SELECT doc_id, unnest(['panel', 'types']) FROM documents WHERE doc_id % 16 = 11")
 def r18_rubric_rules(spark, sf_dir):
-    """One broken rule in each rubric but every eighth: a slot for an id, a gap in the scale, a card off the panel, #0, an envelope in a further field without its warrant, and so on."""
+    """One broken rule in each rubric but every sixteenth: a slot for an id, a gap in the scale, a card off the panel, #0, an envelope in a further field without its warrant, no evidence, an approval of other content, and so on."""
 
     def made(ids: pd.Series) -> pd.Series:
         def one(i):
-            k = i % 8
+            k = i % 16
             field = {"value": "v", "kind": "derived", "warrant": "w"}
-            c = {"id": "C1" if k == 0 else "9x" if k == 6 else "aim", "criticality": "optional" if k == 5 else "required", "statement": field, "guidance": {"kind": "unknown"}, "fields": {"more": {"value": "v", "kind": "paraphrase"} if k == 4 else field}}
-            c |= {"levels": [{"score": 0, "descriptor": field}, {"score": 2 if k == 1 else 1, "descriptor": field}], "evidence": [{"card": "z" if k == 2 else "k", "phrase": "p"} | ({"nth": 0} if k == 3 else {})]}
-            return json.dumps({"dimension": str(i), "panel": ["k"], "criteria": [c]})
+            c = {"id": "C1" if k == 0 else "9x" if k == 6 else "aim", "criticality": "optional" if k == 5 else "required", "statement": {"kind": "unknown"} if k == 10 else field, "guidance": {"kind": "unknown"}, "fields": {"more": {"value": "v", "kind": "paraphrase"} if k == 4 else field}}
+            c |= {"levels": [{"score": 0, "descriptor": field}, {"score": 2 if k == 1 else 1, "descriptor": field}], "evidence": [] if k == 9 else [{"card": "z" if k == 2 else "k", "phrase": "p"} | ({"nth": 0} if k == 3 else {})]}
+            doc = {"schema": "criterion-spec/v2" if k == 8 else gate.SCHEMA, "dimension": f"r.{i}" if k == 14 else f"r-{i}", "panel": [] if k == 11 else ["k", "k"] if k == 15 else ["k"], "criteria": [c]}
+            if k == 12:
+                doc |= {"admission": "human_approved", "approved_digest": "0" * 64}
+            return json.dumps(doc | ({"fingerprint": {"sources": {"k": "A" * 64}}} if k == 13 else {}))
 
         return ids.map(one)
 
-    rows = docs(spark, sf_dir).select(F.from_json(F.pandas_udf(made, "string")(number()), gate.RUBRIC).alias("r")).select("r.*")
-    return gate.violations(rows).select(F.col("dimension").cast("long").alias("id"), "rule")
+    rows = gate.read_rubrics(docs(spark, sf_dir).select(F.pandas_udf(made, "string")(number()).alias("text")))
+    return gate.violations(rows).select(F.substring("dimension", 3, 20).cast("long").alias("id"), "rule")
+
+
+@query("""SELECT doc_id AS id, (CASE doc_id % 8 WHEN 0 THEN 'criteria[0].evidence[0].nth: boolean' WHEN 1 THEN 'criteria[0].levels[1].score: boolean' WHEN 2 THEN 'panel: names of cards, one at least' WHEN 3 THEN 'criteria[0].evidence[0].regex: not allowed' WHEN 4 THEN 'criteria[0].fields.more: string'
+  WHEN 5 THEN 'rubric: no JSON, or a key is repeated' WHEN 6 THEN 'criteria[0].levels: missing; criteria[0].statement.kind: decimal' ELSE '' END) AS problems FROM documents""")
+def h11_rubric_types(spark, sf_dir):
+    """Rubrics of which most have a value of a wrong type: the paths of those, true being no number."""
+
+    def made(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(i, text):
+            k = i % 8
+            field = {"value": text, "kind": "derived", "warrant": "w"}
+            c = {"id": "aim", "statement": field | ({"kind": 1.5} if k == 6 else {}), "fields": {"more": "v" if k == 4 else field}, "evidence": [{"card": "k", "phrase": "p"} | ({"nth": True} if k == 0 else {"regex": 0} if k == 3 else {"nth": 1})]}
+            c |= {} if k == 6 else {"levels": [{"score": 0, "descriptor": field}, {"score": True if k == 1 else 1, "descriptor": field}]}
+            return ('{"note": 1, "note": 2, ' if k == 5 else "{") + json.dumps({"dimension": "d", "panel": [""] if k == 2 else ["k"], "criteria": [c]})[1:]
+
+        return pd.Series([one(i, t) for i, t in zip(ids, texts, strict=True)])
+
+    rows = docs(spark, sf_dir).select(number().alias("id"), F.pandas_udf(made, "string")(number(), F.coalesce("text", F.lit(""))).alias("text"))
+    return gate.read_rubrics(rows).select("id", F.array_join(F.array_sort("problems"), "; ").alias("problems"))
+
+
+@query("""SELECT doc_id AS id, sha256('{"a":[' || doc_id || ',null,true],"dimension":"d","k:' || coalesce(lang, '') || '":' || to_json(coalesce(text, ''))::VARCHAR || ',"z":{"b":"\\u001f","é":{}}}') AS digest FROM documents""")
+def h2_rubric_digest(spark, sf_dir):
+    """The digest of what is approved: keys in order, nothing between values, without the approval itself, whatever the text is."""
+    text = F.to_json(F.array(F.coalesce("text", F.lit(""))))
+    doc = say('{ "z" : {"é" : { }, "b" : "\\u001F"}, "approved_digest": "x", "k:', F.coalesce("lang", F.lit("")), '" :', F.substr(text, F.lit(2), F.length(text) - 2), ', "dimension": "d",\n "admission": null, "a": [', number(), ", null, true ] }")
+    return docs(spark, sf_dir).select(number().alias("id"), gate.body_digest(F.try_parse_json(doc)).alias("digest"))
+
+
+_WHY = "['not-approved', 'not-approved', 'rule-schema', 'rule-evidence', 'panel-unpinned', 'panel-drifted', 'panel-missing', 'rule-types', NULL, NULL][doc_id % 10 + 1]"
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, CASE WHEN trim(w) = '' THEN 'zz' ELSE w END AS phrase FROM (SELECT doc_id, text, split_part(split_part(text, E'\\n', 1), ' ', 2) AS w FROM documents)), f AS (SELECT doc_id, {FLAT} AS flat, {sql_norm('phrase')} AS n FROM p), g AS (SELECT *, regexp_replace(flat, '-\\s*', '', 'g') AS nohy, regexp_replace(n, '-\\s*', '', 'g') AS nd FROM f),
+  k AS (SELECT doc_id, CASE WHEN n = '' THEN 0 WHEN contains(flat, n) THEN (length(flat) - length(replace(flat, n, ''))) // length(n) WHEN nd = '' THEN 0 ELSE (length(nohy) - length(replace(nohy, nd, ''))) // length(nd) END AS c FROM g),
+  r AS (SELECT doc_id, coalesce({_WHY}, CASE WHEN c = 0 THEN 'evidence-not-found' WHEN c > 1 THEN 'evidence-ambiguous' WHEN doc_id % 7 = 0 THEN 'scores' END) AS reason FROM k)
+  SELECT doc_id AS id, CASE WHEN reason IS NOT NULL THEN 'unavailable' WHEN doc_id % 3 = 2 THEN 'go' ELSE 'recycle' END AS outcome, reason, CASE WHEN reason IS NULL THEN (doc_id % 3 * 50)::BIGINT END AS points, reason IS NULL AND doc_id % 2 = 0 AS calibrated FROM r""")
+def r14_gate(spark, sf_dir):
+    """A rubric for each document, citing a phrase of its text, and a draft: what isn't approved as it is, breaks a rule, isn't pinned as installed, doesn't ground once or isn't fully scored gets no verdict."""
+
+    def made(ids: pd.Series, phrases: pd.Series, shas: pd.Series) -> pd.Series:
+        def one(i, phrase, sha):
+            k, field = i % 10, {"value": "v", "kind": "derived", "warrant": "w"}
+            card = f"gone-{i}" if k == 6 else str(i)
+            c = {"id": "aim", "statement": field, "levels": [{"score": n, "descriptor": field} for n in range(3)], "evidence": [] if k == 3 else [{"card": card, "phrase": phrase} | ({"nth": True} if k == 7 else {})]}
+            doc = {"schema": "x" if k == 2 else gate.SCHEMA, "dimension": f"r-{i}", "panel": [card], "fingerprint": {"sources": {} if k == 4 else {card: "0" * 64 if k == 5 else sha}}, "criteria": [c]}
+            digest = hashlib.sha256(json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+            return json.dumps(doc | {"admission": "candidate" if k == 1 else "human_approved", "approved_digest": "0" * 64 if k == 0 else digest}, indent=1)
+
+        return pd.Series([one(*x) for x in zip(ids, phrases, shas, strict=True)])
+
+    word = F.split_part(F.substring_index("text", "\n", 1), F.lit(" "), F.lit(2))
+    d = docs(spark, sf_dir)
+    rubrics = gate.read_rubrics(d.select(F.pandas_udf(made, "string")(number(), F.when(F.trim(word) == "", "zz").otherwise(word), F.sha2("text", 256)).alias("text")))
+    cards = d.select(number().cast("string").alias("card"), "text", F.sha2("text", 256).alias("stored_sha"), F.lit(None).cast("string").alias("review_by"))
+    dimension = say("r-", number())
+    scores = d.select(number().alias("draft"), dimension.alias("dimension"), F.when(number() % 7 == 0, "other").otherwise("aim").alias("criterion"), (number() % 3).cast("int").alias("score"))
+    done = gate.review(rubrics, cards, None, scores, TODAY, calibrated=d.where(number() % 2 == 0).select(dimension.alias("dimension")))
+    return done.select(F.col("draft").alias("id"), "outcome", "reason", F.col("points").cast("long").alias("points"), "calibrated")
 
 
-@query(f"""WITH r AS (SELECT doc_id, i, ['x', 'none', 'pinned'][i + 1] AS kind FROM documents, range(0, 3) t(i)) SELECT doc_id AS draft, CASE WHEN doc_id % 4 = 0 THEN 'unavailable' WHEN (doc_id % 3 + doc_id % 5) * 100 >= 60 * 6 THEN 'go' ELSE 'recycle' END AS outcome, CASE WHEN doc_id % 4 = 0 THEN 'scores' END AS reason, CASE WHEN doc_id % 4 > 0 THEN (((doc_id % 3) * 2 + (doc_id % 5)) * 100 // 8)::BIGINT END AS points FROM documents WHERE false
-  UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unavailable' WHEN ((doc_id % 3) * 2 + (doc_id % 5)) * 100 >= 60 * 8 THEN 'go' ELSE 'recycle' END, CASE WHEN doc_id % 4 = 0 THEN 'scores' END, CASE WHEN doc_id % 4 > 0 THEN (((doc_id % 3) * 2 + (doc_id % 5)) * 100 // 8)::BIGINT END FROM documents""")
+@query("SELECT doc_id AS draft, CASE WHEN doc_id % 4 = 0 THEN 'unavailable' WHEN ((doc_id % 3) * 2 + (doc_id % 5)) * 100 >= 60 * 8 THEN 'go' ELSE 'recycle' END AS outcome, CASE WHEN doc_id % 4 = 0 THEN 'scores' END AS reason, CASE WHEN doc_id % 4 > 0 THEN (((doc_id % 3) * 2 + (doc_id % 5)) * 100 // 8)::BIGINT END AS points FROM documents")
 def r14_review(spark, sf_dir):
     """Drafts against one sound rubric with two criteria of different scales: go, recycle, or unavailable where a score is missing."""
     field = {"value": "v", "kind": "derived", "warrant": "w"}
     level = lambda n: [{"score": i, "descriptor": field} for i in range(n)]
     c = lambda i, n: {"id": i, "criticality": "required", "statement": field, "guidance": field, "levels": level(n), "evidence": [{"card": "k", "phrase": "needless words"}]}
-    rubrics = spark.read.schema(gate.RUBRIC).json(spark.sparkContext.parallelize([json.dumps({"dimension": "d", "panel": ["k"], "admission": "human_approved", "criteria": [c("aim", 3), c("tone", 5)]})]))
     text = "Omit needless words."
+    doc = gate.pinned({"schema": gate.SCHEMA, "dimension": "d", "panel": ["k"], "criteria": [c("aim", 3), c("tone", 5)]}, {"k": hashlib.sha256(text.encode()).hexdigest()}, True)
+    rubrics = gate.read_rubrics(spark.createDataFrame([(json.dumps(doc),)], "text string"))
     cards = spark.createDataFrame([("k", text)], "card string, text string").withColumn("stored_sha", F.sha2("text", 256)).withColumn("review_by", F.lit(None).cast("string"))
     scores = docs(spark, sf_dir).select(number().alias("draft"), F.lit("d").alias("dimension"), F.explode(F.filter(F.array(F.struct(F.lit("aim").alias("criterion"), (number() % 3).cast("int").alias("score")), F.when(number() % 4 > 0, F.struct(F.lit("tone").alias("criterion"), (number() % 5).cast("int").alias("score")))), lambda x: x.isNotNull())).alias("s")).select("draft", "dimension", "s.*")
-    done = gate.review(rubrics, cards, cards.select(F.lit("d").alias("dimension"), "card", F.col("stored_sha").alias("pinned")), scores, TODAY)
+    done = gate.review(rubrics, cards, None, scores, TODAY)
     return done.select("draft", "outcome", "reason", F.col("points").cast("long").alias("points"))
 
 

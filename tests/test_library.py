@@ -114,20 +114,25 @@ def _rubric(**change):
     field = {"value": "v", "kind": "derived", "warrant": "w"}
     level = lambda i: {"score": i, "descriptor": field}
     c = {"id": "aim", "criticality": "required", "statement": field, "guidance": field, "levels": [level(0), level(1), level(2)], "evidence": [{"card": "k", "phrase": "needless words"}]} | change.pop("criterion", {})
-    return {"dimension": "d", "panel": ["k"], "admission": "human_approved", "criteria": [c]} | change
+    return {"schema": gate.SCHEMA, "dimension": "d", "panel": ["k"], "criteria": [c]} | change
 
 
 @pytest.mark.parametrize("change, text, pin, score, want", [
     ({}, "Omit needless words.", True, 2, ("go", None)), ({}, "Omit needless words.", True, 1, ("recycle", None)), ({"admission": "candidate"}, "Omit needless words.", True, 2, ("unavailable", "not-approved")),
+    ({"approved_digest": "0" * 64}, "Omit needless words.", True, 2, ("unavailable", "not-approved")), ({"criterion": {"evidence": []}}, "Omit needless words.", True, 2, ("unavailable", "rule-evidence")), ({}, "Omit needless words.", None, 2, ("unavailable", "panel-unpinned")),
+    ({"schema": "other"}, "Omit needless words.", True, 2, ("unavailable", "rule-schema")), ({"criterion": {"statement": {"kind": "unknown"}}}, "Omit needless words.", True, 2, ("unavailable", "rule-statement-unknown")), ({"panel": []}, "Omit needless words.", True, 2, ("unavailable", "rule-panel")),
     ({"criterion": {"criticality": "optional"}}, "Omit needless words.", True, 2, ("unavailable", "rule-criticality")), ({}, "Omit needless words.", False, 2, ("unavailable", "panel-drifted")),
     ({}, "Omit other words.", True, 2, ("unavailable", "evidence-not-found")), ({}, "Omit needless words.", True, 3, ("unavailable", "scores")),
     ({"criterion": {"statement": {"value": "needless  words", "kind": "explicit", "evidence": [{"card": "k", "phrase": "needless words"}]}}}, "Omit needless words.", True, 2, ("unavailable", "quote-rotted")),
 ])
 def test_review(spark, change, text, pin, score, want):
-    rubrics = spark.read.schema(gate.RUBRIC).json(spark.sparkContext.parallelize([json.dumps(_rubric(**{k: dict(v) if isinstance(v, dict) else v for k, v in change.items()}))]))
+    doc = _rubric(**{k: dict(v) if isinstance(v, dict) else v for k, v in change.items()})
+    doc = {"admission": "human_approved", "approved_digest": gate.rubric_digest(doc)} | doc
+    rubrics = gate.read_rubrics(spark.createDataFrame([(json.dumps(doc),)], "text string"))
+    assert rubrics.first()["body_digest"] == gate.rubric_digest(doc) and rubrics.first()["problems"] == (["panel: names of cards, one at least"] if doc["panel"] == [] else [])
     sha = hashlib.sha256(text.encode()).hexdigest()
     cards = spark.createDataFrame([("k", text, sha, None)], "card string, text string, stored_sha string, review_by string")
-    pinned = spark.createDataFrame([("d", "k", sha if pin else "0")], "dimension string, card string, pinned string")
+    pinned = spark.createDataFrame([("d", "k", sha if pin else "0")][: pin is not None], "dimension string, card string, pinned string")
     scores = spark.createDataFrame([("x", "d", "aim", score)], "draft string, dimension string, criterion string, score int")
     r = gate.review(rubrics, cards, pinned, scores, "2026-01-01").first()
     assert (r["outcome"], r["reason"]) == want

@@ -127,7 +127,7 @@ def test_rubric_rules(spark):
     bad = good | {"id": "c1", "levels": [level(0), level(2)], "evidence": [{"card": "z", "phrase": "p", "nth": 0}], "statement": {"value": "v", "kind": "explicit"}}
     import json
 
-    df = spark.read.schema(gate.RUBRIC).json(spark.sparkContext.parallelize([json.dumps({"dimension": "d", "panel": ["k"], "criteria": [good, bad]})]))
+    df = spark.read.schema(gate.RUBRIC).json(spark.sparkContext.parallelize([json.dumps({"schema": gate.SCHEMA, "dimension": "d", "panel": ["k"], "criteria": [good, bad]})]))
     assert {(r["criterion"], r["rule"]) for r in gate.violations(df).collect()} == {("c1", x) for x in ("id-positional", "levels", "panel", "nth", "envelope")}
     with pytest.raises(ValueError):
         gate.load_rubric('{"a": 1, "a": 2}')
