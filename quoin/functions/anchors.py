@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.functions.patterns import compiled, needed
 from quoin.functions.text import count_of, dehyphenate, norm, places_of
 
 MARKER = "array<struct<phrase:string,regex:boolean,before:string,after:string,nth:int>>"
@@ -118,31 +119,37 @@ def parse_markers(c: Column) -> Column:
     return F.pandas_udf(_parsed, MARKER)(c)
 
 
-def _compiled(pattern: str) -> re.Pattern | None:
-    try:
-        return re.compile(pattern)
-    except (re.error, OverflowError, RecursionError):
-        return None
+class _Patterns:
+    """The patterns of a batch, each compiled and asked for its literals once."""
 
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[re.Pattern | None, list[str] | None]] = {}
 
-def _pattern_hits(flat: pd.Series, phrase: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-    """Matches of an intentional pattern whose neighbours fit; a pattern that doesn't compile has none. Rows without a text aren't for patterns."""
+    def of(self, p: str) -> tuple[re.Pattern | None, list[str] | None]:
+        if p not in self.known:
+            self.known[p] = (compiled(p), needed(p))
+        return self.known[p]
 
-    def one(hay: str | None, p: str | None, b: str | None, a: str | None) -> int:
-        own = _compiled(p) if hay is not None and p is not None else None
-        if own is None:
+    def hits(self, hay: str | None, p: str | None, b: str | None, a: str | None) -> int:
+        """Matches of an intentional pattern whose neighbours fit. A pattern that doesn't compile has none; nor has one in a text without any of the literals that it needs."""
+        own, literals = self.of(p) if hay is not None and p is not None else (None, None)
+        if own is None or literals is not None and not any(x in hay for x in literals):
             return 0
-        fits = lambda s, e: (not b or hay[:s].endswith((b, b + " "))) and (not a or hay[e:].startswith((a, " " + a)))
+        fits = lambda s, e: (not b or hay.endswith((b, b + " "), 0, s)) and (not a or hay.startswith((a, " " + a), e))
         return sum(fits(*m.span()) for m in own.finditer(hay))
 
-    return pd.Series([one(*r) for r in zip(flat, phrase, before, after, strict=True)], dtype="int32")
+
+def _pattern_hits(flat: pd.Series, phrase: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+    """Rows without a text aren't for patterns."""
+    own = _Patterns()
+    return pd.Series([own.hits(*r) for r in zip(flat, phrase, before, after, strict=True)], dtype="int32")
 
 
 def _pattern_lines(text: pd.Series, phrase: pd.Series, before: pd.Series, after: pd.Series, nth: pd.Series) -> pd.Series:
     """Lines (from 1) of a pattern's matches as the text stands, its pins and #n honoured."""
 
     def one(raw: str | None, p: str | None, b: str | None, a: str | None, n: float | None) -> list[int]:
-        own = _compiled(p) if raw is not None and p is not None else None
+        own = compiled(p) if raw is not None and p is not None else None
         if own is None:
             return []
         hits = [(i, line, m) for i, line in enumerate(raw.splitlines(), 1) for m in own.finditer(line)]
@@ -200,11 +207,8 @@ def resolve(marker: Column, flat: Column, nohy: Column, patterns: bool = True) -
 
 
 def _many_hits(flat: pd.Series, patterns: pd.Series) -> pd.Series:
-    def one(hay: str | None, own) -> list[int]:
-        rows = [(hay, None, None, None) if p is None else (hay, p["phrase"], p["before"], p["after"]) for p in own]
-        return _pattern_hits(*(pd.Series(list(c), dtype=object) for c in zip(*rows))).tolist() if len(rows) else []
-
-    return pd.Series([one(h, p) for h, p in zip(flat, patterns, strict=True)])
+    known = _Patterns()
+    return pd.Series([[0 if p is None else known.hits(hay, p["phrase"], p["before"], p["after"]) for p in own] for hay, own in zip(flat, patterns, strict=True)])
 
 
 def resolve_all(rows: DataFrame, marks: str = "marks", flat: str = "flat", nohy: str = "nohy") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.operators.matching import containing
+
 # A fixed value: characters of a source's file name.
 NAME = "[A-Za-z0-9._-]"
 
@@ -41,7 +43,7 @@ def uncovered(sources: DataFrame, rows: DataFrame) -> DataFrame:
     parts = F.slice(F.filter(F.split(F.lower("id"), "-"), lambda p: (F.length(p) >= 3) & p.rlike(r"^\p{L}+$")), 1, 3)
     asked = missing.select("id", F.explode_outer(parts).alias("part"))
     tokens = asked.where("part is not null").select("part").distinct()
-    said = rows.select(F.lower("line").alias("line")).join(tokens, F.contains("line", F.col("part"))).select("part").distinct().withColumn("said", F.lit(True))
+    said = containing(rows.select(F.lower("line").alias("line")), tokens, "line", "part").select("part").distinct().withColumn("said", F.lit(True))
     return asked.join(said, "part", "left").groupBy("id").agg(F.max(F.coalesce("said", F.lit(False))).alias("said")).where("not said").select("id")
 
 

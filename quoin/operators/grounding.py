@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quoin.functions import text as T
 from quoin.functions.text import places_of
 from quoin.functions.anchors import pattern_lines, resolve, resolve_all
+from quoin.functions.patterns import compiled, needed
 from quoin.runtime import arrow_limits
 
 PHRASES_MB = 32
@@ -64,6 +65,61 @@ def _matches(table: dict[str, list], kind: pa.DataType):
     return run
 
 
+def pattern_kinds(patterns: DataFrame) -> DataFrame:
+    """patterns (pattern_id, pattern) with kind (literal, scan or invalid) and the literals of which each match holds one: patterns of kind scan have to be tried on every text."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = [needed(p) if p is not None else None for p in batch.column(1).to_pylist()]
+            kinds = ["invalid" if compiled(p) is None else "scan" if n is None else "literal" for p, n in zip(batch.column(1).to_pylist(), need, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(need, pa.list_(pa.string()))], names=["pattern_id", "pattern", "kind", "literals"])
+
+    return patterns.select("pattern_id", "pattern").mapInArrow(told, "pattern_id long, pattern string, kind string, literals array<string>")
+
+
+def pattern_hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Every pattern against every document (id, text): (pattern_id, id, times) of the pairs that were tried, times 0 where the pattern isn't there; pairs that aren't tried can't match.
+
+    The literals of all patterns are one automaton, which goes through each text once; a pattern is tried only on texts with a literal of its own, or on all if it has none. patterns are measured first: beyond
+    PHRASES_MB they are dealt over several passes. Patterns that don't compile are nowhere, as is everything in null texts. Documents are read, not shuffled.
+    """
+    arrow_limits(docs.sparkSession)
+    known = pattern_kinds(patterns).where("kind != 'invalid'")
+    size = known.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
+    parts, out, kind = 1 + size // (PHRASES_MB << 20), None, docs.schema["id"].dataType
+    for part in range(parts):
+        own = [(r["pattern_id"], r["pattern"], r["literals"]) for r in known.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect()]
+        found = docs.select("id", "text").mapInArrow(_tried(own, to_arrow_type(kind)), f"pattern_id long, id {kind.simpleString()}, times int")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def _tried(patterns: list[tuple[int, str, list[str] | None]], kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        by: dict[str, list[int]] = {}
+        for i, (_, _, literals) in enumerate(patterns):
+            for x in literals or ():
+                by.setdefault(x, []).append(i)
+        machine = ahocorasick.Automaton()
+        for x in by:
+            machine.add_word(x, x)
+        machine.make_automaton()
+        scans, own = [i for i, p in enumerate(patterns) if p[2] is None], [compiled(p[1]) for p in patterns]
+        for batch in batches:
+            which, ids, times = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is None:
+                    continue
+                seen = {x for _, x in machine.iter(text)} if by and text else set()
+                for i in sorted({*scans, *(i for x in seen for i in by[x])}):
+                    which.append(patterns[i][0]), ids.append(doc), times.append(sum(1 for _ in own[i].finditer(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(ids, kind), pa.array(times, pa.int32())], names=["pattern_id", "id", "times"])
+
+    return run
+
+
 def folded(sources: DataFrame, text: str = "text") -> DataFrame:
     """Sources with their folds, flat and nohy; materialise them where several operators share them."""
     return sources.withColumn("flat", T.norm(F.col(text))).withColumn("nohy", T.dehyphenate(F.col("flat")))

@@ -22,6 +22,7 @@ from quoin.functions import text as T
 from quoin.functions.anchors import parse_markers
 from quoin.operators import bibliography, entailment
 from quoin.operators.grounding import resolved
+from quoin.operators.matching import containing
 
 # A fixed value: what a synthesis writes for references across bases instead of cards.
 NO_NAMES = ("cross", "ref")
@@ -94,7 +95,7 @@ def synthesis_sources(syntheses: DataFrame, cards: DataFrame, frameworks: DataFr
     known = cards.select("id", "rel").where("rel is not null")
     if frameworks is not None:
         known = known.unionAll(named_paths(frameworks, pattern).select("name", "rel"))
-    return asked.join(known, F.contains("id", F.col("part"))).select("name", "rel").unionAll(named_paths(syntheses, pattern))
+    return containing(known, asked, "id", "part").select("name", "rel").unionAll(named_paths(syntheses, pattern))
 
 
 def index_findings(index: DataFrame | None, cards: DataFrame) -> list[DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import text as T
 from quoin.operators.grounding import phrase_hits
+from quoin.operators.matching import containing
 from quoin.runtime import durable
 
 K1, B, FEW_TERMS = 1.5, 0.75, 12
@@ -131,8 +132,9 @@ def diagnose(symptoms: DataFrame, diagnostics: DataFrame, dimensions: DataFrame
 
     dimensions (name, core_question) add the question of each, empty where it has none.
     """
-    hits = symptoms.crossJoin(diagnostics).withColumn("low", F.lower("symptom"))
-    scored = hits.withColumn("score", F.size(F.filter("cues", lambda c: cue_hit(F.lower(c), F.col("low"))))).where("score > 0")
+    cues = diagnostics.select("ord", F.posexplode("cues").alias("cue_no", "c")).select("ord", "cue_no", F.lower("c").alias("cue"))
+    met = containing(symptoms.select("symptom_id", F.lower("symptom").alias("low")), cues, "low", "cue").where(cue_hit(F.col("cue"), F.col("low")))
+    scored = met.groupBy("symptom_id", "ord").agg(F.count("*").alias("score")).join(diagnostics.select("ord", "dims"), "ord")
     dims = scored.select("symptom_id", "score", "ord", F.posexplode("dims").alias("place", "d")).withColumn("dimension", F.replace(F.lower(F.trim("d")), F.lit(" "), F.lit("-")))
     firsts = dims.groupBy("symptom_id", "dimension").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "place")).alias("best"))
     ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("symptom_id").orderBy("best"))).select("symptom_id", "rank", "dimension")
@@ -164,12 +166,16 @@ def folded_lenses(lenses: DataFrame, framework_sources: DataFrame | None) -> Dat
 def consult(queries: DataFrame, lenses: DataFrame, most: int = 8, hints: int = 5) -> DataFrame:
     """Names (query_id, name) against lenses (kind, name, title, aliases): the exact stem first, then a family of stems, then whole words of all lenses.
 
-    One row for each match with status exact, unique, ambiguous or none (then a suggestion), and one row without match where there is none. Queries are few; Spark chooses how they meet the lenses.
+    One row for each match with status exact, unique, ambiguous or none (then a suggestion), and one row without match where there is none. Queries meet the lenses that have their stem or hold one of their words.
     """
     stem = F.replace(F.lower(F.trim("asked")), F.lit(" "), F.lit("-"))
     asked = queries.select("query_id", F.col("name").alias("asked")).withColumn("stem", stem).withColumn("toks", name_tokens(F.col("asked")))
     hay = F.lower(F.concat_ws(" ", "name", "title", F.coalesce("aliases", F.lit(""))))
-    pairs = lenses.withColumn("hay", hay).crossJoin(asked)
+    own = lenses.select("kind", "name", hay.alias("hay"))
+    met = containing(own, asked.select("query_id", F.explode("toks").alias("tok")), "hay", "tok").select("kind", "name", "hay", "query_id")
+    met = met.unionAll(containing(own.where("kind = 'dimension'"), asked.select("query_id", "stem"), "name", "stem").select("kind", "name", "hay", "query_id"))
+    met = met.unionAll(own.join(asked.select("query_id", F.col("stem").alias("name")), "name").select("kind", "name", "hay", "query_id"))
+    pairs = met.distinct().join(asked, "query_id")
     words = F.size(F.filter("toks", lambda t: F.regexp_like(F.col("hay"), F.concat(F.lit(r"\b"), t, F.lit(r"\b")))))
     kind_order = F.when(F.col("kind") == "dimension", 0).when(F.col("kind") == "framework", 1).otherwise(2)
     exact, family = F.col("name") == F.col("stem"), (F.col("kind") == "dimension") & F.startswith("name", F.concat("stem", F.lit("-")))

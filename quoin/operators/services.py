@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quoin.functions import text as T
 from quoin.functions.anchors import parse_markers
 from quoin.operators import grounding, retrieval
+from quoin.operators.matching import containing
 from quoin.operators.agreement import rank_orders
 from quoin.runtime import durable
 
@@ -95,7 +96,7 @@ def any_of(anchors: DataFrame, sources: DataFrame) -> DataFrame:
 def panel_names(synthesis: DataFrame, cards: DataFrame) -> DataFrame:
     """synthesis (owner, name) to cards (id): the same name, one that goes on with a hyphen, or one that contains it; the best kind only."""
     quality = F.when(F.col("id") == F.col("name"), 0).when(F.startswith("id", F.concat("name", F.lit("-"))), 1).otherwise(2)
-    pairs = cards.join(synthesis, F.contains("id", F.col("name"))).withColumn("kind", quality)
+    pairs = containing(cards, synthesis, "id", "name").withColumn("kind", quality)
     best = pairs.groupBy("owner", "name").agg(F.min("kind").alias("kind"))
     return synthesis.join(pairs.join(best, ["owner", "name", "kind"]).select("owner", "name", "kind", "id"), ["owner", "name"], "left")
 

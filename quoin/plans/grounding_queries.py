@@ -271,3 +271,20 @@ def f4_parse_markers(spark, sf_dir):
     t = F.regexp_replace("text", "[`\"\n]", " ")
     card = F.concat(F.lit("x (grep: `"), t, F.lit("` before `a b` #2) y (`search: \"q r\"`; `other`) research: `no` (grep-re: `z.*`) (`grep:` `lone`)"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parse_markers(card)).alias("ord", "m")).select("item_id", "ord", "m.*")
+
+
+_PATTERNS = [(1, "qu[a-z]+ing", ["ing"]), (2, "(?:the|and) [a-z]+tion", ["tion"]), (3, "[0-9]+", None), (4, "lo+rem|ips(?:u|o)m", ["ipsom", "ipsum", "rem"]), (5, "colou?r", ["colo"]), (6, "(unclosed", None), (7, "(?i)TION", None), (8, "reau[^a-z]", ["reau"]), (9, "un(?:e|d) [^ ]+ent", ["und ", "une "])]
+_HELD = "unnest([w[2], w[3], w[4], w[5]]) AS x"
+_PATTERN_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, $${p}$$, {'NULL' if n is None else n})" for i, p, n in _PATTERNS if i != 6) + """) t(pattern_id, pattern, literals) UNION ALL
+  SELECT 1000 + item_id, array_to_string(list_transform(w[2:5], lambda x: regexp_escape(x)), '[ \\n]+'), [(SELECT u.x FROM (SELECT unnest(w[2:5]) AS x, generate_subscripts(w[2:5], 1) AS i) u ORDER BY length(u.x) DESC, u.i LIMIT 1)] FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark))"""
+
+
+@query(f"""WITH p AS {_PATTERN_SQL}, h AS (SELECT pattern_id, pattern, literals, doc_id, literals IS NULL OR length(literals[1]) < 2 OR len(list_filter(literals, lambda l: contains(text, l))) > 0 AS tried, len(regexp_extract_all(text, pattern)) AS times FROM p, documents WHERE text IS NOT NULL)
+  SELECT pattern_id, count(*) FILTER (tried)::BIGINT AS tried, count(*) FILTER (times > 0)::BIGINT AS docs, sum(times)::BIGINT AS times FROM h WHERE tried GROUP BY pattern_id""")
+def j7_pattern_corpus(spark, sf_dir):
+    """Patterns, some given and one of each benchmark passage, over all documents: how many texts reach the pattern at all, how many hold it, and how often."""
+    given = spark.createDataFrame([(i, p) for i, p, _ in _PATTERNS], "pattern_id long, pattern string")
+    words = F.transform(F.slice(F.split("text", " "), 2, 4), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"))
+    own = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("pattern_id"), F.array_join(words, r"[ \n]+").alias("pattern"))
+    done = G.pattern_hits(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), given.unionAll(own))
+    return done.groupBy("pattern_id").agg(F.count("*").alias("tried"), F.count_if(F.col("times") > 0).alias("docs"), F.sum("times").alias("times"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
-from quoin.operators import normalize
+from quoin.operators import normalize, runs
 from quoin.operators.entailment import entailed, overlap
 from quoin.plans.registry import query
 from quoin.plans.text_queries import docs, odd_lines
 from quoin.runtime import scratch, spread, table
-from quoin.sources import formats
-from quoin.streaming import ingest
+from quoin.sources import formats, library
+from quoin.streaming import ingest, transactions
 
 
 _TAGS = "|".join(sorted(formats.BREAKS))
@@ -68,3 +69,43 @@ def s24_stream_ingest(spark, sf_dir):
 def event_windows(spark, sf_dir):
     """Beyond the reference: hourly windows of events."""
     return ingest.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT sha256(text) AS digest, CASE WHEN trim(text) = '' THEN 'refused' ELSE 'accepted' END AS state, 1::BIGINT AS times FROM documents WHERE text IS NOT NULL GROUP BY text")
+def s24_ingest_transactions(spark, sf_dir):
+    """Documents as files in a stream that stops in its second batch, between two of its tables, and is started again: what is committed in the end, each content once."""
+    at = scratch(spark, "files")
+    made = docs(spark, sf_dir).where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    n = library.write_files(made, f"{at}/drop")
+
+    def stop(table: str, number: int) -> None:
+        if (table, number) == ("sources", 1):
+            raise RuntimeError("stopped between two tables")
+
+    start = lambda hook: transactions.ingest(transactions.arrivals(spark, f"{at}/drop", -(-n // 3)), f"{at}/to", f"{at}/checkpoint", "one", between=hook)
+    try:
+        start(stop).awaitTermination()
+    except StreamingQueryException:
+        pass
+    if [r["batch"] for r in transactions.committed(spark, f"{at}/to", "sources").select("batch").distinct().collect()] != [0]:
+        raise AssertionError("a batch without its marker is read")
+    start(None).awaitTermination()
+    good = transactions.committed(spark, f"{at}/to", "sources").select("source_sha256").join(transactions.committed(spark, f"{at}/to", "provenance").select("source_sha256"), "source_sha256").withColumn("state", F.lit("accepted"))
+    rows = good.unionAll(transactions.committed(spark, f"{at}/to", "refused").select("source_sha256", F.lit("refused")))
+    return rows.groupBy(F.col("source_sha256").alias("digest"), "state").agg(F.count("*").alias("times"))
+
+
+@query("SELECT doc_id AS doc, tier, length(CASE tier WHEN 'whole' THEN text ELSE split_part(text, E'\\n', 1) END)::INT AS value FROM documents, (VALUES ('line'), ('whole')) t(tier) WHERE text IS NOT NULL")
+def r22_resumed_run(spark, sf_dir):
+    """A measuring run cut in two, whose second part measures what the first has left; under other settings its folder is refused."""
+    at = scratch(spark, "run")
+    rows = docs(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("doc"), F.explode(F.array(F.lit("line"), F.lit("whole"))).alias("tier"), F.sha2("text", 256).alias("digest"), "text")
+    measure = lambda left: left.select("doc", "tier", F.length(F.when(F.col("tier") == "whole", F.col("text")).otherwise(F.substring_index("text", "\n", 1))).alias("value"))
+    some = rows.where("doc % 3 > 0").count()
+    if runs.resume(rows, at, {"window": 400}, measure, some).count() != some:
+        raise AssertionError("the first part measured more or less than it was asked for")
+    try:
+        runs.resume(rows, at, {"window": 500}, measure)
+        raise AssertionError("another manifest is taken")
+    except runs.ManifestError:
+        return runs.resume(rows, at, {"window": 400}, measure)

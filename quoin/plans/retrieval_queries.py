@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
-from quoin.operators import evaluation, retrieval
+from quoin.operators import evaluation, retrieval, search_index
 from quoin.operators.grounding import phrase_hits
 from quoin.plans.registry import query
 from quoin.plans.text_queries import TERMS_SQL, docs
-from quoin.runtime import table
+from quoin.runtime import scratch, table
 
 TERMS = ("the", "tion", "reau")
 
@@ -183,3 +183,30 @@ def r20_raw_count_arm(spark, sf_dir):
     """The same questions ranked by raw counts, which BM25 is held against."""
     questions, gold = _gold(spark, sf_dir)
     return evaluation.retrieval_means(evaluation.count_scores(blobs(spark, sf_dir, True), questions), gold)
+
+
+_INDEXED: dict[tuple, search_index.Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> search_index.Index:
+    """The index of all documents, built once a session in three segments: the third replaces texts of the first by what they are."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED or len(_INDEXED[key].segments()) < 3:
+        own, b = search_index.Index(spark, scratch(spark, "index")), blobs(spark, sf_dir, True)
+        own.add(b.where("id % 2 = 0").withColumn("blob", F.when(F.col("id") % 10 == 0, "the the reau").otherwise(F.col("blob"))))
+        own.add(b.where("id % 2 = 1"))
+        own.add(b.where("id % 10 = 0"))
+        _INDEXED[key] = own
+    return _INDEXED[key]
+
+
+_MORE = "SELECT * FROM (VALUES (0, 'the'), (0, 'tion'), (0, 'reau'), (1, 'de'), (1, 'ou'), (2, 'of the'), (2, 'e'), (3, 'zzqx'), (4, 'et de'), (4, 'nicht')) t(question, term)"
+
+
+@query(f"WITH {_bm25_sql(_blob_sql(True), _MORE)} SELECT question, id, round(score, 6) AS score, rank, total FROM (SELECT question, id, score, count(*) OVER (PARTITION BY question) AS total, row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, id) AS rank FROM r) WHERE rank <= 20")
+def r1_index_search(spark, sf_dir):
+    """The 20 best documents for each of five questions, and how many match, by the index: no text is read but those that hold the parts of a phrase."""
+    questions = spark.createDataFrame([(0, list(TERMS)), (1, ["de", "OU"]), (2, ["of the", "e"]), (3, ["zzqx"]), (4, ["et de", "nicht", " "])], "question int, terms array<string>")
+    scored = indexed(spark, sf_dir).search(questions)
+    best = retrieval.top_k(scored, 20).join(scored.groupBy("question").agg(F.count("*").alias("total")), "question")
+    return best.select("question", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "total")

@@ -36,8 +36,8 @@ LOG = "sha256 string, size long, state string, reason string, run string, batch
 def ingest(stream: DataFrame, to: str, log: str, checkpoint: str, quarantine: str | None = None) -> StreamingQuery:
     """Write what is new under `to`, what is refused under `quarantine` (if given), and a row for each source to the log; all in folders of run and batch.
 
-    run is the query's id, which its checkpoint keeps: a batch that runs again overwrites itself, and a stream with another checkpoint adds folders of its own. Digests that any other
-    batch has logged are read back, so a source that comes twice, in a later run too, is written once.
+    run is the query's id, which its checkpoint keeps: a batch that runs again overwrites itself, and a stream with another checkpoint adds folders of its own. The digests that this run has met are state of the
+    stream, so its own log isn't read again, however long it grows; only what other runs logged is (their folders alone), so a source that comes twice, in a later run too, is written once.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -45,9 +45,10 @@ def ingest(stream: DataFrame, to: str, log: str, checkpoint: str, quarantine: st
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
         told = judged(rows)
         new = told.where("state = 'accepted'").dropDuplicates(["sha256"])
-        at = spark._jvm.org.apache.hadoop.fs.Path(log)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            known = spark.read.schema(LOG).parquet(log).where((F.col("state") == "accepted") & ~((F.col("run") == run) & (F.col("batch") == number)))
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/run=*")
+        others = [str(s.getPath()) for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or () if s.getPath().getName() != f"run={run}"]
+        if others:
+            known = spark.read.schema(LOG).option("basePath", log).parquet(*others).where("state = 'accepted'")
             new = new.join(known.select("sha256"), "sha256", "left_anti")
         own = f"run={run}/batch={number}"
         new.drop("state", "reason").write.mode("overwrite").parquet(f"{to}/{own}")
@@ -59,7 +60,8 @@ def ingest(stream: DataFrame, to: str, log: str, checkpoint: str, quarantine: st
         rows_ = rows_.unionAll(refused.select("sha256", F.col("size").cast("long"), "state", "reason")) if quarantine else rows_
         rows_.write.mode("overwrite").parquet(f"{log}/{own}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    met = stream.withColumn("digest ", F.sha2("text", 256)).dropDuplicates(["digest "]).drop("digest ")
+    return met.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
