@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from quoin.functions import text as T
 from quoin.functions.anchors import parse_markers
-from quoin.operators import bibliography, gate, grounding, linter, normalize, services
+from quoin.operators import bibliography, gate, grounding, judge, linter, normalize, services
 from quoin.runtime import durable, ship
 from quoin.sources import library, settings
 
 VERBS = {
     "search": ("terms+",), "zoom": ("id", "level"), "cards": (), "lenses": (), "kbs": (), "consult": ("name",), "diagnose": ("symptom",), "verify": ("id", "phrase"), "evidence": ("id", "question"), "check": (), "build": (), "normalize": (), "ingest": ("folder",),
-    "settings": (), "init": ("id",), "rubric-derive": ("dimension",), "rubric-check": ("dimension",), "rubric-approve": ("dimension",),
+    "settings": (), "init": ("id",), "rubric-derive": ("dimension",), "rubric-check": ("dimension",), "rubric-approve": ("dimension",), "rubric-repin": ("dimension",),
+    "review": ("dimension", "scores"),
 }
 FLAGS = ("json", "strict", "full-text", "write", "allow-unmeasured")
 UNGROUNDED = ("none", "insufficient", "not-found", "ambiguous", "source-stale", "source-not-installed", "review-expired", "review-date-invalid", "source-unstamped")
@@ -33,13 +34,14 @@ def tables(spark: SparkSession, lib: library.Library) -> dict[str, DataFrame]:
     evidence = cards.join(sources.select("rel", "text"), "rel", "left").select("id", "title", "text", "stored_sha", "review_by", "body")
     out = {
         "cards": cards, "sources": sources, "evidence": evidence, "anchors": cards.select("id", F.explode(parse_markers(F.col("card"))).alias("marker")), "index": linter.index_entries(files.where("name = 'INDEX'").select("text")),
-        "existing": files.select(F.col("name").alias("id"), F.col("text").alias("card")), "missed": library.tripwire(cards.select(F.col("stem").alias("name")), files.where(~F.concat("name", F.lit(".md")).isin(*library.NOT_CARDS)).select("name")),
+        "existing": files.select(F.col("name").alias("id"), F.col("text").alias("card")), "missed": library.tripwire(cards.select(F.col("stem").alias("name")), library.listed(spark, f"{lib.root}/{lib.cards}", ".md", tuple(library.NOT_CARDS))),
     }
     lenses = cards.select(F.lit("source").alias("kind"), F.col("id").alias("name"), F.coalesce("title", F.lit("")).alias("title"), "aliases")
     for folder, kind, table in ((lib.frameworks, "framework", "frameworks"), (lib.syntheses, "dimension", "syntheses")):
         if folder:
             own = library.lenses(spark, f"{lib.root}/{folder}")
             out[table] = own
+            out["missed"] = out["missed"].unionAll(library.tripwire(own.select("name"), library.listed(spark, f"{lib.root}/{folder}")))
             aliases = F.nullif(F.trim(F.regexp_extract("text", r"(?mi)^\**aliases:?\**:?\s*(.+)$", 1)), F.lit(""))
             lenses = lenses.unionAll(own.select(F.lit(kind), "name", F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1), aliases))
     if "frameworks" in out:
@@ -74,11 +76,18 @@ def rubric(spark: SparkSession, lib: library.Library, t: dict[str, DataFrame], v
     if not library.exists(spark, at):
         print(f"no rubric at {at}", file=sys.stderr)
         return 1
-    doc = gate.load_rubric(spark.read.text(library.escaped(at), wholetext=True).first()[0])
+    text = spark.read.text(library.escaped(at), wholetext=True).first()[0]
+    doc = gate.load_rubric(text)
+    shas = lambda: {r["card"]: r["sha"] for r in live.where(F.col("card").isin(*doc["panel"])).select("card", F.sha2("text", 256).alias("sha")).collect()}
+    save = lambda d: library.write_files(spark.createDataFrame([(at.removeprefix(f"{lib.root}/"), json.dumps(d, ensure_ascii=False, indent=1))], "path string, text string"), lib.root)
     found = gate.rubric_problems(doc)
+    if not found and verb == "rubric-repin":  # to the sources as they are: what was approved is a candidate again, for a person to look at
+        save(gate.pinned(doc, shas()))
+        print("pinned anew, not approved")
+        return 0
     if not found:
-        rows = spark.read.schema(gate.RUBRIC).json(spark.sparkContext.parallelize([json.dumps(doc)]))
-        found = [f"{r['criterion']}: {r['rule']}" for r in gate.violations(rows).collect()]
+        rows = gate.read_rubrics(spark.createDataFrame([(text,)], "text string"))
+        found = [f"{r['criterion'] or 'rubric'}: {r['rule']}" for r in gate.violations(rows).where("rule != 'approved-digest'" if verb == "rubric-approve" else "true").collect()]
         found += [f"{r['criterion']}: {r['status']} in {r['card']}" for r in gate.ground(gate.bindings(rows), live, today).where("not grounded").collect()]
         found += [f"{r['criterion']}: {r['value']!r} is no quote" for r in gate.explicit_gaps(rows, live, today).collect()]
     for p in found:
@@ -86,13 +95,34 @@ def rubric(spark: SparkSession, lib: library.Library, t: dict[str, DataFrame], v
     if found:
         return 1
     if verb == "rubric-approve":
-        shas = {r["card"]: r["sha"] for r in live.where(F.col("card").isin(*doc["panel"])).select("card", F.sha2("text", 256).alias("sha")).collect()}
-        library.write_files(spark.createDataFrame([(at.removeprefix(f"{lib.root}/"), json.dumps(gate.pinned(doc, shas, True), ensure_ascii=False, indent=1))], "path string, text string"), lib.root)
+        save(gate.pinned(doc, shas(), True))
     else:
         print("approved" if gate.approved(doc) else "sound, not approved")
     return 0
 
 
+def review(spark: SparkSession, lib: library.Library, t: dict[str, DataFrame], dimension: str, scores: str, today: str) -> int:
+    """Verdicts of the drafts of a file of scores (JSON lines: draft, criterion, score, and what calibrates the judge, if anything). Exit 0: all go; 1: some are to be recycled; 2: no verdict for some."""
+    at = library.rubric_path(lib, dimension)
+    if not library.exists(spark, at):
+        print(f"no rubric at {at}", file=sys.stderr)
+        return 2
+    rubrics = gate.read_rubrics(spark.read.text(library.escaped(at), wholetext=True).withColumnRenamed("value", "text"))
+    live = t["evidence"].select(F.col("id").alias("card"), "text", "stored_sha", "review_by")
+    rows = spark.read.schema("draft string, criterion string, score int, calibration struct<rubric:string,drafts:int,agreement:double,model:string,orders:int,prompt_version:string>, model string, orders int").json(library.escaped(f"{lib.root}/{scores}"))
+    told = rows.where("calibration is not null").limit(1).collect()
+    known = None
+    if told and not rubrics.where("size(problems) > 0").count():
+        own = judge.Calibration(**told[0]["calibration"].asDict())
+        identity = gate.rubric_identity(gate.load_rubric(spark.read.text(library.escaped(at), wholetext=True).first()[0]))
+        known = spark.createDataFrame([(dimension,)] if own.covers(identity, told[0]["model"], told[0]["orders"]) else [], "dimension string")
+    done = gate.review(rubrics, live, None, rows.where("criterion is not null").select("draft", F.lit(dimension).alias("dimension"), "criterion", "score"), today, calibrated=known)
+    found = done.orderBy("draft").collect()
+    for r in found:
+        print(json.dumps({k: v for k, v in r.asDict().items() if v is not None}))
+    return 2 if not found or any(r["outcome"] == "unavailable" for r in found) else int(any(r["outcome"] == "recycle" for r in found))
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quoin", description=__doc__)
     p.add_argument("--root", default=".")
@@ -128,6 +158,8 @@ def main(args: list[str] | None = None) -> int:
     t = tables(spark, lib)
     if a.verb.startswith("rubric-"):
         return rubric(spark, lib, t, a.verb, a.dimension, params["today"])
+    if a.verb == "review":
+        return review(spark, lib, t, a.dimension, a.scores, params["today"])
     if a.verb in ("verify", "evidence"):
         t["evidence"] = t["evidence"].where(F.col("id") == a.id)
     if a.verb == "check":

@@ -76,6 +76,36 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(case_folded(dehyphenate(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _plain_ranges() -> str:
+    """A class of code points that NFKC leaves alone next to any others of the class, that fold as lower case does, and that are letters or digits for Python and the JVM alike: below the first of those that compose by twos."""
+    def plain(c: str) -> bool:
+        kind = unicodedata.category(c)
+        if kind in ("Mn", "Mc", "Me", "Cn", "Co", "Cs") or c in "\x1c\x1d\x1e\x1f\u0130" or not unicodedata.is_normalized("NFKC", c):
+            return False
+        return c in "ßς" or c.casefold() == c.lower() and len(c.lower()) == 1 and c.isalnum() == (kind[0] == "L" or kind[0] == "N")
+
+    codes, out = [i for i in range(0x1100) if plain(chr(i))], []
+    for i in codes:
+        if out and out[-1][1] == i - 1:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+PLAIN = f"[{_plain_ranges()}]*"
+
+
+def is_plain(c: Column) -> Column:
+    """Whether tokens() and exact_tokens() of a text are the same by the class of its characters."""
+    return F.regexp_like(c, F.lit(rf"\A{PLAIN}\z"))
+
+
+def all_tokens(c: Column) -> Column:
+    """exact_tokens, of plain texts in the JVM: only the others are sent to Python."""
+    return F.when(is_plain(c), tokens(c)).otherwise(exact_tokens(F.when(~is_plain(c), c)))
+
+
 def exact_tokens(c: Column) -> Column:
     """The same after NFKC and with full case folding; Arrow batches, for texts in which those matter."""
 

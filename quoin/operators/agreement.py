@@ -12,9 +12,9 @@ LIMITS = {"min_containment": 0.80, "max_inflation": 1.50, "min_inflation": 0.67,
 WINDOW, ANCHORS = 400, 8
 
 
-def positions(texts: DataFrame, text: str = "text", exact: bool = False) -> DataFrame:
-    """(id, i, t): tokens and their places from 0."""
-    split = T.exact_tokens(F.col(text)) if exact else T.tokens(F.col(text))
+def positions(texts: DataFrame, text: str = "text", exact: bool = True) -> DataFrame:
+    """(id, i, t): tokens and their places from 0. exact=False leaves out compatibility forms and rare case foldings, and with them Python."""
+    split = T.all_tokens(F.col(text)) if exact else T.tokens(F.col(text))
     return texts.select("id", F.posexplode(split).alias("i", "t"))
 
 

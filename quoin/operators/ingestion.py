@@ -16,7 +16,7 @@ from quoin.sources import formats, library
 MARK = "<!-- scaffold: managed by quoin — edit Thin/Full below the marker by hand -->"
 
 
-def compare(pairs: DataFrame, width: int = agreement.WINDOW, least: int = agreement.ANCHORS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def compare(pairs: DataFrame, width: int = agreement.WINDOW, least: int = agreement.ANCHORS, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """pairs (id, control, candidate): one row of measurements for each id, and its windows. The counts of tokens are written once and shared by both."""
     bag = durable(agreement.bags(agreement.positions(pairs, "control", exact), agreement.positions(pairs, "candidate", exact)), "bag")
     sizes = agreement.containment(bag)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tomllib
+import uuid
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
@@ -109,9 +110,10 @@ def write_files(rows: DataFrame, root: str) -> int:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = f"{base}/{path}"
                 store.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(f"{at}.writing") as out:
+                own = f"{at}.{uuid.uuid4().hex}.writing"  # each attempt's own
+                with store.open_output_stream(own) as out:
                     out.write((text or "").encode("utf-8", "surrogatepass"))
-                store.move(f"{at}.writing", at)
+                store.move(own, at)
                 n += 1
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
@@ -197,12 +199,13 @@ def body_below_mark(c: Column) -> Column:
 
 
 def framework_sections(c: Column, names: tuple[str, ...] = FRAMEWORK_SECTIONS) -> Column:
-    """Sections `### n. …` of a framework as a map from their fixed names; numbers beyond the names are left out."""
+    """Sections `### n. …` of a framework as a map from their fixed names; numbers beyond the names are left out, and of several sections of one number the last counts."""
     parts = F.regexp_extract_all(c, F.lit(r"(?ms)^(###\s+\d+\..*?)(?=^###?\s|\z)"), F.lit(1))
     number = lambda p: F.regexp_extract(p, r"^###\s+(\d+)", 1).cast("int")
     body = lambda p: F.trim(F.regexp_replace(p, r"^[^\n]*\n?", ""), F.lit(" \n"))
     slugs = F.array(*map(F.lit, names))
-    return F.map_from_entries(F.transform(F.filter(parts, lambda p: (number(p) >= 1) & (number(p) <= len(names))), lambda p: F.struct(F.element_at(slugs, number(p)), body(p))))
+    own = F.transform(F.filter(parts, lambda p: (number(p) >= 1) & (number(p) <= len(names))), lambda p: F.struct(F.element_at(slugs, number(p)).alias("k"), body(p).alias("v")))
+    return F.map_from_entries(F.filter(own, lambda e, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda x: x["k"] == e["k"])))
 
 
 def diagnostics(texts: DataFrame) -> DataFrame:
@@ -244,6 +247,15 @@ def rating_sheet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return header, lines.where("schema is null").select("draft", "criterion", "max_score", "score", "note")
 
 
+def listed(spark: SparkSession, folder: str, suffix: str = ".md", without: tuple[str, ...] = ()) -> DataFrame:
+    """(name) of a folder's own files with the suffix, dotfiles left out, as the file system lists them: another road than that of files(), to hold what it found against. A folder that isn't there has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in (fs.listStatus(at) if fs.exists(at) else ()) if s.isFile()]
+    names = [n for n in names if n.endswith(suffix) and not n.startswith(".") and n not in without]
+    return spark.createDataFrame([(n.removesuffix(suffix),) for n in names], "name string")
+
+
 def tripwire(enumerated: DataFrame, on_disk: DataFrame) -> DataFrame:
     """Names that are in the folder but weren't enumerated: an error, as a check over too few cards passes."""
     return on_disk.join(enumerated, "name", "left_anti")

@@ -352,6 +352,18 @@ def test_rubrics_are_derived_checked_and_approved(spark, kb, capsys):
     capsys.readouterr()
     assert main(["--root", kb.root, "rubric-check", "pacing"]) == 0 and "not approved" in capsys.readouterr().out
     assert main(["--root", kb.root, "rubric-approve", "pacing"]) == 0 and gate.approved(json.loads(at.read_text()))
+    scores = root / "scores.jsonl"
+    sound = json.loads(at.read_text())
+    calibration = {"rubric": gate.rubric_identity(sound), "drafts": 30, "agreement": 0.9, "model": "m", "orders": 2, "prompt_version": "1"}
+    lines = [{"draft": d, "criterion": c["id"], "score": n} for d, n in (("x", 5), ("y", 0)) for c in sound["criteria"]]
+    scores.write_text("\n".join(map(json.dumps, [*lines, {"calibration": calibration, "model": "m", "orders": 2}])))
+    capsys.readouterr()
+    assert main(["--root", kb.root, "review", "pacing", "scores.jsonl"]) == 1
+    told = {r["draft"]: r for r in map(json.loads, capsys.readouterr().out.splitlines())}
+    assert told["x"]["outcome"] == "go" and told["x"]["calibrated"] and told["y"]["outcome"] == "recycle"
+    assert main(["--root", kb.root, "rubric-repin", "pacing"]) == 0 and json.loads(at.read_text())["admission"] == "candidate"
+    assert main(["--root", kb.root, "review", "pacing", "scores.jsonl"]) == 2 and "not-approved" in capsys.readouterr().out
+    assert main(["--root", kb.root, "rubric-approve", "pacing"]) == 0
     changed = json.loads(at.read_text())
     changed["criteria"][0]["levels"][0]["descriptor"]["value"] = "other"
     assert not gate.approved(changed) and gate.rubric_identity(changed) != gate.rubric_identity(json.loads(at.read_text()))

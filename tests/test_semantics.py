@@ -1,6 +1,7 @@
 """Pinned values and contracts on small rows."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import anchors, text as T
 from quoin.operators import agreement, evaluation, gate, grounding, linter, normalize, retrieval
-from quoin.sources import formats
+from quoin.sources import formats, library
 
 
 def one(spark, column, **values):
@@ -134,6 +135,31 @@ def test_rubric_rules(spark):
     assert gate.rubric_digest({"a": 1, "admission": "x"}) == gate.rubric_digest({"a": 1, "admission": "y"})
 
 
+def test_tokens_of_plain_texts_stay_in_the_jvm(spark):
+    rng = random.Random(6)
+    pool = "aZ éÉßςΣσäÖñŞşİı0١²½ﬁﬃ-–‐ \n\t\x1c\u0301\u00adКйЇ한ᄒ中ⅣⓐＡ.,'_ǅŉµſ"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(800)] + ["".join(rng.choice("aZ éÉßςΣσäÖñ0-\nКй.,'_") for _ in range(12)) for _ in range(400)] + [None, "", "well-\n known", "Straße ΟΔΟΣ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.all_tokens(F.col("t")).alias("a"), T.exact_tokens(F.col("t")).alias("b"), T.tokens(F.col("t")).alias("c"), T.is_plain(F.col("t")).alias("p"), "t").collect()
+    assert all(r["a"] == r["b"] for r in got), [r for r in got if r["a"] != r["b"]][:3]
+    assert sum(bool(r["p"]) for r in got) > 400 and all(r["c"] == r["b"] for r in got if r["p"])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert docs.where(T.is_plain(F.col("text"))).count() > 0.5 * docs.count()
+
+
+def test_framework_sections_of_one_number(spark):
+    text = "### 1. One\nfirst\n### 2. Two\nb\n### 1. Again\nlast\n### 99. Beyond\nx"
+    got = spark.createDataFrame([(text,)], "t string").select(library.framework_sections(F.col("t")).alias("m")).first()["m"]
+    assert list(got.values()) == ["b", "last"] or sorted(got.values()) == ["b", "last"]
+
+
+def test_files_that_an_enumeration_misses(spark, tmp_path):
+    for n in ("a.md", "b.md", ".hidden.md", "INDEX.md", "c.txt"):
+        (tmp_path / n).write_text("x")
+    there = library.listed(spark, str(tmp_path), ".md", ("INDEX.md",))
+    assert {r["name"] for r in library.tripwire(spark.createDataFrame([("a",)], "name string"), there).collect()} == {"b"}
+    assert library.listed(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_normalize(spark):
     assert normalize.repair_control("de\x1fnition of \x1fne art; de\x1fne it", frozenset({"definition", "define", "fine"})) == "definition of  ne art; define it".replace("of  ne", "of  ne")
     assert normalize.strip_furniture("text\n12\n\nxiv\n| 1 | 2 |\n2003\nI") == "text\n\n| 1 | 2 |\n2003\nI"
