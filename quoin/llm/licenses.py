@@ -63,7 +63,7 @@ class Index:
             for at, w in enumerate(t):
                 if w in rare:
                     self.postings[w].append((i, at))
-            self.need.append(next((at for at in range(len(t)) if t[at : at + len(key)] == key), None))
+            self.need.append(_key_at(t, key))
 
     def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, str]], set[str], float]:
         """Places of base phrases as (word, label), labels, best coverage by IDF."""
@@ -79,9 +79,8 @@ class Index:
         for (i, start), _ in votes.items():
             label, t, key, cover = self.templates[i]
             at = self.need[i]
-            if at is not None:
-                if start + at < 0 or ws[start + at : start + at + len(key)] != key:
-                    continue
+            if start + at < 0 or ws[start + at : start + at + len(key)] != key:
+                continue
             slack = 0 if i < len(BASE) else SLACK
             found = sum(self.idf[w] for j, w in enumerate(t) if w in ws[max(0, start + j - slack) : max(0, start + j + slack + 1)]) / sum(self.idf[w] for w in t)
             if found + 1e-9 >= cover:
@@ -92,6 +91,14 @@ class Index:
         return base, labels, score
 
 
+def _key_at(t: list[bytes], key: list[bytes]) -> int:
+    """Where a template's words have its key phrase; without it nothing could be verified, so such a template is refused."""
+    at = next((i for i in range(len(t)) if t[i : i + len(key)] == key), None) if key else None
+    if at is None:
+        raise ValueError(f"the key phrase {b' '.join(key)!r} doesn't stand in its template {b' '.join(t[:8])!r}")
+    return at
+
+
 def frequencies(docs: DataFrame, templates: Templates = ALL) -> tuple[dict[bytes, int], int]:
     """Document frequencies of the templates' words over all documents, and the number of documents."""
     vocabulary = {w for p in [b[0] for b in BASE] + [t for _, _, t in templates] for w in words(p.encode())}
@@ -131,8 +138,12 @@ def _scan(df: dict[bytes, int], n: int, templates: Templates):
 def licenses(docs: DataFrame, templates: Templates = ALL) -> DataFrame:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
 
-    templates (label, mandatory key phrase, text) are control data that every worker holds: notices and whole licence texts unless others are given. The base phrases are always looked for.
+    templates (label, mandatory key phrase, text) are control data that every worker holds: notices, whole short licence texts and the opening of long ones unless others are given. The base phrases are always looked for.
+    A template whose key phrase isn't a run of its own words is refused (ValueError); one without words is left out. Very long texts are scanned whole, and an empty table gives no rows.
     """
+    for _, key, text in templates:
+        if t := words(text.encode()):
+            _key_at(t, words(key.encode()))
     arrow_limits(docs.sparkSession)
     df, n = frequencies(docs, templates)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
