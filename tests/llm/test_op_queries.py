@@ -19,18 +19,20 @@ def odd_tables(spark, odd_docs, tmp_path_factory):
     spark.createDataFrame(pages, PAGES).withColumn("payload", F.lit("p")).withColumn("record_type", F.lit("r")).write.parquet(f"{at}/pages.parquet")
     vectors = [(0, [0.5, -0.25], 1), (0, [0.5, -0.25], 1), (50, None, 1), (1, [0.25], None), (2, [], 1), (None, [1.0, 1.0], 1), (100, [float("nan"), 1.0], 1), (3, [0.5, -0.25], 1)]
     spark.createDataFrame(vectors, VECTORS).withColumn("grp", F.lit(1)).withColumn("score", F.lit(1)).write.parquet(f"{at}/embeddings.parquet")
+    turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, None, None), (None, 0, "user", "b"), (2, None, "user", "c"), (3, 7, "assistant", "d" * 70_000)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("event", F.lit("e")).withColumn("payload", F.lit(1)).write.parquet(f"{at}/conversations.parquet")
     return str(at)
 
 
 @pytest.fixture(scope="module")
 def empty_tables(spark, odd_tables, tmp_path_factory):
     at = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{odd_tables}/{t}.parquet").where("false").coalesce(1).write.parquet(f"{at}/{t}.parquet")
     return str(at)
 
 
-OF_DOCUMENTS = ["op1_fingerprints", "op2_minhash", "op4_bpe", "op6_substring_dedup", "op8_language", "op10_licenses"]
+OF_DOCUMENTS = ["op1_fingerprints", "op2_minhash", "op4_bpe", "op6_substring_dedup", "op8_language", "op10_licenses", "op12_ngram_join"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -47,6 +49,10 @@ def test_on_odd_and_empty_tables(spark, odd_tables, empty_tables, name):
         assert len(rows) == 6 and {r["page_id"]: r["record_type"] for r in rows if r["page_id"] == 3} == {3: "revisit"}
     elif name == "op7_knn":
         assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows} == {(0, 1, 3, 128 * 128 + 64 * 64), (0, 2, 1, 128 * 64), (0, 3, 2, 0)}
+    elif name == "op11_reassembly":
+        assert {r["conv_id"] for r in rows if r["event"] == "close"} == {1, 3, None}
+    elif name == "op13_vector_codes":
+        assert sorted(str(r["vec_id"]) for r in rows) == ["0", "0", "1", "2", "3", "None"]
     else:
         assert rows
     assert queries.QUERIES[name](spark, empty_tables).count() == 0
