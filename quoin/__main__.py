@@ -41,7 +41,7 @@ def tables(spark: SparkSession, lib: library.Library) -> dict[str, DataFrame]:
         if folder:
             own = library.lenses(spark, f"{lib.root}/{folder}")
             out[table] = own
-            out["missed"] = out["missed"].unionAll(library.tripwire(own.select("name"), library.listed(spark, f"{lib.root}/{folder}")))
+            out["missed"] = out["missed"].unionAll(library.tripwire(own.select("name"), library.listed(spark, f"{lib.root}/{folder}").where(library.is_lens(F.col("name")))))
             aliases = F.nullif(F.trim(F.regexp_extract("text", r"(?mi)^\**aliases:?\**:?\s*(.+)$", 1)), F.lit(""))
             lenses = lenses.unionAll(own.select(F.lit(kind), "name", F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1), aliases))
     if "frameworks" in out:

@@ -15,7 +15,7 @@ from quoin.functions.anchors import pattern_lines, resolve, resolve_all
 from quoin.functions.patterns import compiled, needed
 from quoin.runtime import arrow_limits
 
-PHRASES_MB = 32
+PHRASES_MB, ANCHORS = 32, 2048
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -128,9 +128,11 @@ def folded(sources: DataFrame, text: str = "text") -> DataFrame:
 def resolved(asked: DataFrame, sources: DataFrame) -> DataFrame:
     """asked (rel, owner, ord, marker) over sources (rel, text): (rel, owner, ord, phrase, found, count, ambiguous) of those whose source is there.
 
-    Anchors are gathered by source (as many as quote it), so that a source that any quotes is read and folded once.
+    Anchors are gathered by source, so that a source that any quotes is read and folded once; those of a hot source in blocks of ANCHORS or so, each a row with a copy of its text.
     """
-    marks = asked.groupBy("rel").agg(F.collect_list(F.struct("owner", "ord", "marker")).alias("own"))
+    blocks = asked.groupBy("rel").agg(F.ceil(F.count("*") / ANCHORS).alias("blocks"))
+    dealt = asked.join(blocks, "rel").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("owner", "ord", "marker.phrase"), F.col("blocks"))).otherwise(F.lit(0)))
+    marks = dealt.groupBy("rel", "block").agg(F.collect_list(F.struct("owner", "ord", "marker")).alias("own"))
     rows = folded(marks.join(sources.select("rel", "text"), "rel").withColumn("marks", F.col("own.marker")))
     done = resolve_all(rows).select("rel", F.explode(F.arrays_zip("own", "resolved")).alias("x"))
     return done.select("rel", "x.own.owner", "x.own.ord", F.col("x.own.marker.phrase").alias("phrase"), "x.resolved.found", "x.resolved.count", "x.resolved.ambiguous")

@@ -23,13 +23,14 @@ from quoin.functions.anchors import parse_markers
 from quoin.operators import bibliography, entailment
 from quoin.operators.grounding import resolved
 from quoin.operators.matching import containing
+from quoin.runtime import durable
 
 # A fixed value: what a synthesis writes for references across bases instead of cards.
 NO_NAMES = ("cross", "ref")
 
 
-def finding(rows: DataFrame, severity: str, code: str, subject: Column, detail: Column | None = None) -> DataFrame:
-    return rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), subject.cast("string").alias("subject"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+def finding(rows: DataFrame, severity: str | Column, code: str, subject: Column, detail: Column | None = None) -> DataFrame:
+    return rows.select((severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), F.lit(code).alias("code"), subject.cast("string").alias("subject"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
 
 
 def source_path(shelves: list[str], root: str = "library") -> str:
@@ -68,13 +69,14 @@ def rot_findings(anchors: DataFrame, cards: DataFrame, sources: DataFrame, stric
     """F over the anchors (id, marker) of cards."""
     own = anchors.select("id", "marker").join(cards.select("id", "rel").where("rel is not null"), "id")
     done = resolved(own.select("rel", F.col("id").cast("string").alias("owner"), F.lit(0).alias("ord"), "marker"), sources)
-    out = [finding(done.where("not found"), "error", "F", F.col("owner"), F.col("phrase"))]
-    return [*out, finding(done.where("found and ambiguous"), "warn", "F", F.col("owner"), F.concat_ws(" x ", F.col("count").cast("string"), "phrase"))] if strict else out
+    told = done.where(~F.col("found") | (F.lit(strict) & F.col("ambiguous")))  # both severities of one resolution
+    detail = F.when(F.col("found"), F.concat_ws(" x ", F.col("count").cast("string"), "phrase")).otherwise(F.col("phrase"))
+    return [finding(told, F.when(F.col("found"), "warn").otherwise("error"), "F", F.col("owner"), detail)]
 
 
 def lens_findings(lenses: DataFrame, rels: DataFrame, sources: DataFrame, severity: str, missing: str) -> list[DataFrame]:
     """F over lenses (name, text) and the sources (name, rel) that each may quote: an anchor holds if any of them has it. missing: the severity of a lens whose sources aren't there."""
-    marks = lenses.select("name", F.posexplode(parse_markers(F.col("text"))).alias("ord", "marker"))
+    marks = durable(lenses.select("name", F.posexplode(parse_markers(F.col("text"))).alias("ord", "marker")), "marks")  # parsed once for both findings
     there = rels.distinct().join(sources.select("rel"), "rel", "left_semi")
     unread = marks.select("name").distinct().join(there.select("name").distinct(), "name", "left_anti")
     asked = marks.join(there, "name").select("rel", F.col("name").alias("owner"), "ord", "marker")

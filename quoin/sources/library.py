@@ -187,9 +187,14 @@ def cards(spark: SparkSession, lib: Library) -> DataFrame:
     return card_fields(rows)
 
 
+def is_lens(name: Column) -> Column:
+    """Whether a file is a lens by its name: not one of the tool's (a leading underscore, a gate's triage, readmes)."""
+    return ~F.startswith(name, F.lit("_")) & ~F.contains(name, F.lit("GATE")) & (name != "README")
+
+
 def lenses(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, text) of lens files: not those of the tool (a leading underscore, a gate's triage, readmes)."""
-    return files(spark, folder, "*.md", r"\.md").where(~F.startswith("name", F.lit("_")) & ~F.contains("name", F.lit("GATE")) & (F.col("name") != "README")).select("name", "text")
+    """(name, text) of lens files."""
+    return files(spark, folder, "*.md", r"\.md").where(is_lens(F.col("name"))).select("name", "text")
 
 
 def body_below_mark(c: Column) -> Column:
