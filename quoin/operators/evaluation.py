@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions.anchors import resolve
 from quoin.operators.grounding import folded, marker, phrase_hits
+from quoin.operators.ranks import discrete, median, picked
 from quoin.runtime import durable
 
 
@@ -94,6 +95,10 @@ def paired_ranking(runs: DataFrame, tiers: list[str], least: int = 2) -> DataFra
             break
     shared = measured.where(F.col("tier").isin(*best)).groupBy("doc").agg(F.count_distinct("tier").alias("k")).where(F.col("k") == len(best)).select("doc")
     own = measured.where(F.col("tier").isin(*best)).join(shared, "doc")
-    stats = own.groupBy("tier").agg(F.count("*").alias("docs"), F.round(F.median("recall"), 6).alias("median_recall"), F.round(F.min("recall"), 6).alias("worst_recall"), F.round(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY recall)"), 6).alias("p10_recall"), F.round(F.median("orders"), 6).alias("median_order"))
+    n = F.col("n")
+    recalls = picked(own, "tier", "recall", {"median_recall": median(n), "p10_recall": discrete(0.1, n)}).drop("n")
+    orders = picked(own, "tier", "orders", {"median_order": median(n)}).drop("n")
+    counts = own.groupBy("tier").agg(F.count("*").alias("docs"), F.min("recall").alias("worst_recall"))
+    stats = counts.join(recalls, "tier").join(orders, "tier", "left").select("tier", "docs", *[F.round(c, 6).alias(c) for c in ("median_recall", "worst_recall", "p10_recall", "median_order")])
     ranked = F.row_number().over(Window.orderBy(F.coalesce(F.col("median_order") < 0, F.lit(False)), F.desc("median_recall"), "tier"))
     return stats.withColumn("rank", ranked)

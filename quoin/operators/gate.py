@@ -503,9 +503,13 @@ def document_seed(text: Column) -> Column:
 
 
 def rater_order(drafts: DataFrame, raters: DataFrame) -> DataFrame:
-    """(rater, draft, ord): each rater's own order of the drafts (draft as text), which no rater can foresee and every run repeats."""
-    rows = drafts.select(F.col("draft").cast("string").alias("draft")).crossJoin(F.broadcast(raters.select("rater")))
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("rater").orderBy(F.sha2(F.concat("rater", F.lit(":"), "draft"), 256))))
+    """(rater, draft, ord): each rater's own order of the drafts (draft as text), which no rater can foresee and every run repeats. Each rater has a row for every draft; raters are people, so few."""
+    from quoin.operators.ranks import ranked
+
+    named = F.explode(F.array(*[F.lit(r["rater"]) for r in raters.select("rater").distinct().collect()] or [F.lit(None).cast("string")])).alias("rater")
+    rows = drafts.select(F.col("draft").cast("string").alias("draft"), named).where("rater is not null")
+    keyed = rows.withColumn("key ", F.sha2(F.concat("rater", F.lit(":"), "draft"), 256))
+    return ranked(keyed, ["rater"], ["key "], "ord").select("rater", "draft", F.col("ord").cast("int").alias("ord"))
 
 
 def sheet(rubric: dict, drafts: DataFrame, rater: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quoin.functions.patterns import needed
-from quoin.operators import grounding, linter, retrieval, runs, search_index, services
+from quoin.operators import grounding, linter, ranks, retrieval, runs, search_index, services
 from quoin.operators.matching import containing
 from quoin.streaming import transactions
 
@@ -115,3 +115,21 @@ def test_a_run_goes_on_where_it_stopped(spark, tmp_path):
     for other in ((rows, {"k": 2}), (rows.where("doc > 0"), {"k": 1})):
         with pytest.raises(runs.ManifestError):
             runs.resume(other[0], str(tmp_path), other[1], measure)
+
+
+def test_ranks_and_quantiles_of_a_hot_group(spark):
+    """Most rows are one group's, and most of those have one value; groups with nulls, ties and one row."""
+    rng = random.Random(5)
+    data = [("hot", rng.choice([7, 7, 7, rng.randrange(50)])) for _ in range(3000)] + [(None, v) for v in (3, 1, 2)] + [("one", 5), ("none", None), ("b", None), ("b", 4), ("b", 8)]
+    df = spark.createDataFrame(data, "g string, v int")
+    got = {}
+    for r in ranks.ranked(df, ["g"], ["v"]).collect():
+        got.setdefault(r["g"], []).append((r["rank"], r["v"]))
+    for g, own in got.items():
+        values = sorted((v for k, v in data if k == g), key=lambda v: (v is not None, v or 0))
+        assert [v for _, v in sorted(own)] == values and sorted(r for r, _ in own) == list(range(1, len(values) + 1))
+    n = F.col("n")
+    told = {r["g"]: (r["n"], r["m"], r["p"]) for r in ranks.picked(df, "g", "v", {"m": ranks.median(n), "p": ranks.discrete(0.1, n)}).collect()}
+    hot = sorted(v for k, v in data if k == "hot")
+    assert told == {"hot": (3000, (hot[1499] + hot[1500]) / 2, hot[299]), None: (3, 2.0, 1.0), "one": (1, 5.0, 5.0), "b": (2, 6.0, 4.0)}
+    assert ranks.ranked(df.where("false"), ["g"], ["v"]).count() == 0
