@@ -8,6 +8,7 @@ shared below branches that differ, and edits() tells where they are. It takes ab
 
 Null text counts as empty. Documents are in the order of doc_id (null first; rows with one doc_id by their text's hash); the one after the last is the first.
 A table of one document has itself as the next. An empty table gives an empty result. Only doc_id and text are read, so other columns may have any names.
+A very long text is cut by one task, which holds it and its edited form.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ The whole text is parsed, in stretches of STRETCH symbols at whose ends a phrase
 Automata are dense tables (states by symbols) and many stretches advance together, a symbol a step. Texts that are null or have no letter are `und`, with score 0.
 score is the share by which the winner needs fewer phrases than the second (with one language: 1 - phrases a letter). Without any labelled row all are `und`.
 Labels that are null or blank aren't learned. Only doc_id, text and, in learning, lang are read; lang, source and doc_id are no inputs of a prediction.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ text); a span goes on to the next word that stays.
 Hot units are one row for each task before the shuffle that finds first places; the joins back are ones that adaptive execution may split. What is gathered is gathered by
 document, whose size bounds it. Null texts stay null; texts without words have no units. Rows of one doc_id are one document, so none of them repeats another. Rows without a
 doc_id rank last, and don't repeat each other. What a document says twice itself stays, unless within=True; of a passage that another document has earlier, every copy goes.
-An empty table gives an empty one.
+An empty table gives an empty one. A very long text is cut, and cleaned, by one task that holds it and its units.
 """
 
 from __future__ import annotations

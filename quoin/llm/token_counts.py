@@ -8,6 +8,7 @@ other sections are the field as a whole. Token spans are joined with section spa
 crossing counts the tokens that begin in the section and end in another. Counts of all sections of a document add up to its tokens.
 
 Null and empty fields are empty; a document whose joined text is empty has one section without tokens. Rows are handled one by one; ids may be null or repeated.
+A very long text is encoded whole, by one task that holds it and its spans; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ the payload's digest. What fails is told in the column problem; a file that can'
 The writer gives a response for each row, or a revisit (headers only) when a row with an equal payload of least_bytes or more has a smaller page_id. A null payload is
 empty. Rows of a repeated page_id that have the smallest page_id of their payload are all responses; a row without page_id is always a response. A file holds at most about
 ARCHIVE bytes, is written under another name and moved, and its name and content depend on the task's rows alone, so a task that runs again replaces its own files.
+A very long payload is a record as any other, held once by the task that writes or reads it. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
