@@ -378,9 +378,10 @@ def source_of_framework(frameworks: DataFrame, shelves: list[str], root: str = "
 
 
 def triage_row(texts: DataFrame, name: str) -> DataFrame:
-    """The row of a triage table (column text) for a dimension: its bold name first, else the first row that has the name's first part anywhere."""
-    rows = texts.select(F.posexplode(T.split_lines(F.col("text"))).alias("at", "line")).where(F.startswith("line", F.lit("|")))
+    """The row of a triage table (column text, in parts in the order of place where there is one) for a dimension: its bold name first, else the first row that has the name's first part anywhere."""
+    place = F.col("place") if "place" in texts.columns else F.lit(0)
+    rows = texts.select(place.alias("place"), F.posexplode(T.split_lines(F.col("text"))).alias("at", "line")).where(F.startswith("line", F.lit("|")))
     bold = F.contains(F.lower("line"), F.lit("**" + name.replace("-", "/").lower()))
     loose = F.contains(F.lower("line"), F.lit(name.split("-")[0].lower()))
-    best = F.min_by("line", F.struct(F.when(bold, 0).otherwise(1), "at"))
+    best = F.min_by("line", F.struct(F.when(bold, 0).otherwise(1), "place", "at"))
     return rows.where(bold | loose).agg(F.trim(best).alias("row")).where("row is not null")

@@ -255,6 +255,24 @@ def f19_repair_control(spark, sf_dir):
     return docs(spark, sf_dir).select(number().alias("id"), F.sha2(F.pandas_udf(run, "string")(broken), 256).alias("text_sha"))
 
 
+_OPTIONS = "(VALUES (0, 'ffi'), (1, 'ffl'), (2, 'fi'), (3, 'fl'), (4, 'ff'), (5, 'ft'), (6, 'st')) o(place, ligature)"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM documents), dict AS (SELECT DISTINCT lower(w) AS w FROM w), p AS (SELECT doc_id, string_split(w, CASE WHEN doc_id % 2 = 0 THEN 'st' ELSE 'en' END) AS p FROM w),
+  c AS (SELECT doc_id, lower(p[i]) AS a, lower(p[i + 1]) AS b FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM p WHERE len(p) > 1) WHERE p[i] <> '' AND p[i + 1] <> ''),
+  v AS (SELECT doc_id, place, ligature, count(*) AS n FROM c, {_OPTIONS} WHERE (a || ligature || b) IN (SELECT w FROM dict) GROUP BY ALL), b AS (SELECT doc_id, max(n) AS votes, arg_max(ligature, n * 10 - place) AS ligature FROM v GROUP BY doc_id),
+  h AS (SELECT doc_id, count(*) AS apart FROM c WHERE length(a) > 1 AND length(b) > 1 AND a IN (SELECT w FROM dict) AND b IN (SELECT w FROM dict) GROUP BY doc_id)
+  SELECT d.doc_id AS id, CASE WHEN votes >= 2 AND votes > coalesce(apart, 0) THEN ligature ELSE ' ' END AS meaning, coalesce(votes, 0)::BIGINT AS votes, coalesce(apart, 0)::BIGINT AS apart FROM (SELECT DISTINCT doc_id FROM c) d LEFT JOIN b USING (doc_id) LEFT JOIN h USING (doc_id)""")
+def a17_learned_bytes(spark, sf_dir):
+    """What a lost byte stood for in each document, by the words of all documents as the word list: st in every other one, and en, which is no ligature, in the rest."""
+    from quoin.operators import wordlists
+
+    d = docs(spark, sf_dir)
+    words = d.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{wordlists.LETTER}]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word"))
+    broken = F.when(number() % 2 == 0, F.replace("text", F.lit("st"), F.lit("\x02"))).otherwise(F.replace("text", F.lit("en"), F.lit("\x1f")))
+    return wordlists.control_meanings(d.select(number().alias("id"), broken.alias("text")), words).drop("byte")
+
+
 _STOP = ", ".join(f"'{w}'" for w in evaluation.SEARCH_STOP)
 
 
@@ -265,11 +283,13 @@ def f28_search_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(evaluation.search_terms(F.concat("text", F.lit(" The what IS more"))), " ").alias("terms"))
 
 
-@query("SELECT '| **Pacing/Beat** | keep 0 |' AS row")
+@query("""WITH l AS (SELECT doc_id, i, '| ' || CASE WHEN doc_id % 3 = 0 THEN '**En/Beat**' ELSE 'x' END || ' | ' || string_split(text, E'\\n')[i] || ' |' AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, E'\\n')) + 1)) AS i FROM documents) WHERE string_split(text, E'\\n')[i] NOT LIKE '% ')
+  SELECT trim(arg_min(line, CASE WHEN contains(lower(line), '**en/beat') THEN 0 ELSE 1000000000 END + doc_id * 10000 + i)) AS row FROM l WHERE contains(lower(line), 'en')""")
 def f30_triage_row(spark, sf_dir):
-    """A dimension's row of the triage table: by its bold name, before rows that only mention a part of it."""
-    d = docs(spark, sf_dir).agg(F.min("doc_id").alias("doc_id"))
-    return S.triage_row(d.select(say("| pacing | no |\n| **Pacing/Beat** | keep ", number(), " |\n| **Voice** | x |").alias("text")), "pacing-beat")
+    """A dimension's row of a triage table made of all lines of all documents: by its bold name, before rows that only mention a part of it. Each document's lines are a table of their own, in order."""
+    lines = docs(spark, sf_dir).select(number().alias("id"), F.posexplode(F.split("text", "\n")).alias("i", "line")).where(~F.endswith("line", F.lit(" ")))
+    row = say("| ", F.when(F.col("id") % 3 == 0, "**En/Beat**").otherwise("x"), " | ", F.col("line"), " |")
+    return S.triage_row(lines.select(row.alias("text"), (F.col("id") * 10000 + F.col("i") + 1).alias("place")), "en-beat")
 
 
 @query("SELECT doc_id AS id, (1 + length(text) - length(replace(text, E'\\n', '')))::INT AS pages, len(list_filter(string_split(text, E'\\n'), lambda l: len(list_filter(string_split(regexp_replace(trim(l), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) < 5))::BIGINT AS few, (1 + length(text) - length(replace(text, E'\\n', ''))) <> 7 AS control_mismatch FROM documents WHERE NOT ends_with(text, E'\\n')")

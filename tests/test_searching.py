@@ -8,7 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quoin.functions.patterns import needed
-from quoin.operators import grounding, linter, ranks, retrieval, runs, search_index, services
+from quoin.operators import grounding, linter, normalize, ranks, retrieval, runs, search_index, services, wordlists
 from quoin.operators.matching import containing
 from quoin.streaming import transactions
 
@@ -133,3 +133,12 @@ def test_ranks_and_quantiles_of_a_hot_group(spark):
     hot = sorted(v for k, v in data if k == "hot")
     assert told == {"hot": (3000, (hot[1499] + hot[1500]) / 2, hot[299]), None: (3, 2.0, 1.0), "one": (1, 5.0, 5.0), "b": (2, 6.0, 4.0)}
     assert ranks.ranked(df.where("false"), ["g"], ["v"]).count() == 0
+
+
+def test_lost_bytes_by_a_table_of_words(spark):
+    rng = random.Random(9)
+    known = ["definition", "define", "fine", "office", "flat", "first", "best", "rest", "no", "table", "notable", "after", "café"]
+    made = lambda: rng.choice(known).replace(rng.choice(["fi", "ffi", "fl", "st", "ft", "ta", "zz"]), rng.choice("\x02\x1f\x03"))
+    texts = [(i, " ".join(made() + rng.choice(["", ".", "\x02", "\x1f", " \x03 "]) for _ in range(rng.randint(0, 14)))) for i in range(200)] + [(200, ""), (201, "no\x02table no\x02table no\x02table")]
+    got = wordlists.repaired(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(w,) for w in known], "word string"))
+    assert {r["id"]: r["text"] for r in got.collect()} == {i: normalize.repair_control(t, frozenset(known)) for i, t in texts}
