@@ -94,7 +94,7 @@ def paired_ranking(runs: DataFrame, tiers: list[str], least: int = 2) -> DataFra
             best = min(options, key=lambda o: (-o[0], o[1]))[1]
             break
     shared = measured.where(F.col("tier").isin(*best)).groupBy("doc").agg(F.count_distinct("tier").alias("k")).where(F.col("k") == len(best)).select("doc")
-    own = measured.where(F.col("tier").isin(*best)).join(shared, "doc")
+    own = durable(measured.where(F.col("tier").isin(*best)).join(shared, "doc").select("tier", "recall", "orders"), "paired")  # ranked twice, and counted
     n = F.col("n")
     recalls = picked(own, "tier", "recall", {"median_recall": median(n), "p10_recall": discrete(0.1, n)}).drop("n")
     orders = picked(own, "tier", "orders", {"median_order": median(n)}).drop("n")
