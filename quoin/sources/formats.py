@@ -6,7 +6,8 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from typing import BinaryIO
 from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -21,18 +22,48 @@ BREAKS = {
     "p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "dd", "dt", "figure",
     "figcaption", "nav", "main", "aside",
 }
-# Marks of UTF-16, and the type of an EPUB's package file.
+# Marks of UTF-16, the type of an EPUB's package file, the type that an EPUB's member mimetype holds, and the member that makes an archive a DOCX.
 UTF16, PACKAGE = (b"\xff\xfe", b"\xfe\xff"), "application/oebps-package+xml"
+EPUB, DOCUMENT = "application/epub+zip", "word/document.xml"
 ZIP_MOST = 512 << 20
+_END_MOST = 22 + 65535  # of an archive's last record, with its comment
+
+
+def _latin(content: Column, at: Column, n: Column) -> Column:
+    """n bytes from a place (from 0) as a string of as many characters; null where a number is none."""
+    return F.decode(F.substring(content, at.try_cast("int") + 1, n.try_cast("int")), "ISO-8859-1")
+
+
+def _number(s: Column, at: int, n: int) -> Column:
+    """The little-endian integer in n characters from a place (from 0)."""
+    return sum((F.ascii(F.substring(s, at + i + 1, 1)).cast("long") * (1 << 8 * i) for i in range(n)), F.lit(0).cast("long"))
+
+
+def _record(directory: Column, name: str) -> Column:
+    """A member's record in an archive's directory, up to its name; empty if there is none of exactly this name."""
+    return F.regexp_extract(directory, rf"(?s)PK\x01\x02.{{24}}\x{len(name):02x}\x00.{{16}}{re.escape(name)}", 0)
+
+
+def _zip_kind(content: Column) -> Column:
+    """epub or docx by an archive's directory, which its last bytes lead to, and by the member mimetype (stored, not deflated, as EPUB asks); only these few bytes are looked at."""
+    n = F.length(content).cast("long")
+    tail = _latin(content, F.greatest(n - _END_MOST, F.lit(0)), F.lit(_END_MOST))
+    end = F.substring_index(tail, "PK\x05\x06", -1)
+    directory = F.coalesce(F.when(F.contains(tail, F.lit("PK\x05\x06")), _latin(content, _number(end, 12, 4), _number(end, 8, 4))), F.lit(""))
+    mime = _record(directory, "mimetype")
+    at = _number(mime, 42, 4)
+    local = _latin(content, at, F.lit(30))
+    told = _latin(content, at + 30 + _number(local, 26, 2) + _number(local, 28, 2), _number(mime, 20, 4))
+    stored = (mime != "") & (_number(mime, 10, 2) == 0) & (_number(mime, 20, 4) < 100)
+    return F.when(stored & (F.trim(told, F.lit(" \t\r\n")) == EPUB), "epub").when(_record(directory, DOCUMENT) != "", "docx")
 
 
 def sniffed(content: Column) -> Column:
-    """pdf, epub, docx, html or txt by the first bytes; null for what is none of them: empty, binary, mostly control bytes. Archives are told apart by the names stored in them."""
+    """pdf, epub, docx, html or txt by the first bytes; null for what is none of them: empty, binary, mostly control bytes. Archives are told apart by what their directory names, not by what stands in a member."""
     head = F.decode(F.substring(content, 1, 512), "ISO-8859-1")
     markup = F.regexp_replace(head, r"^(?:\u00ef\u00bb\u00bf)?[ \t\r\n]*", "")
-    zipped = F.decode(content, "ISO-8859-1")
-    kind = F.when(head.startswith("%PDF-"), "pdf").when(head.startswith("PK\x03\x04") & F.contains(zipped, F.lit("application/epub+zip")), "epub")
-    kind = kind.when(head.startswith("PK\x03\x04") & F.contains(zipped, F.lit("word/document.xml")), "docx")
+    zipped = F.when(head.startswith("PK\x03\x04"), _zip_kind(content))
+    kind = F.when(head.startswith("%PDF-"), "pdf").when(zipped.isNotNull(), zipped)
     kind = kind.when(F.lower(markup).rlike(r"^(<\?xml|<!doctype html|<html)"), "html").when(head.startswith("\xff\xfe") | head.startswith("\xfe\xff"), "txt")
     sample = F.substring(head, 1, 256)
     printable = F.length(F.regexp_replace(sample, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
@@ -84,28 +115,50 @@ def decoded(data: bytes) -> str:
         return data.decode("cp1252", "replace")
 
 
-def open_zip(data: bytes) -> dict[str, bytes]:
-    """Members of an archive; names that leave it and archives that unpack to too much are refused."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        if sum(i.file_size for i in z.infolist()) > ZIP_MOST:
+class Members(Mapping[str, bytes]):
+    """Members of an archive, each read when it is asked for. Names that leave the archive, and archives that unpack to more than `most` bytes, are refused at once."""
+
+    def __init__(self, file: BinaryIO, most: int = ZIP_MOST) -> None:
+        self.zip = zipfile.ZipFile(file)
+        if sum(i.file_size for i in self.zip.infolist()) > most:
             raise ValueError("archive unpacks to too much")
-        out = {}
-        for i in z.infolist():
+        self.infos: dict[str, zipfile.ZipInfo] = {}
+        for i in self.zip.infolist():
             name = posixpath.normpath(i.filename.replace("\\", "/"))
             if name.startswith(("/", "../")) or name == ".." or re.match("[A-Za-z]:", name):
                 raise ValueError(f"unsafe name {i.filename!r}")
             if not i.is_dir():
-                out[name] = z.read(i)
-        return out
+                self.infos[name] = i
+
+    def __getitem__(self, name: str) -> bytes:
+        return self.zip.read(self.infos[name])
+
+    def __contains__(self, name: object) -> bool:  # a Mapping's own would read the member
+        return name in self.infos
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.infos)
+
+    def __len__(self) -> int:
+        return len(self.infos)
+
+    def kind(self) -> str | None:
+        """epub by what the member mimetype holds, docx by its document; None for other archives."""
+        if "mimetype" in self.infos and self.infos["mimetype"].file_size < 100 and self["mimetype"].strip() == EPUB.encode():
+            return "epub"
+        return "docx" if DOCUMENT in self.infos else None
+
+
+def open_zip(data: bytes) -> Members:
+    return Members(io.BytesIO(data))
 
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def epub_text(data: bytes) -> str:
-    """Chapters in the order of the spine; an archive without package file or spine is an error."""
-    files = open_zip(data)
+def spine(files: Mapping[str, bytes]) -> list[str]:
+    """Chapters of an EPUB in reading order; an archive without package file or spine is an error. Chapters that aren't in the archive are left out."""
     if "META-INF/container.xml" not in files:
         raise ValueError("epub has no container.xml")
     roots = [e for e in ElementTree.fromstring(files["META-INF/container.xml"]).iter() if _local(e.tag) == "rootfile" and e.get("full-path")]
@@ -115,22 +168,46 @@ def epub_text(data: bytes) -> str:
         raise ValueError("epub has no package file")
     root = ElementTree.fromstring(files[opf])
     items = {e.get("id"): e.get("href") for e in root.iter() if _local(e.tag) == "item" and e.get("id") and e.get("href")}
-    spine = [e.get("idref") for e in root.iter() if _local(e.tag) == "itemref" and e.get("idref")]
-    if not spine:
+    refs = [e.get("idref") for e in root.iter() if _local(e.tag) == "itemref" and e.get("idref")]
+    if not refs:
         raise ValueError("epub has an empty spine")
-    paths = [unquote(items[i]).split("#", 1)[0].split("?", 1)[0] for i in spine if i in items]
+    paths = [unquote(items[i]).split("#", 1)[0].split("?", 1)[0] for i in refs if i in items]
     at = [posixpath.normpath(posixpath.join(posixpath.dirname(opf), h)) for h in paths]
-    return "\n\n".join(t for p in at if p in files and (t := html_text(decoded(files[p]))).strip())
+    return [p for p in at if p in files]
+
+
+def epub_text(data: bytes) -> str:
+    """Chapters in the order of the spine."""
+    files = open_zip(data)
+    return "\n\n".join(t for p in spine(files) if (t := html_text(decoded(files[p]))).strip())
+
+
+def paragraphs(xml: BinaryIO) -> Iterator[str]:
+    """Paragraphs of a document's XML, which is parsed as it is read; a paragraph within another follows that, which has its text too."""
+    part = {"t": lambda e: e.text or "", "tab": lambda e: "\t", "br": lambda e: "\n"}
+    inside, parents = 0, []
+    for event, e in ElementTree.iterparse(xml, ("start", "end")):
+        is_p = _local(e.tag) == "p"
+        if event == "start":
+            inside += is_p
+            parents.append(e)
+            continue
+        parents.pop()
+        inside -= is_p
+        if inside:
+            continue
+        if is_p:
+            for p in (x for x in e.iter() if _local(x.tag) == "p"):
+                yield "".join(part[_local(x.tag)](x) for x in p.iter() if _local(x.tag) in part)
+        if parents:
+            parents[-1].remove(e)
 
 
 def docx_text(data: bytes) -> str:
     """A line for each paragraph of the document."""
-    root = ElementTree.fromstring(open_zip(data)["word/document.xml"])
-    lines = []
-    for p in (e for e in root.iter() if _local(e.tag) == "p"):
-        part = {"t": lambda e: e.text or "", "tab": lambda e: "\t", "br": lambda e: "\n"}
-        lines.append("".join(part[_local(e.tag)](e) for e in p.iter() if _local(e.tag) in part))
-    return "\n".join(lines).strip("\n")
+    files = open_zip(data)
+    with files.zip.open(files.infos[DOCUMENT]) as xml:
+        return "\n".join(paragraphs(xml)).strip("\n")
 
 
 def plain_text(data: bytes) -> str:

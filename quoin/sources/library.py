@@ -98,7 +98,7 @@ def files(spark: SparkSession, folder: str, pattern: str, suffix: str, strict: b
 
 
 def write_files(rows: DataFrame, root: str) -> int:
-    """Write (path, text) under a root that all executors reach; each file whole or not at all, and again if a task runs again. How many there were."""
+    """Write (path, text), text as a string or as bytes, under a root that all executors reach; each file whole or not at all, and again if a task runs again. How many there were."""
 
     def run(batches):
         import pyarrow as pa
@@ -112,7 +112,7 @@ def write_files(rows: DataFrame, root: str) -> int:
                 store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 own = f"{at}.{uuid.uuid4().hex}.writing"  # each attempt's own
                 with store.open_output_stream(own) as out:
-                    out.write((text or "").encode("utf-8", "surrogatepass"))
+                    out.write(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"))
                 store.move(own, at)
                 n += 1
         yield pa.RecordBatch.from_pydict({"n": [n]})
