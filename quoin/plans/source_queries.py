@@ -17,7 +17,7 @@ from quoin.operators import services as S
 from quoin.plans.grounding_queries import FLAT, TODAY
 from quoin.plans.registry import query
 from quoin.plans.text_queries import docs, sql_norm
-from quoin.runtime import durable, scratch, shared_dir
+from quoin.runtime import arrow_limits, durable, scratch, shared_dir
 from quoin.sources import archives, formats, library
 
 _FIRST = "split_part(text, E'\\n', 1)"
@@ -198,49 +198,51 @@ def s17_docx(spark, sf_dir):
     return formats.extract(rows).select(F.col("path").cast("long").alias("id"), F.sha2("text", 256).alias("text_sha"), F.col("error").isNotNull().alias("refused"))
 
 
-def _archive(t: str, s: str, k: int) -> bytes:
-    """An EPUB of two chapters, the source before the text, for even numbers; a DOCX of the text's lines for others; every sixth holds a name that leaves it."""
-    if k % 2 == 0:
-        opf = '<package><manifest><item id="a" href="the%20text.html"/><item id="b" href="b.html#x"/></manifest><spine><itemref idref="b"/><itemref idref="a"/></spine></package>'
-        body = "".join(f"<p>{_escaped(x)}</p>" for x in t.split("\n"))
-        return _zipped({"mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/c.opf"/></rootfiles></container>', "o/c.opf": opf, "o/the text.html": f"<html><body>{body}</body></html>", "o/b.html": f"<main>{_escaped(s)}</main>"})
-    body = "".join(f"<w:p><w:r><w:t>{_escaped(x)}</w:t></w:r></w:p>" for x in t.split("\n"))
-    return _zipped({"word/document.xml": f'<w:d xmlns:w="w">{body}</w:d>'} | ({"../../out": "x"} if k == 5 else {}))
+def _bound(batches):
+    """An EPUB with a chapter for each document of even number, the last first in reading order, and a DOCX with a paragraph for each line of the others: two archives a batch, named alike if a task runs again."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    for n, batch in enumerate(batches):
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        even, odd = [(k, t or "") for k, t in rows if k % 2 == 0], [(k, t or "") for k, t in rows if k % 2]
+        items, order = "".join(f'<item id="i{k}" href="the%20{k}.html"/>' for k, _ in even), "".join(f'<itemref idref="i{k}"/>' for k, _ in reversed(even))
+        chapters = {f"o/the {k}.html": "<html><body>" + "".join(f"<p>{_escaped(x)}</p>" for x in t.split("\n")) + "</body></html>" for k, t in even}
+        book = {"mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/c.opf"/></rootfiles></container>', "o/c.opf": f"<package><manifest>{items}</manifest><spine>{order}</spine></package>"}
+        lines = "".join(f"<w:p><w:r><w:t>{k}</w:t><w:tab/><w:t>{_escaped(x)}</w:t></w:r></w:p>" for k, t in odd for x in t.split("\n"))
+        made = ([_zipped(book | chapters)] if even else []) + ([_zipped({"word/document.xml": f'<w:d xmlns:w="w">{lines}</w:d>'})] if odd else [])
+        at = f"{TaskContext.get().partitionId()}-{n}"
+        yield pa.RecordBatch.from_pydict({"path": [f"{at}/{i}.bin" for i in range(len(made))], "text": made}, pa.schema([("path", pa.string()), ("text", pa.binary())]))
 
 
 def _archives(spark, sf_dir) -> str:
-    """The folder in which each document is an archive of its own."""
-    made = F.pandas_udf(lambda text, source, kind: pd.Series([_archive(*r) for r in zip(text, source, kind, strict=True)]), "binary")
-    own = docs(spark, sf_dir).select(F.concat(F.pmod(number(), F.lit(16)).cast("string"), F.lit("/"), number().cast("string"), F.lit(".bin")).alias("path"), made("text", F.coalesce("source", F.lit("")), F.pmod(number(), F.lit(6))).alias("text"))
+    """A folder of archives that hold all documents."""
     at = scratch(spark, "archives")
-    library.write_files(own, at)
+    arrow_limits(spark)
+    library.write_files(docs(spark, sf_dir).select("doc_id", "text").mapInArrow(_bound, "path string, text binary"), at)
     return at
 
 
-def _archive_id():
-    return F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("long").alias("id")
+_CHAPTER = r"the ([0-9]+)\.html$"
 
 
-@query("""SELECT doc_id AS id, 'epub' AS kind, 0 AS part, sha256(trim(source)) AS text_sha, false AS refused FROM documents WHERE doc_id % 2 = 0 AND trim(source) <> '' UNION ALL
-  SELECT doc_id, 'epub', 1, sha256(body), false FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, E'\n'), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), E'\n\n') AS body FROM documents WHERE doc_id % 2 = 0) WHERE body <> '' UNION ALL
-  SELECT doc_id, 'docx', 0, sha256(text), false FROM documents WHERE doc_id % 6 IN (1, 3) UNION ALL SELECT doc_id, NULL, NULL, NULL, true FROM documents WHERE doc_id % 6 = 5""")
+@query("""SELECT doc_id AS id, 'epub' AS kind, sha256(body) AS text_sha, NULL::BIGINT AS n_lines, NULL::BIGINT AS digest FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, E'\n'), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), E'\n\n') AS body FROM documents WHERE doc_id % 2 = 0) WHERE body <> '' UNION ALL
+  SELECT doc_id, 'docx', NULL, count(*), sum(('0x' || substr(md5(line), 1, 8))::BIGINT)::BIGINT FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS line FROM documents WHERE doc_id % 2 = 1) GROUP BY 1""")
 def s19_archive_texts(spark, sf_dir):
-    """Chapters and documents of a folder of archives, by the source that plans them by size; the file names don't tell the kind. Texts over a million characters are several parts of a DOCX, which are put together here."""
-    found = archives.texts(spark, _archives(spark, sf_dir), pathGlobFilter="*.bin")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n")  # the parts of one document
-    docx = found.where("kind = 'docx'").groupBy("path", "kind").agg(whole.alias("text")).select("path", "kind", F.lit(0).alias("part"), "text", F.lit(None).cast("string").alias("error"))
-    rows = found.where("kind is null or kind = 'epub'").select("path", "kind", "part", "text", "error").unionAll(docx)
-    return rows.select(_archive_id(), "kind", "part", F.sha2("text", 256).alias("text_sha"), F.col("error").isNotNull().alias("refused"))
-
-
-@query("""SELECT doc_id AS id, member, octet_length(encode(body))::BIGINT AS size FROM (
-  SELECT doc_id, 'mimetype' AS member, 'application/epub+zip' AS body FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'o/b.html', '<main>' || replace(replace(coalesce(source, ''), '&', '&amp;'), '<', '&lt;') || '</main>' FROM documents WHERE doc_id % 2 = 0 UNION ALL
-  SELECT doc_id, 'o/the text.html', '<html><body><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), E'\n', '</p><p>') || '</p></body></html>' FROM documents WHERE doc_id % 2 = 0 UNION ALL
-  SELECT doc_id, 'word/document.xml', '<w:d xmlns:w="w"><w:p><w:r><w:t>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), E'\n', '</w:t></w:r></w:p><w:p><w:r><w:t>') || '</w:t></w:r></w:p></w:d>' FROM documents WHERE doc_id % 6 IN (1, 3))""")
+    """Chapters and paragraphs of a folder of archives, by the source that plans them by size and cuts the large ones; file names don't tell the kind."""
+    found = durable(archives.texts(spark, _archives(spark, sf_dir), pathGlobFilter="*.bin", splitBytes=4 << 20), "texts")  # read twice
+    none = F.lit(None).cast("long")
+    chapters = found.where("kind = 'epub'").select(F.regexp_extract("member", _CHAPTER, 1).cast("long").alias("id"), "kind", F.sha2("text", 256).alias("text_sha"), none.alias("n_lines"), none.alias("digest"))
+    lines = found.where("kind = 'docx'").select("kind", F.explode(F.split("text", "\n")).alias("line")).select(F.substring_index("line", "\t", 1).cast("long").alias("id"), "kind", F.expr("substring(line, instr(line, '\t') + 1)").alias("line"))
+    number = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long")
+    return chapters.unionByName(lines.groupBy("id", "kind").agg(F.lit(None).cast("string").alias("text_sha"), F.count("*").alias("n_lines"), F.sum(number).alias("digest")))
+
+
+@query("""SELECT doc_id AS id, octet_length(encode('<html><body><p>' || replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), E'\n', '</p><p>') || '</p></body></html>'))::BIGINT AS size FROM documents WHERE doc_id % 2 = 0""")
 def s19_archive_members(spark, sf_dir):
-    """What archives hold, by their directories alone: members but for an EPUB's package files, with their sizes."""
-    found = archives.members(spark, _archives(spark, sf_dir))
-    return found.where("error is null and member not in ('META-INF/container.xml', 'o/c.opf')").select(_archive_id(), "member", "size")
+    """The chapters that archives hold, with their sizes, by directories alone."""
+    found = archives.members(spark, _archives(spark, sf_dir), splitBytes=4 << 20)
+    return found.where(F.col("member").rlike(_CHAPTER)).select(F.regexp_extract("member", _CHAPTER, 1).cast("long").alias("id"), "size")
 
 
 @query(f"SELECT doc_id AS id, 1 AS page, {_FIRST} || E'\\n' || source AS text FROM documents WHERE doc_id % 4 > 0 UNION ALL SELECT doc_id, 3, lang FROM documents WHERE doc_id % 4 > 0")
