@@ -13,7 +13,7 @@ from quoin.operators.normalize import backups_to_prune
 from quoin.plans.grounding_queries import TODAY
 from quoin.plans.registry import query
 from quoin.plans.retrieval_queries import _COUNTS, _SCORE, BLOCKS_SQL
-from quoin.plans.text_queries import WS, docs, sql_norm
+from quoin.plans.text_queries import TOKENS_SQL, WS, docs, sql_norm
 from quoin.runtime import table
 
 _FIRST = "split_part(text, E'\\n', 1)"
@@ -117,7 +117,7 @@ def a20_duplicates(spark, sf_dir):
 
 
 @query(f"""WITH p AS (SELECT doc_id AS doc, i AS page, l[i] AS shown, substr(l[i], 1, length(l[i]) // 2) || ' zz' AS extracted FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents))),
-  q AS (SELECT doc, page, regexp_extract_all(lower(replace(shown, '-', '')), '[\\p{{L}}\\p{{N}}]+') AS s, list_reverse(regexp_extract_all(lower(replace(extracted, '-', '')), '[\\p{{L}}\\p{{N}}]+')) AS e FROM p),
+  q AS (SELECT doc, page, {TOKENS_SQL.replace('text', 'shown')} AS s, list_reverse({TOKENS_SQL.replace('text', 'extracted')}) AS e FROM p),
   w AS (SELECT doc, page, unnest(s) AS t, generate_subscripts(s, 1) AS i, 1 AS a FROM q UNION ALL SELECT doc, page, unnest(e), generate_subscripts(e, 1), 0 FROM q), g AS (SELECT doc, page, t, sum(a) AS a, sum(1 - a) AS b, min(i) FILTER (WHERE a = 1) AS pa, min(i) FILTER (WHERE a = 0) AS pb FROM w GROUP BY doc, page, t),
   k AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY pa) AS x, row_number() OVER (PARTITION BY doc, page ORDER BY pb) AS y FROM g WHERE a = 1 AND b = 1), o AS (SELECT doc, page, CASE WHEN count(*) >= 4 THEN 1 - 6 * sum((x - y) * (x - y))::DOUBLE / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)) END AS r FROM k GROUP BY doc, page)
   SELECT p.doc, p.page, round(z.r, 6)::DOUBLE AS recall, round(o.r, 6) AS "order" FROM p LEFT JOIN (SELECT doc, page, sum(least(a, b)) / nullif(sum(a), 0) AS r FROM g GROUP BY doc, page) z USING (doc, page) LEFT JOIN o USING (doc, page)""")
