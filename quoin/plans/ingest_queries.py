@@ -18,8 +18,15 @@ from quoin.streaming import ingest, transactions
 _TAGS = "|".join(sorted(formats.BREAKS))
 
 
+def _entities_sql(x: str) -> str:
+    """Entities as HTML reads them: those of old names also without their semicolon, as where a text was cut; the ampersand last."""
+    for name, c in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{c}', 'g')"
+    return x
+
+
 @query(f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<head>.*</head>|<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<![^>]*>', '', 'g') AS t FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</?({_TAGS})(\\s[^>]*)?/?>', E'\\n', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
-  c AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM b), d AS (SELECT page_id, trim(regexp_replace(array_to_string(list_transform(string_split(t, E'\\n'), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), E'\\n'), '\\n{{3,}}', E'\\n\\n', 'g'), E'\\n') AS t FROM c)
+  c AS (SELECT page_id, {_entities_sql('t')} AS t FROM b), d AS (SELECT page_id, trim(regexp_replace(array_to_string(list_transform(string_split(t, E'\\n'), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), E'\\n'), '\\n{{3,}}', E'\\n\\n', 'g'), E'\\n') AS t FROM c)
   SELECT page_id, 'html' AS format, length(t)::INT AS chars, sha256(t) AS text_sha, NULL::VARCHAR AS error FROM d""")
 def s15_html_text(spark, sf_dir):
     """Visible text of each page."""
