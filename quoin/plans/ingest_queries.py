@@ -9,7 +9,7 @@ from quoin.functions import text as T
 from quoin.operators import normalize, runs
 from quoin.operators.entailment import entailed, overlap
 from quoin.plans.registry import query
-from quoin.plans.text_queries import docs, odd_lines
+from quoin.plans.text_queries import HEAD_SQL, NOISE_SQL, NUMBER_SQL, ROMAN_SQL, TABLE_SQL, WS, docs, odd_lines
 from quoin.runtime import scratch, spread, table
 from quoin.sources import formats, library
 from quoin.streaming import ingest, transactions
@@ -78,9 +78,11 @@ def event_windows(spark, sf_dir):
     return ingest.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT sha256(text) AS digest, CASE WHEN trim(text) = '' THEN 'refused' ELSE 'accepted' END AS state, 1::BIGINT AS times FROM documents WHERE text IS NOT NULL GROUP BY text")
+@query(f"""WITH t AS (SELECT DISTINCT sha256(text) AS digest, text FROM documents WHERE text IS NOT NULL), l AS (SELECT digest, trim(regexp_replace(unnest(string_split(text, E'\\n')), '^{WS}|{WS}$', '', 'g')) AS s FROM t), n AS (SELECT *, count(*) OVER (PARTITION BY digest, s) AS times FROM l),
+  k AS (SELECT digest, bool_or(s <> '' AND ({TABLE_SQL} OR NOT ({NUMBER_SQL} OR {ROMAN_SQL} OR {NOISE_SQL} OR ({HEAD_SQL} AND times >= 5)))) AS kept FROM n GROUP BY digest)
+  SELECT digest, CASE WHEN kept THEN 'accepted' ELSE 'refused' END AS state, 1::BIGINT AS times FROM k""")
 def s24_ingest_transactions(spark, sf_dir):
-    """Documents as files in a stream that stops in its second batch, between two of its tables, and is started again: what is committed in the end, each content once."""
+    """Documents as files in a stream that stops in its second batch, between two of its tables, and is started again: what is committed in the end, each content once. A text of which normalisation leaves no line is refused."""
     at = scratch(spark, "files")
     made = docs(spark, sf_dir).where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     n = library.write_files(made, f"{at}/drop")
