@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.operators.ranks import ranked
 from quoin.sources.library import exists
 
 
@@ -26,7 +27,7 @@ def resume(inputs: DataFrame, at: str, settings: dict, measure: Callable[[DataFr
     """All results so far (the columns of measure, which has doc and tier) after measuring what is left of inputs (doc, tier, digest, ...), at most so many of them in this call.
 
     The first call writes the manifest; a folder with another manifest is refused, as its results would be mixed with these. Each call appends its results in one write, which counts as a whole or not at all;
-    an anti join on doc and tier picks what is left. An input that measure gives no row for is tried again by each call.
+    an anti join on doc and tier picks what is left; the first of them, by tier and doc, are told by ranks over ranges, so that no task sees all. An input that measure gives no row for is tried again by each call.
     """
     spark, own, path = inputs.sparkSession, json.dumps(manifest(inputs, settings), sort_keys=True), f"{at}/manifest"
     if exists(spark, path):
@@ -39,6 +40,7 @@ def resume(inputs: DataFrame, at: str, settings: dict, measure: Callable[[DataFr
     if exists(spark, f"{at}/results"):
         left = inputs.join(spark.read.parquet(f"{at}/results").select("doc", "tier"), ["doc", "tier"], "left_anti")
     if most is not None:
-        left = left.orderBy("tier", "doc").limit(most)
+        first = ranked(left.select("tier", "doc"), [], ["tier", "doc"]).where(F.col("rank") <= most)
+        left = left.join(first.select("doc", "tier"), ["doc", "tier"], "left_semi")
     measure(left).write.mode("append").parquet(f"{at}/results")
     return spark.read.parquet(f"{at}/results")
