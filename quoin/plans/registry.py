@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from quoin.runtime import ship
+from quoin.runtime import arrow_limits, ship
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +18,7 @@ def query(sql: str | None = None) -> Callable:
         @functools.wraps(f)
         def run(spark, sf_dir):
             ship(spark)
+            arrow_limits(spark)
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run
