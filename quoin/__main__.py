@@ -25,11 +25,13 @@ FLAGS = ("json", "strict", "full-text", "write", "allow-unmeasured")
 UNGROUNDED = ("none", "insufficient", "not-found", "ambiguous", "source-stale", "source-not-installed", "review-expired", "review-date-invalid", "source-unstamped")
 
 
-def tables(spark: SparkSession, lib: library.Library) -> dict[str, DataFrame]:
-    """The tables that verbs need, from the library's files."""
+def tables(spark: SparkSession, lib: library.Library, once: bool = False) -> dict[str, DataFrame]:
+    """The tables that verbs need, from the library's files. once: sources and cards are read now and written as tables, for verbs that use them many times."""
     sources = library.sources(spark, lib)
-    files = library.files(spark, f"{lib.root}/{lib.cards}", "*.md", r"\.md")
-    cards = library.cards(spark, lib)
+    files = library.files(spark, f"{lib.root}/{lib.cards}", "*.md", r"\.md").select("name", "text")
+    if once:
+        sources, files = durable(sources, "sources"), durable(files, "files")
+    cards = library.cards(spark, lib, files)
     cards = cards.withColumn("id", F.coalesce("id", "stem")).withColumn("rel", F.regexp_replace("file", r"^\./", "")).withColumn("stored_sha", F.col("source_sha256")).withColumn("body", F.concat_ws("\n\n", "thin", "full"))
     evidence = cards.join(sources.select("rel", "text"), "rel", "left").select("id", "title", "text", "stored_sha", "review_by", "body")
     out = {
@@ -155,7 +157,7 @@ def main(args: list[str] | None = None) -> int:
         return 1 if catalog.problem or any(not r["ok"] for r in catalog.rows) else 0
     with open(toml, encoding="utf-8") as f:
         lib = library.manifest(f.read(), a.root)
-    t = tables(spark, lib)
+    t = tables(spark, lib, a.verb == "check")
     if a.verb.startswith("rubric-"):
         return rubric(spark, lib, t, a.verb, a.dimension, params["today"])
     if a.verb == "review":

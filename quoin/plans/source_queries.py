@@ -100,7 +100,7 @@ def r10_check_on_disk(spark, sf_dir):
     from quoin.__main__ import pattern, tables
 
     lib = base(spark, sf_dir)
-    t = tables(spark, lib)
+    t = tables(spark, lib, once=True)
     found = S.execute("check", {k: t[k] for k in ("cards", "sources", "anchors", "index", "missed")}, {"today": TODAY, "pattern": pattern(lib)})
     return found.groupBy("severity", "code").agg(F.count("*").alias("n"))
 
