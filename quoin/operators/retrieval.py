@@ -171,16 +171,18 @@ def consult(queries: DataFrame, lenses: DataFrame, most: int = 8, hints: int = 5
     stem = F.replace(F.lower(F.trim("asked")), F.lit(" "), F.lit("-"))
     asked = queries.select("query_id", F.col("name").alias("asked")).withColumn("stem", stem).withColumn("toks", name_tokens(F.col("asked")))
     hay = F.lower(F.concat_ws(" ", "name", "title", F.coalesce("aliases", F.lit(""))))
-    own = lenses.select("kind", "name", hay.alias("hay"))
-    met = containing(own, asked.select("query_id", F.explode("toks").alias("tok")), "hay", "tok").select("kind", "name", "hay", "query_id")
-    met = met.unionAll(containing(own.where("kind = 'dimension'"), asked.select("query_id", "stem"), "name", "stem").select("kind", "name", "hay", "query_id"))
-    met = met.unionAll(own.join(asked.select("query_id", F.col("stem").alias("name")), "name").select("kind", "name", "hay", "query_id"))
-    pairs = met.distinct().join(asked, "query_id")
-    words = F.size(F.filter("toks", lambda t: F.regexp_like(F.col("hay"), F.concat(F.lit(r"\b"), t, F.lit(r"\b")))))
+    own = lenses.select("kind", "name", F.sha2(hay, 256).alias("lens"), hay.alias("hay"))
+    whole = own.select("kind", "name", "lens", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(r"\b[a-z0-9]+\b"), F.lit(0)))).alias("tok"))
+    toks = asked.select("query_id", F.posexplode("toks").alias("tok_no", "tok"))
+    met = whole.join(F.broadcast(toks), "tok").select("kind", "name", "lens", "query_id", "tok_no")
+    named = own.drop("hay").join(asked.select("query_id", F.col("stem").alias("name")), "name").select("kind", "name", "lens", "query_id")
+    held = containing(own.drop("hay").where("kind = 'dimension'"), asked.select("query_id", "stem"), "name", "stem").select("kind", "name", "lens", "query_id")
+    met = met.unionAll(named.unionAll(held).withColumn("tok_no", F.lit(None).cast("int")))
+    pairs = met.groupBy("kind", "name", "lens", "query_id").agg(F.count_distinct("tok_no").alias("words")).join(asked, "query_id")
     kind_order = F.when(F.col("kind") == "dimension", 0).when(F.col("kind") == "framework", 1).otherwise(2)
     exact, family = F.col("name") == F.col("stem"), (F.col("kind") == "dimension") & F.startswith("name", F.concat("stem", F.lit("-")))
-    scored = pairs.select("query_id", "kind", "name", F.when(exact, 3).when(family, 2).when(F.col("kind") == "dimension", 0).otherwise(1).alias("route"), kind_order.alias("k"), words.alias("words"), F.size("toks").alias("need"), ((F.col("kind") == "dimension") & F.contains("name", F.col("stem"))).alias("inside"))
-    scored = scored.where((F.col("route") >= 2) | ((F.col("route") == 1) & (F.col("words") > 0)) | F.col("inside"))
+    scored = pairs.select("query_id", "kind", "name", F.when(exact, 3).when(family, 2).when(F.col("kind") == "dimension", 0).otherwise(1).alias("route"), kind_order.alias("k"), "words", F.size("toks").alias("need"), ((F.col("kind") == "dimension") & F.contains("name", F.col("stem"))).alias("inside"))
+    scored = durable(scored.where((F.col("route") >= 2) | ((F.col("route") == 1) & (F.col("words") > 0)) | F.col("inside")), "lenses")
     tally = scored.groupBy("query_id").agg(F.max(F.col("route") == 3).alias("has_exact"), F.sum((F.col("route") == 2).cast("int")).alias("n_family"), F.sum(((F.col("route") == 1) & (F.col("words") == F.col("need"))).cast("int")).alias("n_full"), F.sum(F.col("inside").cast("int")).alias("n_inside"))
     full = (F.col("route") == 1) & (F.col("words") == F.col("need"))
     guarded = (F.col("n_full") == 1) & (F.col("n_inside") >= 2)
@@ -189,5 +191,7 @@ def consult(queries: DataFrame, lenses: DataFrame, most: int = 8, hints: int = 5
     rows = scored.join(tally, "query_id").withColumn("status", status).where(member)
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("status") == "exact", F.col("k")).otherwise(0), F.when(F.col("inside"), 0).otherwise(1), F.desc("words"), "name")
     cap = F.when(F.col("status") == "exact", 1).when((F.col("status") == "ambiguous") & (F.col("n_family") == 0) & ~guarded, most).when(F.col("status") == "none", hints).otherwise(1 << 30)
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+    numbered = rows.withColumn("cap", cap).withColumn("rank", F.row_number().over(order))
+    first = max(most, hints, 1)  # a number, so that each task keeps so many rows of a name before they are dealt
+    ranked = numbered.where((F.col("cap") <= first) & (F.col("rank") <= first)).where("rank <= cap").unionAll(numbered.where(F.col("cap") > first))
     return asked.select("query_id").join(ranked, "query_id", "left").select("query_id", F.coalesce("status", F.lit("none")).alias("status"), "rank", "kind", "name")
