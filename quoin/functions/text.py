@@ -78,10 +78,10 @@ def tokens(c: Column) -> Column:
 
 
 def _plain_ranges() -> list[list[int]]:
-    """Ranges of code points that NFKC leaves alone next to any others of them, that fold as lower case does, and that are letters or digits for Python and the JVM alike: below the first of those that compose by twos."""
+    """Ranges of code points that NFKC leaves alone next to any others of them, that fold as lower case does, and that are letters or digits for Python and the JVM alike (so none that either may not know yet): below the first of those that compose by twos."""
     def plain(c: str) -> bool:
         kind = unicodedata.category(c)
-        if kind in ("Mn", "Mc", "Me", "Cn", "Co", "Cs") or c in "\x1c\x1d\x1e\x1f\u0130" or not unicodedata.is_normalized("NFKC", c):
+        if kind in ("Mn", "Mc", "Me", "Cn", "Co", "Cs") or unicodedata.ucd_3_2_0.category(c) == "Cn" or c in "\x1c\x1d\x1e\x1f\u0130" or not unicodedata.is_normalized("NFKC", c):
             return False
         return c in "ßς" or c.casefold() == c.lower() and len(c.lower()) == 1 and c.isalnum() == (kind[0] == "L" or kind[0] == "N")
 
