@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.patterns import compiled, needed
-from quoin.functions.text import count_of, dehyphenate, norm, places_of
+from quoin.functions.text import count_of, dehyphenate, norm, once
 
 MARKER = "array<struct<phrase:string,regex:boolean,before:string,after:string,nth:int>>"
 # The keys of an anchor, the suffix of one that is a pattern, its pins, and what parts further phrases.
@@ -135,6 +135,8 @@ class _Patterns:
         own, literals = self.of(p) if hay is not None and p is not None else (None, None)
         if own is None or literals is not None and not any(x in hay for x in literals):
             return 0
+        if not b and not a:
+            return sum(1 for _ in own.finditer(hay))
         fits = lambda s, e: (not b or hay.endswith((b, b + " "), 0, s)) and (not a or hay.startswith((a, " " + a), e))
         return sum(fits(*m.span()) for m in own.finditer(hay))
 
@@ -166,23 +168,27 @@ def pattern_lines(marker: Column, text: Column) -> Column:
     return F.pandas_udf(_pattern_lines, "array<int>")(F.when(marker["regex"], text), marker["phrase"], marker["before"], marker["after"], marker["nth"])
 
 
-def _beside(hay: Column, at: Column, phrase: Column, before: Column, after: Column) -> Column:
-    """Whether the text at a place follows before and precedes after, one space allowed between; null pins hold."""
-    end, head = at + F.length(phrase), F.substring(hay, F.lit(1), at - 1)
-    tail = lambda n: F.substring(hay, end, n)
-    left = F.coalesce(F.endswith(head, before) | F.endswith(head, F.concat(before, F.lit(" "))), F.lit(True))
-    right = F.coalesce((tail(F.length(after)) == after) | (tail(F.length(after) + 1) == F.concat(F.lit(" "), after)), F.lit(True))
-    return left & right
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _pinned(phrase: Column, before: Column, after: Column) -> Column:
+    """A pattern of all places of a phrase, with a group at those that follow before and precede after, one space allowed between; null pins hold. So a text is read once, and not from its start for each place."""
+    left = F.coalesce(F.concat(F.lit("(?<="), _quoted(before), F.lit("|"), _quoted(before), F.lit(" )")), F.lit(""))
+    right = F.coalesce(F.concat(F.lit("(?="), _quoted(after), F.lit("| "), _quoted(after), F.lit(")")), F.lit(""))
+    return F.concat(left, F.lit("("), _quoted(phrase), F.lit(")"), right, F.lit("|"), _quoted(phrase))
 
 
 def _literal_count(marker: Column, flat: Column, nohy: Column) -> Column:
     """Places of a literal phrase in the folded text, else in the one without hyphens; with pins, those in the latter whose neighbours fit."""
-    phrase = norm(marker["phrase"])
     before, after = (F.nullif(norm(marker[s]), F.lit("")) for s in SIDES)
-    bare = dehyphenate(phrase)
-    literal = F.coalesce(F.nullif(count_of(phrase, flat), F.lit(0)), count_of(bare, nohy))
-    held = F.size(F.filter(places_of(bare, nohy), lambda i: _beside(nohy, i, bare, dehyphenate(before), dehyphenate(after))))
-    return F.when(before.isNotNull() | after.isNotNull(), F.when(bare == "", F.lit(0)).otherwise(held)).otherwise(literal)
+
+    def counted(phrase: Column, bare: Column) -> Column:
+        literal = F.when(F.contains(flat, phrase), count_of(phrase, flat)).otherwise(count_of(bare, nohy))
+        held = F.size(F.array_remove(F.regexp_extract_all(nohy, _pinned(bare, dehyphenate(before), dehyphenate(after)), F.lit(1)), ""))
+        return F.when(before.isNotNull() | after.isNotNull(), F.when(bare == "", F.lit(0)).otherwise(held)).otherwise(literal)
+
+    return once(norm(marker["phrase"]), lambda phrase: once(dehyphenate(phrase), lambda bare: counted(phrase, bare)))
 
 
 def _outcome(marker: Column, places: Column) -> Column:
@@ -203,12 +209,19 @@ def resolve(marker: Column, flat: Column, nohy: Column, patterns: bool = True) -
     if patterns:
         own = _pattern_of(marker)
         n = F.when(marker["regex"], F.pandas_udf(_pattern_hits, "int")(F.when(marker["regex"], flat), own["phrase"], own["before"], own["after"])).otherwise(n)
-    return _outcome(marker, n)
+    return once(n, lambda x: _outcome(marker, x))
 
 
 def _many_hits(flat: pd.Series, patterns: pd.Series) -> pd.Series:
     known = _Patterns()
-    return pd.Series([[0 if p is None else known.hits(hay, p["phrase"], p["before"], p["after"]) for p in own] for hay, own in zip(flat, patterns, strict=True)])
+
+    def one(hay: str | None, own: list) -> list[int]:
+        """Of equal patterns the text is asked once."""
+        asked = [None if p is None else (p["phrase"], p["before"], p["after"]) for p in own]
+        n = {p: known.hits(hay, *p) for p in set(asked) if p is not None}
+        return [n.get(p, 0) for p in asked]
+
+    return pd.Series([one(*r) for r in zip(flat, patterns, strict=True)])
 
 
 def resolve_all(rows: DataFrame, marks: str = "marks", flat: str = "flat", nohy: str = "nohy") -> DataFrame:
@@ -217,5 +230,5 @@ def resolve_all(rows: DataFrame, marks: str = "marks", flat: str = "flat", nohy:
     patterns = F.transform(m, lambda x: F.when(x["regex"], _pattern_of(x)))
     hits = F.pandas_udf(_many_hits, "array<int>")(F.when(F.exists(m, lambda x: x["regex"]), F.col(flat)), patterns)
     out = rows.withColumn("pattern hits", hits)
-    each = lambda x, i: _outcome(x, F.when(x["regex"], F.get("pattern hits", i)).otherwise(_literal_count(x, F.col(flat), F.col(nohy))))
-    return out.withColumn("resolved", F.transform(m, each)).drop("pattern hits")
+    places = F.transform(m, lambda x, i: F.when(x["regex"], F.get("pattern hits", i)).otherwise(_literal_count(x, F.col(flat), F.col(nohy))))
+    return out.withColumn("resolved", F.zip_with(m, places, _outcome)).drop("pattern hits")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -26,24 +27,34 @@ STOP_WORDS = (
     "should so than that the their them there these they this those to us was we were what when where which who why will with would you your yours"
 ).split()
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+LINE_BREAKS = r"[\n-\r\x1c-\x1e\x85\u2028-\u2029](?:(?<=\r)\n)?"
+# White space beyond ASCII, and with it what norm() and split_words() take for space: a letter is told from them by two comparisons, while (?U)\s asks properties.
+WIDE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+BLANKS, SPACES = rf"[\x00-\x20\x7f\x85\xa0{WIDE}]", rf"[\t-\r\x1c-\x20\x85\xa0{WIDE}]"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for uses that name the value several times or in a function of elements: it is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def norm(c: Column) -> Column:
     """Control bytes and white space runs as one space, typographic quotes, dashes and ellipses as ASCII, ends trimmed."""
     single = {k: v for k, v in TYPOGRAPHY.items() if len(v) == 1}
-    plain = F.translate(F.regexp_replace(c, CONTROL, " "), "".join(single), "".join(single.values()))
-    return F.trim(F.regexp_replace(F.replace(plain, F.lit("…"), F.lit("...")), r"(?U)\s+", " "))
+    plain = F.replace(F.translate(c, "".join(single), "".join(single.values())), F.lit("…"), F.lit("..."))
+    typed = F.when(F.regexp_like(c, F.lit(r"[\u2010-\u2026]")), plain).otherwise(c)
+    return F.trim(F.regexp_replace(typed, rf"{BLANKS}(?:{BLANKS}+|(?<! ))", " "))  # a single space stays as it is
 
 
 def dehyphenate(c: Column) -> Column:
     """Without hyphens and the white space after them."""
-    return F.regexp_replace(c, r"(?U)-\s*", "")
+    return F.when(F.contains(c, F.lit("-")), F.regexp_replace(c, r"(?U)-\s*", "")).otherwise(c)
 
 
 def count_of(needle: Column, hay: Column) -> Column:
     """Non-overlapping occurrences; an empty needle has none."""
-    return F.when(F.length(needle) > 0, ((F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))) / F.length(needle)).cast("int")).otherwise(F.lit(0))
+    size = F.octet_length
+    return F.when(size(needle) > 0, ((size(hay) - size(F.replace(hay, needle, F.lit("")))) / size(needle)).cast("int")).otherwise(F.lit(0))
 
 
 def places_of(needle: Column, hay: Column) -> Column:
@@ -56,14 +67,12 @@ def places_of(needle: Column, hay: Column) -> Column:
 
 def split_words(c: Column) -> Column:
     """Words between white space; an empty text has none."""
-    t = F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.array_remove(F.split(c, f"{SPACES}+"), "")
 
 
 def split_lines(c: Column) -> Column:
     """Lines by any line break, without an empty one at the end."""
-    parts = F.split(c, LINE_BREAKS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(c, LINE_BREAKS, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def case_folded(c: Column) -> Column:
