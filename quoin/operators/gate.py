@@ -425,12 +425,12 @@ def ground_panel(moves: DataFrame, panel: DataFrame, cards: DataFrame, today: st
     An anchor that one card holds is found there; one that several hold is ambiguous-panel; else the status is the most telling failure, the later card's of equal ones. Without a panel
     nothing is found. cards (card, text, stored_sha, review_by).
     """
-    from quoin.operators.grounding import evidence_status
+    from quoin.operators.grounding import by_source, evidence_status
     from quoin.operators.services import REASONS
 
     marks = moves.select("dimension", "ord", F.posexplode("markers").alias("anchor", "marker"))
-    asked = marks.join(panel, "dimension", "left").join(_stamped(cards), "card", "left")
-    done = evidence_status(asked, today, require_stamp).withColumn("status", F.when(F.col("card").isNull(), "not-found").otherwise(F.col("status")))
+    asked = marks.join(panel.select("dimension", "place", "card"), "dimension", "left")
+    done = evidence_status(by_source(asked, _stamped(cards)), today, require_stamp).withColumn("status", F.when(F.col("card").isNull(), "not-found").otherwise(F.col("status")))
     good = F.col("status").isin("found", "folded-only")
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("status")], F.lit(0))
     g = done.groupBy("dimension", "ord", "anchor").agg(

@@ -146,7 +146,22 @@ def marker(phrase: Column, regex: Column | None = None, before: Column | None =
     )
 
 
-def located(mark: Column, text: Column, most: int = 10) -> Column:
+def by_source(asked: DataFrame, sources: DataFrame, key: str = "card") -> DataFrame:
+    """asked (key, marker and more) beside its source of sources (key, text, stored_sha, review_by), with the source's folds and digest, for evidence_status and evidence_context: each is made once for all markers of a source.
+
+    Of a hot source, once for ANCHORS of them or so. Markers of absent sources, or of none, stay, without a text.
+    """
+    own = [c for c in asked.columns if c != key]
+    blocks = asked.groupBy(key).agg(F.ceil(F.count("*") / ANCHORS).alias("blocks"))
+    mixed = F.xxhash64(*own)
+    block = F.when(F.col(key).isNull(), mixed).when(F.col("blocks") > 1, F.pmod(mixed, F.col("blocks"))).otherwise(F.lit(0))
+    marks = asked.join(blocks, key, "left").groupBy(key, block.alias("block")).agg(F.collect_list(F.struct(*own)).alias("own"))
+    rows = folded(marks.join(sources.select(key, "text", "stored_sha", "review_by"), key, "left"))
+    stamped = F.trim("stored_sha") != ""  # others are compared with nothing
+    return rows.withColumn("sha", F.when(stamped, F.sha2("text", 256))).withColumn("x", F.explode("own")).select(key, "x.*", "text", "stored_sha", "review_by", "sha", "flat", "nohy")
+
+
+def located(mark: Column, text: Column, most: int = 10, patterns: bool = True) -> Column:
     """Numbers of the lines on which a marker stands as it is, its pins and #n honoured; at most so many. Empty where it stands only across folds."""
     phrase = mark["phrase"]
     before, after = F.nullif(mark["before"], F.lit("")), F.nullif(mark["after"], F.lit(""))
@@ -157,21 +172,29 @@ def located(mark: Column, text: Column, most: int = 10) -> Column:
         right = lambda at: F.coalesce(F.startswith(F.ltrim(F.substring(x["line"], at + F.length(phrase), F.length(x["line"]))), after), F.lit(True))
         return F.transform(F.filter(places_of(phrase, x["line"]), lambda at: left(at) & right(at)), lambda _: x["n"])
 
-    every = F.flatten(F.transform(numbered, own))
-    chosen = F.when(mark["nth"].isNull(), every).when(F.size(every) >= mark["nth"], F.slice(every, mark["nth"], F.lit(1))).otherwise(F.array().cast("array<int>"))
     none = F.array().cast("array<int>")
-    return F.when(F.length(phrase) == 0, none).when(mark["regex"], F.slice(pattern_lines(mark, text), 1, most)).otherwise(F.slice(F.array_distinct(chosen), 1, most))
+    chosen = lambda every: F.when(mark["nth"].isNull(), every).when(F.size(every) >= mark["nth"], F.slice(every, mark["nth"], F.lit(1))).otherwise(none)
+    plain = before.isNull() & after.isNull() & mark["nth"].isNull()  # then places within a line don't matter
+    every = F.when(plain, F.transform(numbered, lambda x: x["n"])).otherwise(T.once(F.flatten(F.transform(numbered, own)), chosen))
+    out = F.when(F.length(phrase) == 0, none)
+    if patterns:
+        out = out.when(mark["regex"], F.slice(pattern_lines(mark, text), 1, most))
+    return out.when(F.contains(text, phrase), F.slice(F.array_distinct(every), 1, most)).otherwise(none)
 
 
 def folded_span(mark: Column, text: Column, count: Column) -> Column:
     """struct<lo, hi> of the lines of a phrase that stands only across lines: its words with any white space between. Null unless it can be placed once and without doubt."""
     words = F.transform(T.split_words(mark["phrase"]), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    pattern, lines = F.array_join(words, r"(?U:\s+)"), F.array_join(T.split_lines(text), "\n")
-    at, found = F.regexp_instr(lines, pattern), F.regexp_substr(lines, pattern)
+    pattern = F.array_join(words, r"(?U:\s+)")
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    lo = breaks(F.substring(lines, F.lit(1), at - 1)) + 1
-    sure = ~mark["regex"] & mark["before"].isNull() & mark["after"].isNull() & (F.size(words) > 0) & (count == 1) & (F.regexp_count(lines, pattern) == 1) & F.coalesce(mark["nth"] == 1, F.lit(True))
-    return F.when(sure, F.struct(lo.alias("lo"), (lo + breaks(found)).alias("hi")))
+    sure = ~mark["regex"] & mark["before"].isNull() & mark["after"].isNull() & (F.size(words) > 0) & (count == 1) & F.coalesce(mark["nth"] == 1, F.lit(True))
+
+    def span(lines: Column) -> Column:
+        first = breaks(F.substring(lines, F.lit(1), F.regexp_instr(lines, pattern) - 1)) + 1
+        both = T.once(first, lambda lo: F.struct(lo.alias("lo"), (lo + breaks(F.regexp_substr(lines, pattern))).alias("hi")))
+        return F.when(F.regexp_count(lines, pattern) == 1, both)
+
+    return F.when(sure, T.once(F.array_join(T.split_lines(text), "\n"), span))
 
 
 def evidence_context(rows: DataFrame, today: str, around: int = 3, most: int = 40, require_stamp: bool = False) -> DataFrame:
@@ -187,17 +210,17 @@ def evidence_context(rows: DataFrame, today: str, around: int = 3, most: int = 4
     return out.select("*", F.col("w").isNotNull().alias("usable"), F.col("w.lo").alias("line_start"), F.col("w.hi").alias("line_end"), F.when(F.col("w").isNotNull(), text).alias("context")).drop("span", "w")
 
 
-def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False) -> DataFrame:
-    """rows with marker, text (null: not installed), stored_sha, review_by: status in the order that is the contract, count and lines.
+def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False, patterns: bool = True) -> DataFrame:
+    """rows with marker, text (null: not installed), stored_sha, review_by, alone or as by_source gives them: status in the order that is the contract, count and lines. patterns=False where no marker is one.
 
     source-not-installed, source-stale, not-found (also empty phrases and #0), ambiguous, review-date-invalid, review-expired, source-unstamped, then found, or folded-only where
     no single line holds the phrase.
     """
-    out = folded(rows).withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"))).withColumn("sha", F.sha2("text", 256))
+    own = rows if "flat" in rows.columns else folded(rows).withColumn("sha", F.sha2("text", 256))
+    out = own.withColumn("r", resolve(F.col("marker"), F.col("flat"), F.col("nohy"), patterns))
     due = F.try_to_date(F.trim("review_by"), "yyyy-MM-dd")
-    lines = located(F.col("marker"), F.col("text"))
     stamped = F.nullif(F.trim("stored_sha"), F.lit(""))
-    status = (
+    failure = (
         F.when(F.col("text").isNull(), "source-not-installed")
         .when(stamped != F.col("sha"), "source-stale")
         .when((F.trim("marker.phrase") == "") | F.coalesce(F.col("marker.nth") < 1, F.lit(False)) | ~F.col("r.found"), "not-found")
@@ -205,10 +228,12 @@ def evidence_status(rows: DataFrame, today: str, require_stamp: bool = False) ->
         .when((F.trim("review_by") != "") & due.isNull(), "review-date-invalid")
         .when(due < F.lit(today).cast("date"), "review-expired")
         .when(F.lit(require_stamp) & stamped.isNull(), "source-unstamped")
-        .when(F.size(lines) > 0, "found")
-        .otherwise("folded-only")
     )
-    return out.withColumn("status", status).withColumn("count", F.coalesce("r.count", F.lit(0))).withColumn("lines", F.when(F.col("status") == "found", lines)).drop("flat", "nohy", "r")
+    # Lines are looked for only where all else holds, and once.
+    out = out.withColumn("failure ", failure).withColumn("at ", F.when(F.col("failure ").isNull(), located(F.col("marker"), F.col("text"), patterns=patterns)))
+    held = F.coalesce(F.size("at ") > 0, F.lit(False))
+    out = out.withColumn("status", F.coalesce("failure ", F.when(held, "found").otherwise("folded-only")))
+    return out.withColumn("count", F.coalesce("r.count", F.lit(0))).withColumn("lines", F.when(held, F.col("at "))).drop("flat", "nohy", "r", "failure ", "at ")
 
 
 def context_bundle(rows: DataFrame, today: str, around: int = 3, most: int = 40, require_stamp: bool = False) -> DataFrame:
