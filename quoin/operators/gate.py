@@ -346,11 +346,11 @@ def first_failures(grounded: DataFrame) -> DataFrame:
 
 def explicit_gaps(rubrics: DataFrame, cards: DataFrame, today: str = "0001-01-01", require_stamp: bool = False) -> DataFrame:
     """Explicit values that no card which they cite holds as they are: (dimension, criterion, value). The value itself has to be found on a line of a fresh source; folds don't count."""
-    from quoin.operators.grounding import evidence_status, marker
+    from quoin.operators.grounding import by_source, evidence_status, marker
 
     rows = criteria(rubrics).select("dimension", F.col("c.id").alias("criterion"), F.explode(F.filter(_fields(F.col("c")), lambda f: f["kind"] == "explicit")).alias("f"))
     cited = rows.select("dimension", "criterion", F.col("f.value").alias("value"), F.explode_outer(F.array_distinct(F.transform("f.evidence", lambda e: e["card"]))).alias("card"))
-    held = evidence_status(cited.withColumn("marker", marker(F.col("value"))).join(_stamped(cards), "card", "left"), today, require_stamp)
+    held = evidence_status(by_source(cited.withColumn("marker", marker(F.col("value"))), _stamped(cards)), today, require_stamp, patterns=False)
     found = held.groupBy("dimension", "criterion", "value").agg(F.max(F.col("status") == "found").alias("held"))
     return found.where("not held").drop("held")
 
