@@ -329,11 +329,12 @@ def bindings(rubrics: DataFrame) -> DataFrame:
     return rows.select("dimension", "criterion", "ord", F.col("e.card").alias("card"), mark.alias("marker"))
 
 
-def ground(bound: DataFrame, cards: DataFrame, today: str, require_stamp: bool = True) -> DataFrame:
-    """Each binding against the one card that it declares: status, and grounded (found or folded-only). cards (card, text, stored_sha, review_by)."""
-    from quoin.operators.grounding import evidence_status
+def ground(bound: DataFrame, cards: DataFrame, today: str, require_stamp: bool = True, patterns: bool = True) -> DataFrame:
+    """Each binding against the one card that it declares: status, and grounded (found or folded-only). cards (card, text, stored_sha, review_by). patterns=False where no marker is one."""
+    from quoin.operators.grounding import by_source, evidence_status
 
-    done = evidence_status(bound.where("ord is not null").join(cards, "card", "left"), today, require_stamp)
+    asked = bound.where("ord is not null").select("dimension", "criterion", "ord", "card", "marker")
+    done = evidence_status(by_source(asked, cards), today, require_stamp, patterns)
     told = done.select("dimension", "criterion", "ord", "card", "status", F.col("status").isin("found", "folded-only").alias("grounded"))
     return told.unionByName(bound.where("ord is null").select("dimension", "criterion", "ord", "card", F.lit("not-grounded").alias("status"), F.lit(False).alias("grounded")))
 
@@ -371,13 +372,13 @@ def review(rubrics: DataFrame, cards: DataFrame, pinned: DataFrame | None, score
     from quoin.runtime import durable
 
     rubrics = durable(rubrics, "rubrics")  # every gate reads them
-    why = lambda df, rank, reason: df.select("dimension", F.struct(F.lit(rank).alias("rank"), reason.alias("reason")).alias("w"))
+    why = lambda df, rank, reason: df.select("dimension", F.when(reason.isNotNull(), F.struct(F.lit(rank).alias("rank"), reason.alias("reason"))).alias("w"))
     live = cards.select("card", F.sha2("text", 256).alias("sha"))
     gates = [
         why(rubrics.where(~F.coalesce((F.col("admission") == "human_approved") & (F.col("approved_digest") == (F.col("body_digest") if "body_digest" in rubrics.columns else F.lit(None))), F.lit(False))), 1, F.lit("not-approved")),
         why(violations(rubrics), 2, F.concat(F.lit("rule-"), "rule")),
         why(fingerprint(pins(rubrics, pinned), live), 3, F.concat(F.lit("panel-"), "problem")),
-        why(ground(bindings(rubrics), cards, today, require_stamp).where("not grounded"), 4, F.concat(F.lit("evidence-"), "status")),
+        why(ground(bindings(rubrics), cards, today, require_stamp, patterns=False), 4, F.when(~F.col("grounded"), F.concat(F.lit("evidence-"), "status"))),  # a filter would ground each twice
         why(explicit_gaps(rubrics, cards, today, require_stamp), 5, F.lit("quote-rotted")),
     ]
     shut = gates[0]
