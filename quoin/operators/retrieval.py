@@ -83,13 +83,17 @@ def blocks(docs: DataFrame, most: int = 8) -> DataFrame:
 
 def passage_score(text: Column, terms: Column, exact: Column | None = None) -> Column:
     """Ten times the share of terms that occur, each term's occurrences up to three, and five for the whole question; 0 unless two terms occur (one of one)."""
-    blob = F.array_join(T.split_words(F.lower(text)), " ")
-    counts = F.transform(terms, lambda t: T.count_of(t, blob))
-    matched = F.size(F.filter(counts, lambda n: n > 0))
-    often = F.aggregate(counts, F.lit(0), lambda s, n: s + F.least(n, F.lit(3)))
-    whole = F.lit(0.0) if exact is None else F.when((F.length(exact) > 0) & F.contains(blob, F.array_join(T.split_words(F.lower(exact)), " ")), 5.0).otherwise(0.0)
+    asked = F.array_join(T.split_words(F.lower(exact)), " ") if exact is not None else None
     need = F.when(F.size(terms) == 1, 1).otherwise(2)
-    return F.when(matched < need, F.lit(0.0)).otherwise(whole + matched / F.greatest(F.size(terms), F.lit(1)) * 10.0 + often)
+
+    def scored(blob: Column, counts: Column) -> Column:
+        matched = F.size(F.filter(counts, lambda n: n > 0))
+        often = F.aggregate(counts, F.lit(0), lambda s, n: s + F.least(n, F.lit(3)))
+        whole = F.lit(0.0) if exact is None else F.when((F.length(exact) > 0) & F.contains(blob, asked), 5.0).otherwise(0.0)
+        return F.when(matched < need, F.lit(0.0)).otherwise(whole + matched / F.greatest(F.size(terms), F.lit(1)) * 10.0 + often)
+
+    blob = F.array_join(T.split_words(F.lower(text)), " ")
+    return T.once(blob, lambda own: T.once(F.transform(terms, lambda t: T.count_of(t, own)), lambda counts: scored(own, counts)))
 
 
 def excerpt(text: Column, terms: Column, most: int = 2000) -> Column:
@@ -116,8 +120,8 @@ def evidence(docs: DataFrame, question: str, k: int = 5) -> DataFrame:
     own = blocks(docs).withColumn("terms", T.terms(F.lit(question)))
     if "title" in docs.columns:
         own = own.drop("terms").join(docs.select(F.col("doc_id").alias("id"), content_terms(question, F.col("title")).alias("terms")), "id")
-    scored = own.withColumn("score", passage_score(F.col("text"), F.col("terms"), F.lit(question))).where("score > 0")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "start"))).where(F.col("rank") <= k)
+    scored = own.withColumn("score", passage_score(F.col("text"), F.col("terms"), F.lit(question)))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "start"))).where((F.col("rank") <= k) & (F.col("score") > 0))  # a filter before would score twice
     return ranked.select("id", "rank", "start", "end", "score", excerpt(F.col("text"), F.col("terms")).alias("excerpt"))
 
 

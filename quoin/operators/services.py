@@ -176,11 +176,12 @@ def card_passages(cards: DataFrame, question: str, today: str, k: int = 5, aroun
     of such paragraphs aren't usable.
     """
     terms = T.terms(F.lit(question))
-    paras = cards.select("id", "text", "stored_sha", "review_by", F.posexplode(F.split("body", r"\n\s*\n")).alias("place", "para"))
+    paras = cards.select("id", F.posexplode(F.split("body", r"\n\s*\n")).alias("place", "para"))
     scored = paras.withColumn("para_score", retrieval.passage_score(F.col("para"), terms, F.lit(question))).where("para_score > 0")
     marks = scored.select("*", F.posexplode(parse_markers(F.col("para"))).alias("ord", "marker"))
     rows = marks.withColumn("score", 2 * retrieval.passage_score(F.col("marker.phrase"), terms, F.lit(question)) + F.col("para_score")).drop("para")
-    done = durable(grounding.evidence_context(rows, today, around, 40).select("id", "place", "ord", "score", "status", "usable", "line_start", "line_end", "context"), "passages")
+    beside = grounding.by_source(rows.select("id", "place", "ord", "score", "marker"), cards, "id")
+    done = durable(grounding.evidence_context(beside, today, around, 40).select("id", "place", "ord", "score", "status", "usable", "line_start", "line_end", "context"), "passages")
     once = done.where("usable").groupBy("id", "line_start", "line_end").agg(F.max(F.struct("score", (-F.col("place")).alias("p"), (-F.col("ord")).alias("o"))).alias("best"), F.first("context").alias("context"))
     order = Window.partitionBy("id").orderBy(F.desc("best.score"), F.desc("best.p"), F.desc("best.o"))
     ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
