@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.functions import text as T
 from quoin.functions.anchors import parse_markers
 from quoin.operators import services as S
 
@@ -36,10 +37,12 @@ def entailed(cards: DataFrame, backend: Backend | None) -> DataFrame:
 
     support is null where the source has no such window or the card no claim: not measured. A card without literal anchors is one row without ord and phrase.
     """
-    literal = F.filter(parse_markers(F.col("body")), lambda m: ~m["regex"])
-    marks = cards.select("id", "body", "text", F.posexplode_outer(literal).alias("ord", "marker")).withColumn("phrase", F.col("marker.phrase"))
+    literal = F.transform(F.filter(parse_markers(F.col("body")), lambda m: ~m["regex"]), lambda m: F.struct(m["phrase"].alias("phrase"), T.norm(m["phrase"]).alias("fold")))
+    cut = cards.select("id", "body", literal.alias("marks"), T.sentences(F.col("text")).alias("s"))
+    cut = cut.withColumn("folds", F.transform("s", T.norm))  # a text is cut and folded once for all of its card's anchors
+    marks = cut.select("id", "body", "s", "folds", F.posexplode_outer("marks").alias("ord", "marker")).withColumn("phrase", F.col("marker.phrase"))
     marked = lambda q: F.concat(F.lit(q), "phrase")  # noqa: E731  a mention within a marker comes before one in prose
     at = F.when(F.contains("body", marked("`")), marked("`")).when(F.contains("body", marked('"')), marked('"')).otherwise(F.col("phrase"))
     claim = F.when(F.col("phrase").isNotNull(), F.nullif(F.trim(S.claim_of(F.col("body"), at)), F.lit("")))
-    scored = marks.select("id", "ord", "phrase", claim.alias("claim"), S.sentence_window(F.col("text"), F.col("phrase")).alias("premise"))
+    scored = marks.select("id", "ord", "phrase", claim.alias("claim"), S.window_of(F.col("s"), F.col("folds"), F.col("marker.fold")).alias("premise"))
     return scored.select("id", "ord", "phrase", "claim", support(F.col("premise"), F.col("claim"), backend).alias("support"))

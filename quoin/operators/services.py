@@ -45,12 +45,19 @@ def gist(thin: Column) -> Column:
     return F.trim(F.try_element_at(F.filter(F.split(thin, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("_("))), F.lit(1)))
 
 
+def window_of(sentences: Column, folds: Column, fold: Column, around: int = 1) -> Column:
+    """The first of a text's sentences whose fold holds that of a phrase, with its neighbours; null if none does."""
+
+    def own(at: Column) -> Column:
+        lo = F.greatest(F.lit(1), at - around)
+        return F.when(at > 0, F.array_join(F.slice(sentences, lo, F.least(F.size(sentences), at + around) - lo + 1), " "))
+
+    return T.once(F.array_position(F.transform(folds, lambda x: F.contains(x, fold)), True).cast("int"), own)
+
+
 def sentence_window(text: Column, phrase: Column, around: int = 1) -> Column:
     """The first sentence that holds the folded phrase, with its neighbours; null if none does."""
-    s = T.sentences(text)
-    at = F.array_position(F.transform(s, lambda x: F.contains(T.norm(x), T.norm(phrase))), True).cast("int")
-    lo = F.greatest(F.lit(1), at - around)
-    return F.when(at > 0, F.array_join(F.slice(s, lo, F.least(F.size(s), at + around) - lo + 1), " "))
+    return T.once(T.sentences(text), lambda s: T.once(T.norm(phrase), lambda p: window_of(s, F.transform(s, T.norm), p, around)))
 
 
 def claim_of(text: Column, phrase: Column) -> Column:
