@@ -6,7 +6,7 @@ and words, which segments keep too; where very many words hold the terms, postin
 those texts; where they are very many, in all, as one pass over the texts costs less than joining them. Postings and grams lie in files sorted by word and gram, so that a search skips what it doesn't ask for.
 
 add() writes one segment; a text whose id is in the index already replaces the older one (its older postings no longer count). A segment without its marker, which is written last, isn't read. Texts are dealt
-once, by id, to count their words; as many tasks share that as the session's shuffles have, so it grows with the input.
+once, by id, to count their words, over several tasks a core, and at least as many as the session's shuffles have.
 """
 
 from __future__ import annotations
@@ -84,8 +84,9 @@ class Index:
             return self.spark.read.schema(df.schema).parquet(at)
 
         rows = blobs.select(F.col("id").cast(self.kind).alias("id"), F.coalesce("blob", F.lit("")).alias("blob"))
-        own = write(rows.repartition("id"), "texts")  # as many files as the session's shuffles ask for, whatever the files of the input are
-        posted = write(own.select("id", F.inline(_counted(T.split_words(F.col("blob"))))).sortWithinPartitions("word"), "postings")
+        own = write(rows, "texts")
+        deals = max(3 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))  # whatever the input's files are, and several a core: a last one alone leaves cores idle
+        posted = write(own.repartition(deals, "id").select("id", F.inline(_counted(T.split_words(F.col("blob"))))).sortWithinPartitions("word"), "postings")
         words = write(posted.where("word <> ''").select("word").distinct(), "words")
         pieces = words.where(F.length("word") >= GRAM).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - GRAM + 1)).alias("i"))
         write(pieces.select("word", F.substring("word", F.col("i"), F.lit(GRAM)).alias("gram")).repartition("gram").sortWithinPartitions("gram"), "grams")
