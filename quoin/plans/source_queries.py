@@ -247,11 +247,11 @@ def s19_archive_members(spark, sf_dir):
 
 @query(f"SELECT doc_id AS id, 1 AS page, {_FIRST} || E'\\n' || source AS text FROM documents WHERE doc_id % 4 > 0 UNION ALL SELECT doc_id, 3, lang FROM documents WHERE doc_id % 4 > 0")
 def s21_layout_pages(spark, sf_dir):
-    """Blocks of a layout result by the page of their provenance; without provenance no page is known."""
+    """Blocks of a layout result by the page of their provenance, empty ones as empty lines; without provenance no page is known, and without a block's text not its page's."""
     block = lambda t, p: F.struct(t.alias("text"), (F.array(F.struct(F.lit(p).alias("page_no"))) if p else F.array().cast("array<struct<page_no:int>>")).alias("prov"))
     told = F.to_json(F.struct(F.array(block(F.col("lang"), 3), block(first_line(), 1)).alias("texts"), F.array(block(F.col("source"), 1)).alias("tables")))
     rows = docs(spark, sf_dir).select(number().alias("id"), F.when(number() % 4 > 0, told).otherwise(F.to_json(F.struct(F.array(block(first_line(), 0)).alias("texts")))).alias("json"))
-    return library.docling_pages(rows)
+    return library.docling_pages(rows, every=True)
 
 
 @query(f"SELECT doc_id AS id, p::INT AS page, CASE WHEN p = 1 THEN trim({_FIRST}, E'\\n') ELSE lang END AS text FROM documents, (VALUES (1), (3)) t(p) WHERE doc_id % 5 NOT IN (2, 3)")
