@@ -42,8 +42,11 @@ def coverage(pages: DataFrame, least_words: int = 5) -> DataFrame:
 
 
 def ingest_files(files: DataFrame, words: frozenset[str] = frozenset()) -> DataFrame:
-    """(path, content) to (path, format, text, sha256, source_sha256, refused): extraction, guards, normalisation, guards again. What is refused keeps its reason and has no text."""
-    got = formats.extract(files).join(files.select("path", F.sha2("content", 256).alias("source_sha256")), "path")
+    """(path, content) to (path, format, text, sha256, source_sha256, refused): extraction, guards, normalisation, guards again. What is refused keeps its reason and has no text.
+
+    files are read once: those of a stream may come under other paths when they are read again, which a join of two readings would lose.
+    """
+    got = formats.extract(files.select("path", "content", F.sha2("content", 256).alias("source_sha256")), "source_sha256")
     first = quality_gate(got).withColumn("refused", F.coalesce("error", "refused"))
     clean = first.withColumn("text", F.when(F.col("refused").isNull(), normalize.normalize(F.col("text"), words))).withColumnRenamed("refused", "why")
     again = quality_gate(clean).withColumn("refused", F.coalesce("why", "refused"))

@@ -44,7 +44,11 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
 
 def judged(files: DataFrame, words: frozenset[str] = frozenset(), controls: DataFrame | None = None, limits: dict | None = None) -> DataFrame:
     """files (path, content) as ingested: path, format, text, sha256, source_sha256, refused, state, reasons. controls (path, control, declared): what fails verification against its control is refused."""
-    done = ingestion.ingest_files(files.select("path", "content"), words)
+    return _verified(ingestion.ingest_files(files.select("path", "content"), words), controls, limits)
+
+
+def _verified(done: DataFrame, controls: DataFrame | None, limits: dict | None) -> DataFrame:
+    """What ingest_files() made, with state and reasons; with controls it is read several times, so it has to give the same rows each time."""
     if controls is None:
         return done.withColumn("state", F.lit("unverified")).withColumn("reasons", F.array(F.lit("no control")))
     asked = done.where("refused is null").join(controls, "path").select(F.col("path").alias("id"), "control", F.col("text").alias("candidate"), "declared", F.lit(None).cast("array<int>").alias("pages"), F.lit(False).alias("accepted"))
@@ -63,9 +67,13 @@ def ingest(
         spark, own = rows.sparkSession, f"run={run}/batch={number}"
         if _exists(spark, f"{to}/commits/{own}"):  # committed, but stopped before the stream's checkpoint knew
             return
-        staged = f"{to}/staged/{own}"
-        judged(rows, words, controls, limits).write.mode("overwrite").parquet(staged)
-        told = spark.read.parquet(staged)
+        staged, verified = f"{to}/staged/{own}", f"{to}/verified/{own}"
+        # The batch's rows are read by this write alone: of files of one content, another may come first whenever they are read.
+        ingestion.ingest_files(rows.select("path", "content"), words).write.mode("overwrite").parquet(staged)
+        told = _verified(spark.read.parquet(staged), controls, limits)
+        if controls is not None:
+            told.write.mode("overwrite").parquet(verified)
+            told = spark.read.parquet(verified)
         good = told.where("refused is null")
         made = {"sources": good, "provenance": ingestion.provenance(told, "1970-01-01", limits, tool).withColumn("ingested_at", F.current_timestamp()).join(good.select("path", "state"), "path"), "refused": told.where("refused is not null")}
         for name, schema in TABLES.items():
@@ -88,11 +96,11 @@ def committed(spark: SparkSession, to: str, table: str) -> DataFrame:
 
 
 def rollback(spark: SparkSession, to: str) -> list[str]:
-    """Delete what batches without a marker have left, and committed batches' staged rows; the folders deleted. Not while a stream writes there."""
+    """Delete what batches without a marker have left, and committed batches' staged and verified rows; the folders deleted. Not while a stream writes there."""
     sure, gone = set(_folders(spark, f"{to}/commits")), []
-    for name in ("staged", *TABLES):
+    for name in ("staged", "verified", *TABLES):
         for x in _folders(spark, f"{to}/{name}"):
-            if name == "staged" or x not in sure:
+            if name not in TABLES or x not in sure:
                 at = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/{name}/{x}")
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
                 gone.append(f"{name}/{x}")
