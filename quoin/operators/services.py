@@ -13,7 +13,6 @@ from quoin.functions import text as T
 from quoin.functions.anchors import parse_markers
 from quoin.operators import grounding, retrieval
 from quoin.operators.matching import containing
-from quoin.operators.agreement import rank_orders
 from quoin.runtime import durable
 
 LEVELS = ("meta", "thin", "full", "content")
@@ -161,19 +160,38 @@ def composition(cards: DataFrame, sources: DataFrame) -> DataFrame:
     return n.crossJoin(sources.agg(F.count("*").alias("sources"), F.coalesce(F.round(F.sum("size") / 1e6, 6), F.lit(0.0)).alias("megabytes")))
 
 
+def _kept_words(shown: Column, extracted: Column, least: int) -> Column:
+    """(recall, order) of two arrays of words: sorted together, equal words are runs, so that no shuffle brings together what one row holds."""
+    word = lambda side: lambda t, i: F.struct(t.alias("t"), F.lit(side).alias("side"), i.alias("i"))
+
+    def rank_order(own: Column) -> Column:
+        """Of (pa, pb), words that both sides have once: their ranks have no ties, so the closed form is exact."""
+        far = F.transform(F.array_sort(F.transform(F.array_sort(own), lambda w, x: F.struct(w["pb"].alias("pb"), x.alias("x")))), lambda w, y: F.pow((w["x"] - y).cast("double"), 2))
+        n = F.size(own).cast("double")
+        return F.when(F.size(own) >= max(2, least), 1 - 6 * F.aggregate(far, F.lit(0.0), lambda s, d: s + d) / (n * (n * n - 1)))
+
+    def told(own: Column) -> Column:
+        first = F.filter(F.transform(own, lambda w, i: F.when((i == 0) | (w["t"] != F.get(own, i - 1)["t"]), i)), lambda i: i.isNotNull())
+        runs = T.once(first, lambda at: F.transform(at, lambda i, k: F.slice(own, i + 1, F.coalesce(F.get(at, k + 1), F.size(own)) - i)))
+        twos = lambda r: F.filter(r, lambda w: (F.size(w) == 2) & (w[0]["side"] == 0) & (w[1]["side"] == 1))
+        n = lambda w: F.aggregate(w, F.lit(0), lambda s, x: s + x["side"])
+        both = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda s, w: s + T.once(n(w), lambda b: F.least(b, F.size(w) - b)))
+        order = lambda r: T.once(F.transform(twos(r), lambda w: F.struct(w[0]["i"].alias("pa"), w[1]["i"].alias("pb"))), rank_order)
+        return T.once(runs, lambda r: F.struct(both(r).alias("both"), order(r).alias("order")))
+
+    measured = lambda s, e: T.once(F.array_sort(F.concat(F.transform(s, word(0)), F.transform(e, word(1)))), told)
+    recall = lambda s, m: F.struct(F.try_divide(m["both"], F.nullif(F.size(s), F.lit(0))).alias("recall"), m["order"].alias("order"))
+    return T.once(shown, lambda s: T.once(measured(s, extracted), lambda m: recall(s, m)))
+
+
 def page_recall(pages: DataFrame, least: int = 4) -> DataFrame:
-    """pages (doc, page, shown, extracted): the share of the shown page's words, with their number, that the extraction has, and the rank correlation of words that both have once.
+    """pages (doc, page, shown, extracted), a row each: the share of the shown page's words, with their number, that the extraction has, and the rank correlation of words that both have once.
 
     recall is null where the page shows no word or there is no extraction of it (error); order is null below `least` such words.
     """
-    side = lambda c, a, b: F.transform(T.tokens(F.col(c)), lambda t, i: F.struct(t.alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"), i.alias("i")))
-    none = F.array().cast("array<struct<t:string,a:int,b:int,i:int>>")
-    words = pages.select("doc", "page", F.explode(F.concat(F.coalesce(side("shown", 1, 0), none), F.coalesce(side("extracted", 0, 1), none))).alias("x"))
-    bag = words.groupBy("doc", "page", "x.t").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"), F.min(F.when(F.col("x.a") == 1, F.col("x.i"))).alias("pa"), F.min(F.when(F.col("x.b") == 1, F.col("x.i"))).alias("pb"))
-    sums = bag.groupBy("doc", "page").agg(F.try_divide(F.sum(F.least("a", "b")), F.nullif(F.sum("a"), F.lit(0))).alias("recall"))
-    order = rank_orders(bag.where("a = 1 and b = 1"), ["doc", "page"], least).select("doc", "page", F.col("rank_order").alias("order"))
-    rows = pages.select("doc", "page", F.when(F.col("extracted").isNull(), "no text of this page").alias("error")).join(sums, ["doc", "page"], "left").join(order, ["doc", "page"], "left")
-    return rows.select("doc", "page", F.when(F.col("error").isNull(), F.col("recall")).alias("recall"), F.when(F.col("error").isNull(), F.col("order")).alias("order"), "error")
+    words = lambda c: F.coalesce(T.tokens(F.col(c)), F.array().cast("array<string>"))
+    rows = pages.select("doc", "page", F.when(F.col("extracted").isNull(), "no text of this page").alias("error"), _kept_words(words("shown"), words("extracted"), least).alias("m"))
+    return rows.select("doc", "page", F.when(F.col("error").isNull(), F.col("m.recall")).alias("recall"), F.when(F.col("error").isNull(), F.col("m.order")).alias("order"), "error")
 
 
 def card_passages(cards: DataFrame, question: str, today: str, k: int = 5, around: int = 2) -> tuple[DataFrame, DataFrame]:
