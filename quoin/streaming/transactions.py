@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quoin.operators import ingestion
+from quoin.sources import library
 
-FILES = "path string, modificationTime timestamp, length long, content binary"
+LISTED = "name string, modified long"
+LIST = 10_000  # names in one list at most
 TABLES = {
     "sources": "path string, format string, text string, sha256 string, source_sha256 string, state string, reasons array<string>",
     "provenance": "path string, format string, source_sha256 string, output_sha256 string, ingested_at timestamp, limits string, tool string, state string",
@@ -25,9 +27,23 @@ RUN = ", run string, batch long"
 
 
 def arrivals(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
-    """Files of a folder as they come in, so many in a batch; each content once (its digest is state), under the path that came first."""
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files).load(folder)
-    return stream.select("path", "content", F.sha2("content", 256).alias("digest")).dropDuplicates(["digest"])
+    """Files of a folder as they come in, so many in a batch at most, older ones first; each content once (its digest is state), under the path that came first.
+
+    What is new by name is listed when this is called, in lists below the folder (_arrived), and the stream is one of these lists, whose files tasks read. Spark's own stream of files keeps an entry of every file on the driver, and
+    plans each batch by file. What comes later is met by the next call.
+    """
+    at, lists = spark._jvm.org.apache.hadoop.fs.Path(folder), f"{folder.rstrip('/')}/_arrived/lists"
+    store, own = at.getFileSystem(spark._jsc.hadoopConfiguration()), library.escaped(lists)
+    new = library.dated(spark, folder)
+    if _exists(spark, lists):
+        new = new.join(spark.read.schema(LISTED).parquet(own).select("name"), "name", "left_anti")
+    store.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(lists))
+    many = max(1, -(-files // LIST))  # lists in a batch
+    if not new.isEmpty():
+        new.select("name", "modified").repartition(1).sortWithinPartitions("modified", "name").write.mode("append").option("maxRecordsPerFile", max(1, files // many)).parquet(lists)
+    names = spark.readStream.schema(LISTED).option("maxFilesPerTrigger", many).parquet(own)
+    path = F.concat(F.lit(f"{store.makeQualified(at).toString()}/"), "name")
+    return library.contents(names, folder).select(path.alias("path"), F.col("bytes").alias("content"), F.sha2("bytes", 256).alias("digest")).dropDuplicates(["digest"])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
