@@ -42,8 +42,9 @@ def arrivals(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
     if not new.isEmpty():
         new.select("name", "modified").repartition(1).sortWithinPartitions("modified", "name").write.mode("append").option("maxRecordsPerFile", max(1, files // many)).parquet(lists)
     names = spark.readStream.schema(LISTED).option("maxFilesPerTrigger", many).parquet(own)
-    path = F.concat(F.lit(f"{store.makeQualified(at).toString()}/"), "name")
-    return library.contents(names, folder).select(path.alias("path"), F.col("bytes").alias("content"), F.sha2("bytes", 256).alias("digest")).dropDuplicates(["digest"])
+    path, digest = F.concat(F.lit(f"{store.makeQualified(at).toString()}/"), "name"), F.sha2("bytes", 256)
+    once = library.contents(names, folder).select("name", digest.alias("digest")).dropDuplicates(["digest"])  # names alone are shuffled: what is new is read again
+    return library.contents(once, folder).select(path.alias("path"), F.col("bytes").alias("content"), digest.alias("digest"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -51,6 +52,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """run=/batch= folders below a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*/batch=*")
@@ -99,6 +105,8 @@ def ingest(
                 between(name, number)
         counts = told.agg(F.count_if(F.col("refused").isNull()).alias("accepted"), F.count_if(F.col("refused").isNotNull()).alias("refused"))
         counts.coalesce(1).write.mode("overwrite").parquet(f"{to}/commits/{own}")
+        for done in (staged, verified):  # a copy of all texts
+            _delete(spark, done)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -112,12 +120,11 @@ def committed(spark: SparkSession, to: str, table: str) -> DataFrame:
 
 
 def rollback(spark: SparkSession, to: str) -> list[str]:
-    """Delete what batches without a marker have left, and committed batches' staged and verified rows; the folders deleted. Not while a stream writes there."""
+    """Delete what batches without a marker have left, and staged and verified rows that a committed batch had no time to delete; the folders deleted. Not while a stream writes there."""
     sure, gone = set(_folders(spark, f"{to}/commits")), []
     for name in ("staged", "verified", *TABLES):
         for x in _folders(spark, f"{to}/{name}"):
             if name not in TABLES or x not in sure:
-                at = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/{name}/{x}")
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+                _delete(spark, f"{to}/{name}/{x}")
                 gone.append(f"{name}/{x}")
     return gone
